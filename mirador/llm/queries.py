@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, simhash
+from . import embdedup, linededup, packing, secrets, simhash, warc, wavelet
 from .common import table
 
 
@@ -27,21 +27,50 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(table(spark, sf_dir, "pages"), min_bytes=1000)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_documents(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_wavelet_tokens": op8_wavelet_tokens,
 }
 
 #: A line's key in DuckDB: the six ASCII spaces stripped, A-Z lower-cased.
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op3_warc_revisits": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+o AS (SELECT digest, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN o.original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN o.original <> page_id THEN o.original END AS refers_to, TRUE AS verified
+FROM p LEFT JOIN o ON p.digest = o.digest""",
     "op5_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
