@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, linededup, packing, secrets, simhash, warc, wavelet
+from . import decontam, embdedup, linededup, packing, quality, secrets, simhash, toxicity, warc, wavelet
 from .common import table
+from .labelled import fold
 
 
 def vocabulary(name: str) -> str:
@@ -42,6 +43,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "longest", "tiles")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -50,14 +56,35 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def _held_out(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(True))
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=3, held=1)
+    return _held_out(toxicity.score(docs, model, threshold=0.7), 3, 1)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vectors = quality.word_vectors(docs)
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), vectors, folds=5, held=0)
+    return _held_out(quality.score(docs, vectors, net, threshold=0.3), 5, 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_wavelet_tokens": op8_wavelet_tokens,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 #: A line's key in DuckDB: the six ASCII spaces stripped, A-Z lower-cased.
