@@ -173,3 +173,144 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, seed: int = 42,
 def hex_fingerprint(fp):
     """Sixteen lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# --- groups of similar documents, for filtering -------------------------------------------
+
+#: Minimum hashes a document; the first ROUTES of them name its shards, a byte of each is its sketch.
+SKETCH, ROUTES = 128, 10
+
+
+def _shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's word shingles; none for a blank text."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - shingle_words + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.array(list({digest(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)}), dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, *, shingle_words: int = 5) -> DataFrame:
+    """Per row of ``docs``: row_key and row_hash (of doc_id and text), doc_id, fp (majority
+    fingerprint of the distinct shingles), sig (equal for equal shingle sets), routes and
+    sketch. Blank texts have a null fp."""
+    rng = np.random.default_rng(64)
+    factors = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column("text"):
+                h = _shingle_hashes(text.as_py(), shingle_words)
+                if not len(h):
+                    rows.append((None, 0, [], b""))
+                    continue
+                ones, least = np.zeros(64, np.int64), np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(h), 4096):
+                    part = h[at : at + 4096]
+                    ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                    with np.errstate(over="ignore"):
+                        mixed = part[None, :] * factors[:, None]
+                        mixed ^= mixed >> np.uint64(31)
+                    least = np.minimum(least, mixed.min(axis=1))
+                fp = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+                sig = int(np.bitwise_xor.reduce(h)) ^ len(h)
+                rows.append((_signed(fp), _signed(sig), least[:ROUTES].view(np.int64).tolist(), (least >> np.uint64(8)).astype(np.uint8).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            arrays = [b.column("row_key"), b.column("row_hash"), b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row_key", "row_hash", "doc_id", "fp", "sig", "routes", "sketch"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(*_row(text), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return own.mapInArrow(run, "row_key long, row_hash long, doc_id long, fp long, sig long, routes array<long>, sketch binary")
+
+
+def _row(text):
+    """Two hashes that name a row by doc_id and text; neither is null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"), F.xxhash64(text).alias("row_hash")
+
+
+def link_similar(members: list[dict], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """A spanning star of each component of a shard: the BK-tree gives the fingerprints
+    within the radius, and the sketches' agreement decides."""
+    tree, at = BKTree(), {}
+    root = {m["cid"]: m["cid"] for m in members}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for m in sorted(members, key=lambda m: m["cid"]):
+        fp, mine = m["fp"] % (1 << 64), np.frombuffer(m["sketch"], np.uint8)
+        for near in tree.within(fp, radius):
+            for cid, theirs in at[near]:
+                a, b = find(cid), find(m["cid"])
+                if a != b and np.count_nonzero(mine == theirs) >= similarity * SKETCH:
+                    root[max(a, b)] = min(a, b)
+        tree.add(fp)
+        at.setdefault(fp, []).append((m["cid"], mine))
+    return [(v, find(v)) for v in root if find(v) != v]
+
+
+def similar_groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tree_size: int = 512) -> DataFrame:
+    """Per row of ``docs``: row_key, row_hash, doc_id, component (equal within a group).
+
+    Texts of equal shingle sets are one class. Texts whose shingle sets have at least the
+    given Jaccard similarity share one of ROUTES minimum hashes but for a chance of
+    (1 - similarity) ** ROUTES, one in ten million at 0.8; each minimum hash is a shard. A
+    shard of more than ``tree_size`` classes is split by pairs, triples ... of minimum
+    hashes; classes that agree on all of them are linked to the first of them.
+    """
+    rows = staged(sketches(docs, shingle_words=shingle_words), "sketches")
+    # blank texts are one class of their own
+    classes = rows.groupBy("fp", "sig").agg(F.first("routes").alias("routes"), F.first("sketch").alias("sketch"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    live = classes.filter("fp is not null")
+    keyed = live.select("cid", "routes", F.explode(F.array(*[F.array(F.lit(i)) for i in range(ROUTES)])).alias("slots"))
+    edges = None
+    while True:
+        keyed = keyed.withColumn("key", F.xxhash64("slots", F.transform("slots", lambda i: F.get("routes", i))))
+        counts = staged(keyed.groupBy("slots", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first")).filter("n > 1"), "shards")
+        small = keyed.select("cid", "slots", "key").join(counts.filter(F.col("n") <= tree_size).select("slots", "key"), ["slots", "key"])
+        small = small.join(live.select("cid", "fp", "sketch"), "cid").groupBy("slots", "key").agg(F.collect_list(F.struct("cid", "fp", "sketch")).alias("members"))
+        found = small.select("members").mapInArrow(_link_similar_batches(similarity, radius), "a long, b long")
+        large = counts.filter(F.col("n") > tree_size)
+        edges = found if edges is None else edges.unionByName(found)
+        if large.isEmpty():
+            break
+        hot = keyed.select("cid", "routes", "slots", "key").join(large, ["slots", "key"])
+        whole = hot.filter(F.size("slots") == ROUTES).select(F.col("cid").alias("a"), F.col("first").alias("b"))
+        edges = staged(edges.unionByName(whole), "similar")
+        later = F.filter(F.array(*[F.lit(i) for i in range(ROUTES)]), lambda i: i > F.element_at("slots", -1))
+        # the next minimum hashes in order: pairs above the first, and so on
+        keyed = hot.select("cid", "routes", F.explode(F.transform(later, lambda i: F.concat("slots", F.array(i)))).alias("slots"))
+        keyed = staged(keyed, "hot")
+    labels = components(edges)
+    named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("fp", "sig", F.coalesce("component", "cid").alias("component"))
+    same = rows.fp.eqNullSafe(named.fp) & (rows.sig == named.sig)
+    return rows.join(named, same).select("row_key", "row_hash", "doc_id", "component")
+
+
+def _link_similar_batches(similarity: float, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges = [e for members in b.column("members") for e in link_similar(members.as_py(), similarity, radius)]
+            cols = list(zip(*edges, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that of the smallest
+    doc_id (null last; of equal ids that of the smallest text hash), once."""
+    groups = similar_groups(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "row_key")).alias("first")
+    kept = groups.groupBy("component").agg(first).select(F.col("first.row_key").alias("_key"), F.col("first.row_hash").alias("_hash"))
+    key, hash_ = _row(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.withColumns({"_key": key, "_hash": hash_})
+    return own.join(kept, ["_key", "_hash"]).dropDuplicates(["_key", "_hash"]).select(docs.columns)

@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, labelled, platt
 
-DECAY, WINDOW = 0.5, 8
+DECAY, WINDOW = 0.5, 9
 #: Lengths of the character runs that may become landmarks.
-RUNS = (4, 5, 6, 7, 8)
+RUNS = (4, 5, 6, 7, 8, 9)
 KEPT_UNITS = 400_000
 _SIGNS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]+\w){2,}(?!\S)")
@@ -52,7 +52,8 @@ def units(text: str | None) -> list[str]:
 
 
 def distinct_units(text: str | None) -> set[str]:
-    return {w for w in units(text) if len(w) >= 3}
+    """The distinct units of three characters or more, between marks for their two ends."""
+    return {f"<{w}>" for w in units(text) if len(w) >= 3}
 
 
 def subsequences(s: str) -> dict[str, float]:
@@ -94,7 +95,7 @@ def runs_of(bag: set[str]) -> set[str]:
 
 def telling_runs(bags: list[set[str]], y: list[int]) -> dict[str, float]:
     """Character runs that at least three toxic documents and 1.5 % of them have, with the
-    count times the log odds."""
+    count times the log odds, where these are surely large."""
     pos, neg = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         if label:
@@ -105,7 +106,8 @@ def telling_runs(bags: list[set[str]], y: list[int]) -> dict[str, float]:
             neg.update(r for r in runs_of(bag) if r in pos)
     n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
     odds = {r: np.log(((c + 0.5) / (n1 + 1)) / ((neg[r] + 0.5) / (n0 + 1))) for r, c in pos.items()}
-    return {r: pos[r] * v for r, v in odds.items() if v > 2}
+    # less one standard error, or the many rare runs would bring in chance
+    return {r: pos[r] * v for r, v in odds.items() if v - (1 / (pos[r] + 0.5) + 1 / (neg[r] + 0.5)) ** 0.5 > 3}
 
 
 def landmarks(telling: dict[str, float], toxic: Counter, clean: Counter, count: int) -> list[str]:
