@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("symbol").orderBy("ix")
+
+def by():
+    return W.partitionBy("symbol").orderBy("ix")
 
 
 def frame(n: int, end: int = 0):
     """The n rows that end ``end`` rows after this one (negative: before)."""
-    return BY.rowsBetween(end - n + 1, end)
+    return by().rowsBetween(end - n + 1, end)
 
 
 def full(agg: Column, n: int, end: int = 0) -> Column:
@@ -40,7 +42,7 @@ def strict(agg: Column, value: Column, n: int, end: int = 0) -> Column:
 
 
 def lag(value: str, n: int) -> Column:
-    return F.lag(value, n).over(BY)
+    return F.lag(value, n).over(by())
 
 
 def ema(df: DataFrame, value: str, span: int, out: str) -> DataFrame:
@@ -58,8 +60,8 @@ def ema(df: DataFrame, value: str, span: int, out: str) -> DataFrame:
 
 def streak(df: DataFrame, sign: Column, out: str) -> DataFrame:
     """Signed length of the run of equal signs that ends here (gaps and islands)."""
-    marked = df.withColumn("_s", sign).withColumn("_new", F.when(F.col("_s").eqNullSafe(F.lag("_s").over(BY)), 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_new").over(BY))
+    marked = df.withColumn("_s", sign).withColumn("_new", F.when(F.col("_s").eqNullSafe(F.lag("_s").over(by())), 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_new").over(by()))
     run = W.partitionBy("symbol", "_run").orderBy("ix")
     return marked.withColumn(out, (F.col("_s") * F.row_number().over(run)).cast("long")).drop("_s", "_new", "_run")
 

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-XS = W.partitionBy("session")
+
+def xs():
+    return W.partitionBy("session")
 
 
 def rank_pct(value: str, key: str = "symbol", least: int = 10) -> Column:
     """Ordinal rank / (n - 1) - 0.5 among the valid values, ties by key; null in groups of ``least`` or fewer."""
-    n = F.count(value).over(XS)
-    order = XS.orderBy(F.col(value).asc_nulls_last(), F.col(key))
+    n = F.count(value).over(xs())
+    order = xs().orderBy(F.col(value).asc_nulls_last(), F.col(key))
     return F.when(F.col(value).isNotNull() & (n > least), (F.row_number().over(order) - 1) / (n - 1) - 0.5)
 
 

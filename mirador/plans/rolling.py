@@ -145,6 +145,6 @@ def forward_targets(spark, d):
     """Returns to come over 5 and 20 sessions, and whether the low ahead is 30 % down."""
     p = weekly_returns(spark, d)
     low = F.min("l").over(R.frame(20, 20)) / F.col("price") - 1
-    lead = lambda n: F.lead("price", n).over(R.BY) / F.col("price") - 1
+    lead = lambda n: F.lead("price", n).over(R.by()) / F.col("price") - 1
     p = p.withColumns({"low": low, "f5": lead(5), "f20": lead(20)}).filter("price is not null")
     return p.select("symbol", "ix", *_cols(fwd5=F.col("f5"), fwd20=F.col("f20"), low20=F.col("low")), (F.col("low") < -0.3).cast("int").alias("fell"))

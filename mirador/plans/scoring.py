@@ -43,7 +43,7 @@ beta AS (SELECT *, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 *
 def _features(spark, d):
     g = V.aligned(V.weekly(spark, d))
     back = lambda n: F.col("price") / R.lag("price", n) - 1
-    return g.withColumns({"x1": back(1), "x2": back(4), "t": F.lead("price", 5).over(R.BY) / F.col("price") - 1}).select("symbol", "session", "ix", "x1", "x2", "t")
+    return g.withColumns({"x1": back(1), "x2": back(4), "t": F.lead("price", 5).over(R.by()) / F.col("price") - 1}).select("symbol", "session", "ix", "x1", "x2", "t")
 
 
 def predictions(spark, d):

@@ -58,7 +58,7 @@ def scored(spark, d):
     from ..operators import rolling as R
 
     g = V.aligned(V.weekly(spark, d))
-    g = g.withColumns({"score": F.col("price") / R.lag("price", 4) - 1, "y": F.lead("price", 1).over(R.BY) / F.col("price") - 1})
+    g = g.withColumns({"score": F.col("price") / R.lag("price", 4) - 1, "y": F.lead("price", 1).over(R.by()) / F.col("price") - 1})
     return g.filter("score is not null and y is not null").select("symbol", "session", "ix", "score", "y")
 
 
