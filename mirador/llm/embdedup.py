@@ -6,9 +6,10 @@ codewords. A query walks the cells by the multi-sequence order (rising sum of it
 distances) for as many cells as reached the target recall on the sample. Pairs whose cells
 are reached from either side are verified by cosine in double precision, block by block.
 
-Equal vectors are one class with a multiplicity. Cells are cut into blocks of about
-``block`` classes, and a unit of work is a pair of blocks: a hot cell is many units, no
-task holds a cell, and a unit returns degrees and a spanning forest, never its pairs.
+Equal vectors are one class with a multiplicity. A cell's members are cut into blocks of
+about ``block`` classes and its queries into chunks, and a unit of work is a block and a
+chunk: a hot cell is many units, no task holds a cell, and a unit returns degrees and a
+spanning forest, never its pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and
 those of another than the commonest dimension, link with nothing; a null vec_id names no
@@ -90,7 +91,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit(sample: np.ndarray, population: int, *, cosine: float, recall: float, cell_rows: int = 8, most_probes: int = 128) -> MultiIndex:
+def fit(sample: np.ndarray, population: int, *, cosine: float, recall: float, cell_rows: int = 16, most_probes: int = 64) -> MultiIndex:
     """Codebooks for about ``cell_rows`` vectors a cell, and the probes that reach the
     target recall on neighbours at exactly ``cosine`` from the sample's vectors (the
     hardest there are) as well as on the sample's own pairs."""
@@ -111,32 +112,35 @@ def fit(sample: np.ndarray, population: int, *, cosine: float, recall: float, ce
     return index
 
 
-def verify(a: dict, b: dict | None, cosine: float, cells: tuple[int, int]) -> list[tuple[int, int, int | None]]:
-    """Degrees and a spanning forest of one unit: two blocks, or one with itself."""
-    x = unit(np.asarray(a["v"]))
-    y = x if b is None else unit(np.asarray(b["v"]))
-    other = a if b is None else b
-    reach = np.array([cells[1] in v for v in a["visits"]])[:, None] | np.array([cells[0] in v for v in other["visits"]])[None, :]
-    hit = (x @ y.T >= cosine) & reach
-    ma, mb = np.array(a["m"]), np.array(other["m"])
-    if b is None:
-        np.fill_diagonal(hit, False)
-        links = [(c, int(d)) for c, d in zip(a["cid"], hit @ mb, strict=True)]
-        ids, graph = list(a["cid"]), hit
-    else:
-        links = [(c, int(d)) for c, d in zip(a["cid"], hit @ mb, strict=True)] + [(c, int(d)) for c, d in zip(b["cid"], hit.T @ ma, strict=True)]
-        ids, n = list(a["cid"]) + list(b["cid"]), len(a["cid"])
-        graph = np.zeros((len(ids), len(ids)), bool)
-        graph[:n, n:], graph[n:, :n] = hit, hit.T
-    root = np.full(len(ids), -1)
-    for s in np.flatnonzero(graph.any(1)):
-        if root[s] < 0:
-            root[s], stack = s, [s]
-            while stack:
-                new = np.flatnonzero(graph[stack.pop()] & (root < 0))
-                root[new] = s
-                stack += new.tolist()
-    return [(c, d, ids[root[i]] if root[i] >= 0 and root[i] != i else None) for i, (c, d) in enumerate(links) if d]
+def verify(cell: int, members: dict, queries: dict, cosine: float) -> list[tuple[int, int, int | None]]:
+    """Degrees and a spanning forest of one unit: a block of a cell's members and a chunk
+    of the queries that visit the cell.
+
+    Two vectors of one cell meet once in each role, and each time the query's degree
+    grows. Vectors of two cells that visit each other meet in both cells and count in the
+    lower; else they meet in one.
+    """
+    hit = unit(np.asarray(queries["v"])) @ unit(np.asarray(members["v"])).T >= cosine
+    home = np.array(queries["cell"])
+    own = home == cell
+    hit &= ~(own[:, None] & (np.array(queries["cid"])[:, None] == np.array(members["cid"])[None, :]))
+    for q in np.flatnonzero((home < cell) & hit.any(1)):
+        back = np.flatnonzero(hit[q])
+        hit[q, back[[home[q] in members["visits"][k] for k in back]]] = False
+    dq, dm = hit @ np.array(members["m"]), (hit & ~own[:, None]).T @ np.array(queries["m"])
+    ids, n = [*queries["cid"], *members["cid"]], len(own)
+    links, root = [*dq.tolist(), *dm.tolist()], np.full(len(ids), -1)
+    for s in np.flatnonzero(hit.any(1)):
+        stack = [s] if root[s] < 0 else []
+        while stack:
+            here = stack.pop()
+            root[here] = s
+            side, off = (hit[here], n) if here < n else (hit[:, here - n], 0)
+            new = np.flatnonzero(side) + off
+            new = new[root[new] < 0]
+            root[new] = s
+            stack += new.tolist()
+    return [(c, int(d), ids[r] if r >= 0 and ids[r] != c else None) for c, d, r in zip(ids, links, root.tolist(), strict=True) if d or r >= 0]
 
 
 def _valid(v):
@@ -144,10 +148,10 @@ def _valid(v):
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda e: e != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.99, sample: int = 8192, block: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.97, sample: int = 8192, block: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = rows.filter(_valid(F.col("embedding")))
     top = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -166,31 +170,29 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
             visits = index.visits(unit(np.array(b.column("v").to_pylist()))) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("m"), b.column("v"), pa.array([v[0] for v in visits], pa.int64()), pa.array(visits, pa.list_(pa.int64()))], ["cid", "m", "v", "cell", "visits"])
 
-    placed = staged(classes.select("cid", "m", "v").mapInArrow(walk, "cid long, m long, v array<double>, cell long, visits array<long>"), "placed")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    blocks = placed.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    blocks = blocks.groupBy("cell", "i").agg(F.collect_list(F.struct("cid", "m", "v", "visits")).alias("rows"))
-    blocks = staged(blocks, "blocks")
-    pairs = placed.select("cell", F.explode("visits").alias("to")).select(F.least("cell", "to").alias("lo"), F.greatest("cell", "to").alias("hi")).distinct()
-    part = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    units = pairs.join(sizes.select(F.col("cell").alias("lo"), F.col("nb").alias("nlo")), "lo").join(sizes.select(F.col("cell").alias("hi"), F.col("nb").alias("nhi")), "hi")
-    units = units.withColumn("i", part("nlo")).withColumn("j", part("nhi")).filter("lo < hi or i <= j").select("lo", "i", "hi", "j")
-    met = units.join(blocks.select(F.col("cell").alias("lo"), "i", F.col("rows").alias("a")), ["lo", "i"])
-    met = met.join(blocks.select(F.col("cell").alias("hi"), F.col("i").alias("j"), F.col("rows").alias("b")), ["hi", "j"])
+    vector = classes.schema["v"].dataType.simpleString()
+    placed = staged(classes.select("cid", "m", "v").mapInArrow(walk, f"cid long, m long, v {vector}, cell long, visits array<long>"), "placed")
+    ceil = lambda rows: F.ceil(F.count(F.lit(1)) / rows).cast("int")
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    visit = placed.select("cid", "m", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+    sizes = placed.groupBy("cell").agg(ceil(block).alias("ni"))
+    sizes = staged(sizes.join(visit.select("cell").groupBy("cell").agg(ceil(4 * block).alias("nj")), "cell"), "cells")
+    # block i of a cell's members meets chunk j of its queries; only hot cells have several
+    members = placed.join(sizes, "cell").withColumn("i", some("ni")).withColumn("j", part("nj"))
+    members = members.groupBy("cell", "i", "j").agg(F.collect_list(F.struct("cid", "m", "v", "visits")).alias("members"))
+    queries = visit.join(sizes, "cell").withColumn("j", some("nj")).withColumn("i", part("ni"))
+    queries = queries.groupBy("cell", "i", "j").agg(F.collect_list(F.struct("cid", "m", "v", F.col("home").alias("cell"))).alias("queries"))
+    met = members.join(queries, ["cell", "i", "j"]).select("cell", "members", "queries")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = lambda s: {k: [r[k] for r in s] for k in ("cid", "m", "v", "visits")}
+        turn = lambda s: {k.name: s.values.field(k.name).to_pylist() for k in s.values.type}
         for batch in batches:
-            found = []
-            for n in range(batch.num_rows):
-                lo, i, hi, j = (batch.column(c)[n].as_py() for c in ("lo", "i", "hi", "j"))
-                a = turn(batch.column("a")[n].as_py())
-                same = (lo, i) == (hi, j)
-                found += verify(a, None if same else turn(batch.column("b")[n].as_py()), cosine, (lo, hi))
-            cols = list(zip(*found, strict=True)) or [()] * 3
+            rows = [verify(batch.column("cell")[n].as_py(), turn(batch.column("members")[n]), turn(batch.column("queries")[n]), cosine) for n in range(batch.num_rows)]
+            cols = list(zip(*(r for found in rows for r in found), strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cid", "links", "root"])
 
-    found = staged(met.select("lo", "i", "hi", "j", "a", "b").mapInArrow(check, UNIT), "links")
+    found = staged(met.mapInArrow(check, UNIT), "links")
     degree = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "h", "g", "m", "least").join(degree, "cid", "left").join(labels, F.col("cid") == F.col("node"), "left")
