@@ -20,7 +20,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a long, b long) to (node, component): the smallest node reachable, for
-    every node with an edge to another. Repeated and reversed edges, loops and nulls are fine."""
+    every node but the smallest of its component. Repeated and reversed edges, loops and nulls are fine."""
     edges = edges.filter("a is not null and b is not null and a <> b")
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)

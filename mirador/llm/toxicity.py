@@ -24,6 +24,7 @@ a null doc_id is held out; an empty table gives no rows; other columns are left
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -95,19 +96,33 @@ def runs_of(bag: set[str]) -> set[str]:
 
 def telling_runs(bags: list[set[str]], y: list[int]) -> dict[str, float]:
     """Character runs that at least three toxic documents and 1.5 % of them have, with the
-    count times the log odds, where these are surely large."""
-    pos, neg = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        if label:
-            pos.update(runs_of(bag))
-    pos = Counter({r: c for r, c in pos.items() if c >= max(3, 0.015 * sum(y))})
-    for bag, label in zip(bags, y, strict=True):
-        if not label:
-            neg.update(r for r in runs_of(bag) if r in pos)
+    count times the log odds, where these are surely large. A run is counted only where its
+    two parts a character shorter are frequent, which bounds the counters."""
     n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
-    odds = {r: np.log(((c + 0.5) / (n1 + 1)) / ((neg[r] + 0.5) / (n0 + 1))) for r, c in pos.items()}
-    # less one standard error, or the many rare runs would bring in chance
-    return {r: pos[r] * v for r, v in odds.items() if v - (1 / (pos[r] + 0.5) + 1 / (neg[r] + 0.5)) ** 0.5 > 3}
+    telling: dict[str, float] = {}
+    frequent: set[str] = set()
+    for n in RUNS:
+        known = frequent
+
+        def cut(bag: set[str], n: int = n, known: set[str] = known) -> set[str]:
+            found = {u[i : i + n] for u in bag for i in range(len(u) - n + 1)}
+            return found if n == RUNS[0] else {r for r in found if r[1:] in known and r[:-1] in known}
+
+        pos, neg = Counter(), Counter()
+        for bag, label in zip(bags, y, strict=True):
+            if label:
+                pos.update(cut(bag))
+        pos = Counter({r: c for r, c in pos.items() if c >= max(3, 0.015 * n1)})
+        frequent = set(pos)
+        for bag, label in zip(bags, y, strict=True):
+            if not label:
+                neg.update(cut(bag) & frequent)
+        for r, c in pos.items():
+            odds = np.log(((c + 0.5) / (n1 + 1)) / ((neg[r] + 0.5) / (n0 + 1)))
+            # less one standard error, or the many rare runs would bring in chance
+            if odds - (1 / (c + 0.5) + 1 / (neg[r] + 0.5)) ** 0.5 > 3:
+                telling[r] = c * odds
+    return telling
 
 
 def landmarks(telling: dict[str, float], toxic: Counter, clean: Counter, count: int) -> list[str]:
@@ -189,8 +204,7 @@ class Model:
 def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_units: int = 6000, rounds: int = 3) -> Model:
     if len(set(y)) < 2:
         return Model({}, 0.0, 0.0, 0.0)
-    sentences = [[distinct_units(s) for s in _SENTENCE.split(t or "")] for t in texts]
-    bags = [set().union(*ss) if ss else set() for ss in sentences]
+    bags = [{sys.intern(u) for u in distinct_units(t)} for t in texts]
     clean = Counter(u for bag, label in zip(bags, y, strict=True) if not label for u in bag)
     toxic = Counter(u for bag, label in zip(bags, y, strict=True) if label for u in bag)
     telling = telling_runs(bags, y)
@@ -210,9 +224,10 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_unit
     # of each toxic document the windows that hold a telling run: its sentences' possible witnesses
     worth = lambda part: max((telling.get(r, 0.0) for r in runs_of({part})), default=0.0)
     odd = []
-    for ss, label in zip(sentences, y, strict=True):
+    for text, label in zip(texts, y, strict=True):
         if label:
-            parts = {p: worth(p) for units_ in ss for u in units_ for p in windows(u)}
+            sentences = [distinct_units(s) for s in _SENTENCE.split(text or "")]
+            parts = {p: worth(p) for sentence in sentences for u in sentence for p in windows(u)}
             best = max(parts.values(), default=0.0)
             odd.append(sorted((p for p, v in parts.items() if v > 0 and v >= best / 4), key=lambda p: (-parts[p], p))[:12])
     odd = [o for o in odd if o]
@@ -251,7 +266,7 @@ def hash_of(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, limit: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, limit: int = 2000) -> Model:
     """Learn from at most ``limit`` rows of each label outside the held-out fold."""
     rows = labelled(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held, limit).select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
