@@ -26,8 +26,8 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,8 @@ from .labelled import fold, labelled, platt
 DECAY, WINDOW = 0.5, 9
 #: Lengths of the character runs that may become landmarks.
 RUNS = (4, 5, 6, 7, 8, 9)
-KEPT_UNITS = 400_000
+#: Units a worker remembers and their longest; characters scored together.
+KEPT_UNITS, KEPT_CHARS, TOGETHER = 400_000, 64, 1 << 18
 _SIGNS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]+\w){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -78,51 +79,137 @@ def windows(unit: str) -> list[str]:
 
 def kernel(a: list[dict[str, float]], b: list[dict[str, float]]) -> np.ndarray:
     """Normalized kernel values between two lists of feature maps."""
-    place: dict[str, list[tuple[int, float]]] = {}
-    for j, phi in enumerate(b):
-        for key, v in phi.items():
-            place.setdefault(key, []).append((j, v))
-    out = np.zeros((len(a), len(b)))
-    for i, phi in enumerate(a):
-        for key, v in phi.items():
-            for j, w in place.get(key, ()):
-                out[i, j] += v * w
-    return out
+    return np.array([[sum(v * y.get(key, 0.0) for key, v in x.items()) for y in b] for x in a]).reshape(len(a), len(b))
+
+
+def cut(units_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the windows of all units, a row a window, short ones filled with
+    zeros; and where each unit's windows begin."""
+    joined = "".join(u if len(u) >= WINDOW else u.ljust(WINDOW, "\0") for u in units_)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([max(len(u), WINDOW) for u in units_], np.int64)
+    count = sizes - WINDOW + 1
+    first = np.cumsum(count) - count
+    at = np.arange(int(count.sum())) + np.repeat(np.cumsum(sizes) - sizes - first, count)
+    return np.lib.stride_tricks.sliding_window_view(codes, WINDOW)[at] if len(units_) else np.zeros((0, WINDOW), np.uint32), first
+
+
+def norms(block: np.ndarray) -> np.ndarray:
+    """Length of each window's feature vector: the root of its kernel with itself.
+
+    ``ways[a][b]`` holds the weight of equal subsequences of the letters so far that end
+    before places a and b, gaps up to there discounted; it grows a letter at a time.
+    """
+    span, n = block.shape[1], len(block)
+    columns = np.ascontiguousarray(block.T)
+    equal: list[list] = [[None] * span for _ in range(span)]
+    for a, b in combinations_with_replacement(range(span), 2):
+        equal[a][b] = equal[b][a] = ((columns[a] == columns[b]) & (columns[a] > 0)).astype(np.float32)
+    ways = [[np.ones(n, np.float32)] * span for _ in range(span)]
+    for _ in range(2):
+        above = [np.zeros(n, np.float32)] * span
+        longer = []
+        for a in range(span):
+            longer.append(above)
+            along, row = np.zeros(n, np.float32), [np.zeros(n, np.float32)]
+            for b in range(span - 1):
+                along = DECAY * (along + DECAY * equal[a][b] * ways[a][b])
+                row.append(DECAY * above[b + 1] + along)
+            above = row
+        ways = longer
+    total = sum(equal[a][b] * ways[a][b] for a in range(span) for b in range(span))
+    return DECAY * np.sqrt(total)
+
+
+class Triples:
+    """Row numbers of a set of three-letter keys, found for many windows at once: a table
+    from two letters to a pair, and one from a pair and a letter to the row (0: no key)."""
+
+    def __init__(self, keys: list[str]):
+        self.letters = np.array(sorted({ord(c) for k in keys for c in k}), np.uint32)
+        place = {chr(c): n + 1 for n, c in enumerate(self.letters.tolist())}
+        size = len(place) + 1
+        pairs = {ab: n + 1 for n, ab in enumerate(sorted({k[:2] for k in keys}))}
+        self.pair = np.zeros((size, size), np.int32)
+        for (a, b), n in pairs.items():
+            self.pair[place[a], place[b]] = n
+        self.row = np.zeros((len(pairs) + 1, size), np.int32)
+        for n, k in enumerate(keys):
+            self.row[pairs[k[:2]], place[k[2]]] = n + 1
+
+    def mapped(self, block: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each window the weighted sum of ``values`` (row 0 zero) over its
+        subsequences, over its length; not a number where it has none."""
+        near = np.minimum(np.searchsorted(self.letters, block), max(0, len(self.letters) - 1))
+        x = np.where(self.letters[near] == block, near + 1, 0) if len(self.letters) else np.zeros(block.shape, np.int64)
+        total, rows = np.zeros((len(block), *values.shape[1:])), self.row.ravel()
+        x = np.ascontiguousarray(x.T)
+        for i, j in combinations(range(block.shape[1]), 2):
+            pair = self.pair[x[i], x[j]] * self.row.shape[1]
+            if not pair.any():
+                continue
+            for k in range(j + 1, block.shape[1]):
+                total += DECAY ** (k - i + 1) * values[rows[pair + x[k]]]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            length = norms(block)
+            return total / length.reshape(-1, *[1] * (values.ndim - 1))
+
+
+def in_blocks(triples: Triples, windows_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    step = 2048 if values.ndim == 1 else 512
+    parts = [triples.mapped(windows_[n : n + step], values) for n in range(0, len(windows_), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, *values.shape[1:]))
+
+
+def may_hold(unit: str, heads: set[str]) -> bool:
+    """Whether a run that begins with one of ``heads`` can be in the unit."""
+    n = RUNS[0]
+    return not heads.isdisjoint([unit[i : i + n] for i in range(len(unit) - n + 1)])
 
 
 def runs_of(bag: set[str]) -> set[str]:
     return {u[i : i + n] for u in bag for n in RUNS for i in range(len(u) - n + 1)}
 
 
-def telling_runs(bags: list[set[str]], y: list[int]) -> dict[str, float]:
+def telling_runs(bags: list[set[str]], y: list[int], toxic: Counter, clean: Counter) -> dict[str, float]:
     """Character runs that at least three toxic documents and 1.5 % of them have, with the
-    count times the log odds, where these are surely large. A run is counted only where its
-    two parts a character shorter are frequent, which bounds the counters."""
+    count times the log odds, where these are surely large.
+
+    ``toxic`` and ``clean`` count the documents of each unit. Their sum over the units with a
+    run is at least the run's documents, their maximum at most; only runs that these bounds
+    leave open are counted, and only where the two parts a character shorter are frequent.
+    """
     n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
-    telling: dict[str, float] = {}
-    frequent: set[str] = set()
+    enough = max(3, 0.015 * n1)
+
+    def odds(c: int, neg: int) -> float:
+        # less one standard error, or the many rare runs would bring in chance
+        value = np.log(((c + 0.5) / (n1 + 1)) / ((neg + 0.5) / (n0 + 1)))
+        return value if value - (1 / (c + 0.5) + 1 / (neg + 0.5)) ** 0.5 > 3 else 0.0
+
+    def cuts(u: str, n: int) -> set[str]:
+        return {u[i : i + n] for i in range(len(u) - n + 1)}
+
+    open_: set[str] = set()
+    frequent: dict[str, int] = {}
     for n in RUNS:
-        known = frequent
-
-        def cut(bag: set[str], n: int = n, known: set[str] = known) -> set[str]:
-            found = {u[i : i + n] for u in bag for i in range(len(u) - n + 1)}
-            return found if n == RUNS[0] else {r for r in found if r[1:] in known and r[:-1] in known}
-
-        pos, neg = Counter(), Counter()
-        for bag, label in zip(bags, y, strict=True):
-            if label:
-                pos.update(cut(bag))
-        pos = Counter({r: c for r, c in pos.items() if c >= max(3, 0.015 * n1)})
-        frequent = set(pos)
-        for bag, label in zip(bags, y, strict=True):
-            if not label:
-                neg.update(cut(bag) & frequent)
-        for r, c in pos.items():
-            odds = np.log(((c + 0.5) / (n1 + 1)) / ((neg[r] + 0.5) / (n0 + 1)))
-            # less one standard error, or the many rare runs would bring in chance
-            if odds - (1 / (c + 0.5) + 1 / (neg[r] + 0.5)) ** 0.5 > 3:
-                telling[r] = c * odds
-    return telling
+        most: dict[str, int] = {}
+        for u, c in toxic.items():
+            for r in cuts(u, n):
+                if n == RUNS[0] or (r[1:] in frequent and r[:-1] in frequent):
+                    most[r] = most.get(r, 0) + c
+        frequent = {r: c for r, c in most.items() if c >= enough}
+        least = dict.fromkeys(frequent, 0)
+        for u, c in clean.items():
+            for r in cuts(u, n):
+                if r in least and c > least[r]:
+                    least[r] = c
+        open_.update(r for r, c in frequent.items() if odds(c, least[r]))
+    holds = {u: found for u in toxic.keys() | clean.keys() if (found := [r for n in RUNS for r in cuts(u, n) if r in open_])}
+    counts = (Counter(), Counter())
+    for bag, label in zip(bags, y, strict=True):
+        counts[label].update({r for u in bag if u in holds for r in holds[u]})
+    return {r: c * value for r, c in counts[1].items() if c >= enough and (value := odds(c, counts[0][r]))}
 
 
 def landmarks(telling: dict[str, float], toxic: Counter, clean: Counter, count: int) -> list[str]:
@@ -130,10 +217,12 @@ def landmarks(telling: dict[str, float], toxic: Counter, clean: Counter, count:
     the commonest units of clean documents for the rest. A run whose units (weighted by
     documents) are mostly those of earlier runs is the same word again and is passed over."""
     holders: dict[str, list[str]] = {r: [] for r in telling}
+    heads = {r[: RUNS[0]] for r in telling}
     for u in toxic:
-        for r in runs_of({u}):
-            if r in holders:
-                holders[r].append(u)
+        if may_hold(u, heads):
+            for r in runs_of({u}):
+                if r in holders:
+                    holders[r].append(u)
     chosen: list[str] = []
     covered: set[str] = set()
     for r in sorted(telling, key=lambda r: (-telling[r], -len(r), r)):
@@ -167,39 +256,54 @@ class Model:
     """A weight for each subsequence of three, the shift, and the curve to a probability."""
 
     def __init__(self, table: dict[str, float], shift: float, slope: float, offset: float):
-        self.table, self.shift, self.slope, self.offset = table, shift, slope, offset
+        keys = sorted(table)
+        self.triples, self.values = Triples(keys), np.array([0.0, *(table[k] for k in keys)])
+        self.shift, self.slope, self.offset = shift, slope, offset
         self._kept: dict[str, float] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_kept": {}}
 
-    def raw_unit(self, unit: str) -> float:
-        best = -np.inf
-        get = self.table.get
-        for part in windows(unit):
-            phi = subsequences(part)
-            norm = sum(v * v for v in phi.values()) ** 0.5
-            if norm:
-                best = max(best, sum(v * get(k, 0.0) for k, v in phi.items()) / norm)
-        return self.shift + best if best > -np.inf else self.shift - 1.0
-
-    def raw(self, text: str | None) -> float:
-        """The highest unit's value; a text without units has that of none."""
-        best = self.shift - 1.0
+    def raw_units(self, units_: list[str]) -> np.ndarray:
+        """Each unit's highest window's value."""
+        if not units_:
+            return np.zeros(0)
+        block, first = cut(units_)
+        best = np.fmax.reduceat(in_blocks(self.triples, block, self.values), first)
+        return self.shift + np.where(np.isfinite(best), best, -1.0)
+
+    def raws(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's highest unit's value; a text without units has that of none."""
+        bags = [distinct_units(t) for t in texts]
         if len(self._kept) > KEPT_UNITS:
             self._kept = {}
         kept = self._kept
-        for u in distinct_units(text):
-            v = kept.get(u)
-            if v is None:
-                v = kept[u] = self.raw_unit(u)
-            if v > best:
-                best = v
-        return best
+        new = list(set().union(*bags).difference(kept))
+        kept.update(zip(new, self.raw_units(new).tolist(), strict=True))
+        floor = self.shift - 1.0
+        out = np.array([max(map(kept.__getitem__, bag), default=floor) for bag in bags])
+        for u in new:
+            if len(u) > KEPT_CHARS:
+                del kept[u]
+        return np.maximum(out, floor)
+
+    def raw(self, text: str | None) -> float:
+        return float(self.raws([text])[0])
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(raw, float) + self.offset, -40, 40)))
 
+    def probabilities(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Of many texts, about ``TOGETHER`` characters at a time."""
+        out, held, size = [np.zeros(0)], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= TOGETHER:
+                out.append(self.raws(held))
+                held, size = [], 0
+        return self.probability(np.concatenate([*out, self.raws(held)]))
+
 
 def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_units: int = 6000, rounds: int = 3) -> Model:
     if len(set(y)) < 2:
@@ -207,27 +311,30 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_unit
     bags = [{sys.intern(u) for u in distinct_units(t)} for t in texts]
     clean = Counter(u for bag, label in zip(bags, y, strict=True) if not label for u in bag)
     toxic = Counter(u for bag, label in zip(bags, y, strict=True) if label for u in bag)
-    telling = telling_runs(bags, y)
+    telling = telling_runs(bags, y, toxic, clean)
     marks = landmarks(telling, toxic, clean, places)
     maps = [normalized(u) for u in marks]
     values, vectors = np.linalg.eigh(kernel(maps, maps))
     good = values > 1e-6
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features: dict[str, np.ndarray] = {}
+    keys = sorted({k for phi in maps for k in phi})
+    triples, of_marks = Triples(keys), np.zeros((len(keys) + 1, len(maps)))
+    for j, phi in enumerate(maps):
+        for n, k in enumerate(keys):
+            of_marks[n + 1, j] = phi.get(k, 0.0)
+    of_marks = of_marks @ whiten
 
     def mapped(parts: list[str]) -> np.ndarray:
-        new = sorted({u for u in parts if u not in features})
-        for u, row in zip(new, kernel([normalized(u) for u in new], maps) @ whiten, strict=True):
-            features[u] = row
-        return np.array([features[u] for u in parts]).reshape(len(parts), int(good.sum()))
+        return np.nan_to_num(in_blocks(triples, cut(parts)[0], of_marks))
 
     # of each toxic document the windows that hold a telling run: its sentences' possible witnesses
     worth = lambda part: max((telling.get(r, 0.0) for r in runs_of({part})), default=0.0)
+    heads = {r[: RUNS[0]] for r in telling}
     odd = []
     for text, label in zip(texts, y, strict=True):
         if label:
             sentences = [distinct_units(s) for s in _SENTENCE.split(text or "")]
-            parts = {p: worth(p) for sentence in sentences for u in sentence for p in windows(u)}
+            parts = {p: worth(p) for sentence in sentences for u in sentence if may_hold(u, heads) for p in windows(u)}
             best = max(parts.values(), default=0.0)
             odd.append(sorted((p for p, v in parts.items() if v > 0 and v >= best / 4), key=lambda p: (-parts[p], p))[:12])
     odd = [o for o in odd if o]
@@ -250,12 +357,13 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_unit
         if r + 1 < rounds:
             # of each document its highest window stays a witness, and those on the toxic side;
             # the clean windows that the machine finds most toxic join the clean side
-            values = [mapped(o) @ w[:-1] + w[-1] for o in odd]
+            values = np.split(mapped([p for o in odd for p in o]) @ w[:-1] + w[-1], np.cumsum([len(o) for o in odd])[:-1])
             witness = [p for o, v in zip(odd, values, strict=True) for p, z in zip(o, v.tolist(), strict=True) if z > 0 or z == v.max()]
-            found = sorted(((model.raw_unit(p), p) for p in pool if p not in seen), reverse=True)[:1500]
+            rest = [p for p in pool if p not in seen]
+            found = sorted(zip(model.raw_units(rest).tolist(), rest, strict=True), reverse=True)[:1500]
             negatives = negatives + [p for v, p in found if v > -1]
             seen.update(negatives)
-    raw = np.array([model.raw(t) for t in texts])
+    raw = np.concatenate([model.raws(texts[n : n + 64]) for n in range(0, len(texts), 64)])
     model.slope, model.offset = platt(raw, np.array(y))
     return model
 
@@ -280,7 +388,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            p = m.probability([m.raw(t.as_py()) for t in b.column("text")])
+            p = m.probabilities(t.as_py() for t in b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype("int32"), pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -295,6 +403,6 @@ def reject(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFram
         m = shared.value
         import pandas as pd
 
-        return pd.Series(m.probability([m.raw(t) for t in text]))
+        return pd.Series(m.probabilities(text))
 
     return docs.filter(toxic(F.col("text").cast("string")) < threshold)
