@@ -177,24 +177,26 @@ def hex_fingerprint(fp):
 
 # --- groups of similar documents, for filtering -------------------------------------------
 
-#: Minimum hashes a document; the first ROUTES of them name its shards, a byte of each is its sketch.
-SKETCH, ROUTES = 128, 10
+#: Minimum hashes a document, a byte of each is its sketch; the first BANDS x WIDE of them name its shards.
+SKETCH, BANDS, WIDE = 128, 24, 3
 
 
 def _shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
-    """The distinct XXH64 values of a text's word shingles; none for a blank text."""
+    """The distinct XXH64 values of a text's word shingles, rising; none for a blank text."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     n = max(1, len(words) - shingle_words + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    return np.array(list({digest(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)}), dtype=np.uint64)
+    return np.array(sorted({digest(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)}), dtype=np.uint64)
 
 
 def sketches(docs: DataFrame, *, shingle_words: int = 5) -> DataFrame:
     """Per row of ``docs``: row_key and row_hash (of doc_id and text), doc_id, fp (majority
-    fingerprint of the distinct shingles), sig (equal for equal shingle sets), routes and
-    sketch. Blank texts have a null fp."""
+    fingerprint of the distinct shingles), sig (equal for equal shingle sets), bands (a key
+    of each WIDE minimum hashes) and sketch. Blank texts have a null fp."""
+    import xxhash
+
     rng = np.random.default_rng(64)
     factors = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -216,15 +218,16 @@ def sketches(docs: DataFrame, *, shingle_words: int = 5) -> DataFrame:
                     least = np.minimum(least, mixed.min(axis=1))
                 fp = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
                 sig = int(np.bitwise_xor.reduce(h)) ^ len(h)
-                rows.append((_signed(fp), _signed(sig), least[:ROUTES].view(np.int64).tolist(), (least >> np.uint64(8)).astype(np.uint8).tobytes()))
+                bands = [_signed(xxhash.xxh64_intdigest(least[k * WIDE : (k + 1) * WIDE].tobytes(), k)) for k in range(BANDS)]
+                rows.append((_signed(fp), _signed(sig), bands, (least >> np.uint64(8)).astype(np.uint8).tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             arrays = [b.column("row_key"), b.column("row_hash"), b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row_key", "row_hash", "doc_id", "fp", "sig", "routes", "sketch"])
+            yield pa.RecordBatch.from_arrays(arrays, ["row_key", "row_hash", "doc_id", "fp", "sig", "bands", "sketch"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(*_row(text), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return own.mapInArrow(run, "row_key long, row_hash long, doc_id long, fp long, sig long, routes array<long>, sketch binary")
+    return own.mapInArrow(run, "row_key long, row_hash long, doc_id long, fp long, sig long, bands array<long>, sketch binary")
 
 
 def _row(text):
@@ -232,11 +235,18 @@ def _row(text):
     return F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"), F.xxhash64(text).alias("row_hash")
 
 
-def link_similar(members: list[dict], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """A spanning star of each component of a shard: the BK-tree gives the fingerprints
-    within the radius, and the sketches' agreement decides."""
-    tree, at = BKTree(), {}
-    root = {m["cid"]: m["cid"] for m in members}
+def _jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of 64-bit values, neither empty."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both / (len(x) + len(y) - both)
+
+
+def link_similar(left: list[dict], right: list[dict], similarity: float) -> list[tuple[int, int]]:
+    """Edges between two blocks of a shard's members (cid, label, sketch, shingles) that
+    join all labels which pairs of at least ``similarity`` join. Sketches only nominate, by
+    a cut of six standard deviations below; the shingle sets decide."""
+    root = {m["label"]: m["label"] for m in left + right}
 
     def find(v: int) -> int:
         while root[v] != v:
@@ -244,61 +254,84 @@ def link_similar(members: list[dict], similarity: float, radius: int) -> list[tu
             v = root[v]
         return v
 
-    for m in sorted(members, key=lambda m: m["cid"]):
-        fp, mine = m["fp"] % (1 << 64), np.frombuffer(m["sketch"], np.uint8)
-        for near in tree.within(fp, radius):
-            for cid, theirs in at[near]:
-                a, b = find(cid), find(m["cid"])
-                if a != b and np.count_nonzero(mine == theirs) >= similarity * SKETCH:
-                    root[max(a, b)] = min(a, b)
-        tree.add(fp)
-        at.setdefault(fp, []).append((m["cid"], mine))
-    return [(v, find(v)) for v in root if find(v) != v]
+    cut = SKETCH * similarity - 6 * (SKETCH * similarity * (1 - similarity)) ** 0.5
+    theirs, edges = np.frombuffer(b"".join(m["sketch"] for m in right), np.uint8).reshape(-1, SKETCH), []
+    for m in left:
+        for k in np.flatnonzero((theirs == np.frombuffer(m["sketch"], np.uint8)).sum(axis=1) >= cut).tolist():
+            a, b = find(m["label"]), find(right[k]["label"])
+            if a != b and _jaccard(m["shingles"], right[k]["shingles"]) >= similarity:
+                root[max(a, b)] = min(a, b)
+                edges.append((m["cid"], right[k]["cid"]))
+    return edges
 
 
-def similar_groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, radius: int = 18, tree_size: int = 512) -> DataFrame:
-    """Per row of ``docs``: row_key, row_hash, doc_id, component (equal within a group).
+def similar_groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tree_size: int = 512) -> DataFrame:
+    """Per row of ``docs``: row_key, row_hash, doc_id, component (equal within a group):
+    chains of texts whose shingle sets have at least the given Jaccard similarity.
 
-    Texts of equal shingle sets are one class. Texts whose shingle sets have at least the
-    given Jaccard similarity share one of ROUTES minimum hashes but for a chance of
-    (1 - similarity) ** ROUTES, one in ten million at 0.8; each minimum hash is a shard. A
-    shard of more than ``tree_size`` classes is split by pairs, triples ... of minimum
-    hashes; classes that agree on all of them are linked to the first of them.
+    Texts of equal shingle sets are one class. Two classes are candidates where they share a
+    band, which pairs at ``similarity`` miss with a chance of (1 - similarity ** WIDE) **
+    BANDS, 3e-8 at 0.8; each band is a shard. First every member meets its shard's pivot,
+    the member with the most company. Members of a shard that this leaves in several groups
+    then meet in blocks: those outside the shard's commonest group against all, so no pair
+    goes uncompared but for those already in one group, and no task holds a shard.
     """
     rows = staged(sketches(docs, shingle_words=shingle_words), "sketches")
     # blank texts are one class of their own
-    classes = rows.groupBy("fp", "sig").agg(F.first("routes").alias("routes"), F.first("sketch").alias("sketch"))
-    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    live = classes.filter("fp is not null")
-    keyed = live.select("cid", "routes", F.explode(F.array(*[F.array(F.lit(i)) for i in range(ROUTES)])).alias("slots"))
-    edges = None
-    while True:
-        keyed = keyed.withColumn("key", F.xxhash64("slots", F.transform("slots", lambda i: F.get("routes", i))))
-        counts = staged(keyed.groupBy("slots", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first")).filter("n > 1"), "shards")
-        small = keyed.select("cid", "slots", "key").join(counts.filter(F.col("n") <= tree_size).select("slots", "key"), ["slots", "key"])
-        small = small.join(live.select("cid", "fp", "sketch"), "cid").groupBy("slots", "key").agg(F.collect_list(F.struct("cid", "fp", "sketch")).alias("members"))
-        found = small.select("members").mapInArrow(_link_similar_batches(similarity, radius), "a long, b long")
-        large = counts.filter(F.col("n") > tree_size)
-        edges = found if edges is None else edges.unionByName(found)
-        if large.isEmpty():
-            break
-        hot = keyed.select("cid", "routes", "slots", "key").join(large, ["slots", "key"])
-        whole = hot.filter(F.size("slots") == ROUTES).select(F.col("cid").alias("a"), F.col("first").alias("b"))
-        edges = staged(edges.unionByName(whole), "similar")
-        later = F.filter(F.array(*[F.lit(i) for i in range(ROUTES)]), lambda i: i > F.element_at("slots", -1))
-        # the next minimum hashes in order: pairs above the first, and so on
-        keyed = hot.select("cid", "routes", F.explode(F.transform(later, lambda i: F.concat("slots", F.array(i)))).alias("slots"))
-        keyed = staged(keyed, "hot")
+    one = F.first(F.struct("row_key", "row_hash", "bands", "sketch")).alias("one")
+    classes = rows.groupBy("fp", "sig").agg(one).select("fp", "sig", "one.*", F.monotonically_increasing_id().alias("cid"))
+    classes = staged(classes, "classes")
+    keyed = classes.filter("fp is not null").select("cid", F.explode("bands").alias("key"))
+    keyed = staged(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "keyed")
+    company = keyed.groupBy("cid").agg(F.sum("n").alias("company"))
+    pivots = keyed.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", "cid")).alias("top"))
+    shards = staged(keyed.join(pivots, "key").select("key", "cid", F.col("top.cid").alias("pivot")).filter("cid <> pivot"), "shards")
+    pairs = staged(shards.select("cid", "pivot").distinct(), "pairs")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingle_hashes(t.as_py(), shingle_words).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("sketch"), pa.array(sets, pa.binary())], ["cid", "sketch", "shingles"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    used = pairs.select("cid").unionByName(pairs.select(F.col("pivot").alias("cid"))).distinct()
+    used = classes.join(used, "cid").select("cid", "row_key", "row_hash", "sketch")
+    texts = docs.select(*_row(text), text.alias("text")).join(used, ["row_key", "row_hash"]).dropDuplicates(["cid"])
+    sets = staged(texts.select("cid", "sketch", "text").mapInArrow(shingle, "cid long, sketch binary, shingles binary"), "shingles")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [_jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    met = pairs.join(sets.select("cid", F.col("shingles").alias("x")), "cid").join(sets.select(F.col("cid").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+    edges = staged(met.select(F.col("cid").alias("a"), F.col("pivot").alias("b"), "x", "y").mapInArrow(decide, "a long, b long"), "similar")
     labels = components(edges)
+    marked = shards.join(labels, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
+    parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).filter("parts > 1")
+    half = max(1, tree_size // 2)
+    ceil = lambda n: F.ceil(n / half).cast("int")
+    main = main.select("key", F.col("top.label").alias("main"), ceil(F.col("n") - F.col("top.n")).alias("ni"), ceil(F.col("n")).alias("nj"))
+    unsettled = staged(marked.join(main, "key"), "unsettled")
+    if not unsettled.isEmpty():
+        some = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+        part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        member = F.collect_list(F.struct("cid", "label", "sketch", "shingles"))
+        full = unsettled.join(sets, "cid")
+        left = full.filter("label <> main").withColumn("i", some("ni")).withColumn("j", part("nj")).groupBy("key", "i", "j").agg(member.alias("left"))
+        right = full.withColumn("j", some("nj")).withColumn("i", part("ni")).groupBy("key", "i", "j").agg(member.alias("right"))
+        found = left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_link_similar_batches(similarity), "a long, b long")
+        labels = components(edges.unionByName(staged(found, "linked")))
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("fp", "sig", F.coalesce("component", "cid").alias("component"))
     same = rows.fp.eqNullSafe(named.fp) & (rows.sig == named.sig)
     return rows.join(named, same).select("row_key", "row_hash", "doc_id", "component")
 
 
-def _link_similar_batches(similarity: float, radius: int):
+def _link_similar_batches(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edges = [e for members in b.column("members") for e in link_similar(members.as_py(), similarity, radius)]
+            edges = [e for x, y in zip(b.column("left"), b.column("right"), strict=True) for e in link_similar(x.as_py(), y.as_py(), similarity)]
             cols = list(zip(*edges, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 

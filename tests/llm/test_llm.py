@@ -198,6 +198,17 @@ def test_similar_groups_find_edited_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, ODD)).collect()) == [1, *range(3, len(ODD))]
 
 
+def test_similar_groups_keep_large_groups_whole(spark):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(62)]
+    # each variant is alike to the base by 0.8 or more, two variants mostly are not
+    variants = [[*base[:at], f"x{i}", *base[at + 1 :]] for i in range(2000) for at in [rng.randrange(4, 58)]]
+    chain = [[f"c{k}" for k in range(3 * i, 3 * i + 60)] for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*variants, base, *chain])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 2001]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs.filter("doc_id >= 1990"), tree_size=4).collect()) == [1990, 2001]
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
