@@ -209,6 +209,19 @@ def test_similar_groups_keep_large_groups_whole(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs.filter("doc_id >= 1990"), tree_size=4).collect()) == [1990, 2001]
 
 
+def test_similarity_is_exact_at_its_threshold(spark):
+    # of two sets of 100 shingles those that share 89 are alike by 0.802, those that share 88 by 0.786
+    rows = []
+    for i in range(150):
+        words = [f"{i}w{k}" for k in range(104)]
+        rows += [(3 * i, words), (3 * i + 1, [*words[:93], *(f"{i}y{k}" for k in range(11))])]
+        other = [f"{i}v{k}" for k in range(104)]
+        rows += [(10000 + 2 * i, other), (10001 + 2 * i, [*other[:92], *(f"{i}z{k}" for k in range(12))])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == {3 * i for i in range(150)} | set(range(10000, 10300))
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
