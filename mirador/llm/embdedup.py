@@ -3,7 +3,7 @@
 Two codebooks, one for each half of a vector, are fitted on a bounded sample; their
 product grid is the index, and every vector is stored in the cell of its two nearest
 codewords. A query walks the cells by the multi-sequence order (rising sum of its halves'
-distances) for as many cells as reached the target recall on the sample. Pairs whose cells
+distances) for as many cells as reached the target recall on the sample, however many. Pairs whose cells
 are reached from either side are verified by cosine in double precision, block by block.
 
 Equal vectors are one class with a multiplicity. A cell's members are cut into blocks of
@@ -91,24 +91,55 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit(sample: np.ndarray, population: int, *, cosine: float, recall: float, cell_rows: int = 16, most_probes: int = 64) -> MultiIndex:
+def leaders(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Rows no two of which are as near as ``cosine``, with every other row that near to one."""
+    open_, kept = np.ones(len(x), bool), []
+    for n in range(len(x)):
+        if open_[n]:
+            kept.append(n)
+            open_ &= x @ x[n] < cosine
+    return x[kept]
+
+
+def steps(index: MultiIndex, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per pair of rows the cells that come before it is found, from the nearer side."""
+    h, least = index.first.shape[1], np.full(len(a), np.iinfo(np.int64).max)
+    some = max(1, (1 << 22) // (len(index.first) * len(index.second)))
+    for q, x in ((a, b), (b, a)):
+        for at in range(0, len(q), some):
+            d1, d2 = distances(q[at : at + some, :h], index.first), distances(q[at : at + some, h:], index.second)
+            i, j = nearest(x[at : at + some, :h], index.first), nearest(x[at : at + some, h:], index.second)
+            n = np.arange(len(d1))
+            before = (d1[:, :, None] + d2[:, None, :] < (d1[n, i] + d2[n, j])[:, None, None]).sum((1, 2))
+            least[at : at + some] = np.minimum(least[at : at + some], before)
+    return least
+
+
+def fit(sample: np.ndarray, population: int, *, cosine: float, recall: float, cell_rows: int = 16) -> MultiIndex:
     """Codebooks for about ``cell_rows`` vectors a cell, and the probes that reach the
-    target recall on neighbours at exactly ``cosine`` from the sample's vectors (the
-    hardest there are) as well as on the sample's own pairs."""
+    target recall both on neighbours at exactly ``cosine`` from the sample's vectors (the
+    hardest there are) and on the sample's own pairs.
+
+    The codebooks are fitted on leaders of the sample: a large group of near vectors would
+    draw codewords into itself and be spread over the cells between them."""
     x = unit(sample)
+    far = leaders(x, cosine)
     h = max(1, x.shape[1] // 2)
-    k = int(np.clip(round((population / cell_rows) ** 0.5), 1, max(1, len(x) // 8)))
-    index = MultiIndex(kmeans(x[:, :h], k), kmeans(x[:, h:], k) if x.shape[1] > h else np.zeros((1, 0)))
+    k = int(np.clip(round((population / cell_rows) ** 0.5), 1, max(1, len(far) // 8)))
+    index = MultiIndex(kmeans(far[:, :h], k), kmeans(far[:, h:], k) if x.shape[1] > h else np.zeros((1, 0)))
     rng = np.random.default_rng(11)
-    q = x[rng.choice(len(x), min(512, len(x)), replace=False)]
+    drawn = rng.choice(len(x), min(512, len(x)), replace=False)
+    q = x[drawn]
     side = rng.standard_normal(q.shape)
     side -= (side * q).sum(1, keepdims=True) * q
     norm = np.sqrt((side * side).sum(1, keepdims=True))
     near = cosine * q + (1 - cosine**2) ** 0.5 * side / np.where(norm > 0, norm, 1)
-    there, back = index.visits(q, most_probes), index.visits(near, most_probes)
-    # a pair counts as found at the earlier of the two walks' steps
-    steps = [min(a.index(b[0]) if b[0] in a else most_probes, b.index(a[0]) if a[0] in b else most_probes) for a, b in zip(there, back, strict=True)]
-    index.probes = int(np.clip(np.quantile(steps, recall, method="higher") + 1, 1, most_probes))
+    own = q @ x.T >= cosine
+    own[np.arange(len(q)), drawn] = False
+    a, b = np.nonzero(own)
+    some = rng.permutation(len(a))[:4096]
+    found = [steps(index, q, near)] + ([steps(index, q[a[some]], x[b[some]])] if len(a) else [])
+    index.probes = max(int(np.quantile(f, recall, method="higher")) + 1 for f in found)
     return index
 
 

@@ -240,6 +240,19 @@ def test_embedding_links_equal_brute_force(spark):
     assert embdedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_recall_holds_in_a_large_group():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((9000, 64))
+    x[:3000] = rng.standard_normal(64) + 0.27 * rng.standard_normal((3000, 64))
+    u = embdedup.unit(x)
+    index = embdedup.fit(x[rng.permutation(9000)[:4096]], 9000, cosine=0.9, recall=0.97)
+    lists = index.visits(u)
+    visits = [set(v) for v in lists]
+    pairs = np.argwhere(u[:150] @ u.T >= 0.9)
+    found = [lists[b][0] in visits[a] or lists[a][0] in visits[b] for a, b in pairs if a != b]
+    assert len(found) > 10000 and np.mean(found) >= 0.95
+
+
 def test_multi_sequence_is_in_order():
     a, b = np.array([0.0, 1.0, 4.0]), np.array([0.0, 2.0, 3.0])
     sums = [a[i] + b[j] for i, j in embdedup.multi_sequence(a, b)]
