@@ -52,13 +52,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novelty(candidate: str, around: str) -> float:
     """Marginal compressed bytes of ``candidate`` over its length, given the identifiers
-    and the text around it."""
+    and the text around it. It is measured in equal windows of under 64 characters: from 64
+    on zstandard codes literals by their frequency, and a long key would seem less new."""
     import zstandard
 
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     size = lambda s: len(zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False).compress(s))
     data = candidate.encode()
-    return (size(data) - size(b"")) / len(data)
+    n = -(-len(data) // 63)
+    edges = [len(data) * k // n for k in range(n + 1)]
+    none = size(b"")
+    return sum(size(data[a:b]) - none for a, b in zip(edges, edges[1:], strict=False)) / len(data)
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]], *, context: int, around: int, threshold: float) -> list[tuple[int, int, int]]:

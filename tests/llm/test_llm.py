@@ -327,6 +327,14 @@ def test_secrets_base_and_novel(spark):
     assert key not in secrets.redact(spark.createDataFrame([(1, f"auth header {key}")], "doc_id long, text string")).first().text
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_novelty_holds_at_any_length(alphabet):
+    rng = random.Random(9)
+    for n in (20, 40, 64, 128, 256, 344, 512, 1600, 4000):
+        assert secrets.novelty("".join(rng.choice(alphabet) for _ in range(n)), "the private key  and more") >= 0.9, n
+    assert secrets.novelty("configuration_repository_" * 8, "") < 0.9
+
+
 def test_secrets_edge_cases(spark):
     rows = secrets.scan(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD) + 1 and all(r.spans == "" for r in rows)
