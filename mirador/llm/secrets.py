@@ -28,6 +28,7 @@ BASE = (
 )
 KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SIDE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|key|auth|bearer|credential|private|signature", re.IGNORECASE)
 IDENTIFIERS = (
     b"application authorization authentication background callback certificate client configuration connection constructor "
@@ -65,18 +66,33 @@ def novelty(candidate: str, around: str) -> float:
     return sum(size(data[a:b]) - none for a, b in zip(edges, edges[1:], strict=False)) / len(data)
 
 
+def pieces(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, start of the candidate) of the sides of each candidate's equals signs
+    that are long enough, a side with its padding; of the whole candidate where none is."""
+    for m in CANDIDATE.finditer(text):
+        sides = [s.span() for s in SIDE.finditer(text, *m.span()) if s.end() - s.start() >= 20]
+        yield from ((a, b, m.start()) for a, b in sides or [m.span()])
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], *, context: int, around: int, threshold: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings with letters and digits just after a sensitive word, outside the known spans."""
+    """Incompressible strings with letters and digits just after a sensitive word, which may
+    be the name before their equals sign; of each what is outside the known spans."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        s = m.group()
+    for a, b, first in pieces(text):
+        s = text[a:b]
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             continue
-        if any(a < e and x < b for x, _, e in known) or not SENSITIVE.search(text, max(0, a - context), a):
+        over = [(x, k, e) for x, k, e in known if a < e and x < b]
+        # the name of an assignment that is known, or nothing left to find
+        if any(k == 0 and a < x for x, k, _ in over) or not SENSITIVE.search(text, max(0, first - context), a):
             continue
-        if novelty(s, text[max(0, a - around) : a] + text[b : b + around]) >= threshold:
-            found.append((a, 3, b))
+        rest, at = [], a
+        for x, _, e in [*over, (b, 3, b)]:
+            if x > at and any(c.isalnum() for c in text[at:x]):
+                rest.append((at, 3, x))
+            at = max(at, e)
+        if rest and novelty(s, text[max(0, a - around) : a] + text[b : b + around]) >= threshold:
+            found += rest
     return found
 
 

@@ -335,6 +335,30 @@ def test_novelty_holds_at_any_length(alphabet):
     assert secrets.novelty("configuration_repository_" * 8, "") < 0.9
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_secrets_of_any_length_are_novel(alphabet):
+    rng = random.Random(9)
+    for n in (20, 40, 64, 128, 256, 344, 512, 1600, 4000):
+        key = "A1" + "".join(rng.choice(alphabet) for _ in range(n - 2))
+        text = f"the private key {key} and more"
+        known = secrets.base_spans(text)  # a long hex key can hold a run of 16 digits
+        found = secrets.novel_spans(text, known, context=48, around=512, threshold=0.9)
+        assert {i for a, _, b in known + found for i in range(a, b)} == set(range(16, 16 + n)), n
+    assert secrets.novelty("configuration_repository_" * 8, "") < 0.9
+
+
+def test_secrets_with_their_name_or_a_known_span_inside():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMP9Q=="
+    find = lambda t: secrets.novel_spans(t, secrets.base_spans(t), context=48, around=512, threshold=0.9)
+    for name in ("AWS_SECRET_ACCESS_KEY", "CLIENT_SECRET_KEY", "PRIVATE_KEY"):
+        start = len(name) + 8
+        assert find(f"export {name}={key}\n") == [(start, 3, start + len(key))]
+    assert find(f"plain {key}") == [] == find(f"password={key.replace('=', '')}")
+    # of a key with a run of hex digits in it the ends are reported too
+    text = "bearer Zx9Qw7Lm2V" + "7c1e94b05fd83a62" + "Nk4Tr6Yp1SKq8Z"
+    assert find(text) == [(7, 3, 17), (33, 3, 47)]
+
+
 def test_secrets_edge_cases(spark):
     rows = secrets.scan(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD) + 1 and all(r.spans == "" for r in rows)
