@@ -64,7 +64,7 @@ def stream_dedup_ledger(spark, d):
     return run_positions(spark, V.fills(spark, d))
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n, max(value) AS top FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_window_looks(spark, d):
     """Hourly counts by type from a stream with a watermark."""
     from ..streaming.ledger import run_windows

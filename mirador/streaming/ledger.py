@@ -56,6 +56,18 @@ def run_windows(spark: SparkSession, events: DataFrame) -> DataFrame:
     source, out = _folder(spark, "events"), _folder(spark, "windows")
     events.repartitionByRange(4, "ts").write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    q = window_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start()
+    windows = window_stream(stream)
+    # there without any event too
+    spark.createDataFrame([], windows.schema).write.parquet(f"{out}/epoch=-1")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # a batch that runs twice overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    # append mode would end without the windows that the watermark has not closed
+    q = windows.writeStream.outputMode("update").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "top")
+    # of the updates of a window the last epoch's holds
+    rows = spark.read.option("basePath", out).parquet(out)
+    last = rows.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "top"), "epoch").alias("last"))
+    return last.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "last.n", "last.top")

@@ -1,6 +1,9 @@
 """Every catalog query with SQL against DuckDB at the smallest size."""
 
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
 from mirador.plans import catalog
 from tests.oracle import duck, same
@@ -44,3 +47,13 @@ def test_stream_windows_are_true(spark):
     hours = spark.read.parquet(f"{SF}/events.parquet").selectExpr("date_trunc('hour', ts) h", "event_type").groupBy("h", "event_type").count().collect()
     truth = {(r.h, r.event_type): r["count"] for r in hours}
     assert all(truth[(r.hour, r.event_type)] == r.n for r in rows)
+
+
+def test_stream_windows_are_whole(spark):
+    from mirador.streaming.ledger import run_windows
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert sum(r.n for r in catalog.QUERIES["stream_window_looks"](spark, SF).collect()) == events.count()
+    few = events.limit(5).withColumn("ts", F.lit(dt.datetime(2024, 1, 1, 0, 30)).cast("timestamp_ntz"))
+    assert sum(r.n for r in run_windows(spark, few).collect()) == 5
+    assert run_windows(spark, events.limit(0)).count() == 0
