@@ -18,7 +18,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, staged
-from .files import put
+from .files import chunks, writer
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, verified boolean"
@@ -78,42 +80,43 @@ def record(row: dict, date: str) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(resolved: DataFrame, folder: str, *, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = 32 << 20) -> DataFrame:
-    """Write the archives and return (and keep, as a table) their paths and record counts."""
+def write(resolved: DataFrame, folder: str, *, date: str | None = None, archive_bytes: int = 32 << 20) -> DataFrame:
+    """Write the archives and return (and keep, as a table) their paths and record counts.
+    ``date`` is that of all records; None: now. Members go to the file one at a time."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        done: list[tuple[str, int]] = []
-        held, size, count = [], 0, 0
-
-        def close() -> None:
-            nonlocal held, size, count
-            if held:
-                done.append((put(folder, f"part-{task:06d}-{len(done):04d}.warc.gz", b"".join(held)), count))
-            held, size, count = [], 0, 0
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                member = gzip.compress(record(row, date), compresslevel=4, mtime=0)
-                held.append(member)
-                size, count = size + len(member), count + 1
-                if size >= archive_bytes:
-                    close()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
+        rows = ({c: v.as_py() for c, v in zip(b.schema.names, row, strict=True)} for b in batches for row in zip(*b.columns, strict=True))
+        paths, counts = [], []
+        row = next(rows, None)
+        while row is not None:
+            name, size, count = f"part-{task:06d}-{len(paths):04d}.warc.gz", 0, 0
+            with writer(folder, name) as out:
+                while row is not None and size < archive_bytes:
+                    member = gzip.compress(record(row, date), compresslevel=4, mtime=0)
+                    out.write(member)
+                    size, count, row = size + len(member), count + 1, next(rows, None)
+            paths.append(f"{folder}/{name}")
+            counts.append(count)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], ["path", "records"])
 
     return staged(resolved.mapInArrow(run, "path string, records long"), "archives")
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The decompressed gzip members of an archive, one at a time."""
-    rest = memoryview(data)
-    while len(rest):
-        z = zlib.decompressobj(31)
-        out = z.decompress(rest)
-        yield out
-        rest = rest[len(rest) - len(z.unused_data) :]
+def members(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """The decompressed gzip members of an archive that comes in parts, one at a time; what
+    is left of a part is all that is ever copied."""
+    z, out = zlib.decompressobj(31), []
+    for rest in parts:
+        while rest:
+            out.append(z.decompress(rest))
+            rest = z.unused_data
+            if z.eof:
+                yield b"".join(out)
+                z, out = zlib.decompressobj(31), []
+    if out and any(out):
+        raise ValueError("the last member of the archive is cut off")
 
 
 def parse(member: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,28 +140,27 @@ def read(spark, folder: str) -> DataFrame:
     """The records of all archives in ``folder``. ``payload_bytes`` and, of responses, the
     digest come from the payload itself; ``verified`` says that it equals the header's."""
 
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "verified"]
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        said = head["warc-payload-digest"].removeprefix("sha1:")
+        url = None if head["warc-target-uri"] == "urn:unknown" else head["warc-target-uri"]
+        if head["warc-type"] == "revisit":
+            n = int(http.lower().rpartition(b"content-length: ")[2].split(b"\r\n")[0])
+            return _page(head["warc-record-id"]), "revisit", n, said, _page(head["warc-refers-to"]), url, True
+        digest = hashlib.sha1(payload).hexdigest()
+        return _page(head["warc-record-id"]), "response", len(payload), digest, None, url, digest == said
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for content in batch.column("content"):
-                for member in members(content.as_buffer()):
-                    for head, block in parse(member):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        said = head["warc-payload-digest"].removeprefix("sha1:")
-                        url = None if head["warc-target-uri"] == "urn:unknown" else head["warc-target-uri"]
-                        if head["warc-type"] == "revisit":
-                            n = int(http.lower().rpartition(b"content-length: ")[2].split(b"\r\n")[0])
-                            rows.append((_page(head["warc-record-id"]), "revisit", n, said, _page(head["warc-refers-to"]), url, True))
-                        else:
-                            digest = hashlib.sha1(payload).hexdigest()
-                            rows.append((_page(head["warc-record-id"]), "response", len(payload), digest, None, url, digest == said))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
-            names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "verified"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        found = (row(head, block) for b in batches for path in b.column("path").to_pylist() for m in members(chunks(path)) for head, block in parse(m))
+        while rows := list(islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    # the listing deals files out by size; their bytes are streamed in the tasks
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(run, RECORD)
+    return files.select("path").mapInArrow(run, RECORD)
 
 
 def archive(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
