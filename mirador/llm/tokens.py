@@ -23,6 +23,8 @@ _FAST_RANGES = "\t\n\r\x20-\x7e\xa0-ɏ‐-―‘-„…€"
 FAST = re.compile(f"[{_FAST_RANGES}]*")
 #: Chunks kept by a worker before it starts anew; about 250 MB.
 KEPT_CHUNKS = 700_000
+#: A space after another white space, in FAST: here a cut at every space might part a run.
+_RUNS = [f"{c} " for c in " \t\n\r\xa0"]
 
 
 def _class(prefix: str) -> str:
@@ -73,28 +75,38 @@ class Encoder:
         self._chunks_of = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         self._specials = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._model, self._letters = self._whole.model, _byte_letters()
+        self._bytes = [n.to_bytes(4, "little") for n in range(self._whole.get_vocab_size())]
         self._start()
 
     def _start(self) -> None:
         self._pieces = _Kept(self._encode_piece)
-        self._chunks = _Kept(lambda chunk: b"".join(map(self._pieces.__getitem__, self._pieces_of(chunk))))
+        self._chunks = _Kept(self._encode_chunk)
+        self._after = _Kept(lambda word: self._encode_chunk(" " + word))
 
     def _encode_piece(self, piece: str) -> bytes:
         seen = piece.encode().decode("latin-1").translate(self._letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self._model.tokenize(seen))
+        return b"".join([self._bytes[t.id] for t in self._model.tokenize(seen)])
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        if chunk.removeprefix(" ").isalpha():  # one piece
+            return self._encode_piece(chunk)
+        return b"".join(map(self._pieces.__getitem__, self._pieces_of(chunk)))
 
     def ids(self, text: str) -> bytes:
-        chunks = None
-        if FAST.fullmatch(text) and not any(s in text for s in self._specials):
-            if not self._words:
-                chunks = self._chunks_of(text)
-            elif FAST.fullmatch(lower := unicodedata.normalize("NFC", text).lower()):
-                chunks = lower.split()
-        if chunks is None:
-            return np.asarray(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self._chunks) > KEPT_CHUNKS:
+        if not FAST.fullmatch(text) or any(s in text for s in self._specials):
+            return self._by_library(text)
+        if len(self._chunks) + len(self._after) > KEPT_CHUNKS:
             self._start()
-        return b"".join(map(self._chunks.__getitem__, chunks))
+        if self._words:
+            lower = unicodedata.normalize("NFC", text).lower()
+            return b"".join(map(self._chunks.__getitem__, lower.split())) if FAST.fullmatch(lower) else self._by_library(text)
+        if any(s in text for s in _RUNS):
+            return b"".join(map(self._chunks.__getitem__, self._chunks_of(text)))
+        first, *rest = text.split(" ")
+        return b"".join([self._chunks[first], *map(self._after.__getitem__, rest)])
+
+    def _by_library(self, text: str) -> bytes:
+        return np.asarray(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,10 +1,11 @@
 """Operator 8: token ids as wavelet-matrix shards.
 
 Documents are range-partitioned and sorted by doc_id and each task writes its ids to
-shards of about ``shard_tokens`` tokens. A shard is one zstandard-compressed file: the
-distinct ids by falling frequency, the documents with their lengths, and a wavelet matrix
-over the ids' ranks, bit-plane by bit-plane. It answers access, count, rank and select
-without being expanded, and decodes whole by undoing the partitions plane by plane.
+shards of about ``shard_tokens`` tokens. A shard is one file: the distinct ids by falling
+frequency, the documents with their lengths, and a wavelet matrix over the ids' ranks,
+bit-plane by bit-plane, with the counts that rank and select start from. Its planes are
+cut into zstandard frames of their own, so access, count and select expand only the blocks
+they touch; a shard decodes whole by undoing the partitions plane by plane.
 
 Edge cases: a null or empty text is the end token alone; a null doc_id sorts first and
 stays null; equal doc_ids sort by a hash of the text; an empty table gives no rows; other
@@ -28,105 +29,140 @@ from .common import fresh_dir, staged
 from .files import put
 from .tokens import encoder
 
-MAGIC = b"WVM1"
-HEAD = "<4sQIIB"
+MAGIC = b"WVM2"
+HEAD = "<4sQIIBII"
+#: Bytes of a plane between two stored counts of ones, and in a compressed block.
+SUPER, BLOCK = 64, 1 << 16
+
+
+class Plane:
+    """A bit vector in bytes with the count of ones before every ``SUPER`` bytes (6 % of
+    its size). The bytes come whole, or block by block from ``load`` when asked for."""
+
+    def __init__(self, n: int, counts: np.ndarray, whole: np.ndarray | None = None, load=None):
+        self.n, self.counts, self._whole, self._load = n, counts, whole, load
+        self._blocks: dict[int, np.ndarray] = {}
+        self.ones = int(counts[-1])
+        self.zeros = n - self.ones
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        whole = np.packbits(bits)
+        per = np.add.reduceat(np.bitwise_count(whole), np.arange(0, len(whole), SUPER), dtype=np.uint32) if len(whole) else np.zeros(0, np.uint32)
+        return cls(len(bits), np.concatenate(([0], np.cumsum(per))).astype("<u4"), whole)
+
+    def bytes(self) -> np.ndarray:
+        if self._whole is None:
+            self._whole = np.concatenate([self._load(k) for k in range(-(-self.n // (8 * BLOCK)))]) if self.n else np.zeros(0, np.uint8)
+            self._blocks = {}
+        return self._whole
+
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        """Bytes lo to hi, which lie within a block."""
+        if self._whole is not None:
+            return self._whole[lo:hi]
+        k = lo // BLOCK
+        if k not in self._blocks:
+            self._blocks[k] = self._load(k)
+        return self._blocks[k][lo - k * BLOCK : hi - k * BLOCK]
+
+    def bit(self, i: int) -> int:
+        return int(self.part(i >> 3, (i >> 3) + 1)[0]) >> (7 - (i & 7)) & 1
+
+    def rank(self, i: int) -> int:
+        """Ones before position i."""
+        block, rest = divmod(i, 8 * SUPER)
+        if not rest:
+            return int(self.counts[block])
+        own = int.from_bytes(self.part(block * SUPER, (i + 7) >> 3).tobytes(), "big") >> (-i & 7)
+        return int(self.counts[block]) + own.bit_count()
+
+    def select(self, bit: int, k: int) -> int:
+        """Position of the k-th (from 0) one or zero."""
+        if not 0 <= k < (self.ones if bit else self.zeros):
+            raise IndexError(k)
+        before = (lambda b: int(self.counts[b])) if bit else (lambda b: min(b * 8 * SUPER, self.n) - int(self.counts[b]))
+        lo, hi = 0, len(self.counts) - 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if before(mid) <= k else (lo, mid)
+        bits = np.unpackbits(self.part(lo * SUPER, min(lo * SUPER + SUPER, (self.n + 7) >> 3)))
+        return lo * 8 * SUPER + int(np.flatnonzero(bits == bit)[k - before(lo)])
 
 
 class WaveletMatrix:
     """Bit-planes from the highest bit down; in each, zeros keep their order and go first."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n = n
-        self.planes = planes  # packed bits
-        self._ones: list[np.ndarray] | None = None  # ones before each byte of a plane
+    def __init__(self, n: int, planes: list[Plane]):
+        self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ranks: np.ndarray, bits: int) -> WaveletMatrix:
         planes, here = [], ranks
         for b in range(bits - 1, -1, -1):
-            one = (here >> b & 1).astype(bool)
-            planes.append(np.packbits(one))
-            here = np.concatenate((here[~one], here[one]))
+            one = (here & here.dtype.type(1 << b)) != 0
+            planes.append(Plane.of(one))
+            here = np.concatenate((here.take(np.flatnonzero(~one)), here.take(np.flatnonzero(one))))
         return cls(len(ranks), planes)
 
-    def decode(self) -> np.ndarray:
+    def decode(self, step: int = 1 << 15) -> np.ndarray:
         """All ranks in order: from the last plane up, each partition is undone."""
-        here = np.zeros(self.n, np.uint32)
+        here = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, plane in enumerate(reversed(self.planes)):
-            one = np.unpackbits(plane, count=self.n).astype(bool)
-            zeros = self.n - int(one.sum())
+            ones = np.unpackbits(plane.bytes(), count=self.n).view(bool)
+            z, o = 0, plane.zeros
+            here[o:] |= here.dtype.type(1 << b)
             before = np.empty_like(here)
-            before[~one] = here[:zeros]
-            before[one] = here[zeros:] | np.uint32(1 << b)
+            for at in range(0, self.n, step):
+                one, out = ones[at : at + step], before[at : at + step]
+                high, low = np.flatnonzero(one), np.flatnonzero(~one)
+                out[high], out[low] = here[o : o + len(high)], here[z : z + len(low)]
+                z, o = z + len(low), o + len(high)
             here = before
         return here
 
-    def _counts(self) -> list[np.ndarray]:
-        if self._ones is None:
-            self._ones = [np.concatenate(([0], np.cumsum(np.bitwise_count(p), dtype=np.int64))) for p in self.planes]
-        return self._ones
-
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones of a plane before position i."""
-        whole, rest = divmod(i, 8)
-        part = int(self.planes[level][whole]) >> (8 - rest) if rest else 0
-        return int(self._counts()[level][whole]) + part.bit_count()
-
-    def _zeros(self, level: int) -> int:
-        return self.n - int(self._counts()[level][-1])
-
     def access(self, i: int) -> int:
-        rank = 0
+        value = 0
+        for plane in self.planes:
+            bit, ones = plane.bit(i), plane.rank(i)
+            i = plane.zeros + ones if bit else i - ones
+            value = value << 1 | bit
+        return value
+
+    def _span(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         for level, plane in enumerate(self.planes):
-            bit = int(plane[i >> 3]) >> (7 - (i & 7)) & 1
-            ones = self._rank1(level, i)
-            i = self._zeros(level) + ones if bit else i - ones
-            rank = rank << 1 | bit
-        return rank
-
-    def _span(self, rank: int, lo: int, hi: int) -> tuple[int, int]:
-        for level in range(len(self.planes)):
-            a, b = self._rank1(level, lo), self._rank1(level, hi)
-            if rank >> (len(self.planes) - 1 - level) & 1:
-                lo, hi = self._zeros(level) + a, self._zeros(level) + b
+            a, b = plane.rank(lo), plane.rank(hi)
+            if value >> (len(self.planes) - 1 - level) & 1:
+                lo, hi = plane.zeros + a, plane.zeros + b
             else:
                 lo, hi = lo - a, hi - b
         return lo, hi
 
-    def count(self, rank: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._span(rank, lo, self.n if hi is None else hi)
+    def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
+        a, b = self._span(value, lo, self.n if hi is None else hi)
         return b - a
 
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) one or zero of a plane."""
-        ones = self._counts()[level]
-        before = ones if bit else np.minimum(np.arange(len(ones)) * 8, self.n) - ones
-        byte = int(np.searchsorted(before, k, "right")) - 1
-        left = k - int(before[byte])
-        for j in range(8):
-            if int(self.planes[level][byte]) >> (7 - j) & 1 == bit:
-                if left == 0:
-                    return byte * 8 + j
-                left -= 1
-        raise IndexError(k)
-
-    def select(self, rank: int, k: int) -> int:
+    def select(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence."""
-        lo, hi = self._span(rank, 0, self.n)
+        lo, hi = self._span(value, 0, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         at = lo + k
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = rank >> (len(self.planes) - 1 - level) & 1
-            at = self._select(level, bit, at - self._zeros(level) if bit else at)
+            plane, bit = self.planes[level], value >> (len(self.planes) - 1 - level) & 1
+            at = plane.select(bit, at - plane.zeros if bit else at)
         return at
 
-    def occurrences(self, rank: int) -> list[int]:
-        return [self.select(rank, k) for k in range(self.count(rank))]
+    def occurrences(self, value: int) -> list[int]:
+        return [self.select(value, k) for k in range(self.count(value))]
 
 
 class Shard:
-    """The documents (doc_ids, lengths) and ids of one file."""
+    """The documents (doc_ids, lengths) and ids of one file.
+
+    The file: a fixed head; the ends of all frames; and the frames, each zstandard on its
+    own: first the alphabet, documents and counts of ones, then the planes' blocks.
+    """
 
     def __init__(self, alphabet: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, matrix: WaveletMatrix):
         self.alphabet, self.doc_ids, self.lengths, self.matrix = alphabet, doc_ids, lengths, matrix
@@ -135,31 +171,41 @@ class Shard:
     def of(cls, ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> Shard:
         counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
         alphabet = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())].astype(np.uint32)
-        rank = np.zeros(len(counts), np.uint32)
-        rank[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-        kind = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
-        matrix = WaveletMatrix.build(rank[ids].astype(kind), max(1, (max(1, len(alphabet)) - 1).bit_length()))
+        rank = np.zeros(len(counts), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+        rank[alphabet] = np.arange(len(alphabet), dtype=rank.dtype)
+        matrix = WaveletMatrix.build(rank.take(ids), max(1, (max(1, len(alphabet)) - 1).bit_length()))
         return cls(alphabet, doc_ids, np.asarray(lengths, np.int64), matrix)
 
     def to_bytes(self) -> bytes:
         import zstandard
 
-        m = self.matrix
+        m, press = self.matrix, zstandard.ZstdCompressor(level=1).compress
         null = np.array([d is None for d in self.doc_ids], np.uint8)
         known = np.array([d or 0 for d in self.doc_ids], "<i8")
-        head = struct.pack(HEAD, MAGIC, m.n, len(self.doc_ids), len(self.alphabet), len(m.planes))
-        parts = [head, self.alphabet.astype("<u4").tobytes(), known.tobytes(), null.tobytes(), self.lengths.astype("<i8").tobytes(), *(p.tobytes() for p in m.planes)]
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        counts = [p.counts.astype("<u4") for p in m.planes]
+        index = [self.alphabet.astype("<u4"), known, null, self.lengths.astype("<i8"), *counts]
+        frames = [press(b"".join(x.tobytes() for x in index))]
+        for p in m.planes:
+            frames += [press(p.bytes()[at : at + BLOCK].tobytes()) for at in range(0, -(-m.n // 8), BLOCK)]
+        head = struct.pack(HEAD, MAGIC, m.n, len(self.doc_ids), len(self.alphabet), len(m.planes), len(counts[0]), len(frames))
+        return b"".join([head, np.cumsum([len(f) for f in frames]).astype("<u8").tobytes(), *frames])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
         import zstandard
 
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        magic, n, docs, symbols, bits = struct.unpack_from(HEAD, raw)
+        view = memoryview(data)
+        magic, n, docs, symbols, bits, supers, count = struct.unpack_from(HEAD, view)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
         at = struct.calcsize(HEAD)
+        ends = [0, *np.frombuffer(view, "<u8", count, at).tolist()]
+        base = at + 8 * count
+
+        def frame(k: int) -> bytes:
+            return zstandard.ZstdDecompressor().decompress(view[base + ends[k] : base + ends[k + 1]])
+
+        raw, at = frame(0), 0
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -168,11 +214,13 @@ class Shard:
             return got
 
         alphabet, known, null, lengths = take("<u4", symbols), take("<i8", docs), take("u1", docs), take("<i8", docs)
-        planes = [take("u1", -(-n // 8)) for _ in range(bits)]
-        return cls(alphabet, [None if z else int(d) for d, z in zip(known, null, strict=True)], lengths, WaveletMatrix(n, planes))
+        blocks = -(-n // (8 * BLOCK))
+        load = lambda level: lambda k: np.frombuffer(frame(1 + level * blocks + k), np.uint8)
+        planes = [Plane(n, take("<u4", supers), load=load(level)) for level in range(bits)]
+        return cls(alphabet, [None if z else d for d, z in zip(known.tolist(), null.tolist(), strict=True)], lengths, WaveletMatrix(n, planes))
 
     def ids(self) -> np.ndarray:
-        return self.alphabet[self.matrix.decode()] if self.matrix.n else np.zeros(0, np.uint32)
+        return self.alphabet.take(self.matrix.decode()) if self.matrix.n else np.zeros(0, np.uint32)
 
     def rank_of(self, token: int) -> int | None:
         at = np.flatnonzero(self.alphabet == token)
