@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirador.llm import decontam, embdedup, labelled, linededup, packing, quality, queries, secrets, simhash, tokens, toxicity, warc, wavelet
+from mirador.llm import common, decontam, embdedup, labelled, linededup, packing, quality, queries, secrets, simhash, tokens, toxicity, warc, wavelet
 from mirador.llm.components import components
 from tests.oracle import duck, same
 
@@ -292,6 +292,18 @@ def test_line_dedup_edge_cases(spark):
     rows = linededup.dedup_documents(frame(spark, ODD), min_docs=2).collect()
     assert len(rows) == len(ODD) + 1 and sum(r.doc_id is None for r in rows) == 1
     assert linededup.dedup_documents(empty(spark)).count() == 0
+    clash = frame(spark, ODD).selectExpr("*", "1 AS n_dropped", "2 AS own", "'a' AS id", "3 AS text_hash", "4 AS h")
+    kept = linededup.drop_lines(clash, min_docs=2)
+    assert kept.columns == clash.columns and kept.drop("text").exceptAll(clash.drop("text")).count() == 0
+    assert kept.filter("n_lines = 'x' AND keep = 1 AND n_dropped = 1").count() == len(ODD) + 1
+    wide = linededup.dedup_documents(clash, min_docs=2)
+    assert dict(wide.dtypes)["n_lines"] == "bigint" and {"keep", "own", "id"} <= set(wide.columns)
+
+
+def test_ascii_lower_leaves_other_letters(spark):
+    chars = spark.createDataFrame([(chr(c),) for c in range(0x3000)] + [("\U00010400",), (None,)], "c string")
+    rows = chars.select("c", common.ascii_lower(F.col("c")).alias("low")).collect()
+    assert all(r.low == (r.c and "".join(x.lower() if x.isascii() else x for x in r.c)) for r in rows)
 
 
 def test_warc_round_trip_and_edges(spark):
