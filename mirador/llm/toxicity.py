@@ -2,19 +2,29 @@
 
 The kernel compares strings by their common subsequences of three characters, gaps
 discounted, so an insult with inserted or dropped characters stays close to it. A text is
-cut to units (its words; runs of single letters are joined, other signs inside a word
-dropped). Units are mapped by their normalized kernel with the landmarks, whitened (the
-Nystroem map), and a squared-hinge SVM is trained on sentences: a sentence's value is its
-highest window's, every sentence of a clean document is clean, and of a toxic document the
-windows that stand out are witnesses, chosen anew in each round.
+cut to sentences, and a sentence to windows: its words between marks for their ends (runs of
+single letters are joined, other signs inside a word dropped), and its pairs of short words
+with the space between them, so that an insult in two words or with a space in it is seen.
+Windows are mapped by their normalized kernel with
+the landmarks, whitened (the Nystroem map), and a squared-hinge SVM is trained on labelled
+sentences as bags of windows: a sentence's value is its highest window's; every sentence of
+a clean document is clean, and of a toxic document the sentences with a telling window are
+toxic, their witnesses chosen anew in each round. A document's probability is a logistic
+curve of its highest value, of how many distinct windows stand out, and of their share.
+
+Landmarks are character runs whose rate among the distinct words of toxic documents is
+surely above that in clean ones, so words of a rarer language, or words that clean
+documents have too but seldom, count.
 
 A linear function of kernels with fixed landmarks is a weight for each subsequence of
 three, so a worker scores a unit it has not met from that table, and remembers it. A long
 unit is scored by overlapping windows of ``WINDOW`` characters.
 
-Learning takes at most ``limit`` labelled rows of each label (documented bound); the counts
-from which landmarks are chosen cover the units of those rows. Scoring is a map over all
-whole texts.
+Learning takes at most ``limit`` labelled rows of each label, and from these at most
+``witnesses`` windows a toxic document, ``clean_units`` windows of clean ones and
+``hard`` further clean windows a round (documented bounds of what is learned from); the
+counts from which landmarks are chosen cover all words of those rows. Scoring is a map over
+all whole texts.
 
 Edge cases: a null or empty text has the score of a text without any unit; labels other than 0
 and 1 and rows without label teach nothing; with one label only, the score is 0.5 for all;
@@ -34,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, labelled, platt
+from .labelled import fold, labelled
 
 DECAY, WINDOW = 0.5, 9
 #: Lengths of the character runs that may become landmarks.
@@ -43,19 +53,36 @@ RUNS = (4, 5, 6, 7, 8, 9)
 KEPT_UNITS, KEPT_CHARS, TOGETHER = 400_000, 64, 1 << 18
 _SIGNS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]+\w){2,}(?!\S)")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_ENDS = frozenset(".!?")
 
 
-def units(text: str | None) -> list[str]:
-    """Lower-case words without signs, and runs of three or more single letters as one word."""
-    low = (text or "").lower()
-    out = [w if w.isalnum() else _SIGNS.sub("", w) for w in low.split()]
-    return out + [_SIGNS.sub("", m.group()) for m in _SPELLED.finditer(low)]
+class _Words(dict):
+    """A token to its letters and digits, worked out once."""
+
+    def __missing__(self, token: str) -> str:
+        got = self[token] = token if token.isalnum() else _SIGNS.sub("", token)
+        return got
+
 
+_words = _Words()
 
-def distinct_units(text: str | None) -> set[str]:
-    """The distinct units of three characters or more, between marks for their two ends."""
-    return {f"<{w}>" for w in units(text) if len(w) >= 3}
+
+def parts(text: str | None) -> tuple[set[str], set[str]]:
+    """A text's distinct words of three characters or more between marks for their two ends
+    (with runs of three or more single letters as words), and its distinct pairs of words
+    of a sentence that fit a window with their space."""
+    if len(_words) > KEPT_UNITS:
+        _words.clear()
+    low = (text or "").lower()
+    words: set[str] = set()
+    pairs: set[str] = set()
+    for line in low.split("\n"):
+        tokens = line.split()
+        own = list(map(_words.__getitem__, tokens))
+        words.update(own)
+        pairs.update([f"{a} {b}" for a, b, t in zip(own, own[1:], tokens, strict=False) if len(a) + len(b) < WINDOW and a and b and t[-1] not in _ENDS])
+    words.update([_SIGNS.sub("", m.group()) for m in _SPELLED.finditer(low)])
+    return {f"<{w}>" for w in words if len(w) >= 3}, pairs
 
 
 def subsequences(s: str) -> dict[str, float]:
@@ -173,24 +200,20 @@ def runs_of(bag: set[str]) -> set[str]:
 
 def telling_runs(bags: list[set[str]], y: list[int], toxic: Counter, clean: Counter) -> dict[str, float]:
     """Character runs that at least three toxic documents and 1.5 % of them have, with the
-    count times the log odds, where these are surely large.
+    count times the log ratio of their rates in distinct units, where it is surely large.
+    ``toxic`` and ``clean`` count the documents of each unit."""
+    enough = max(3, 0.015 * sum(y))
+    n1, n0 = max(1, sum(toxic.values())), max(1, sum(clean.values()))
 
-    ``toxic`` and ``clean`` count the documents of each unit. Their sum over the units with a
-    run is at least the run's documents, their maximum at most; only runs that these bounds
-    leave open are counted, and only where the two parts a character shorter are frequent.
-    """
-    n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
-    enough = max(3, 0.015 * n1)
-
-    def odds(c: int, neg: int) -> float:
-        # less one standard error, or the many rare runs would bring in chance
-        value = np.log(((c + 0.5) / (n1 + 1)) / ((neg + 0.5) / (n0 + 1)))
-        return value if value - (1 / (c + 0.5) + 1 / (neg + 0.5)) ** 0.5 > 3 else 0.0
+    def ratio(k1: int, k0: int) -> float:
+        # less two standard errors, or the many rare runs would bring in chance
+        value = np.log(((k1 + 0.5) / n1) / ((k0 + 0.5) / n0))
+        return value if value - 2 * (1 / (k1 + 0.5) + 1 / (k0 + 0.5)) ** 0.5 > 1.2 else 0.0
 
     def cuts(u: str, n: int) -> set[str]:
         return {u[i : i + n] for i in range(len(u) - n + 1)}
 
-    open_: set[str] = set()
+    values: dict[str, float] = {}
     frequent: dict[str, int] = {}
     for n in RUNS:
         most: dict[str, int] = {}
@@ -199,17 +222,17 @@ def telling_runs(bags: list[set[str]], y: list[int], toxic: Counter, clean: Coun
                 if n == RUNS[0] or (r[1:] in frequent and r[:-1] in frequent):
                     most[r] = most.get(r, 0) + c
         frequent = {r: c for r, c in most.items() if c >= enough}
-        least = dict.fromkeys(frequent, 0)
+        others = dict.fromkeys(frequent, 0)
         for u, c in clean.items():
             for r in cuts(u, n):
-                if r in least and c > least[r]:
-                    least[r] = c
-        open_.update(r for r, c in frequent.items() if odds(c, least[r]))
-    holds = {u: found for u in toxic.keys() | clean.keys() if (found := [r for n in RUNS for r in cuts(u, n) if r in open_])}
-    counts = (Counter(), Counter())
+                if r in others:
+                    others[r] += c
+        values |= {r: v for r, c in frequent.items() if (v := ratio(c, others[r]))}
+    counts: Counter = Counter()
     for bag, label in zip(bags, y, strict=True):
-        counts[label].update({r for u in bag if u in holds for r in holds[u]})
-    return {r: c * value for r, c in counts[1].items() if c >= enough and (value := odds(c, counts[0][r]))}
+        if label:
+            counts.update({r for u in bag for r in runs_of({u}) if r in values})
+    return {r: c * values[r] for r, c in counts.items() if c >= enough}
 
 
 def landmarks(telling: dict[str, float], toxic: Counter, clean: Counter, count: int) -> list[str]:
@@ -252,13 +275,24 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, ro
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, scale and weights (the last is the shift) by Newton's steps, softened a little."""
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    x1 = np.column_stack([(x - centre) / scale, np.ones(len(x))])
+    w, ridge = np.zeros(x1.shape[1]), np.diag([0.1] * x.shape[1] + [1e-6])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40)))
+        w -= np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + ridge, x1.T @ (p - y) + ridge @ w)
+    return centre, scale, w
+
+
 class Model:
     """A weight for each subsequence of three, the shift, and the curve to a probability."""
 
-    def __init__(self, table: dict[str, float], shift: float, slope: float, offset: float):
+    def __init__(self, table: dict[str, float], shift: float, curve: tuple | None = None, prior: float = 0.5):
         keys = sorted(table)
         self.triples, self.values = Triples(keys), np.array([0.0, *(table[k] for k in keys)])
-        self.shift, self.slope, self.offset = shift, slope, offset
+        self.shift, self.curve, self.prior = shift, curve, prior
         self._kept: dict[str, float] = {}
 
     def __getstate__(self):
@@ -272,43 +306,60 @@ class Model:
         best = np.fmax.reduceat(in_blocks(self.triples, block, self.values), first)
         return self.shift + np.where(np.isfinite(best), best, -1.0)
 
-    def raws(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's highest unit's value; a text without units has that of none."""
-        bags = [distinct_units(t) for t in texts]
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Per text its highest value, the sum of its distinct windows' standing out, and
+        their share among its distinct words."""
+        found = [parts(t) for t in texts]
+        bags = [words | pairs for words, pairs in found]
         if len(self._kept) > KEPT_UNITS:
             self._kept = {}
         kept = self._kept
         new = list(set().union(*bags).difference(kept))
         kept.update(zip(new, self.raw_units(new).tolist(), strict=True))
-        floor = self.shift - 1.0
-        out = np.array([max(map(kept.__getitem__, bag), default=floor) for bag in bags])
+        out = np.zeros((len(texts), 3))
+        for n, (bag, (own, _)) in enumerate(zip(bags, found, strict=True)):
+            values = np.fromiter(map(kept.__getitem__, bag), float, len(bag))
+            hot = float(np.clip(values + 0.5, 0, 1.5).sum())
+            out[n] = max(self.shift - 1.0, values.max(initial=-9.0)), np.log1p(hot), np.log((hot + 0.2) / (len(own) + 20))
         for u in new:
             if len(u) > KEPT_CHARS:
                 del kept[u]
-        return np.maximum(out, floor)
+        return out
 
     def raw(self, text: str | None) -> float:
-        return float(self.raws([text])[0])
+        """A text's highest value."""
+        return float(self.features([text])[0, 0])
 
-    def probability(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(raw, float) + self.offset, -40, 40)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        if self.curve is None:
+            return np.full(len(features), self.prior)
+        centre, scale, w = self.curve
+        return 1 / (1 + np.exp(-np.clip((features - centre) / scale @ w[:-1] + w[-1], -40, 40)))
 
     def probabilities(self, texts: Iterable[str | None]) -> np.ndarray:
         """Of many texts, about ``TOGETHER`` characters at a time."""
-        out, held, size = [np.zeros(0)], [], 0
+        out, held, size = [np.zeros((0, 3))], [], 0
         for text in texts:
             held.append(text)
             size += len(text or "")
             if size >= TOGETHER:
-                out.append(self.raws(held))
+                out.append(self.features(held))
                 held, size = [], 0
-        return self.probability(np.concatenate([*out, self.raws(held)]))
+        return self.probability(np.concatenate([*out, self.features(held)]))
 
 
-def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_units: int = 6000, rounds: int = 3) -> Model:
+def train(texts: list[str | None], y: list[int], *, places: int = 96, witnesses: int = 12, clean_units: int = 6000, hard: int = 1500, rounds: int = 3) -> Model:
     if len(set(y)) < 2:
-        return Model({}, 0.0, 0.0, 0.0)
-    bags = [{sys.intern(u) for u in distinct_units(t)} for t in texts]
+        return Model({}, 0.0)
+    prior = sum(y) / len(y)
+    found = [parts(t) for t in texts]
+    bags = [{sys.intern(u) for u in words} for words, _ in found]
+    # a pair of words counts as a unit where enough toxic documents have it
+    often = Counter(u for (_, pairs), label in zip(found, y, strict=True) if label for u in pairs)
+    often = {u for u, c in often.items() if c >= max(3, 0.015 * sum(y))}
+    for bag, (_, pairs) in zip(bags, found, strict=True):
+        bag |= pairs & often
+    del found
     clean = Counter(u for bag, label in zip(bags, y, strict=True) if not label for u in bag)
     toxic = Counter(u for bag, label in zip(bags, y, strict=True) if label for u in bag)
     telling = telling_runs(bags, y, toxic, clean)
@@ -324,22 +375,21 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_unit
             of_marks[n + 1, j] = phi.get(k, 0.0)
     of_marks = of_marks @ whiten
 
-    def mapped(parts: list[str]) -> np.ndarray:
-        return np.nan_to_num(in_blocks(triples, cut(parts)[0], of_marks))
+    def mapped(windows_: list[str]) -> np.ndarray:
+        return np.nan_to_num(in_blocks(triples, cut(windows_)[0], of_marks))
 
-    # of each toxic document the windows that hold a telling run: its sentences' possible witnesses
+    # a toxic document's bags: its sentences with a telling window, and these windows' worth
     worth = lambda part: max((telling.get(r, 0.0) for r in runs_of({part})), default=0.0)
     heads = {r[: RUNS[0]] for r in telling}
     odd = []
-    for text, label in zip(texts, y, strict=True):
+    for bag, label in zip(bags, y, strict=True):
         if label:
-            sentences = [distinct_units(s) for s in _SENTENCE.split(text or "")]
-            parts = {p: worth(p) for sentence in sentences for u in sentence if may_hold(u, heads) for p in windows(u)}
-            best = max(parts.values(), default=0.0)
-            odd.append(sorted((p for p, v in parts.items() if v > 0 and v >= best / 4), key=lambda p: (-parts[p], p))[:12])
+            telling_ones = {p: worth(p) for u in bag if may_hold(u, heads) for p in windows(u)}
+            best = max(telling_ones.values(), default=0.0)
+            odd.append(sorted((p for p, v in telling_ones.items() if v > 0 and v >= best / 4), key=lambda p: (-telling_ones[p], p))[:witnesses])
     odd = [o for o in odd if o]
     if not odd:
-        return Model({}, 0.0, 0.0, float(np.log((sum(y) + 1) / (len(y) - sum(y) + 1))))
+        return Model({}, 0.0, prior=prior)
     pool = sorted({p for u in clean for p in windows(u)}, key=lambda p: (hash_of(p), p))
     often = {p for u, _ in clean.most_common(clean_units // 2) for p in windows(u)}
     negatives = sorted(often) + [p for p in pool if p not in often][: clean_units // 2]
@@ -353,18 +403,18 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, clean_unit
         for a, phi in zip((whiten @ w[:-1]).tolist(), maps, strict=True):
             for key, v in phi.items():
                 table[key] = table.get(key, 0.0) + a * v
-        model = Model(table, float(w[-1]), 1.0, 0.0)
+        model = Model(table, float(w[-1]), prior=prior)
         if r + 1 < rounds:
             # of each document its highest window stays a witness, and those on the toxic side;
             # the clean windows that the machine finds most toxic join the clean side
             values = np.split(mapped([p for o in odd for p in o]) @ w[:-1] + w[-1], np.cumsum([len(o) for o in odd])[:-1])
             witness = [p for o, v in zip(odd, values, strict=True) for p, z in zip(o, v.tolist(), strict=True) if z > 0 or z == v.max()]
             rest = [p for p in pool if p not in seen]
-            found = sorted(zip(model.raw_units(rest).tolist(), rest, strict=True), reverse=True)[:1500]
+            found = sorted(zip(model.raw_units(rest).tolist(), rest, strict=True), reverse=True)[:hard]
             negatives = negatives + [p for v, p in found if v > -1]
             seen.update(negatives)
-    raw = np.concatenate([model.raws(texts[n : n + 64]) for n in range(0, len(texts), 64)])
-    model.slope, model.offset = platt(raw, np.array(y))
+    features = np.concatenate([model.features(texts[n : n + 64]) for n in range(0, len(texts), 64)])
+    model.curve = logistic(features, np.array(y, float))
     return model
 
 

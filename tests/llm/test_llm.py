@@ -472,6 +472,38 @@ def test_toxicity_holds_out(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.5}
 
 
+def test_window_scores_equal_brute_force():
+    rng = random.Random(4)
+    windows = ["".join(rng.choice("abcd <>") for _ in range(rng.randrange(1, toxicity.WINDOW + 1))) for _ in range(200)]
+    table = {"".join(rng.choice("abcd<") for _ in range(3)): rng.uniform(-1, 1) for _ in range(40)}
+    keys = sorted(table)
+    block, first = toxicity.cut(windows)
+    assert first.tolist() == list(range(len(windows)))
+    lengths, scores = toxicity.norms(block), toxicity.in_blocks(toxicity.Triples(keys), block, np.array([0.0, *(table[k] for k in keys)]))
+    for w, length, score in zip(windows, lengths, scores, strict=True):
+        phi = toxicity.subsequences(w)
+        norm = sum(v * v for v in phi.values()) ** 0.5
+        assert length == pytest.approx(norm, rel=1e-4)
+        if norm:
+            assert score == pytest.approx(sum(v * table.get(k, 0) for k, v in phi.items()) / norm, rel=1e-4, abs=1e-6)
+
+
+def test_toxicity_parts_cross_spaces_within_sentences():
+    words, pairs = toxicity.parts("You id iot. No i.d.i.o.t m-o-r-o-n\nx y z\nlast one")
+    assert {"<idiot>", "<moron>", "<xyz>", "<last>"} <= words
+    assert {"id iot", "last one"} <= pairs and not {"iot no", "z last"} & pairs
+    assert toxicity.parts(None) == toxicity.parts("") == (set(), set())
+
+
+def test_toxicity_holds_out_in_every_language(spark, larger):
+    scored = queries.op9_toxicity(spark, larger).filter("held_out")
+    rows = scored.join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang"), "doc_id").select("lang", "score", "predicted", "toxic").toPandas()
+    toxic, clean = rows[rows.toxic == 1], rows[rows.toxic == 0]
+    assert toxic.predicted.mean() >= 0.88 and clean.predicted.mean() <= 0.01
+    assert (toxic.groupby("lang").predicted.mean() >= 0.8).all()
+    assert _auc(rows.score.to_numpy(), rows.toxic.to_numpy()) > 0.97
+
+
 def test_quality_holds_out(spark, larger):
     rows = queries.op10_quality(spark, larger).filter("held_out").join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").select("score", "predicted", "quality").toPandas()
     assert _auc(rows.score.to_numpy(), rows.quality.to_numpy()) > 0.95
