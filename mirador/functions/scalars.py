@@ -11,9 +11,9 @@ def r6(c: Column) -> Column:
     return F.floor(c * 1e6 + 0.5) / 1e6 + F.lit(0.0)
 
 
-def missing(c: Column) -> Column:
-    """NaN as null, the one kind of missing value the plans know."""
-    return F.when(~F.isnan(c), c)
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is zero."""
+    return F.try_divide(a, b)
 
 
 def log_return(now: Column, before: Column) -> Column:
@@ -32,7 +32,7 @@ def commission(shares: Column, price: Column, rate: float = 0.005, least: float
 
 def spread_bps(bid: Column, ask: Column) -> Column:
     """(ask - bid) / mid in basis points; null outside (0, 2000]."""
-    bps = (ask - bid) / ((ask + bid) / 2) * 1e4
+    bps = ratio(ask - bid, (ask + bid) / 2) * 1e4
     return F.when((bps > 0) & (bps <= 2000), bps)
 
 

@@ -1,13 +1,13 @@
-"""Ordered folds that no aggregate can express: average cost and orders carried over bars.
+"""Average cost, an ordered fold that no aggregate can express, and orders carried over bars.
 
-Each fold runs a key at a time in ``applyInPandas``; a key is one book or one symbol, whose
-history is bounded, and keys are many, so work spreads.
+The fold runs a book at a time in ``applyInPandas``: a task holds one book's fills.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,7 +39,7 @@ def fold_fills(rows: list[tuple[str, int, int, int | None]]) -> tuple[int, float
 
 
 def average_cost(fills: DataFrame, keys: list[str]) -> DataFrame:
-    """A book per key: qty, avg_cents, realized_cents, fees, missing_fees."""
+    """A book per key: qty, avg_cents, realized_cents (before fees), fees, missing_fees."""
     types = {f.name: f.dataType.simpleString() for f in fills.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", qty long, avg_cents double, realized_cents double, fees long, missing_fees long"
 
@@ -52,27 +52,14 @@ def average_cost(fills: DataFrame, keys: list[str]) -> DataFrame:
     return fills.select(cols).groupBy(*keys).applyInPandas(fold, schema)
 
 
-def trail(bars: list[tuple[float, float, float, float]], percent: float) -> tuple[int, float] | None:
-    """A sell order trailing ``percent`` under the highest high since the first bar's close:
-    the bar's number and price at which it fills, or None. A gap below fills at the open."""
-    top = bars[0][3]
-    for n, (o, h, l, _) in enumerate(bars[1:], 1):  # noqa: E741
-        stop = top * (1 - percent / 100)
-        if o <= stop:
-            return n, o
-        if l <= stop:
-            return n, stop
-        top = max(top, h)
-    return None
-
-
-def trailing_episodes(bars: DataFrame, percent: float) -> DataFrame:
-    """Per symbol the session and price of the fill of a trailing sell placed on its first bar."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session")
-        got = trail(list(zip(pdf["o"], pdf["h"], pdf["l"], pdf["c"], strict=True)), percent)
-        session, price = (pdf["session"].iloc[got[0]], got[1]) if got else (None, None)
-        return pd.DataFrame([(key[0], len(pdf), session, price)], columns=["symbol", "bars", "session", "price"])
-
-    return bars.select("symbol", "session", "o", "h", "l", "c").groupBy("symbol").applyInPandas(run, "symbol long, bars long, session date, price double").withColumn("price", F.round("price", 6))
+def trailing_fills(bars: DataFrame, percent: float) -> DataFrame:
+    """Per symbol the bars it has, and the session and price at which a sell placed on its
+    first bar and trailing ``percent`` under the highest price since (that bar's close, then
+    highs) fills. A gap below the stop fills at the open. Until it fills the stop depends on
+    earlier bars alone, so a running maximum gives it."""
+    w = W.partitionBy("symbol").orderBy("session")
+    since = F.when(F.row_number().over(w) == 1, F.col("c")).otherwise(F.col("h"))
+    b = bars.withColumn("_since", since).withColumn("_stop", F.max("_since").over(w.rowsBetween(W.unboundedPreceding, -1)) * (1 - percent / 100))
+    b = b.withColumn("_fill", F.when(F.col("o") <= F.col("_stop"), F.col("o")).when(F.col("l") <= F.col("_stop"), F.col("_stop")))
+    hit = F.when(F.col("_fill").isNotNull(), F.struct("session", F.col("_fill").alias("price")))
+    return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.min(hit).alias("f")).select("symbol", "bars", "f.session", "f.price")

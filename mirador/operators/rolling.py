@@ -6,6 +6,8 @@ in its place. The guards say when a frame is good enough to give a value.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,16 +48,19 @@ def lag(value: str, n: int) -> Column:
 
 
 def ema(df: DataFrame, value: str, span: int, out: str) -> DataFrame:
-    """Exponential average by a fold over a symbol's sessions; the first value starts it
-    and a missing one leaves it. A symbol's history is bounded, so it fits one row."""
-    a = 2.0 / (span + 1)
-    rows = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ix", F.col(value).alias("x")))).alias("s"))
-    step = lambda acc, r: F.concat(
-        acc, F.array(F.struct(r["ix"].alias("ix"), F.when(r["x"].isNull(), F.element_at(acc, -1)["e"]).when(F.element_at(acc, -1)["e"].isNull(), r["x"]).otherwise(F.element_at(acc, -1)["e"] * (1 - a) + r["x"] * a).alias("e")))
-    )
-    zero = F.array(F.struct(F.lit(None).cast("bigint").alias("ix"), F.lit(None).cast("double").alias("e")))
-    folded = rows.select("symbol", F.explode(F.filter(F.aggregate("s", zero, step), lambda r: r["ix"].isNotNull())).alias("r"))
-    return folded.select("symbol", F.col("r.ix").alias("ix"), F.col("r.e").alias(out))
+    """Exponential average; the first value starts it and a missing one leaves it. A closed
+    form over blocks of rows: a block's own weighted sum, and the tail of the block before.
+    Older blocks weigh less than a double can tell."""
+    keep = 1 - 2.0 / (span + 1)
+    size = math.ceil(40 / -math.log(keep))
+    own = df.filter(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(by()) - 1)
+    own = own.withColumns({"_b": F.expr(f"int(_k div {size})"), "_p": F.col("_k") % size})
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(1 - keep) * F.col(value) * F.pow(F.lit(keep), -F.col("_p"))
+    own = own.withColumn("_e", F.pow(F.lit(keep), F.col("_p")) * F.sum(weight).over(W.partitionBy("symbol", "_b").orderBy("_p")))
+    tails = own.groupBy("symbol", (F.col("_b") + 1).alias("_b")).agg(F.max_by("_e", "_p").alias("_t"))
+    e = own.join(tails, ["symbol", "_b"], "left").select("symbol", "ix", (F.col("_e") + F.coalesce(F.pow(F.lit(keep), F.col("_p") + 1) * F.col("_t"), F.lit(0.0))).alias("_e"))
+    filled = df.select("symbol", "ix").join(e, ["symbol", "ix"], "left")
+    return filled.select("symbol", "ix", F.last("_e", ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, 0)).alias(out))
 
 
 def streak(df: DataFrame, sign: Column, out: str) -> DataFrame:

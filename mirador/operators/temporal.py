@@ -7,15 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], *, strict: bool = True, tolerance: str | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str | list[str], time: str, values: list[str], *, strict: bool = True, tolerance: str | None = None) -> DataFrame:
     """For each row of ``left`` the latest row of ``right`` of its key that was known: before
     it (``strict``) or at its time. One union, one shuffle, one forward fill; rows of the
     right side never meet pairwise, so a hot key costs no more than its rows."""
+    keys = [key] if isinstance(key, str) else key
     seen = F.struct(F.col(time).alias("t"), *values)
-    rows = right.select(key, time, F.lit(0 if not strict else 1).alias("_side"), seen.alias("_seen"))
+    rows = right.select(*keys, time, F.lit(0 if not strict else 1).alias("_side"), seen.alias("_seen"))
     asks = left.withColumn("_side", F.lit(1 if not strict else 0)).withColumn("_row", F.struct(*[F.col(c) for c in left.columns]))
-    both = asks.select(key, time, "_side", "_row").unionByName(rows.select(key, time, "_side", "_seen"), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = asks.select(*keys, time, "_side", "_row").unionByName(rows.select(*keys, time, "_side", "_seen"), allowMissingColumns=True)
+    w = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
     got = both.withColumn("_seen", F.last("_seen", ignorenulls=True).over(w)).filter("_row is not null")
     fresh = F.lit(True) if tolerance is None else F.col("_seen.t") >= F.col(f"_row.{time}") - F.expr(f"INTERVAL {tolerance}")
     return got.select("_row.*", *[F.when(fresh, F.col(f"_seen.{v}")).alias(f"asof_{v}") for v in values], F.when(fresh, F.col("_seen.t")).alias("asof_time"))
@@ -36,10 +37,14 @@ def interval_counts(left: DataFrame, right: DataFrame, key: str, time: str, wind
     return out.filter("_ask").select(*left.columns, *windows)
 
 
-def bitemporal(facts: DataFrame, at: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:
-    """Rows of ``facts`` valid at each row of ``at``, on the closed interval [start, end]."""
-    t = at.select(F.col(key), F.col(time).alias("_at"))
-    return facts.join(t, key).filter((F.col(start) <= F.col("_at")) & (F.col("_at") <= F.coalesce(F.col(end), F.col("_at"))))
+def bitemporal(facts: DataFrame, at: DataFrame, key: str, series: list[str], time: str, start: str, end: str, values: list[str]) -> DataFrame:
+    """Of every series of a key the version that is valid at each row of ``at``, on the
+    closed interval [start, end]. Versions of a series don't overlap, so the latest that
+    began is the only candidate: an as-of fill per series, and no version meets every time."""
+    asks = at.join(facts.select(key, *series).distinct(), key)
+    got = asof(asks, facts.withColumnRenamed(start, time), [key, *series], time, [*values, end], strict=False)
+    live = got.filter(F.col("asof_time").isNotNull() & (F.col(time) <= F.coalesce(f"asof_{end}", time)))
+    return live.select(key, *series, time, *[F.col(f"asof_{v}").alias(v) for v in values])
 
 
 def latest_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

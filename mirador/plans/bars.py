@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log_return, r6
+from ..functions.scalars import log_return, r6, ratio
 from ..operators import rolling as R
 from ..operators import xsection as X
 from ..sources import views as V
@@ -19,7 +19,7 @@ def weekly_returns(spark, d):
 
 @query(f"""WITH {S.BARS}, cal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ix FROM (SELECT DISTINCT session FROM bars)),
 g AS (SELECT s.symbol, cal.session, ix, c FROM cal CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.session = cal.session),
-f AS (SELECT *, c / lag(c, 5) OVER w - 1 AS ret5, CASE WHEN count(*) OVER f5 = 5 AND count(c) OVER f5 >= 3 THEN stddev_samp(c) OVER f5 END AS vol5
+f AS (SELECT *, c / nullif(lag(c, 5) OVER w, 0) - 1 AS ret5, CASE WHEN count(*) OVER f5 = 5 AND count(c) OVER f5 >= 3 THEN stddev_samp(c) OVER f5 END AS vol5
 FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ix), f5 AS (PARTITION BY symbol ORDER BY ix ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 k AS (SELECT *, CASE WHEN ret5 IS NOT NULL AND count(ret5) OVER (PARTITION BY session) > 5 THEN (row_number() OVER (PARTITION BY session ORDER BY ret5 NULLS LAST, symbol) - 1)
 / (count(ret5) OVER (PARTITION BY session) - 1) - 0.5 END AS pct FROM f),
@@ -29,7 +29,7 @@ def flagship_momentum(spark, d):
     """Bars from events, panel on the calendar, guarded return and volatility, rank, top ten a session."""
     grid = V.aligned(V.bars_daily(spark, d).select("symbol", "session", "c"))
     w5 = R.frame(5)
-    feats = grid.withColumn("ret5", F.col("c") / R.lag("c", 5) - 1)
+    feats = grid.withColumn("ret5", ratio(F.col("c"), R.lag("c", 5)) - 1)
     feats = feats.withColumn("vol5", F.when((F.count(F.lit(1)).over(w5) == 5) & (F.count("c").over(w5) >= 3), F.stddev_samp("c").over(w5)))
     ranked = feats.withColumn("pct", X.rank_pct("ret5", least=5)).filter("pct is not null and vol5 > 0")
     best = X.top_k(ranked, "session", [F.desc("pct"), F.asc("symbol")], 10)
@@ -63,31 +63,31 @@ def panel_align(spark, d):
     return V.aligned(V.weekly(spark, d)).select("symbol", "session", "ix", "price", "v")
 
 
-@query(f"""WITH {S.GRID} SELECT symbol, ix, {', '.join(f"{S.r6(f'price / lag(price, {n}) OVER w - 1')} AS ret{n}" for n in (1, 5, 20))},
+@query(f"""WITH {S.GRID} SELECT symbol, ix, {', '.join(f"{S.r6(f'price / nullif(lag(price, {n}) OVER w, 0) - 1')} AS ret{n}" for n in (1, 5, 20))},
 {S.r6('ln(lag(price, 1) OVER w / lag(price, 2) OVER w)')} AS lagret FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ix)""")
 def returns_multi(spark, d):
     """Simple returns over 1, 5 and 20 sessions and yesterday's log return."""
     grid = V.aligned(V.weekly(spark, d))
-    rets = [r6(F.col("price") / R.lag("price", n) - 1).alias(f"ret{n}") for n in (1, 5, 20)]
+    rets = [r6(ratio(F.col("price"), R.lag("price", n)) - 1).alias(f"ret{n}") for n in (1, 5, 20)]
     return grid.select("symbol", "ix", *rets, r6(log_return(R.lag("price", 1), R.lag("price", 2))).alias("lagret"))
 
 
-@query(f"""WITH {S.WEEKLY}, {S.CAL}, w AS (SELECT symbol, ix, h / price AS ratio, price FROM weekly JOIN cal USING (session)),
-s AS (SELECT *, ratio / lag(ratio) OVER (PARTITION BY symbol ORDER BY ix) - 1 AS step, lag(price) OVER (PARTITION BY symbol ORDER BY ix) AS prior FROM w)
+@query(f"""WITH {S.WEEKLY}, {S.CAL}, w AS (SELECT symbol, ix, h / nullif(price, 0) AS ratio, price FROM weekly JOIN cal USING (session)),
+s AS (SELECT *, ratio / nullif(lag(ratio) OVER (PARTITION BY symbol ORDER BY ix), 0) - 1 AS step, lag(price) OVER (PARTITION BY symbol ORDER BY ix) AS prior FROM w)
 SELECT symbol, ix, {S.r6('step')} AS step, {S.r6('prior * step')} AS per_share FROM s WHERE abs(step) > 1e-4 AND abs(step) <= 0.2""")
 def gap_dividend_step(spark, d):
     """Steps of the ratio of two price series: the ex-date and amount per share. Steps over 20 % are errors, not dividends."""
-    p = V.indexed(V.weekly(spark, d)).withColumn("ratio", F.col("h") / F.col("price"))
-    s = p.withColumn("step", F.col("ratio") / R.lag("ratio", 1) - 1).withColumn("prior", R.lag("price", 1))
+    p = V.indexed(V.weekly(spark, d)).withColumn("ratio", ratio(F.col("h"), F.col("price")))
+    s = p.withColumn("step", ratio(F.col("ratio"), R.lag("ratio", 1)) - 1).withColumn("prior", R.lag("price", 1))
     return s.filter("abs(step) > 1e-4 and abs(step) <= 0.2").select("symbol", "ix", r6(F.col("step")).alias("step"), r6(F.col("prior") * F.col("step")).alias("per_share"))
 
 
-@query(f"""WITH {S.BARS} SELECT session FROM bars GROUP BY session HAVING count(DISTINCT symbol) * 10 >= (SELECT count(DISTINCT symbol) FROM bars) * 9""")
+@query(f"""WITH {S.WEEKLY} SELECT session FROM weekly GROUP BY session HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM weekly)""")
 def common_sessions(spark, d):
-    """Sessions on which nine tenths of the symbols traded."""
-    b = V.bars_daily(spark, d).select("symbol", "session")
+    """Sessions on which every symbol traded."""
+    b = V.weekly(spark, d).select("symbol", "session")
     n = b.agg(F.countDistinct("symbol").alias("n"))
-    return b.groupBy("session").agg(F.countDistinct("symbol").alias("k")).join(F.broadcast(n)).filter("k * 10 >= n * 9").select("session")
+    return b.groupBy("session").agg(F.countDistinct("symbol").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n"), "left_semi").select("session")
 
 
 @query(f"""WITH {S.WEEKLY}, {S.CAL}, c AS (SELECT session, ix, count(*) OVER (PARTITION BY month(session), year(session) ORDER BY session) AS nth FROM cal)

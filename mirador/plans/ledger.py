@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bar_fill, commission, order_code, r6, spread_bps
+from ..functions.scalars import bar_fill, commission, order_code, r6, ratio, spread_bps
 from ..operators import ledger as L
 from ..operators import temporal as T
 from ..sources import views as V
@@ -63,10 +63,18 @@ def dividend_credit(spark, d):
     return at.filter("per is not null and quantity <> 0").select("sleeve", "symbol", "ex_date", "quantity", (F.col("quantity") * F.col("per")).alias("amount_cents"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.FILLS}, n AS (SELECT sleeve, symbol, CASE WHEN side = 'BOT' THEN shares ELSE -shares END AS move, shares, cents / shares AS price, fee,
+row_number() OVER (PARTITION BY sleeve, symbol ORDER BY time, l_orderkey, l_linenumber) AS k FROM latest),
+b AS (SELECT sleeve, symbol, 0::BIGINT AS k, 0::BIGINT AS qty, 0::DOUBLE AS avg, 0::DOUBLE AS realized, 0::BIGINT AS fees, 0::BIGINT AS missing FROM n WHERE k = 1
+UNION ALL SELECT n.sleeve, n.symbol, n.k, b.qty + n.move,
+CASE WHEN b.qty + n.move = 0 THEN 0 WHEN b.qty = 0 OR (b.qty > 0) = (n.move > 0) THEN (b.avg * abs(b.qty) + n.price * n.shares) / (abs(b.qty) + n.shares) WHEN n.shares > abs(b.qty) THEN n.price ELSE b.avg END,
+b.realized + CASE WHEN b.qty <> 0 AND (b.qty > 0) <> (n.move > 0) THEN least(abs(b.qty), n.shares) * (n.price - b.avg) * sign(b.qty) ELSE 0 END, b.fees + coalesce(n.fee, 0), b.missing + (n.fee IS NULL)::INT
+FROM b JOIN n ON n.sleeve = b.sleeve AND n.symbol = b.symbol AND n.k = b.k + 1)
+SELECT sleeve, symbol, qty, {S.r6('avg')} AS avg_cents, {S.r6('realized')} AS realized_cents, fees, {S.r6('realized - fees')} AS net_cents, missing AS missing_fees FROM b QUALIFY k = max(k) OVER (PARTITION BY sleeve, symbol)""")
 def avg_cost_book(spark, d):
-    """Average cost, realized profit and flips through zero: an ordered fold a book."""
-    return L.average_cost(latest_fills(spark, d), ["sleeve", "symbol"])
+    """Average cost, flips through zero, realized profit before and after fees: an ordered fold a book."""
+    b = L.average_cost(latest_fills(spark, d), ["sleeve", "symbol"])
+    return b.select("sleeve", "symbol", "qty", r6(F.col("avg_cents")).alias("avg_cents"), r6(F.col("realized_cents")).alias("realized_cents"), "fees", r6(F.col("realized_cents") - F.col("fees")).alias("net_cents"), "missing_fees")
 
 
 _NAV = f"""{S.FILLS}, day AS (SELECT sleeve, time::DATE AS session, sum(CASE WHEN side = 'BOT' THEN -cents ELSE cents END)::BIGINT AS flow FROM latest GROUP BY ALL),
@@ -74,7 +82,7 @@ nav AS (SELECT sleeve, session, 100000000000 + sum(flow) OVER (PARTITION BY slee
 
 
 @query(f"""WITH {_NAV}, t AS (SELECT *, max(nav) OVER (PARTITION BY sleeve ORDER BY session) AS top, lag(nav) OVER (PARTITION BY sleeve ORDER BY session) AS before FROM nav)
-SELECT sleeve, session, nav::BIGINT AS nav, {S.r6('nav / before - 1')} AS daily, {S.r6('min(nav / top - 1) OVER (PARTITION BY sleeve ORDER BY session)')} AS max_drawdown FROM t""")
+SELECT sleeve, session, nav::BIGINT AS nav, {S.r6('nav / nullif(before, 0) - 1')} AS daily, {S.r6('min(nav / nullif(top, 0) - 1) OVER (PARTITION BY sleeve ORDER BY session)')} AS max_drawdown FROM t""")
 def nav_curve(spark, d):
     """Daily value of each sleeve, its daily change and largest drawdown so far."""
     f = latest_fills(spark, d)
@@ -82,7 +90,7 @@ def nav_curve(spark, d):
     day = f.groupBy("sleeve", F.to_date("time").alias("session")).agg(flow.alias("flow"))
     w = W.partitionBy("sleeve").orderBy("session")
     nav = day.withColumn("nav", F.lit(100000000000) + F.sum("flow").over(w))
-    nav = nav.withColumns({"down": F.col("nav") / F.max("nav").over(w) - 1, "daily": F.col("nav") / F.lag("nav").over(w) - 1})
+    nav = nav.withColumns({"down": ratio(F.col("nav"), F.max("nav").over(w)) - 1, "daily": ratio(F.col("nav"), F.lag("nav").over(w)) - 1})
     return nav.select("sleeve", "session", "nav", r6(F.col("daily")).alias("daily"), r6(F.min("down").over(w)).alias("max_drawdown"))
 
 
@@ -102,7 +110,7 @@ def margin_cut_plan(spark, d):
 def commission_costs(spark, d):
     """Commission with and without the one-per-cent cap, and spreads in basis points."""
     li = V.table(spark, d, "lineitem")
-    q, p = F.col("l_quantity"), F.col("l_extendedprice") / F.col("l_quantity")
+    q, p = F.col("l_quantity"), ratio(F.col("l_extendedprice"), F.col("l_quantity"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
     return li.select(*keys, r6(commission(q, p)).alias("fee"), r6(commission(q, p, cap=None)).alias("fee_no_cap"), r6(spread_bps(1 - F.col("l_discount"), F.lit(1.0))).alias("spread"))
 
@@ -148,10 +156,13 @@ def single_bar_fill(spark, d):
     return b.select("symbol", "session", "kind", "buy", r6(fill).alias("fill"))
 
 
-@query()
+@query(f"""WITH {S.BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session) AS k FROM bars),
+s AS (SELECT *, 0.8 * max(CASE WHEN k = 1 THEN c ELSE h END) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM n),
+f AS (SELECT *, CASE WHEN o <= stop THEN o WHEN l <= stop THEN stop END AS fill FROM s)
+SELECT symbol, count(*)::BIGINT AS bars, min(session) FILTER (fill IS NOT NULL) AS session, {S.r6('arg_min(fill, k) FILTER (fill IS NOT NULL)')} AS price FROM f GROUP BY symbol""")
 def market_episode(spark, d):
     """Trailing-stop episodes: one order a symbol, carried over its bars until it fills."""
-    return L.trailing_episodes(V.bars_daily(spark, d), percent=20.0)
+    return L.trailing_fills(V.bars_daily(spark, d), 20.0).select("symbol", "bars", "session", r6(F.col("price")).alias("price"))
 
 
 @query(f"""WITH {S.RET}, m AS (SELECT ix, avg(r) AS m FROM ret GROUP BY ix), w AS (SELECT symbol, (symbol % 5 - 2)::DOUBLE AS w FROM (SELECT DISTINCT symbol FROM ret))

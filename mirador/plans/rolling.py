@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import blume, clip, r6
+from ..functions.scalars import blume, clip, r6, ratio
 from ..operators import rolling as R
 from ..sources import views as V
 from . import sql as S
@@ -72,11 +72,11 @@ def range_vol_estimators(spark, d):
     return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *_cols(parkinson=F.sqrt(F.avg(hl * hl) / (4 * F.ln(F.lit(2.0)))), garman_klass=root(0.5 * hl * hl - k * co * co), rogers_satchell=root(rs)))
 
 
-@query(f"WITH {S.RET} SELECT symbol, ix, {S.r6(f'max(abs(r)) OVER {S.frame(5, -20)}')} AS echo, {S.r6(f'price / max(h) OVER {S.frame(52)} - 1')} AS off_high, {S.r6(f'price / min(l) OVER {S.frame(52)} - 1')} AS off_low FROM ret")
+@query(f"WITH {S.RET} SELECT symbol, ix, {S.r6(f'max(abs(r)) OVER {S.frame(5, -20)}')} AS echo, {S.r6(f'price / nullif(max(h) OVER {S.frame(52)}, 0) - 1')} AS off_high, {S.r6(f'price / nullif(min(l) OVER {S.frame(52)}, 0) - 1')} AS off_low FROM ret")
 def echo_off_high_low(spark, d):
     """The largest move of the week 20 sessions ago; distance from the year's high and low."""
     w = R.frame(52)
-    return weekly_returns(spark, d).select("symbol", "ix", *_cols(echo=F.max(F.abs("r")).over(R.frame(5, -20)), off_high=F.col("price") / F.max("h").over(w) - 1, off_low=F.col("price") / F.min("l").over(w) - 1))
+    return weekly_returns(spark, d).select("symbol", "ix", *_cols(echo=F.max(F.abs("r")).over(R.frame(5, -20)), off_high=ratio(F.col("price"), F.max("h").over(w)) - 1, off_low=ratio(F.col("price"), F.min("l").over(w)) - 1))
 
 
 _BENCH = f"{S.RET}, bench AS (SELECT ix, avg(r) AS m FROM ret GROUP BY ix), pair AS (SELECT ret.*, m FROM ret JOIN bench USING (ix))"
@@ -98,16 +98,16 @@ def _beta(spark, d):
     w, mv = R.frame(60), F.when(F.col("r").isNotNull(), F.col("m"))
     p = p.withColumns({"n": F.count("r").over(w), "cv": F.covar_pop("r", "m").over(w), "vm": F.var_pop(mv).over(w), "vr": F.var_pop("r").over(w)})
     ok = (F.col("n") >= 40) & (F.col("vm") > 0)
-    return p.withColumns({"beta": F.when(ok, F.col("cv") / F.col("vm")), "resid": F.when(ok, F.sqrt(F.greatest(F.col("vr") - F.col("cv") * F.col("cv") / F.col("vm"), F.lit(0.0))))})
+    return p.withColumns({"beta": F.when(ok, ratio(F.col("cv"), F.col("vm"))), "resid": F.when(ok, F.sqrt(F.greatest(F.col("vr") - ratio(F.col("cv") * F.col("cv"), F.col("vm")), F.lit(0.0))))})
 
 
-@query(f"""WITH {_BENCH}, b AS (SELECT symbol, count(r) AS n, covar_pop(r, m) / var_pop({_VALID}) AS raw FROM pair GROUP BY symbol)
+@query(f"""WITH {_BENCH}, b AS (SELECT symbol, count(r) AS n, covar_pop(r, m) / nullif(var_pop({_VALID}), 0) AS raw FROM pair GROUP BY symbol)
 SELECT symbol, n::BIGINT AS n, {S.r6('CASE WHEN n >= 40 THEN CASE WHEN symbol % 2 = 1 THEN raw * 2 / 3 + 1.0 / 3 ELSE raw END END')} AS beta FROM b""")
 def blume_beta(spark, d):
     """Whole-sample beta, shrunk to one for stocks (odd symbols here) and raw for funds."""
     p = weekly_returns(spark, d)
     p = p.join(p.groupBy("ix").agg(F.avg("r").alias("m")), "ix")
-    b = p.groupBy("symbol").agg(F.count("r").alias("n"), (F.covar_pop("r", "m") / F.var_pop(F.when(F.col("r").isNotNull(), F.col("m")))).alias("raw"))
+    b = p.groupBy("symbol").agg(F.count("r").alias("n"), ratio(F.covar_pop("r", "m"), F.var_pop(F.when(F.col("r").isNotNull(), F.col("m")))).alias("raw"))
     return b.select("symbol", "n", r6(blume(F.col("raw"), F.col("n"), 40, F.col("symbol") % 2 == 1)).alias("beta"))
 
 
@@ -138,13 +138,13 @@ def max_drawdown_window(spark, d):
     return p.withColumn("drawdown", R.drawdown("price", 13)).filter("drawdown is not null").select("symbol", "ix", r6(F.col("drawdown")).alias("drawdown"))
 
 
-@query(f"""WITH {S.RET}, f AS (SELECT symbol, ix, lead(price, 5) OVER w / price - 1 AS fwd5, lead(price, 20) OVER w / price - 1 AS fwd20,
-min(l) OVER {S.frame(20, 20)} / price - 1 AS low20, price FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY ix))
+@query(f"""WITH {S.RET}, f AS (SELECT symbol, ix, lead(price, 5) OVER w / nullif(price, 0) - 1 AS fwd5, lead(price, 20) OVER w / nullif(price, 0) - 1 AS fwd20,
+min(l) OVER {S.frame(20, 20)} / nullif(price, 0) - 1 AS low20, price FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY ix))
 SELECT symbol, ix, {S.r6('fwd5')} AS fwd5, {S.r6('fwd20')} AS fwd20, {S.r6('low20')} AS low20, (low20 < -0.3)::INT AS fell FROM f WHERE price IS NOT NULL""")
 def forward_targets(spark, d):
     """Returns to come over 5 and 20 sessions, and whether the low ahead is 30 % down."""
     p = weekly_returns(spark, d)
-    low = F.min("l").over(R.frame(20, 20)) / F.col("price") - 1
-    lead = lambda n: F.lead("price", n).over(R.by()) / F.col("price") - 1
+    low = ratio(F.min("l").over(R.frame(20, 20)), F.col("price")) - 1
+    lead = lambda n: ratio(F.lead("price", n).over(R.by()), F.col("price")) - 1
     p = p.withColumns({"low": low, "f5": lead(5), "f20": lead(20)}).filter("price is not null")
     return p.select("symbol", "ix", *_cols(fwd5=F.col("f5"), fwd20=F.col("f20"), low20=F.col("low")), (F.col("low") < -0.3).cast("int").alias("fell"))

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_label, r6
+from ..functions.scalars import half_label, r6, ratio
 from ..operators import models as M
 from ..operators import rolling as R
 from ..operators import xsection as X
@@ -42,8 +42,8 @@ beta AS (SELECT *, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 *
 
 def _features(spark, d):
     g = V.aligned(V.weekly(spark, d))
-    back = lambda n: F.col("price") / R.lag("price", n) - 1
-    return g.withColumns({"x1": back(1), "x2": back(4), "t": F.lead("price", 5).over(R.by()) / F.col("price") - 1}).select("symbol", "session", "ix", "x1", "x2", "t")
+    back = lambda n: ratio(F.col("price"), R.lag("price", n)) - 1
+    return g.withColumns({"x1": back(1), "x2": back(4), "t": ratio(F.lead("price", 5).over(R.by()), F.col("price")) - 1}).select("symbol", "session", "ix", "x1", "x2", "t")
 
 
 def predictions(spark, d):
@@ -74,10 +74,10 @@ def r2_oos(spark, d):
     p = predictions(spark, d).filter("t is not null")
     f = _features(spark, d).filter("x1 is not null and x2 is not null and t is not null")
     m = f.groupBy("ix").agg(F.sum("t").alias("s"), F.count("t").alias("k"))
-    mt = F.broadcast(_blocks(spark, d)).join(m, F.col("ix") <= F.col("train_to")).groupBy("block").agg((F.sum("s") / F.sum("k")).alias("mt"))
+    mt = F.broadcast(_blocks(spark, d)).join(m, F.col("ix") <= F.col("train_to")).groupBy("block").agg(ratio(F.sum("s"), F.sum("k")).alias("mt"))
     p = p.join(F.broadcast(mt), "block")
     sq = lambda a: F.sum((F.col("t") - F.col(a)) * (F.col("t") - F.col(a)))
-    return p.groupBy("block").agg(F.count(F.lit(1)).alias("n"), r6(1 - sq("pred") / sq("mt")).alias("r2"), r6(F.corr("pred", "t")).alias("corr")).filter("n > 2")
+    return p.groupBy("block").agg(F.count(F.lit(1)).alias("n"), r6(1 - ratio(sq("pred"), sq("mt"))).alias("r2"), r6(F.corr("pred", "t")).alias("corr")).filter("n > 2")
 
 
 _IC = f"""{_SCORED}, k AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY score, symbol) AS a, row_number() OVER (PARTITION BY session ORDER BY y, symbol) AS b FROM used),
@@ -101,7 +101,7 @@ def ic_tstat(spark, d):
     """Mean over all steps; t-statistic over every fifth, whose horizons don't overlap."""
     st = ic(spark, d).withColumn("step", F.row_number().over(W.orderBy("session")) - 1)  # a row a session
     own = F.when(F.col("step") % 5 == 0, F.col("ic"))
-    return st.agg(F.count(F.lit(1)).alias("steps"), r6(F.avg("ic")).alias("mean"), r6(F.avg(own) / (F.stddev_samp(own) / F.sqrt(F.count(own)))).alias("t"))
+    return st.agg(F.count(F.lit(1)).alias("steps"), r6(F.avg("ic")).alias("mean"), r6(ratio(F.avg(own), F.stddev_samp(own) / F.sqrt(F.count(own)))).alias("t"))
 
 
 @query(f"WITH {_IC} SELECT year(session)::VARCHAR || CASE WHEN month(session) <= 6 THEN 'H1' ELSE 'H2' END AS half, count(*)::BIGINT AS n, {S.r6('avg(ic)')} AS mean, {S.r6('avg((ic > 0)::INT)')} AS hit FROM ic GROUP BY ALL")
@@ -146,7 +146,7 @@ def brier_skill(spark, d):
     o = outcomes(spark, d)
     o = o.join(F.broadcast(o.agg(F.avg("y").alias("base"))))
     sq = lambda a: F.avg((F.col(a) - F.col("y")) * (F.col(a) - F.col("y")))
-    return o.agg(F.count(F.lit(1)).alias("n"), r6(sq("p")).alias("brier"), r6(1 - sq("p") / sq("base")).alias("skill"))
+    return o.agg(F.count(F.lit(1)).alias("n"), r6(sq("p")).alias("brier"), r6(1 - ratio(sq("p"), sq("base"))).alias("skill"))
 
 
 @query(f"WITH {_OUT} SELECT ntile::INT AS bin, count(*)::BIGINT AS n, {S.r6('avg(p)')} AS said, {S.r6('avg(y)')} AS was FROM out GROUP BY ntile")

@@ -65,8 +65,8 @@ def bitemporal_asof(spark, d):
     vin = t.select("symbol", "event_type", "price", F.col("ts").alias("rs"), (nx - F.expr("INTERVAL '0.000001' SECOND")).alias("re"))
     noon = F.to_date("ts").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")
     at = t.filter("event_type = 'view'").select("symbol", noon.alias("t")).distinct()
-    got = T.bitemporal(vin, at, "symbol", "t", "rs", "re")
-    return got.select("symbol", "event_type", F.col("_at").alias("at_time"), "price")
+    got = T.bitemporal(vin, at, "symbol", ["event_type"], "t", "rs", "re", ["price"])
+    return got.select("symbol", "event_type", F.col("t").alias("at_time"), "price")
 
 
 @query(f"""WITH {_DEC} SELECT d.event_id, count(f.ts)::BIGINT AS visible, max(f.ts) AS newest, {S.r6('avg(f.price)')} AS mean FROM dec d JOIN fil f ON f.symbol = d.symbol AND f.ts < d.ts GROUP BY d.event_id""")

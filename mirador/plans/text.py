@@ -55,7 +55,8 @@ def json_props(spark, d):
     return V.ticks(spark, d).groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("price")).alias("mean"))
 
 
-@query()
+@query(f"""WITH {S.FILLS} SELECT sleeve, symbol, sum(CASE WHEN side = 'BOT' THEN shares ELSE -shares END)::BIGINT AS qty, sum(CASE WHEN side = 'BOT' THEN -cents ELSE cents END - coalesce(fee, 0))::BIGINT AS cash_cents,
+count(*) FILTER (fee IS NULL)::BIGINT AS missing_fees FROM latest GROUP BY ALL""")
 def stream_dedup_ledger(spark, d):
     """The ledger as a stream: late and repeated records, the latest of each execution kept
     in state, positions summed from it. Equal to ``positions_at`` without its date."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import r6
+from ..functions.scalars import r6, ratio
 from ..operators import xsection as X
 from ..sources import views as V
 from . import sql as S
@@ -22,22 +22,21 @@ def rank_avg(spark, d):
     return V.bars_daily(spark, d).select("symbol", "session", r6(X.rank_average("v", ["session"])).alias("avg_rank"))
 
 
-@query(f"""WITH {S.RET}, refs AS (SELECT session, r FROM ret JOIN nation ON n_nationkey = symbol WHERE n_regionkey = 0 AND r IS NOT NULL),
-a AS (SELECT session, symbol, r FROM ret WHERE r IS NOT NULL)
-SELECT a.session, a.symbol, {S.r6('sum((x.r < a.r)::INT) / count(*)')} AS pct FROM a JOIN refs x USING (session) GROUP BY a.session, a.symbol, a.r""")
+@query(f"""WITH {S.RET}, a AS (SELECT session, symbol, r, n_regionkey < 4 AS ref FROM ret JOIN nation ON n_nationkey = symbol WHERE r IS NOT NULL)
+SELECT a.session, a.symbol, {S.r6('least(greatest((sum((x.r < a.r)::INT) + sum((x.r <= a.r)::INT) - any_value(a.ref)::INT) / 2 / (count(*) - 1), 0), 1) - 0.5')} AS pct
+FROM a JOIN a x ON a.session = x.session AND x.ref GROUP BY a.session, a.symbol, a.r HAVING count(*) >= 20""")
 def xrank_external(spark, d):
-    """Share of a reference group (region 0) below each symbol's return, from a count over
-    the sorted union rather than a join of all with all."""
+    """Place of every symbol's return in a reference group (regions 0 to 3), members and
+    others alike: the middle of its left and right insertion, from 20 references up. Counts
+    come from the sorted union rather than a join of all with all."""
     from pyspark.sql import Window as W
 
-    p = weekly_returns(spark, d).filter("r is not null").join(F.broadcast(V.regions(spark, d)), "symbol")
-    asks = p.select("session", "symbol", "r", F.lit(0).alias("ref"))
-    refs = p.filter("region = 0").select("session", F.lit(None).cast("int").alias("symbol"), "r", F.lit(1).alias("ref"))
-    w = W.partitionBy("session").orderBy("r").rangeBetween(W.unboundedPreceding, 0)
-    both = asks.unionByName(refs)
-    same = W.partitionBy("session", "r")
-    both = both.withColumns({"below": F.sum("ref").over(w) - F.sum("ref").over(same), "n": F.sum("ref").over(W.partitionBy("session"))})
-    return both.filter("ref = 0 and n > 0").select("session", "symbol", r6(F.col("below") / F.col("n")).alias("pct"))
+    p = weekly_returns(spark, d).filter("r is not null").join(F.broadcast(V.regions(spark, d)), "symbol").withColumn("ref", (F.col("region") < 4).cast("int"))
+    upto = F.sum("ref").over(W.partitionBy("session").orderBy("r").rangeBetween(W.unboundedPreceding, 0))
+    same, n = F.sum("ref").over(W.partitionBy("session", "r")), F.sum("ref").over(W.partitionBy("session"))
+    p = p.withColumns({"upto": upto, "same": same, "n": n}).filter("n >= 20")
+    middle = (F.col("upto") - F.col("same") + F.col("upto") - F.col("ref")) / 2 / (F.col("n") - 1)
+    return p.select("session", "symbol", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), middle)) - 0.5).alias("pct"))
 
 
 @query(f"""WITH {S.RET}, g AS (SELECT symbol, session, r, n_regionkey AS region FROM ret JOIN nation ON n_nationkey = symbol),
@@ -49,7 +48,7 @@ def loo_group_mean(spark, d):
     return p.select("symbol", "session", r6(X.leave_one_out("r", "session", "region")).alias("others"), r6(X.demean("r", "session", "region")).alias("demeaned"))
 
 
-_SCORED = f"""{S.GRID}, scored AS (SELECT symbol, session, price / lag(price, 4) OVER w - 1 AS score, lead(price) OVER w / price - 1 AS y FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ix)),
+_SCORED = f"""{S.GRID}, scored AS (SELECT symbol, session, price / nullif(lag(price, 4) OVER w, 0) - 1 AS score, lead(price) OVER w / nullif(price, 0) - 1 AS y FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ix)),
 used AS (SELECT * FROM scored WHERE score IS NOT NULL AND y IS NOT NULL)"""
 
 
@@ -58,7 +57,7 @@ def scored(spark, d):
     from ..operators import rolling as R
 
     g = V.aligned(V.weekly(spark, d))
-    g = g.withColumns({"score": F.col("price") / R.lag("price", 4) - 1, "y": F.lead("price", 1).over(R.by()) / F.col("price") - 1})
+    g = g.withColumns({"score": ratio(F.col("price"), R.lag("price", 4)) - 1, "y": ratio(F.lead("price", 1).over(R.by()), F.col("price")) - 1})
     return g.filter("score is not null and y is not null").select("symbol", "session", "ix", "score", "y")
 
 
@@ -91,10 +90,10 @@ def breadth_dispersion(spark, d):
 
 #: Scans of the last session: name, the value of a symbol, whether the largest come first.
 _SCANS = {
-    "gain_1": ("price / p1 - 1", True), "loss_1": ("price / p1 - 1", False), "gain_4": ("price / p4 - 1", True), "loss_4": ("price / p4 - 1", False),
-    "gain_13": ("price / p13 - 1", True), "loss_13": ("price / p13 - 1", False), "gain_52": ("price / p52 - 1", True), "loss_52": ("price / p52 - 1", False),
-    "volume": ("double(v)", True), "quiet": ("double(v)", False), "volume_ratio": ("v / v13", True), "dry_volume": ("v / v13", False), "value": ("price * v", True),
-    "range": ("h / l - 1", True), "narrow": ("h / l - 1", False), "near_high": ("price / h52", True), "near_low": ("price / l52", False), "price": ("price", True),
+    "gain_1": ("price / nullif(p1, 0) - 1", True), "loss_1": ("price / nullif(p1, 0) - 1", False), "gain_4": ("price / nullif(p4, 0) - 1", True), "loss_4": ("price / nullif(p4, 0) - 1", False),
+    "gain_13": ("price / nullif(p13, 0) - 1", True), "loss_13": ("price / nullif(p13, 0) - 1", False), "gain_52": ("price / nullif(p52, 0) - 1", True), "loss_52": ("price / nullif(p52, 0) - 1", False),
+    "volume": ("double(v)", True), "quiet": ("double(v)", False), "volume_ratio": ("v / nullif(v13, 0)", True), "dry_volume": ("v / nullif(v13, 0)", False), "value": ("price * v", True),
+    "range": ("h / nullif(l, 0) - 1", True), "narrow": ("h / nullif(l, 0) - 1", False), "near_high": ("price / nullif(h52, 0)", True), "near_low": ("price / nullif(l52, 0)", False), "price": ("price", True),
     "cheap": ("price", False), "vol": ("vol13", True), "calm": ("vol13", False),
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import r6
+from ..functions.scalars import r6, ratio
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def bars_daily(spark: SparkSession, d: str) -> DataFrame:
 
 def weekly(spark: SparkSession, d: str) -> DataFrame:
     """Panel of nations by week: price, high, low, volume."""
-    li = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("p"))
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("symbol"))
     week = F.to_date(F.date_trunc("week", "l_shipdate")).alias("session")
     own = li.join(sup, "l_suppkey").groupBy("symbol", week)

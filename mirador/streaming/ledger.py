@@ -16,9 +16,13 @@ _LAST = ("time", "symbol", "side", "shares", "cents", "fee", "l_partkey", "l_dis
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (a local test) one of this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="mirador-")
+    """A folder that driver and executors share: spark.checkpoint.dir. Where that is unset,
+    one of this machine, which will do only for a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="mirador-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -9,8 +9,6 @@ from mirador.plans import catalog
 from tests.oracle import duck, same
 
 SF = "/root/testdata/sf0.001"
-#: The scanners share one plan; a few stand for all.
-NAMES = [n for n in catalog.ORACLES if not n.startswith("scanner_") or n in ("scanner_gain_4", "scanner_calm")]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +16,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_query_equals_sql(spark, con, name):
     same(catalog.QUERIES[name](spark, SF), con, catalog.ORACLES[name])
 

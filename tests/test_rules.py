@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from mirador.functions.scalars import bar_fill, commission
+from mirador.functions.scalars import bar_fill, commission, ratio
 from mirador.operators import ledger, rolling, temporal, xsection
 
 
@@ -19,10 +19,31 @@ def test_average_cost_closed_is_flat():
     assert ledger.fold_fills([("SLD", 4, 400, 0), ("BOT", 4, 200, 0)])[:3] == (0, 0.0, 200.0)
 
 
-def test_trailing_stop_gap_touch_and_none():
-    assert ledger.trail([(0, 0, 0, 100), (70, 75, 60, 72)], 20) == (1, 70)
-    assert ledger.trail([(0, 0, 0, 100), (95, 110, 85, 100), (100, 101, 80, 90)], 20) == (2, 88.0)
-    assert ledger.trail([(0, 0, 0, 100), (95, 99, 90, 95)], 20) is None
+def test_trailing_stop_gap_touch_and_none(spark):
+    def fill(*bars):
+        df = spark.createDataFrame([(1, n, *map(float, b)) for n, b in enumerate(bars)], "symbol int, session int, o double, h double, l double, c double")
+        r = ledger.trailing_fills(df, 20).first()
+        return r and (r.session, r.price)
+
+    assert fill((0, 0, 0, 100), (70, 75, 60, 72)) == (1, 70)
+    assert fill((0, 0, 0, 100), (95, 110, 85, 100), (100, 101, 80, 90)) == (2, 88.0)
+    assert fill((0, 0, 0, 100), (95, 99, 90, 95)) == (None, None)
+
+
+def test_zero_prices_give_nulls(spark):
+    r = spark.createDataFrame([(1.0, 0.0), (4.0, 2.0)], "a double, b double").select(ratio(F.col("a"), F.col("b")).alias("q")).collect()
+    assert [x.q for x in r] == [None, 2.0]
+
+
+def test_exponential_average_over_many_blocks(spark):
+    xs = [None if i % 97 == 5 else (i * 37 % 101) / 7 for i in range(2000)]
+    got = [r.e for r in rolling.ema(spark.createDataFrame([(1, i, x) for i, x in enumerate(xs)], "symbol int, ix long, x double"), "x", 20, "e").orderBy("ix").collect()]
+    want, e = [], None
+    for x in xs:
+        if x is not None:
+            e = x if e is None else e * (1 - 2 / 21) + x * 2 / 21
+        want.append(e)
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-9
 
 
 def test_fills_within_a_bar(spark):
