@@ -17,12 +17,15 @@ _own_folder: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test) a folder of this process is made.
+    Only where the session has none and its master is local (a test) a folder of this
+    process is made.
     """
     global _own_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="mirador-")
     return _own_folder
