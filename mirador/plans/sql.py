@@ -24,6 +24,10 @@ floor(l_extendedprice * 100 + 0.5)::BIGINT AS cents, CASE WHEN l_tax > 0 THEN fl
 l_partkey, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 latest AS (SELECT * FROM fills QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
 ORDER BY time DESC, symbol DESC, side DESC, shares DESC, cents DESC, fee DESC NULLS LAST, l_partkey DESC, l_discount DESC) = 1)"""
+#: Daily bars aligned to their calendar, and bars of three hours by event type.
+BGRID = f"""{BARS}, bcal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ix FROM (SELECT DISTINCT session FROM bars)), bgrid AS (SELECT s.symbol, bcal.session, bcal.ix::BIGINT AS ix, o, h, l, c, v
+FROM bcal CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.session = bcal.session)"""
+SLOTS = f"""{TICKS}, slots AS (SELECT event_type AS symbol, ts::DATE AS session, (hour(ts) // 3)::INT AS slot, arg_min(price, ts) AS o, max(price) AS h, min(price) AS l, arg_max(price, ts) AS c, count(*)::BIGINT AS v FROM ticks GROUP BY ALL)"""
 
 
 def frame(n: int, end: int = 0) -> str:

@@ -50,7 +50,7 @@ def mean(x: str, n: int, least: int, end: int = 0, agg: str = "avg", by: str = "
 
 def rank(x: str, least: int = 10, by: str = "session", key: str = "symbol") -> str:
     """Ordinal rank / (n - 1) - 0.5 among the valid values of a session, ties by key."""
-    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER (PARTITION BY {by}) > {least} THEN (row_number() OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST, {key}) - 1) / (count({x}) OVER (PARTITION BY {by}) - 1.0) - 0.5 END"
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER (PARTITION BY {by}) > {least} THEN (row_number() OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST, {key}) - 1) / (count({x}) OVER (PARTITION BY {by}) - 1e0) - 0.5 END"
 
 
 def apply(df: DataFrame, *stages: Stage) -> DataFrame:
