@@ -8,6 +8,8 @@ expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +96,29 @@ def weekly_grid(spark, d) -> DataFrame:
 def slots(spark, d) -> DataFrame:
     """Bars of three hours by event type: symbol (the type), session, slot 0..7."""
     return V.bars_of(V.ticks(spark, d).withColumn("symbol", F.col("event_type")), "symbol", F.to_date("ts").alias("session"), F.expr("int(hour(ts) div 3)").alias("slot"))
+
+
+def _spark(e: str) -> str:
+    """The few words in which the two dialects differ, in Spark's."""
+    e = re.sub(r"daynum\((\w+)\)", r"unix_date(\1)", e)
+    return e.replace("isodow(", "1 + weekday(")
+
+
+def _duck(e: str) -> str:
+    e = re.sub(r"daynum\((\w+)\)", r"(\1 - DATE '1970-01-01')", e)
+    return e.replace("rlike(", "regexp_matches(")
+
+
+def rules(name: str, doc: str, table: str, keys: list[str], *stages: Stage, rounded: tuple[str, ...] = (), plain: tuple[str, ...] = (), where: str = "true") -> None:
+    """Register column rules over a table: ``plain`` columns as they are, ``rounded`` ones at
+    six decimals. Rules stay projections, so the scan reads only their columns."""
+    spark_stages = [{n: _spark(e) for n, e in s.items()} for s in stages]
+    duck_stages = [{n: _duck(e) for n, e in s.items()} for s in stages]
+
+    def run(spark, d):
+        return apply(V.table(spark, d, table), *spark_stages).filter(where).selectExpr(*keys, *plain, *[f"{r6(c)} AS {c}" for c in rounded])
+
+    run.__name__, run.__doc__ = name, doc
+    QUERIES[name] = run
+    body = chain(f"src AS (SELECT * FROM {table})", "src", *duck_stages)
+    ORACLES[name] = f"{body} SELECT {', '.join([*keys, *plain, *(f'{r6(c)} AS {c}' for c in rounded)])} FROM t{len(stages) - 1} WHERE {where}"
