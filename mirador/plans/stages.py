@@ -100,12 +100,14 @@ def slots(spark, d) -> DataFrame:
 
 def _spark(e: str) -> str:
     """The few words in which the two dialects differ, in Spark's."""
-    e = re.sub(r"daynum\((\w+)\)", r"unix_date(\1)", e)
-    return e.replace("isodow(", "1 + weekday(")
+    e = re.sub(r"daynum\((\w+)\)", r"unix_date(\1)", e.replace("\\", "\\\\"))
+    e = re.sub(r"sha256\((\w+)\)", r"sha2(\1, 256)", e)
+    return e.replace("isodow(", "1 + weekday(").replace("rxcount(", "regexp_count(")
 
 
 def _duck(e: str) -> str:
     e = re.sub(r"daynum\((\w+)\)", r"(\1 - DATE '1970-01-01')", e)
+    e = re.sub(r"rxcount\((\w+), ('[^']*')\)", r"len(regexp_extract_all(\1, \2))::INT", e)
     return e.replace("rlike(", "regexp_matches(")
 
 
