@@ -165,25 +165,26 @@ class Triples:
             self.row[pairs[k[:2]], place[k[2]]] = n + 1
 
     def mapped(self, block: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each window the weighted sum of ``values`` (row 0 zero) over its
-        subsequences, over its length; not a number where it has none."""
+        """For each window the weighted sum of ``values`` (a row for each entry of ``row``)
+        over its subsequences, over its length; not a number where it has none."""
         near = np.minimum(np.searchsorted(self.letters, block), max(0, len(self.letters) - 1))
         x = np.where(self.letters[near] == block, near + 1, 0) if len(self.letters) else np.zeros(block.shape, np.int64)
-        total, rows = np.zeros((len(block), *values.shape[1:])), self.row.ravel()
+        total = np.zeros((len(block), *values.shape[1:]))
         x = np.ascontiguousarray(x.T)
         for i, j in combinations(range(block.shape[1]), 2):
             pair = self.pair[x[i], x[j]] * self.row.shape[1]
             if not pair.any():
                 continue
             for k in range(j + 1, block.shape[1]):
-                total += DECAY ** (k - i + 1) * values[rows[pair + x[k]]]
+                total += DECAY ** (k - i + 1) * values[pair + x[k]]
         with np.errstate(invalid="ignore", divide="ignore"):
             length = norms(block)
             return total / length.reshape(-1, *[1] * (values.ndim - 1))
 
 
 def in_blocks(triples: Triples, windows_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    step = 2048 if values.ndim == 1 else 512
+    """``values``: a row for each key, and the first zero."""
+    step, values = 2048 if values.ndim == 1 else 512, values[triples.row.ravel()]
     parts = [triples.mapped(windows_[n : n + step], values) for n in range(0, len(windows_), step)]
     return np.concatenate(parts) if parts else np.zeros((0, *values.shape[1:]))
 
@@ -289,10 +290,12 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray
 class Model:
     """A weight for each subsequence of three, the shift, and the curve to a probability."""
 
-    def __init__(self, table: dict[str, float], shift: float, curve: tuple | None = None, prior: float = 0.5):
+    def __init__(self, table: dict[str, float], shift: float, marks: Iterable[str] = (), curve: tuple | None = None, prior: float = 0.5):
         keys = sorted(table)
         self.triples, self.values = Triples(keys), np.array([0.0, *(table[k] for k in keys)])
         self.shift, self.curve, self.prior = shift, curve, prior
+        #: Four letters in a row of a landmark; a pair of words without any has nothing to tell.
+        self.grams = {m[i : i + RUNS[0]] for m in (m.replace(" ", "") for m in marks) for i in range(len(m) - RUNS[0] + 1)}
         self._kept: dict[str, float] = {}
 
     def __getstate__(self):
@@ -315,7 +318,9 @@ class Model:
             self._kept = {}
         kept = self._kept
         new = list(set().union(*bags).difference(kept))
-        kept.update(zip(new, self.raw_units(new).tolist(), strict=True))
+        told = [u for u in new if u[0] == "<" or may_hold(u.replace(" ", ""), self.grams)]
+        kept.update(dict.fromkeys(new, self.shift - 1.0))
+        kept.update(zip(told, self.raw_units(told).tolist(), strict=True))
         out = np.zeros((len(texts), 3))
         for n, (bag, (own, _)) in enumerate(zip(bags, found, strict=True)):
             values = np.fromiter(map(kept.__getitem__, bag), float, len(bag))
@@ -364,6 +369,7 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, witnesses:
     toxic = Counter(u for bag, label in zip(bags, y, strict=True) if label for u in bag)
     telling = telling_runs(bags, y, toxic, clean)
     marks = landmarks(telling, toxic, clean, places)
+    telling_marks = [m for m in marks if m in telling]
     maps = [normalized(u) for u in marks]
     values, vectors = np.linalg.eigh(kernel(maps, maps))
     good = values > 1e-6
@@ -403,7 +409,7 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, witnesses:
         for a, phi in zip((whiten @ w[:-1]).tolist(), maps, strict=True):
             for key, v in phi.items():
                 table[key] = table.get(key, 0.0) + a * v
-        model = Model(table, float(w[-1]), prior=prior)
+        model = Model(table, float(w[-1]), telling_marks, prior=prior)
         if r + 1 < rounds:
             # of each document its highest window stays a witness, and those on the toxic side;
             # the clean windows that the machine finds most toxic join the clean side
