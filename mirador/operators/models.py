@@ -3,7 +3,7 @@ normal equations that Spark sums up."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,18 @@ def solve2(m: DataFrame, x1: str, x2: str, ridge: float = 0.0) -> DataFrame:
     b1, b2 = F.when(det != 0, (c1 * s22 - c2 * s12) / det), F.when(det != 0, (c2 * s11 - c1 * s12) / det)
     out = m.withColumns({"b1": b1, "b2": b2})
     return out.withColumn("b0", (F.col("one__y") - F.col("b1") * F.col(f"one__{x1}") - F.col("b2") * F.col(f"one__{x2}")) / n)
+
+
+def solve(df: DataFrame, a: list[list[Column]], b: list[Column], names: list[str]) -> DataFrame:
+    """``df`` with the solution of a symmetric positive definite system a x = b per row as
+    columns ``names``: elimination without pivots, a column a coefficient."""
+    k = len(b)
+    rows = [[*a[i], b[i]] for i in range(k)]
+    df = df.withColumns({f"_s{i}_{j}": rows[i][j] for i in range(k) for j in range(k + 1)})
+    at = lambda i, j: F.col(f"_s{i}_{j}")
+    for p in range(k):
+        df = df.withColumns({f"_s{i}_{j}": at(i, j) - F.try_divide(at(i, p), at(p, p)) * at(p, j) for i in range(p + 1, k) for j in range(p, k + 1)})
+    for i in range(k - 1, -1, -1):
+        rest = sum((at(i, j) * F.col(names[j]) for j in range(i + 1, k)), F.lit(0.0))
+        df = df.withColumn(names[i], F.try_divide(at(i, k) - rest, at(i, i)))
+    return df.drop(*[f"_s{i}_{j}" for i in range(k) for j in range(k + 1)])
