@@ -78,12 +78,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = 64) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Drain the emptiest bins by moves and by one-for-one and two-for-one exchanges.
 
     Each exchange puts more tokens into a bin that is at least as full as the one they
-    leave, so the sum of squared fills rises with every step and the search ends. It stops
-    at the lower bound, or after ``patience`` bins in a row that could not be emptied.
+    leave, so the sum of squared fills rises with every step and the search ends: at the
+    lower bound, or where no bin can be improved.
     """
     n = len(lengths)
     least = -(-int(lengths.sum()) // capacity)
@@ -92,30 +92,30 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, pati
         owner[items] = b
         fill[b] = lengths[items].sum()
     alive = np.ones(len(bins), bool)
-    failed: set[int] = set()
-    while alive.sum() > least and len(failed) < patience:
-        open_bins = [b for b in np.flatnonzero(alive).tolist() if b not in failed]
-        if not open_bins:
-            break
-        src = min(open_bins, key=lambda b: (fill[b], b))
+    failed = np.zeros(len(bins), bool)
+    while alive.sum() > least and (alive & ~failed).any():
+        src = int(np.argmin(np.where(alive & ~failed, fill, capacity + 1)))
+        steps = 0
         while True:
             items = np.flatnonzero(owner == src)
             if not len(items):
                 alive[src] = False
-                failed.clear()
                 break
             slack = np.where(alive & (fill >= fill[src]), capacity - fill, 0)
             slack[src] = 0
-            if not _step(items, src, owner, fill, slack, lengths):
-                failed.add(src)
+            if not _step(items, src, owner, fill, slack, lengths, capacity):
                 break
+            steps += 1
+        if steps:  # the others have other room and pieces now
+            failed[:] = False
+        failed[src] = True
     out: dict[int, list[int]] = {}
     for i, b in enumerate(owner.tolist()):
         out.setdefault(b, []).append(i)
     return list(out.values())
 
 
-def _step(items: np.ndarray, src: int, owner: np.ndarray, fill: np.ndarray, slack: np.ndarray, lengths: np.ndarray) -> bool:
+def _step(items: np.ndarray, src: int, owner: np.ndarray, fill: np.ndarray, slack: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
     """One move or exchange that takes tokens out of ``src``; False where there is none."""
 
     def give(away: list[int], back: int | None, to: int) -> bool:
@@ -128,32 +128,42 @@ def _step(items: np.ndarray, src: int, owner: np.ndarray, fill: np.ndarray, slac
         return True
 
     order = items[np.argsort(-lengths[items], kind="stable")]
-    for a in order.tolist():  # move: the bin it fills best
+    most = slack.max()
+    for a in order[lengths[order] <= most].tolist():  # move: the bin it fills best
         fits = np.flatnonzero(slack >= lengths[a])
-        if len(fits):
-            return give([a], None, int(fits[np.argmin(slack[fits])]))
+        return give([a], None, int(fits[np.argmin(slack[fits])]))
     room = slack[owner]  # of the bin that holds each piece
     candidates = np.flatnonzero(room > 0)
     if not len(candidates):
         return False
-    theirs, room = lengths[candidates], room[candidates]
-    offers = [([a], int(lengths[a])) for a in order.tolist()]
-    short = order[-24:].tolist()
-    offers += [([a, b], int(lengths[a] + lengths[b])) for k, a in enumerate(short) for b in short[k + 1 :]]
-    for away, size in offers:  # exchange: the one that moves most tokens
-        gain = size - theirs
-        gain[(gain <= 0) | (gain > room)] = 0
-        best = int(np.argmax(gain))
-        if gain[best] > 0:
-            c = int(candidates[best])
-            return give(away, c, int(owner[c]))
-    return False
+    # for each size the shortest piece whose place can take it: by falling reach, the least so far
+    theirs = lengths[candidates]
+    reach = np.minimum(theirs + room[candidates], capacity)
+    shortest = np.full(capacity + 1, capacity + 1)
+    np.minimum.at(shortest, reach, theirs)
+    shortest = np.minimum.accumulate(shortest[::-1])[::-1]
+    sizes = lengths[order]
+    gain = sizes - shortest[sizes]
+    if gain.max() > 0:  # exchange: the one that moves most tokens
+        k = int(np.argmax(gain))
+        away, size = [int(order[k])], int(sizes[k])
+    else:
+        i, j = np.triu_indices(len(order), 1)
+        both = sizes[i] + sizes[j]
+        ok = both <= capacity
+        gain = np.where(ok, both - shortest[np.where(ok, both, 0)], 0)
+        if not len(gain) or gain.max() <= 0:
+            return False
+        k = int(np.argmax(gain))
+        away, size = [int(order[i[k]]), int(order[j[k]])], int(both[k])
+    c = int(candidates[np.flatnonzero((reach >= size) & (theirs == shortest[size]))[0]])
+    return give(away, c, int(owner[c]))
 
 
 def pack(pieces: DataFrame, *, capacity: int = 2048, shard_pieces: int = 16384) -> DataFrame:
     """``pieces`` (with ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
-    Full pieces are sequences of their own. Rows are numbered after staging, so the shard
+    Full pieces are sequences of their own; columns named ``_row``, ``_shard`` and ``_null`` are reserved. Rows are numbered after staging, so the shard
     of a row does not depend on its key and repeated keys spread like any others.
     """
     rows = staged(pieces, "pieces").withColumn("_row", F.monotonically_increasing_id())
