@@ -54,7 +54,7 @@ def tokens(text: str | None) -> np.ndarray:
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the places and signs of its index vector's non-zero components."""
     rng = np.random.default_rng(20240)
-    return rng.integers(0, DIMS, (BUCKETS, NONZERO)), rng.choice(np.array([-1.0, 1.0], np.float32), (BUCKETS, NONZERO))
+    return rng.integers(0, DIMS, (BUCKETS, NONZERO)), rng.choice(np.array([-1, 1], np.int64), (BUCKETS, NONZERO))
 
 
 def add_contexts(total: np.ndarray, ids: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
@@ -71,7 +71,7 @@ def contexts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
-        total = np.zeros(BUCKETS * DIMS, np.float32)
+        total = np.zeros(BUCKETS * DIMS, np.int64)
         for b in batches:
             for t in b.column("text"):
                 ids = tokens(t.as_py())
@@ -79,12 +79,12 @@ def contexts(docs: DataFrame) -> DataFrame:
                     add_contexts(total, ids, places, signs)
         rows = total.reshape(BUCKETS, DIMS)
         some = np.flatnonzero(np.abs(rows).max(1) > 0)
-        flat = pa.array(rows[some].ravel(), pa.float32())
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.FixedSizeListArray.from_arrays(flat, DIMS).cast(pa.list_(pa.float32()))], ["bucket", "v"])
+        flat = pa.array(rows[some].ravel(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.FixedSizeListArray.from_arrays(flat, DIMS).cast(pa.list_(pa.int64()))], ["bucket", "v"])
 
-    part = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, v array<float>")
+    part = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, v array<long>")
     # whole numbers, so the order of adding does not matter
-    sums = part.groupBy("bucket").agg(*[F.sum(F.get("v", F.lit(i)).cast("double")).alias(f"v{i}") for i in range(DIMS)])
+    sums = part.groupBy("bucket").agg(*[F.sum(F.get("v", F.lit(i)).cast("long")).cast("double").alias(f"v{i}") for i in range(DIMS)])
     return sums.select("bucket", F.array(*[f"v{i}" for i in range(DIMS)]).alias("v"))
 
 
