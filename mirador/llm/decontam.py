@@ -167,6 +167,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` less the contaminated documents, its columns as they are."""
-    hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return docs.join(hits, same, "left_anti")
+    hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    own = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_hash"))
+    return own.join(hits, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_anti").select("own.*")

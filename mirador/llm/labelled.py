@@ -1,8 +1,7 @@
-"""What the two classifiers share: hold-out, labelled rows and calibration."""
+"""What the two classifiers share: hold-out and labelled rows."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +12,13 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
-    """doc_id, text and y for at most ``limit`` rows of each label, chosen by a hash of
+    """doc_id, text and y for at most ``limit`` documents of each label, chosen by a hash of
     doc_id among the rows that may be learned from. The bound is ``limit``; a doc_id with
-    several labels has the larger; only the chosen ids (no texts) are ordered, and the
-    texts are found by a broadcast of at most 2 x ``limit`` ids."""
+    several labels has the larger, and one with several rows the text of the smallest hash;
+    only the chosen ids (no texts) are ordered, and the texts are found by a broadcast of at
+    most 2 x ``limit`` ids."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).filter(learn)
     pick = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(limit)
     chosen = pick(0).unionByName(pick(1))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-
-def platt(raw: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of the logistic curve that fits y best, by Newton's steps over
-    softened targets, so that separable scores stay finite."""
-    pos, neg = float((y == 1).sum()), float((y == 0).sum())
-    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.column_stack([raw, np.ones_like(raw)])
-    w = np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (p - target) + 1e-3 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w -= np.linalg.solve(h, g)
-    return float(w[0]), float(w[1])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))

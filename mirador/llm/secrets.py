@@ -1,7 +1,7 @@
 """Operator 4: secret scan with dictionary-primed zstandard novelty.
 
-Three patterns find the usual secrets. Beyond them, every string of at least
-``min_chars`` code characters that stands in a sensitive context is measured: how many
+Three patterns find the usual secrets. Beyond them, every string of 20 or more code
+characters that stands in a sensitive context is measured: how many
 bytes does zstandard need for it when its dictionary is a list of common identifiers and
 the code around it? A string that costs nearly its own length is new to both (a key, not a
 name) and is reported as ``novel``. A map over whole texts: nothing is shuffled.

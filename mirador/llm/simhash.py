@@ -343,7 +343,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id (null last; of equal ids that of the smallest text hash), once."""
     groups = similar_groups(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "row_key")).alias("first")
-    kept = groups.groupBy("component").agg(first).select(F.col("first.row_key").alias("_key"), F.col("first.row_hash").alias("_hash"))
+    kept = groups.groupBy("component").agg(first).select(F.col("first.row_key").alias("key"), F.col("first.row_hash").alias("hash"))
     key, hash_ = _row(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = docs.withColumns({"_key": key, "_hash": hash_})
-    return own.join(kept, ["_key", "_hash"]).dropDuplicates(["_key", "_hash"]).select(docs.columns)
+    own = docs.select(F.struct("*").alias("own"), key.alias("key"), hash_.alias("hash"))
+    return own.join(kept, ["key", "hash"]).dropDuplicates(["key", "hash"]).select("own.*")

@@ -67,7 +67,7 @@ def test_packing_is_gapless_and_tight(spark):
     total, n = sum(r.length for r in rows), check_packing(rows, 2048)
     assert n <= -(-total // 2048) + 2
     whole = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
-    for d in documents(spark).limit(20).collect():
+    for d in documents(spark).collect():
         ids = np.array([*whole.encode(d.text, add_special_tokens=False).ids, 0], "<u4")
         mine = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == d.doc_id)
         assert mine == [(k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
@@ -81,6 +81,23 @@ def test_local_search_beats_its_start():
     assert all(lengths[b].sum() <= 10 for b in end) and len(end) == 7
 
 
+def test_local_search_leaves_no_exchange():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = rng.integers(1, 60, 120)
+        bins = packing.local_search(packing.best_fit(lengths, 64), lengths, 64)
+        least, fill = -(-int(lengths.sum()) // 64), np.array([lengths[b].sum() for b in bins])
+        assert sorted(i for b in bins for i in b) == list(range(120)) and (fill <= 64).all()
+        if len(bins) > least:  # of no bin can a piece or a pair move or be exchanged for a shorter piece of a bin as full
+            for s, b in enumerate(bins):
+                for away in [[i] for i in b] + [[i, j] for i in b for j in b if i < j]:
+                    n = lengths[away].sum()
+                    for t, other in enumerate(bins):
+                        if t != s and fill[t] >= fill[s]:
+                            assert len(away) > 1 or fill[t] + n > 64
+                            assert not any(0 < n - lengths[o] <= 64 - fill[t] for o in other)
+
+
 def test_packing_edge_cases(spark):
     path = queries.vocabulary("word_bpe_49k.json")
     rows = packing.pack_documents(frame(spark, ODD), path, capacity=64, with_ids=True).collect()
@@ -417,6 +434,44 @@ def test_decontamination_finds_reordered_passages(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench, block_seeds=1).collect()) == [2, 3, 4, 5]
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 == decontam.contaminated(empty(spark), bench).count()
     assert decontam.decontaminate(frame(spark, ODD), bench).count() == len(ODD) + 1
+    clash = docs.selectExpr("*", "1 AS id", "2 AS hash", "3 AS own", "4 AS _id")
+    assert decontam.decontaminate(clash, bench).columns == clash.columns == simhash.keep_one(clash).columns
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    want = set()
+    for d in documents(spark).collect():
+        words = decontam.words_of(d.text)
+        grams = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for item in items:
+            own = decontam.words_of(item.text)
+            if grams.isdisjoint(tuple(own[k : k + 5]) for k in range(len(own) - 4)):
+                continue
+            number = {w: n for n, w in enumerate(dict.fromkeys(own + words))}
+            got = brute_runs([number[w] for w in own], [number[w] for w in words], 5)
+            if sum(n for _, _, n in got) >= 0.6 * len(own):
+                want.add((d.doc_id, item.item_id, round(sum(n for _, _, n in got) / len(own), 9)))
+    assert want and {(r.doc_id, r.item_id, round(r.coverage, 9)) for r in queries.op6_decontamination(spark, SF).collect()} == want
+
+
+def brute_runs(a, b, least):
+    """``brute_tiles`` by a table of run lengths, for longer texts."""
+    done_a, done_b, out = set(), set(), []
+    while True:
+        best, above = (0, 0, 0), {}
+        for i in range(len(a) - 1, -1, -1):
+            here = {j: above.get(j + 1, 0) + 1 for j in range(len(b)) if a[i] == b[j] and i not in done_a and j not in done_b}
+            for j, n in sorted(here.items()):
+                if n > best[2] or (n == best[2] and (i, j) < best[:2]):
+                    best = (i, j, n)
+            above = here
+        if best[2] < least:
+            return out
+        i, j, n = best
+        done_a.update(range(i, i + n))
+        done_b.update(range(j, j + n))
+        out.append(best)
 
 
 # --- classifiers --------------------------------------------------------------------------
@@ -470,6 +525,9 @@ def test_toxicity_holds_out(spark):
     assert toxicity.reject(frame(spark, ODD), model).count() == len(ODD) + 1
     assert toxicity.score(empty(spark), model).count() == 0
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.5}
+    # a doc_id of many rows teaches once
+    many = docs.unionByName(docs.filter("doc_id < 30")).unionByName(docs.filter("doc_id < 30"))
+    assert labelled.labelled(many, marks, "toxic", F.lit(True), 50).groupBy("doc_id").count().filter("count > 1").count() == 0
 
 
 def test_window_scores_equal_brute_force():
