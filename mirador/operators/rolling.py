@@ -6,8 +6,11 @@ in its place. The guards say when a frame is good enough to give a value.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +66,31 @@ def ema(df: DataFrame, value: str, span: int, out: str) -> DataFrame:
     return filled.select("symbol", "ix", F.last("_e", ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, 0)).alias(out))
 
 
+def earlier_median(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the median of the earlier values of its key and how many they are
+    (``out``_n). An exact median of a growing frame has no built-in form but to sort the
+    frame anew for every row; here each task streams its sorted rows past two heaps, so the
+    work is n log n and a key's values are all that is held."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, low, high = None, [], []
+        for pdf in frames:
+            medians, counts = [], []
+            for row in zip(*(pdf[k] for k in keys), pdf[value], strict=True):
+                if row[:-1] != here:
+                    here, low, high = row[:-1], [], []
+                counts.append(len(low) + len(high))
+                medians.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+                if not pd.isna(row[-1]):
+                    heapq.heappush(high, -heapq.heappushpop(low, -row[-1]))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+            yield pdf.assign(**{out: pd.Series(medians, dtype="float64", index=pdf.index), f"{out}_n": pd.Series(counts, dtype="int64", index=pdf.index)})
+
+    schema = df.schema.simpleString()[len("struct<") : -1] + f",{out}:double,{out}_n:bigint"
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def streak(df: DataFrame, sign: Column, out: str) -> DataFrame:
     """Signed length of the run of equal signs that ends here (gaps and islands)."""
     marked = df.withColumn("_s", sign).withColumn("_new", F.when(F.col("_s").eqNullSafe(F.lag("_s").over(by())), 0).otherwise(1))

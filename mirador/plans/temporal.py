@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
+from ..operators import rolling as R
 from ..operators import temporal as T
 from ..sources import views as V
 from . import sql as S
@@ -101,10 +102,9 @@ SELECT event_id, {S.r6('CASE WHEN n >= 4 AND mad > 0 THEN surprise / mad END')}
 def surprise_mad(spark, d):
     """Each surprise over the median size of the earlier ones (expanding, at least four)."""
     w = W.partitionBy("symbol", "event_type").orderBy("ts")
-    s = V.ticks(spark, d).withColumn("surprise", F.col("price") - F.lag("price").over(w))
-    past = w.rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumns({"mad": F.percentile(F.abs("surprise"), 0.5).over(past), "n": F.count("surprise").over(past)})
-    return s.filter("surprise is not null").select("event_id", r6(F.when((F.col("n") >= 4) & (F.col("mad") > 0), F.col("surprise") / F.col("mad"))).alias("z"))
+    s = V.ticks(spark, d).select("symbol", "event_type", "ts", "event_id", (F.col("price") - F.lag("price").over(w)).alias("surprise"))
+    s = R.earlier_median(s.withColumn("size", F.abs("surprise")), ["symbol", "event_type"], ["ts"], "size", "mad")
+    return s.filter("surprise is not null").select("event_id", r6(F.when((F.col("mad_n") >= 4) & (F.col("mad") > 0), F.col("surprise") / F.col("mad"))).alias("z"))
 
 
 @query(f"""WITH {S.TICKS}, m AS (SELECT event_id, quantile_cont(price, 0.5) OVER w AS mid, count(price) OVER w AS n FROM ticks WINDOW w AS (PARTITION BY symbol, event_type ORDER BY ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))

@@ -84,3 +84,46 @@ def test_rank_ties_go_by_key(spark):
     df = spark.createDataFrame([("s", k, 1.0) for k in range(11)], "session string, symbol int, x double")
     got = [r.p for r in df.select("symbol", xsection.rank_pct("x").alias("p")).orderBy("symbol").collect()]
     assert got[0] == -0.5 and got[-1] == 0.5
+
+
+def test_median_of_earlier_values(spark):
+    xs = [3.0, None, 1.0, 2.0, 2.0, 9.0]
+    df = spark.createDataFrame([(k, i, None if x is None else x * k) for k in (1, 2) for i, x in enumerate(xs)], "k int, i int, x double")
+    rows = rolling.earlier_median(df, ["k"], ["i"], "x", "m").orderBy("k", "i").collect()
+    want = [(None, 0), (3.0, 1), (3.0, 1), (2.0, 2), (2.0, 3), (2.0, 4)]
+    assert [(r.m, r.m_n) for r in rows] == [(m if m is None else m * k, n) for k in (1, 2) for m, n in want]
+
+
+def test_offsets_change_with_the_clocks(spark, tmp_path):
+    from zoneinfo import ZoneInfo
+
+    from mirador.plans import catalog
+
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * n) for n in range(1250)]
+    times = [t for t in times if not (t.date() in (dt.date(2024, 3, 10), dt.date(2024, 11, 3)) and t.hour in (1, 2))]
+    spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.offset_hours, r.utc) for r in catalog.QUERIES["time_zones"](spark, str(tmp_path)).collect()}
+    for n, t in enumerate(times):
+        hours = -t.replace(tzinfo=ZoneInfo("America/New_York")).utcoffset() // dt.timedelta(hours=1)
+        assert got[n] == (hours, t + dt.timedelta(hours=hours)), t
+
+
+def test_normal_distribution_is_close():
+    import math
+
+    import duckdb
+
+    from mirador.plans.rules import normal_cdf
+
+    for x in (-3.5, -1.0, 0.0, 0.3, 2.2):
+        got = duckdb.connect().execute(f"SELECT {normal_cdf('x')} FROM (SELECT {x}::DOUBLE AS x)").fetchone()[0]
+        assert abs(got - 0.5 * (1 + math.erf(x / 2**0.5))) < 2e-7
+
+
+def test_elimination_solves_a_system(spark):
+    from mirador.operators import models
+
+    a, b = [[4.0, 1.0, 0.5], [1.0, 3.0, -1.0], [0.5, -1.0, 2.0]], [1.0, 2.0, 3.0]
+    r = models.solve(spark.range(1), [[F.lit(v) for v in row] for row in a], [F.lit(v) for v in b], ["x", "y", "z"]).first()
+    for row, v in zip(a, b, strict=True):
+        assert abs(row[0] * r.x + row[1] * r.y + row[2] * r.z - v) < 1e-12
