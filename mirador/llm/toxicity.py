@@ -21,9 +21,10 @@ three, so a worker scores a unit it has not met from that table, and remembers i
 unit is scored by overlapping windows of ``WINDOW`` characters.
 
 Learning takes at most ``limit`` labelled rows of each label, and from these at most
-``witnesses`` windows a toxic document, ``clean_units`` windows of clean ones and
-``hard`` further clean windows a round (documented bounds of what is learned from); the
-counts from which landmarks are chosen cover all words of those rows. Scoring is a map over
+``witnesses`` windows a toxic document, the windows of ``clean_units`` / 2 words of clean
+ones (the commonest and others by a hash) and of the ``hard`` words a round that the machine
+takes for most toxic (documented bounds of what is learned from); the counts from which
+landmarks are chosen cover all words of those rows. Scoring is a map over
 all whole texts.
 
 Edge cases: a null or empty text has the score of a text without any unit; labels other than 0
@@ -33,11 +34,11 @@ a null doc_id is held out; an empty table gives no rows; other columns are left
 
 from __future__ import annotations
 
+import heapq
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import combinations, combinations_with_replacement
+from itertools import chain, combinations, combinations_with_replacement, islice
 
 import numpy as np
 import pyarrow as pa
@@ -357,14 +358,14 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, witnesses:
     if len(set(y)) < 2:
         return Model({}, 0.0)
     prior = sum(y) / len(y)
-    found = [parts(t) for t in texts]
-    bags = [{sys.intern(u) for u in words} for words, _ in found]
     # a pair of words counts as a unit where enough toxic documents have it
-    often = Counter(u for (_, pairs), label in zip(found, y, strict=True) if label for u in pairs)
+    often = Counter(u for t, label in zip(texts, y, strict=True) if label for u in parts(t)[1])
     often = {u for u, c in often.items() if c >= max(3, 0.015 * sum(y))}
-    for bag, (_, pairs) in zip(bags, found, strict=True):
-        bag |= pairs & often
-    del found
+    bags, one = [], {}  # each distinct unit is held once
+    for t in texts:
+        words, pairs = parts(t)
+        bags.append({one.setdefault(u, u) for u in words} | (pairs & often))
+    del one
     clean = Counter(u for bag, label in zip(bags, y, strict=True) if not label for u in bag)
     toxic = Counter(u for bag, label in zip(bags, y, strict=True) if label for u in bag)
     telling = telling_runs(bags, y, toxic, clean)
@@ -396,11 +397,12 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, witnesses:
     odd = [o for o in odd if o]
     if not odd:
         return Model({}, 0.0, prior=prior)
-    pool = sorted({p for u in clean for p in windows(u)}, key=lambda p: (hash_of(p), p))
-    often = {p for u, _ in clean.most_common(clean_units // 2) for p in windows(u)}
-    negatives = sorted(often) + [p for p in pool if p not in often][: clean_units // 2]
+    common = {u for u, _ in clean.most_common(clean_units // 4)}
+    others = heapq.nsmallest(clean_units // 4, (u for u in clean if u not in common), key=lambda u: (hash_of(u), u))
+    seen = common.union(others)
+    negatives = sorted({p for u in seen for p in windows(u)})
+    del bags
     witness = [p for o in odd for p in o]
-    seen = set(negatives)
     for r in range(rounds):
         x = np.concatenate([mapped(witness), mapped(negatives)])
         t = np.concatenate([np.ones(len(witness)), np.zeros(len(negatives))])
@@ -415,12 +417,17 @@ def train(texts: list[str | None], y: list[int], *, places: int = 96, witnesses:
             # the clean windows that the machine finds most toxic join the clean side
             values = np.split(mapped([p for o in odd for p in o]) @ w[:-1] + w[-1], np.cumsum([len(o) for o in odd])[:-1])
             witness = [p for o, v in zip(odd, values, strict=True) for p, z in zip(o, v.tolist(), strict=True) if z > 0 or z == v.max()]
-            rest = [p for p in pool if p not in seen]
-            found = sorted(zip(model.raw_units(rest).tolist(), rest, strict=True), reverse=True)[:hard]
-            negatives = negatives + [p for v, p in found if v > -1]
-            seen.update(negatives)
+            most: list[tuple[float, str]] = []
+            rest = iter(u for u in clean if u not in seen)
+            while part := list(islice(rest, 1 << 15)):
+                most = heapq.nlargest(hard, chain(most, zip(model.raw_units(part).tolist(), part, strict=True)))
+            found = [u for v, u in most if v > -1]
+            negatives = negatives + sorted({p for u in found for p in windows(u)})
+            seen.update(found)
+    del clean, toxic
     features = np.concatenate([model.features(texts[n : n + 64]) for n in range(0, len(texts), 64)])
     model.curve = logistic(features, np.array(y, float))
+    model._kept = {}
     return model
 
 
