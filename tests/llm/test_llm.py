@@ -270,6 +270,23 @@ def test_embedding_recall_holds_in_a_large_group():
     assert len(found) > 10000 and np.mean(found) >= 0.95
 
 
+def test_embedding_query_recall_on_thousands(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    alone = unit(rng.standard_normal((1500, 64)))
+    pairs = unit(alone[:700] + 0.05 * rng.standard_normal((700, 64)))  # cosines about 0.93
+    group = unit(unit(rng.standard_normal((1, 64))) + 0.04 * rng.standard_normal((1100, 64)))
+    x = np.concatenate([alone, pairs, group]).astype(np.float32)
+    spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    near = unit(x.astype(np.float64)) @ unit(x.astype(np.float64)).T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = {r.vec_id: r for r in queries.op7_embedding_dedup(spark, str(tmp_path)).collect()}
+    links = np.array([rows[n].n_links for n in range(len(x))])
+    assert len(rows) == len(x) and (links <= near.sum(1)).all()
+    assert links.sum() >= 0.95 * near.sum() and links[1500:2200].sum() >= 0.9 * near[1500:2200].sum()
+    assert all(rows[n].kept == (rows[n].component_id == n) for n in range(len(x)))
+
+
 def test_multi_sequence_is_in_order():
     a, b = np.array([0.0, 1.0, 4.0]), np.array([0.0, 2.0, 3.0])
     sums = [a[i] + b[j] for i, j in embdedup.multi_sequence(a, b)]
