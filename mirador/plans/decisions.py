@@ -285,3 +285,21 @@ def verified_requests(spark, d):
     k = V.ticks(spark, d).groupBy("symbol", F.to_date("ts").alias("request")).agg(F.count(of("signup", 1)).alias("claims"), F.count(of("error", 1)).alias("usages"), F.min(of("signup", F.col("ts"))).alias("claimed"), F.min(of("error", F.col("ts"))).alias("used"))
     reason = "CASE WHEN claims <> 1 THEN 'claims' WHEN usages <> 1 THEN 'usages' WHEN claimed >= used THEN 'order' WHEN claimed < timestamp_ntz'2024-01-03' THEN 'anchor' END"
     return k.filter("claims + usages > 0").withColumn("reason", F.expr(reason)).select("symbol", "request", "claims", "usages", F.expr("claims = 1 AND usages = 1 AND claimed < used AND claimed >= timestamp_ntz'2024-01-03'").alias("verified"), "reason")
+
+
+@query(f"""WITH {S.TICKS}, k AS (SELECT symbol, event_id, ts, event_type, sum((event_type = 'purchase')::INT) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS look FROM ticks)
+SELECT symbol, coalesce(look, 0)::BIGINT AS look, count(*) FILTER (event_type IN ('error', 'signup'))::BIGINT AS news, max(ts) AS at_time, max(event_id) FILTER (event_type = 'purchase') AS told_at, bool_or(event_type = 'purchase') AS told FROM k GROUP BY ALL""")
+def since_last_look(spark, d):
+    """What each look has to be told: the events since the look before; the last group waits for its look."""
+    w = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
+    k = V.ticks(spark, d).withColumn("look", F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(w), F.lit(0)).cast("bigint"))
+    told = F.col("event_type") == "purchase"
+    return k.groupBy("symbol", "look").agg(F.count(F.when(F.col("event_type").isin("error", "signup"), 1)).alias("news"), F.max("ts").alias("at_time"), F.max(F.when(told, F.col("event_id"))).alias("told_at"), F.bool_or(told).alias("told"))
+
+
+@query("""SELECT l_orderkey, arg_min(l_partkey, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_linenumber, l_partkey)) AS picked, min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END)::INT AS priority, count(*)::BIGINT AS docs FROM lineitem GROUP BY l_orderkey""")
+def pick_by_priority(spark, d):
+    """Of several documents the one first in a list of preferences; an aggregate, not a sort."""
+    first = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    li = V.table(spark, d, "lineitem")
+    return li.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct(first, "l_linenumber", "l_partkey")).alias("picked"), F.min(first).alias("priority"), F.count(F.lit(1)).alias("docs"))

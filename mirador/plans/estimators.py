@@ -289,3 +289,30 @@ def nearest_rank(spark, d):
     o = V.table(spark, d, "orders").filter("o_totalprice is not null")
     disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY o_totalprice)")
     return o.groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count(F.lit(1)).alias("n"), disc(0.05).alias("p5"), disc(0.5).alias("p50"), disc(0.95).alias("p95"))
+
+
+@query(f"""{_SQL}, m AS (SELECT date_trunc('month', session)::DATE AS month, avg(t) AS v, count(*) AS n FROM f GROUP BY ALL) SELECT count(*)::BIGINT AS months, sum(n)::BIGINT AS n, {S.r6('avg(v)')} AS mean, {S.r6('avg(v) / nullif(stddev_samp(v) / sqrt(count(*)), 0)')} AS t, {S.r6('avg((v > 0)::INT)')} AS up FROM m""")
+def month_t(spark, d):
+    """The mean of monthly means and its t over months."""
+    m = _feats(spark, d).groupBy(F.date_trunc("month", "session")).agg(F.avg("t").alias("v"), F.count(F.lit(1)).alias("n"))
+    return m.agg(F.count(F.lit(1)).alias("months"), F.sum("n").alias("n"), r6(F.avg("v")).alias("mean"), r6(ratio(F.avg("v"), F.stddev_samp("v") / F.sqrt(F.count(F.lit(1))))).alias("t"), r6(F.avg((F.col("v") > 0).cast("int"))).alias("up"))
+
+
+@query(f"""{_BASE} SELECT session, count(*)::BIGINT AS n, {S.r6('sum(y)')} AS sy, {S.r6('sum(y * y)')} AS syy, {S.r6('sum((y - b) * (y - b))')} AS se, {S.r6('sum((y - 1.1 * b) * (y - 1.1 * b))')} AS se2, sum((y < 0.5 * b)::INT)::BIGINT AS below, sum((y > 1.6 * b)::INT)::BIGINT AS above,
+{S.r6('1 - sum((y - b) * (y - b)) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0)')} AS r2 FROM f GROUP BY session""")
+def day_sums(spark, d):
+    """Sufficient statistics of two forecasts a day, from which any pooled R2, coverage or
+    resampled gain follows without the rows."""
+    y, b = F.col("y"), F.col("b")
+    sq = lambda x: F.sum(x * x)
+    n = F.count(F.lit(1))
+    return _ranges(spark, d).groupBy("session").agg(n.alias("n"), r6(F.sum(y)).alias("sy"), r6(sq(y)).alias("syy"), r6(sq(y - b)).alias("se"), r6(sq(y - 1.1 * b)).alias("se2"), F.sum((y < 0.5 * b).cast("int")).alias("below"), F.sum((y > 1.6 * b).cast("int")).alias("above"), r6(1 - ratio(sq(y - b), sq(y) - F.sum(y) * F.sum(y) / n)).alias("r2"))
+
+
+@query(f"""{chain(S.GRID, "grid", *_FEATS)}, ok AS (SELECT ix, avg((x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL)::INT) AS share FROM t0 GROUP BY ix) SELECT min(ix) FILTER (share >= 0.5) AS first_half, min(ix) FILTER (share >= 0.9) AS first_most, count(*) FILTER (share >= 0.5)::BIGINT AS usable FROM ok""")
+def first_complete_session(spark, d):
+    """The first session on which half (nine tenths) of the symbols have every feature."""
+    p = apply(weekly_grid(spark, d), *_FEATS)
+    ok = p.groupBy("ix").agg(F.avg((F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("x3").isNotNull()).cast("int")).alias("share"))
+    at = lambda s: F.min(F.when(F.col("share") >= s, F.col("ix")))
+    return ok.agg(at(0.5).alias("first_half"), at(0.9).alias("first_most"), F.count(F.when(F.col("share") >= 0.5, 1)).alias("usable"))

@@ -108,3 +108,25 @@ rules(
     {"inside": "y BETWEEN least(lo, hi) AND greatest(lo, hi)", "phrase": "CASE WHEN shown > 0 THEN 'rose' WHEN shown < 0 THEN 'fell' ELSE 'unchanged' END"},
     plain=("how", "inside", "phrase"), rounded=("resid", "lo", "hi", "mult", "shown"),
 )
+
+# --- texts and classes ---------------------------------------------------------------------
+
+rules(
+    "macro_texts",
+    "A release as a headline: what it is, how it changed, what was expected where that was priced before the release, and its line for display; missing figures as na.",
+    "events", ["event_id"],
+    {"name": "CASE WHEN event_type = 'error' THEN 'CPI' WHEN event_type = 'signup' THEN 'Payrolls' ELSE 'Survey' END", "x": "floor((value - 80) * 10 + 0.5) / 10", "expected": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE floor((value - 90) * 10 + 0.5) / 10 END", "priced": "event_id % 4 <> 0", "minute": "minute(ts)"},
+    {"change": "CASE WHEN x > 0 THEN concat('rose ', x::VARCHAR(12)) WHEN x < 0 THEN concat('fell ', abs(x)::VARCHAR(12)) ELSE 'unchanged' END", "expectation": "CASE WHEN expected IS NOT NULL AND priced THEN concat(' vs ', expected::VARCHAR(12), ' expected') ELSE '' END", "shown": "coalesce(expected::VARCHAR(12), 'na')", "public": "CASE WHEN minute = 30 THEN 'timed' WHEN hour(ts) < 10 THEN 'ten' ELSE 'as dated' END"},
+    {"headline": "concat(name, ' ', change, expectation)", "line": "concat(lpad(hour(ts)::VARCHAR(2), 2, '0'), ':', lpad(minute::VARCHAR(2), 2, '0'), ' ', name, ' | ', shown)"},
+    {"surprise": "CASE WHEN expected IS NOT NULL AND priced THEN x - expected END"},
+    plain=("headline", "line", "public"), rounded=("surprise",),
+)
+
+rules(
+    "fund_classes",
+    "A fund's group from its name, with exclusions; whether a row is flagged; the failure class of an error text; and the rule of the tape.",
+    "part", ["p_partkey"],
+    {"long_name": "CASE WHEN p_partkey % 8 = 0 THEN 'iShares 20+ Year Treasury Bond' WHEN p_partkey % 8 = 1 THEN 'High Yield Corporate Bond' WHEN p_partkey % 8 = 2 THEN 'Japanese Yen Trust' WHEN p_partkey % 8 = 3 THEN 'Bond Covered Call Strategy' WHEN p_partkey % 8 = 4 THEN 'Gold Shares' WHEN p_partkey % 8 = 5 THEN 'Senior Loan Fund' ELSE 'S&P 500 Trust' END", "stock_type": "CASE WHEN p_size % 5 = 0 THEN 'COMMON' ELSE 'ETF' END", "error": "CASE WHEN p_partkey % 6 = 0 THEN 'HTTP 503 from gateway' WHEN p_partkey % 6 = 1 THEN 'timed out after 90 s' WHEN p_partkey % 6 = 2 THEN 'quantity must be positive' WHEN p_partkey % 6 = 3 THEN 'unknown tool: foo' END", "note": "CASE WHEN p_partkey % 7 = 0 THEN 'warning: stale' WHEN p_partkey % 7 = 1 THEN 'tier D' ELSE '' END"},
+    {"fund_group": "CASE WHEN stock_type <> 'ETF' THEN NULL WHEN rlike(long_name, '(?i)covered call|leveraged|inverse') THEN NULL WHEN rlike(long_name, '(?i)treasury') THEN 'rates' WHEN rlike(long_name, '(?i)high yield|corporate|loan') THEN 'credit' WHEN rlike(long_name, '(?i)yen|euro|dollar|sterling') THEN 'fx' WHEN rlike(long_name, '(?i)bond') THEN 'rates' END", "failure": "CASE WHEN error IS NULL THEN NULL WHEN rlike(error, '(?i)HTTP 5[0-9][0-9]|timed out|connection') THEN 'framework' ELSE 'model' END", "flagged": "rlike(note, 'warning|tier D')", "any_of": "(p_size > 40 OR p_retailprice > 1500)"},
+    plain=("fund_group", "failure", "flagged", "any_of"),
+)

@@ -71,3 +71,12 @@ def stream_window_looks(spark, d):
     from ..streaming.ledger import run_windows
 
     return run_windows(spark, V.table(spark, d, "events"))
+
+
+@query("""WITH w AS (SELECT event_type, value, date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6 - k) AS start FROM events CROSS JOIN (SELECT unnest(range(0, 4)) AS k) WHERE ts IS NOT NULL)
+SELECT start AS hour, event_type, count(*)::BIGINT AS n, max(value) AS top FROM w GROUP BY ALL""")
+def stream_sliding_looks(spark, d):
+    """The 24 hours before a decision as a stream: windows of a day that start every six hours."""
+    from ..streaming.ledger import run_windows
+
+    return run_windows(spark, V.table(spark, d, "events"), width="1 day", step="6 hours")

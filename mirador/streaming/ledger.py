@@ -51,16 +51,17 @@ def run_positions(spark: SparkSession, fills: DataFrame) -> DataFrame:
     return last.groupBy("sleeve", "symbol").agg(F.sum(sign * F.col("shares")).alias("qty"), F.sum(-sign * F.col("cents") - F.coalesce("fee", F.lit(0))).alias("cash_cents"), F.count(F.when(F.col("fee").isNull(), 1)).alias("missing_fees"))
 
 
-def window_stream(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
+def window_stream(events: DataFrame, late: str = "1 hour", width: str = "1 hour", step: str | None = None) -> DataFrame:
+    """Counts by type in tumbling windows, or in sliding ones that start every ``step``."""
     own = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", late)
-    return own.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    return own.groupBy(F.window("ts", width, step), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
-def run_windows(spark: SparkSession, events: DataFrame) -> DataFrame:
+def run_windows(spark: SparkSession, events: DataFrame, **options) -> DataFrame:
     source, out = _folder(spark, "events"), _folder(spark, "windows")
     events.repartitionByRange(4, "ts").write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    windows = window_stream(stream)
+    windows = window_stream(stream, **options)
     # there without any event too
     spark.createDataFrame([], windows.schema).write.parquet(f"{out}/epoch=-1")
 
