@@ -16,6 +16,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation over complete pairs, null where either side is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def log_return(now: Column, before: Column) -> Column:
     return F.when((now > 0) & (before > 0), F.ln(now / before))
 

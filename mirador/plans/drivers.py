@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import r6, ratio
+from ..functions.scalars import correlation, r6, ratio
 from ..operators import models as M
 from . import sql as S
 from .catalog import query
@@ -61,7 +61,7 @@ def validation_card(spark, d):
     w = W.partitionBy("variant", "session")
     k = u.withColumns({"a": F.rank().over(w.orderBy("s")), "b": F.rank().over(w.orderBy("y")), "n": F.count(F.lit(1)).over(w)}).filter("n >= 6")
     top, low = F.avg(F.when(F.col("a") > F.col("n") * 0.8, F.col("y"))), F.avg(F.when(F.col("a") <= F.col("n") * 0.2, F.col("y")))
-    day = k.groupBy("variant", "session").agg(F.corr("a", "b").alias("ic"), (top - low).alias("spread"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).filter("sa > 0 and sb > 0")
+    day = k.groupBy("variant", "session").agg(correlation("a", "b").alias("ic"), (top - low).alias("spread"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).filter("sa > 0 and sb > 0")
     t, gross = ratio(F.avg("ic"), F.stddev_samp("ic") / F.sqrt(F.count(F.lit(1)))), F.avg("spread")
     return day.groupBy("variant").agg(F.count(F.lit(1)).alias("days"), r6(F.avg("ic")).alias("ic"), r6(t).alias("t"), r6(gross).alias("gross"), r6(gross - 0.001).alias("net"), F.coalesce((t > 2) & (gross > 0.001), F.lit(False)).alias("passed"))
 

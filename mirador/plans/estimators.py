@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_label, r6, ratio
+from ..functions.scalars import correlation, half_label, r6, ratio
 from ..operators import models as M
 from ..sources import views as V
 from . import sql as S
@@ -129,7 +129,7 @@ def first_last_slot(spark, d):
     """The last slot's move on the first's: slope, correlation, and the profit of its sign."""
     s = slots(spark, d).filter("c > 0 and o > 0").withColumn("r", F.ln(F.col("c") / F.col("o")))
     p = s.groupBy("symbol", "session").agg(F.min_by("r", "slot").alias("x"), F.max_by("r", "slot").alias("y"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("y", "x")).alias("slope"), r6(F.corr("y", "x")).alias("corr"), r6(F.avg(F.signum("x") * F.col("y"))).alias("timing"), r6(F.avg("y")).alias("hold"))
+    return p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("y", "x")).alias("slope"), r6(correlation("y", "x")).alias("corr"), r6(F.avg(F.signum("x") * F.col("y"))).alias("timing"), r6(F.avg("y")).alias("hold"))
 
 
 _MARKET = [{"r": ln(div("price", lag("price")))}]
@@ -278,7 +278,7 @@ def slot_ic(spark, d):
     f = apply(slots(spark, d), *_SLOT).filter("x is not null and y is not null and slot < 7")
     w = W.partitionBy("session", "slot")
     k = f.withColumns({"a": F.rank().over(w.orderBy("x")), "b": F.rank().over(w.orderBy("y"))})
-    day = k.groupBy("slot", "session").agg(F.corr("a", "b").alias("ic"), F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).filter("n >= 4 and sa > 0 and sb > 0")
+    day = k.groupBy("slot", "session").agg(correlation("a", "b").alias("ic"), F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).filter("n >= 4 and sa > 0 and sb > 0")
     return day.groupBy("slot").agg(F.count(F.lit(1)).alias("days"), r6(F.avg("ic")).alias("ic"), r6(ratio(F.avg("ic"), F.stddev_samp("ic") / F.sqrt(F.count(F.lit(1))))).alias("t"))
 
 

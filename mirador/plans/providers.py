@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import r6, ratio
+from ..functions.scalars import correlation, r6, ratio
 from ..operators import temporal as T
 from ..sources import views as V
 from . import sql as S
@@ -186,7 +186,7 @@ def residual_correlation(spark, d):
     names and met by session."""
     e = apply(weekly_grid(spark, d), *_RES).filter("e is not null and ix > last_ix - 120").select("symbol", "ix", "e")
     a, b = e.select(F.col("symbol").alias("a"), "ix", F.col("e").alias("ea")), e.select(F.col("symbol").alias("b"), "ix", F.col("e").alias("eb"))
-    g = a.join(b, "ix").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("ea", "eb").alias("k")).filter("n >= 40")
+    g = a.join(b, "ix").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("ea", "eb").alias("k")).filter("n >= 40")
     return g.select("a", "b", "n", r6(F.least(F.lit(0.95), F.greatest(F.lit(-0.95), F.col("k")))).alias("corr"))
 
 

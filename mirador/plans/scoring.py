@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_label, r6, ratio
+from ..functions.scalars import correlation, half_label, r6, ratio
 from ..operators import models as M
 from ..operators import rolling as R
 from ..operators import xsection as X
@@ -77,7 +77,7 @@ def r2_oos(spark, d):
     mt = F.broadcast(_blocks(spark, d)).join(m, F.col("ix") <= F.col("train_to")).groupBy("block").agg(ratio(F.sum("s"), F.sum("k")).alias("mt"))
     p = p.join(F.broadcast(mt), "block")
     sq = lambda a: F.sum((F.col("t") - F.col(a)) * (F.col("t") - F.col(a)))
-    return p.groupBy("block").agg(F.count(F.lit(1)).alias("n"), r6(1 - ratio(sq("pred"), sq("mt"))).alias("r2"), r6(F.corr("pred", "t")).alias("corr")).filter("n > 2")
+    return p.groupBy("block").agg(F.count(F.lit(1)).alias("n"), r6(1 - ratio(sq("pred"), sq("mt"))).alias("r2"), r6(correlation("pred", "t")).alias("corr")).filter("n > 2")
 
 
 _IC = f"""{_SCORED}, k AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY score, symbol) AS a, row_number() OVER (PARTITION BY session ORDER BY y, symbol) AS b FROM used),
@@ -87,7 +87,7 @@ ic AS (SELECT session, count(*) AS n, corr(a, b) AS ic FROM k GROUP BY session H
 def ic(spark, d):
     w = W.partitionBy("session")
     k = scored(spark, d).select("session", F.row_number().over(w.orderBy("score", "symbol")).alias("a"), F.row_number().over(w.orderBy("y", "symbol")).alias("b"))
-    return k.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("ic")).filter("n >= 10")
+    return k.groupBy("session").agg(F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("ic")).filter("n >= 10")
 
 
 @query(f"WITH {_IC} SELECT session, n::BIGINT AS n, {S.r6('ic')} AS ic FROM ic")
