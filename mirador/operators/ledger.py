@@ -1,17 +1,20 @@
 """Average cost, an ordered fold that no aggregate can express, and orders carried over bars.
 
-The fold runs a book at a time in ``applyInPandas``: a task holds one book's fills.
+The fold streams sorted fills, so a task holds one book's totals and never its fills.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def fold_fills(rows: list[tuple[str, int, int, int | None]]) -> tuple[int, float, float, int, int]:
+def fold_fills(rows: Iterable[tuple[str, int, int, int | None]]) -> tuple[int, float, float, int, int]:
     """(side, shares, cents, fee) in order to (quantity, average cents, realized cents, fees, fills without a fee).
 
     Adding to a position moves its average; reducing realizes against it; a flip through
@@ -39,17 +42,27 @@ def fold_fills(rows: list[tuple[str, int, int, int | None]]) -> tuple[int, float
 
 
 def average_cost(fills: DataFrame, keys: list[str]) -> DataFrame:
-    """A book per key: qty, avg_cents, realized_cents (before fees), fees, missing_fees."""
+    """A book per key: qty, avg_cents, realized_cents (before fees), fees, missing_fees. The
+    shuffle sorts each key's fills, and a task streams them past one book at a time."""
     types = {f.name: f.dataType.simpleString() for f in fills.schema.fields}
+    totals = {"qty": pa.int64(), "avg_cents": pa.float64(), "realized_cents": pa.float64(), "fees": pa.int64(), "missing_fees": pa.int64()}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", qty long, avg_cents double, realized_cents double, fees long, missing_fees long"
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                kinds[:] = [b.schema.field(c).type for c in keys]
+                yield from zip(*(b.column(c).to_pylist() for c in [*keys, "side", "shares", "cents", "fee"]), strict=True)
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "l_orderkey", "l_linenumber"])
-        rows = [(s, int(n), int(c), None if pd.isna(f) else int(f)) for s, n, c, f in zip(pdf["side"], pdf["shares"], pdf["cents"], pdf["fee"], strict=True)]
-        return pd.DataFrame([(*key, *fold_fills(rows))])
+        books = ((*key, *fold_fills(r[k:] for r in own)) for key, own in groupby(rows(), key=lambda r: r[:k]))
+        while some := list(islice(books, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), [*kinds, *totals.values()], strict=True)], [*keys, *totals])
 
-    cols = [*keys, "time", "l_orderkey", "l_linenumber", "side", "shares", "cents", "fee"]
-    return fills.select(cols).groupBy(*keys).applyInPandas(fold, schema)
+    own = fills.select(*keys, "time", "l_orderkey", "l_linenumber", "side", "shares", "cents", "fee")
+    return own.repartition(*keys).sortWithinPartitions(*keys, "time", "l_orderkey", "l_linenumber").mapInArrow(run, schema)
 
 
 def trailing_fills(bars: DataFrame, percent: float) -> DataFrame:
