@@ -10,7 +10,8 @@ the landmarks, whitened (the Nystroem map), and a squared-hinge SVM is trained o
 sentences as bags of windows: a sentence's value is its highest window's; every sentence of
 a clean document is clean, and of a toxic document the sentences with a telling window are
 toxic, their witnesses chosen anew in each round. A document's probability is a logistic
-curve of its highest value, of how many distinct windows stand out, and of their share.
+curve of its highest value, of how many distinct windows stand out, of their share, and of
+how many surely do.
 
 Landmarks are character runs whose rate among the distinct words of toxic documents is
 surely above that in clean ones, so words of a rarer language, or words that clean
@@ -311,8 +312,8 @@ class Model:
         return self.shift + np.where(np.isfinite(best), best, -1.0)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text its highest value, the sum of its distinct windows' standing out, and
-        their share among its distinct words."""
+        """Per text its highest value, the sum of its distinct windows' standing out, their
+        share among its distinct words, and the sum of those that stand out surely."""
         found = [parts(t) for t in texts]
         bags = [words | pairs for words, pairs in found]
         if len(self._kept) > KEPT_UNITS:
@@ -322,11 +323,12 @@ class Model:
         told = [u for u in new if u[0] == "<" or may_hold(u.replace(" ", ""), self.grams)]
         kept.update(dict.fromkeys(new, self.shift - 1.0))
         kept.update(zip(told, self.raw_units(told).tolist(), strict=True))
-        out = np.zeros((len(texts), 3))
+        out = np.zeros((len(texts), 4))
         for n, (bag, (own, _)) in enumerate(zip(bags, found, strict=True)):
             values = np.fromiter(map(kept.__getitem__, bag), float, len(bag))
             hot = float(np.clip(values + 0.5, 0, 1.5).sum())
-            out[n] = max(self.shift - 1.0, values.max(initial=-9.0)), np.log1p(hot), np.log((hot + 0.2) / (len(own) + 20))
+            sure = float(np.clip(values - 1, 0, 2).sum())
+            out[n] = max(self.shift - 1.0, values.max(initial=-9.0)), np.log1p(hot), np.log((hot + 0.2) / (len(own) + 20)), np.log1p(sure)
         for u in new:
             if len(u) > KEPT_CHARS:
                 del kept[u]
@@ -344,7 +346,7 @@ class Model:
 
     def probabilities(self, texts: Iterable[str | None]) -> np.ndarray:
         """Of many texts, about ``TOGETHER`` characters at a time."""
-        out, held, size = [np.zeros((0, 3))], [], 0
+        out, held, size = [np.zeros((0, 4))], [], 0
         for text in texts:
             held.append(text)
             size += len(text or "")
