@@ -10,7 +10,8 @@ A first pass counts words. Of words that make up a thousandth of all or more the
 most a thousand: suffixes that start with such a word are also dealt by the second word,
 and by the third where that is such a word too. What such a prefix has in each place is
 summed afterwards; all other prefixes are whole in one place, and those under ``min_count``
-end there. So no word or pair of words fills a task.
+end there. So no word or pair of words fills a task. Rows are sorted by suffix alone, and
+each language that a task meets has a stack of its own.
 
 Texts: A-Z are lower-cased, ``[.,;:!?\\x0A-\\x0D]`` part pieces, spaces and tabs words. Null
 or empty texts have no words, a null language is ``und``, repeated rows count, ties go by
@@ -37,6 +38,8 @@ _PLAIN = bytes.maketrans(UPPER.encode() + b"\t.,;:!?\x0b\x0c\r", LOWER.encode()
 WORDS, VOCABULARY = 4_000_000, 2_000_000
 #: Words as frequent as one in HOT are dealt finer, to SALTS places for each further word.
 HOT, SALTS = 1000, 64
+#: Suffixes of a language that a stack reads at a time; copies of a part that phrases meet.
+READ, PARTS = 65_536, 4
 
 
 class Vocabulary(dict):
@@ -159,54 +162,62 @@ def suffixes(max_n: int, hot: frozenset[bytes]):
 
 
 class Stack:
-    """The open prefixes of the last suffix read, each with its count so far."""
+    """The open prefixes of the last suffix read of a language, each with its count so far."""
 
-    def __init__(self, max_n: int, min_count: int, hot: frozenset[bytes]):
-        self.max_n, self.min_count = max_n, min_count
+    def __init__(self, lang: str, max_n: int, min_count: int, hot: frozenset[bytes]):
+        self.lang, self.max_n, self.min_count = lang, max_n, min_count
         self.hot = pa.array(sorted(hot), pa.binary())
-        self.lang: str | None = None
         self.words: list[bytes] = []
         self.counts: list[int] = []
-
-    def push(self, lang: pa.Array, suffix: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Reads suffixes in order; gives the prefixes that end with them."""
+        self._waiting: list[tuple[pa.Array, pa.Array]] = []
+
+    def read(self, suffix: pa.Array, n: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Takes suffixes in order; gives prefixes that ended, once there are READ to go through."""
+        self._waiting.append((suffix, n))
+        if sum(len(s) for s, _ in self._waiting) >= READ:
+            yield from self._through()
+
+    def _through(self) -> Iterator[pa.RecordBatch]:
+        if not self._waiting:
+            return
+        suffix, n = (pa.concat_arrays(list(c)) for c in zip(*self._waiting, strict=True))
+        self._waiting = []
         parts = pc.split_pattern(suffix, b" ")
         flat, first = parts.flatten(), parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
         size = parts.value_lengths().to_numpy() - 1
-        none = pa.array([b""], pa.binary())
-        words = [pc.if_else(pa.array(size > k), flat.take(pa.array(np.where(size > k, first + k, 0))), none[0]) for k in range(self.max_n)]
-        counts = [n] * self.max_n
-        if self.lang is not None:
-            lang = pa.concat_arrays([pa.array([self.lang], lang.type), lang])
+        none = pa.scalar(b"", pa.binary())
+        words = [pc.if_else(pa.array(size > k), flat.take(pa.array(np.where(size > k, first + k, 0))), none) for k in range(self.max_n)]
+        counts = [n.to_numpy()] * self.max_n
+        if self.words:
             words = [pa.concat_arrays([pa.array([w], pa.binary()), c]) for w, c in zip(self.words, words, strict=True)]
-            counts = [np.concatenate([[had], n]) for had in self.counts]
-        changed = self._changes(lang)
+            counts = [np.concatenate([[had], c]) for had, c in zip(self.counts, counts, strict=True)]
         self.counts = []
+        changed = np.zeros(len(words[0]), bool)
         for k in range(self.max_n):
             changed = changed | self._changes(words[k])
             start = np.flatnonzero(changed)
             total = np.add.reduceat(counts[k], start)
             self.counts.append(int(total[-1]))
-            yield from self._closed(lang, words[: k + 1], start[:-1], total[:-1])
-        self.lang, self.words = lang[-1].as_py(), [w[-1].as_py() for w in words]
+            yield from self._closed(words[: k + 1], start[:-1], total[:-1])
+        self.words = [w[-1].as_py() for w in words]
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        for k in range(self.max_n if self.lang is not None else 0):
-            words = [pa.array([w], pa.binary()) for w in self.words[: k + 1]]
-            yield from self._closed(pa.array([self.lang], pa.string()), words, np.array([0]), np.array([self.counts[k]]))
+        yield from self._through()
+        for k in range(len(self.words)):
+            yield from self._closed([pa.array([w], pa.binary()) for w in self.words[: k + 1]], np.array([0]), np.array([self.counts[k]]))
 
     def _changes(self, column: pa.Array) -> np.ndarray:
         out = np.ones(len(column), bool)
         out[1:] = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
         return out
 
-    def _closed(self, lang: pa.Array, words: list[pa.Array], start: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _closed(self, words: list[pa.Array], start: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Prefixes often enough, and those of hot words, of which other places have a part.
         A prefix of the longest length is whole in any case."""
         at = pa.array(start)
         words = [w.take(at) for w in words]
         keep = total >= self.min_count
-        if len(words) < self.max_n:
+        if len(words) < self.max_n and len(self.hot):
             part = np.ones(len(start), bool)
             for w in words:
                 part &= pc.is_in(w, self.hot).to_numpy(zero_copy_only=False)
@@ -215,7 +226,7 @@ class Stack:
         if keep.any():
             mask = pa.array(keep)
             phrase = pc.binary_join_element_wise(*[w.filter(mask) for w in words], pa.scalar(b" ", pa.binary()))
-            yield pa.RecordBatch.from_arrays([lang.take(at).filter(mask), phrase, pa.array([len(words)] * len(phrase), pa.int32()), pa.array(total[keep], pa.int64())], ["lang", "phrase", "size", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase), pa.string()), phrase, pa.array([len(words)] * len(phrase), pa.int32()), pa.array(total[keep], pa.int64())], ["lang", "phrase", "size", "f"])
 
 
 def phrase_counts(docs: DataFrame, *, max_n: int, min_count: int) -> tuple[DataFrame, DataFrame]:
@@ -228,22 +239,27 @@ def phrase_counts(docs: DataFrame, *, max_n: int, min_count: int) -> tuple[DataF
     hot = frozenset(bytes(r.word) for r in words.filter(F.col("f") * HOT >= everything).select("word").collect())  # at most HOT
     met = rows.mapInArrow(suffixes(max_n, hot), "lang string, salt int, suffix binary, n long")
     first = F.substring_index(F.col("suffix").cast("string"), " ", 1)
-    ordered = met.repartition("lang", first, "salt").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    ordered = met.repartition("lang", first, "salt").sortWithinPartitions(F.desc("suffix"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = Stack(max_n, min_count, hot)
+        stacks: dict[str, Stack] = {}
         for b in batches:
-            if b.num_rows:
-                yield from stack.push(b.column("lang"), b.column("suffix"), b.column("n").to_numpy())
-        yield from stack.end()
+            lang = b.column("lang").dictionary_encode()
+            numbers = lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = pa.array(numbers == k)
+                stack = stacks.get(name) or stacks.setdefault(name, Stack(name, max_n, min_count, hot))
+                yield from stack.read(b.column("suffix").filter(own), b.column("n").filter(own))
+        for stack in stacks.values():
+            yield from stack.end()
 
     parts = ordered.select("lang", "suffix", "n").mapInArrow(count, "lang string, phrase binary, size int, f long")
     whole = parts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "size").agg(F.sum("f").alias("f"))
     return staged(whole.filter(F.col("f") >= min_count), "phrases"), totals
 
 
-def _salted(name: str) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(16)).cast("int")
+def _salted(name: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(salts)).cast("int")
 
 
 def collocations(docs: DataFrame, *, max_n: int = 3, min_count: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
@@ -258,8 +274,8 @@ def collocations(docs: DataFrame, *, max_n: int = 3, min_count: int = 10, inside
     found = counts.filter("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     join = lambda at, n: F.array_join(F.slice("w", at, n), " ")
     cuts = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.select("lang", "phrase", "size", "a", "k", join(F.lit(1), F.col("k")).alias("left"), join(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"), _salted("phrase").alias("salt"))
-    part = lambda key, f: counts.select("lang", F.col("phrase").alias(key), F.col("f").alias(f), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    cuts = cuts.select("lang", "phrase", "size", "a", "k", join(F.lit(1), F.col("k")).alias("left"), join(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"), _salted("phrase", PARTS).alias("salt"))
+    part = lambda key, f: counts.select("lang", F.col("phrase").alias(key), F.col("f").alias(f), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("salt"))
     cuts = cuts.join(part("left", "l"), ["lang", "left", "salt"]).join(part("right", "r"), ["lang", "right", "salt"])
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     cuts = cuts.withColumns({"aa": wide("a") * wide("a"), "lr": wide("l") * wide("r")}).withColumn("score", F.expr("(1000000 * aa) div lr"))
@@ -269,7 +285,7 @@ def collocations(docs: DataFrame, *, max_n: int = 3, min_count: int = 10, inside
     inner = longer.select("lang", join(F.col("at"), F.col("n")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     left = best.join(inner, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < inside * F.col("a")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    left = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", _salted("phrase").alias("salt"))
+    left = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", _salted("phrase", 16).alias("salt"))
     some = left.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= top)
     ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

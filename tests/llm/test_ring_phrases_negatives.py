@@ -136,13 +136,14 @@ def test_collocation_edge_cases(spark):
     assert collocations.collocations(docs.filter("false")).count() == 0
 
 
-def test_stack_over_batches():
+def test_stack_over_batches(monkeypatch):
+    monkeypatch.setattr(collocations, "READ", 1)
     rows = sorted([(b"a b c ", 2), (b"a b d ", 1), (b"a b ", 4), (b"a ", 1), (b"b c ", 5), (b"a\x01 x ", 3)], reverse=True)
     for size in (1, 2, 6):
-        stack, out = collocations.Stack(3, 1, frozenset()), {}
+        stack, out = collocations.Stack("en", 3, 1, frozenset()), {}
         for at in range(0, len(rows), size):
             part = rows[at : at + size]
-            for b in stack.push(pa.array(["en"] * len(part)), pa.array([s for s, _ in part], pa.binary()), np.array([n for _, n in part])):
+            for b in stack.read(pa.array([s for s, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())):
                 out |= dict(zip(b.column("phrase").to_pylist(), b.column("f").to_pylist(), strict=True))
         for b in stack.end():
             out |= dict(zip(b.column("phrase").to_pylist(), b.column("f").to_pylist(), strict=True))
