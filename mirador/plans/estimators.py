@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, half_label, r6, ratio
+from ..operators import hmm as H
 from ..operators import models as M
 from ..sources import views as V
 from . import sql as S
@@ -147,19 +148,13 @@ def _density(x: str, k: int) -> str:
 h AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS ix, 0.5::DOUBLE AS p UNION ALL SELECT k, ix, b / nullif(a + b, 0) FROM (SELECT m.k, m.ix, ({_STAY} * (1 - h.p) + {1 - _STAY} * h.p) * {_density('m.r', 0)} AS a, ({_STAY} * h.p + {1 - _STAY} * (1 - h.p)) * {_density('m.r', 1)} AS b FROM h JOIN m ON m.k = h.k + 1))
 SELECT ix, {S.r6('p')} AS p_wild FROM h WHERE k > 0""")
 def hmm_filter(spark, d):
-    """Forward filter of a two-state Gaussian chain over the market's weekly return: an
-    ordered fold. The market is one short series, so one array holds it."""
-    m = apply(weekly_grid(spark, d), *_MARKET).filter("r is not null").groupBy("ix").agg(F.avg("r").alias("r"))
-    series = m.agg(F.sort_array(F.collect_list(F.struct("ix", "r"))).alias("s"))
-    dens = lambda r, k: F.exp(-0.5 * F.pow((r - _STATES[k][0]) / _STATES[k][1], F.lit(2.0))) / _STATES[k][1]
-
-    def step(acc, x):
-        p = F.element_at(acc, -1)["p"]
-        a, b = (_STAY * (1 - p) + (1 - _STAY) * p) * dens(x["r"], 0), (_STAY * p + (1 - _STAY) * (1 - p)) * dens(x["r"], 1)
-        return F.concat(acc, F.array(F.struct(x["ix"].alias("ix"), F.try_divide(b, a + b).alias("p"))))
-
-    start = F.array(F.struct(F.lit(None).cast("bigint").alias("ix"), F.lit(0.5).alias("p")))
-    return series.select(F.explode(F.slice(F.aggregate("s", start, step), 2, 1 << 30)).alias("x")).select("x.ix", r6(F.col("x.p")).alias("p_wild"))
+    """Forward filter of a two-state Gaussian chain with given parameters over the market's
+    weekly return: an ordered fold, one short series."""
+    m = apply(weekly_grid(spark, d), *_MARKET).filter("r is not null").groupBy("ix").agg(F.avg("r").alias("r")).withColumn("series", F.lit(0))
+    one, other = _STATES
+    # the fold starts half and half, one step before the first session
+    fits = spark.createDataFrame([{"series": 0} | H.given([0.5, 0.5], [[_STAY, 1 - _STAY], [1 - _STAY, _STAY]], [[one[0]], [other[0]]], [[one[1] ** 2], [other[1] ** 2]])], "series int, pi array<double>, move array<array<double>>, mean array<array<double>>, var array<array<double>>, centre array<double>, scale array<double>")
+    return H.filtered(m, fits, ["r"], by=["series"], order="ix").select("ix", r6(F.get("p", F.lit(1))).alias("p_wild"))
 
 
 @query(f"""{_SQL}, c AS (SELECT {', '.join(f'quantile_cont({x}, 0.5) AS m_{x}' for x in _XS)} FROM f), k AS (SELECT {', '.join(f'quantile_cont(abs({x} - m_{x}), 0.5) * 1.4826 AS s_{x}' for x in _XS)} FROM f, c),

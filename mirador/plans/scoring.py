@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, half_label, r6, ratio
 from ..operators import models as M
+from ..operators import quantiles as Q
 from ..operators import rolling as R
 from ..operators import xsection as X
 from ..sources import views as V
@@ -28,10 +29,14 @@ def walk_forward_blocks(spark, d):
 
 @query(f"WITH {_BLOCKS} SELECT block, count(*)::BIGINT AS trained, count(*) FILTER (ix + 5 >= lo)::BIGINT AS leaked FROM blocks JOIN grid ON ix <= train_to AND price IS NOT NULL GROUP BY block")
 def embargo_check(spark, d):
-    """Rows in training whose target reaches into the block: none."""
-    per_ix = V.aligned(V.weekly(spark, d)).filter("price is not null").groupBy("ix").count()
-    j = per_ix.join(F.broadcast(_blocks(spark, d)), F.col("ix") <= F.col("train_to"))  # blocks: one row per 21 sessions
-    return j.groupBy("block").agg(F.sum("count").alias("trained"), F.coalesce(F.sum(F.when(F.col("ix") + 5 >= F.col("lo"), F.col("count"))), F.lit(0)).alias("leaked"))
+    """Rows in training whose target reaches into the block: none. Running counts by session,
+    of which a block takes the differences."""
+    per_ix = V.aligned(V.weekly(spark, d)).groupBy("ix").agg(F.count("price").alias("n"))
+    run = per_ix.select("ix", F.sum("n").over(W.orderBy("ix")).alias("upto"))  # a row a session
+    b = _blocks(spark, d).withColumn("safe", F.least("train_to", F.col("lo") - 6))
+    at = lambda name, out: run.select(F.col("ix").alias(name), F.col("upto").alias(out))
+    j = F.broadcast(b).join(at("train_to", "trained"), "train_to").join(at("safe", "known"), "safe")
+    return j.filter("trained > 0").select("block", "trained", (F.col("trained") - F.col("known")).alias("leaked"))
 
 
 _FEATS = f"""{_BLOCKS}, f AS (SELECT symbol, ix, price / lag(price, 1) OVER w - 1 AS x1, price / lag(price, 4) OVER w - 1 AS x2, lead(price, 5) OVER w / price - 1 AS t FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY ix)),
@@ -169,11 +174,10 @@ _BAND = f"""{_PRED}, q AS (SELECT b.block, quantile_cont(e.t - e.p, 0.1) AS lo10
 
 
 def bands(spark, d):
-    """Residual quantiles from the rows known before each block (blocks are few: one in 21 sessions)."""
+    """Residual quantiles of the rows known before each block, none of which is copied a block."""
     p = predictions(spark, d).filter("t is not null").withColumn("e", F.col("t") - F.col("pred"))
-    past = p.select("ix", "e").join(F.broadcast(_blocks(spark, d).select(F.col("block").alias("b"), "train_to")), F.col("ix") <= F.col("train_to"))
-    q = past.groupBy("b").agg(F.percentile("e", 0.1).alias("lo10"), F.percentile("e", 0.9).alias("hi90"), F.count("e").alias("k")).filter("k >= 100")
-    return p, q
+    q = Q.exact(p.select("ix", "e"), "e", "ix", _blocks(spark, d), [0.1, 0.9])
+    return p, q.select(F.col("block").alias("b"), F.col("q0").alias("lo10"), F.col("q1").alias("hi90"), F.col("n").alias("k")).filter("k >= 100")
 
 
 @query(f"WITH {_BAND} SELECT block, {S.r6('lo10')} AS lo10, {S.r6('hi90')} AS hi90, n::BIGINT AS n FROM q")
