@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -78,86 +79,185 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Table:
+    """Pieces of the bins that may receive, by reach (a piece's length and the room of its
+    bin: the largest size that can take its place), and the bins by room."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.top = np.full(capacity + 1, capacity + 1)  # shortest piece of each reach
+        self._heaps: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self._stamp: dict[int, int] = {}  # of the bins inside
+        self._held: dict[int, tuple[int, list[int]]] = {}
+        self._room: list[tuple[int, int]] = []
+        self._next = 0
+
+    def put(self, b: int, items: list[int], lengths: list[int], room: int) -> None:
+        self._next += 1
+        self._stamp[b] = self._next
+        at = []
+        if room:
+            insort(self._room, (room, b))
+            for i in items:
+                r = lengths[i] + room
+                heappush(self._heaps[r], (lengths[i], self._next, b, i))
+                self.top[r] = min(self.top[r], lengths[i])
+                at.append(r)
+        self._held[b] = (room, at)
+
+    def take(self, b: int) -> None:
+        del self._stamp[b]
+        room, at = self._held.pop(b)
+        if room:
+            del self._room[bisect_left(self._room, (room, b))]
+        for r in set(at):
+            self.top[r] = self._first(r)[0]
+
+    def _first(self, r: int) -> tuple[int, int, int, int]:
+        heap = self._heaps[r]
+        while heap and self._stamp.get(heap[0][2]) != heap[0][1]:
+            heappop(heap)
+        return heap[0] if heap else (self.capacity + 1, 0, -1, -1)
+
+    def __contains__(self, b: int) -> bool:
+        return b in self._stamp
+
+    def fullest_with(self, n: int) -> int | None:
+        at = bisect_left(self._room, (n, -1))
+        return self._room[at][1] if at < len(self._room) else None
+
+    def shortest(self) -> np.ndarray:
+        """By size the shortest piece whose place can take it."""
+        return np.minimum.accumulate(self.top[::-1])[::-1]
+
+    def piece(self, size: int, length: int) -> tuple[int, int]:
+        """(bin, piece) of that length that a size can replace."""
+        r = size + int(np.argmax(self.top[size:] == length))
+        return self._first(r)[2:]
+
+
+def _sizes(items: list[int], lengths: list[int], capacity: int) -> tuple[int, int]:
+    """Sizes that a bin could give away, as bits: single pieces, and these and pairs."""
+    one = both = 0
+    for k, i in enumerate(items):
+        one |= 1 << lengths[i]
+        for j in items[:k]:
+            if lengths[i] + lengths[j] <= capacity:
+                both |= 1 << (lengths[i] + lengths[j])
+    return one, one | both
+
+
+def _takes(items: list[int], lengths: list[int], room: int) -> tuple[int, int]:
+    """Sizes that a bin could receive, as bits: for nothing, and for a shorter piece."""
+    span, swap = (1 << room) - 1, 0
+    for i in items:
+        swap |= span << (lengths[i] + 1)
+    return span << 1, swap
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Drain the emptiest bins by moves and by one-for-one and two-for-one exchanges.
 
     Each exchange puts more tokens into a bin that is at least as full as the one they
     leave, so the sum of squared fills rises with every step and the search ends: at the
-    lower bound, or where no bin can be improved.
+    lower bound, or where no bin can be improved. A bin that can't be improved waits until
+    one of the bins that changed since could receive a size it has to give; only the pieces
+    of changed bins are looked at again.
     """
-    n = len(lengths)
+    size = lengths.tolist()
     least = -(-int(lengths.sum()) // capacity)
-    owner, fill = np.empty(n, np.int64), np.zeros(len(bins), np.int64)
-    for b, items in enumerate(bins):
-        owner[items] = b
-        fill[b] = lengths[items].sum()
-    alive = np.ones(len(bins), bool)
-    failed = np.zeros(len(bins), bool)
-    while alive.sum() > least and (alive & ~failed).any():
-        src = int(np.argmin(np.where(alive & ~failed, fill, capacity + 1)))
-        steps = 0
-        while True:
-            items = np.flatnonzero(owner == src)
-            if not len(items):
-                alive[src] = False
-                break
-            slack = np.where(alive & (fill >= fill[src]), capacity - fill, 0)
-            slack[src] = 0
-            if not _step(items, src, owner, fill, slack, lengths, capacity):
+    held = {b: list(items) for b, items in enumerate(bins) if items}
+    fill = {b: sum(size[i] for i in items) for b, items in held.items()}
+    table = _Table(capacity)
+    for b, items in held.items():
+        table.put(b, items, size, capacity - fill[b])
+    open_ = [(f, b) for b, f in fill.items()]
+    heapify(open_)
+    low = open_.copy()  # bins of the table by fill, and those too empty for it
+    out: list[tuple[int, int]] = []
+    waiting: dict[int, tuple[int, int]] = {}
+
+    def align(f: int) -> None:
+        """The table's bins are those of a fill of at least ``f``."""
+        while low and low[0][0] < f:
+            was, b = heappop(low)
+            if b in table and fill.get(b) == was:
+                table.take(b)
+                heappush(out, (-was, b))
+        while out and -out[0][0] >= f:
+            was, b = heappop(out)
+            if b not in table and fill.get(b) == -was:
+                table.put(b, held[b], size, capacity - fill[b])
+                heappush(low, (-was, b))
+
+    while open_ and len(held) > least:
+        was, src = heappop(open_)
+        if fill.get(src) != was or src in waiting:
+            continue
+        align(was)
+        if src in table:
+            table.take(src)
+        changed: set[int] = set()
+        while held[src]:
+            align(fill[src])
+            found = _step(held[src], size, table, capacity)
+            if found is None:
                 break
-            steps += 1
-        if steps:  # the others have other room and pieces now
-            failed[:] = False
-        failed[src] = True
-    out: dict[int, list[int]] = {}
-    for i, b in enumerate(owner.tolist()):
-        out.setdefault(b, []).append(i)
-    return list(out.values())
-
-
-def _step(items: np.ndarray, src: int, owner: np.ndarray, fill: np.ndarray, slack: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
-    """One move or exchange that takes tokens out of ``src``; False where there is none."""
-
-    def give(away: list[int], back: int | None, to: int) -> bool:
-        moved = int(lengths[away].sum()) - (int(lengths[back]) if back is not None else 0)
-        owner[away] = to
-        if back is not None:
-            owner[back] = src
-        fill[to] += moved
-        fill[src] -= moved
-        return True
-
-    order = items[np.argsort(-lengths[items], kind="stable")]
-    most = slack.max()
-    for a in order[lengths[order] <= most].tolist():  # move: the bin it fills best
-        fits = np.flatnonzero(slack >= lengths[a])
-        return give([a], None, int(fits[np.argmin(slack[fits])]))
-    room = slack[owner]  # of the bin that holds each piece
-    candidates = np.flatnonzero(room > 0)
-    if not len(candidates):
-        return False
-    # for each size the shortest piece whose place can take it: by falling reach, the least so far
-    theirs = lengths[candidates]
-    reach = np.minimum(theirs + room[candidates], capacity)
-    shortest = np.full(capacity + 1, capacity + 1)
-    np.minimum.at(shortest, reach, theirs)
-    shortest = np.minimum.accumulate(shortest[::-1])[::-1]
-    sizes = lengths[order]
+            away, to, back = found
+            table.take(to)
+            for i in away:
+                held[src].remove(i)
+                held[to].append(i)
+            if back is not None:
+                held[to].remove(back)
+                held[src].append(back)
+            moved = sum(size[i] for i in away) - (size[back] if back is not None else 0)
+            fill[src] -= moved
+            fill[to] += moved
+            table.put(to, held[to], size, capacity - fill[to])
+            heappush(low, (fill[to], to))
+            changed.add(to)
+        if not held[src]:
+            del held[src], fill[src]
+        else:
+            waiting[src] = _sizes(held[src], size, capacity)
+            table.put(src, held[src], size, capacity - fill[src])
+            heappush(low, (fill[src], src))
+        for t in changed:  # other pieces to give, other sizes to take
+            waiting.pop(t, None)
+            heappush(open_, (fill[t], t))
+        for t in changed | ({src} & held.keys() if changed else set()):
+            free, swap = _takes(held[t], size, capacity - fill[t])
+            for b in [b for b, (one, any_) in waiting.items() if b != t and fill[b] <= fill[t] and (one & free or any_ & swap)]:
+                del waiting[b]
+                heappush(open_, (fill[b], b))
+    return list(held.values())
+
+
+def _step(items: list[int], size: list[int], table: _Table, capacity: int) -> tuple[list[int], int, int | None] | None:
+    """(pieces that leave, the bin they go to, the piece that comes back): a move of the longest
+    piece that fits, into the fullest bin that takes it; else the exchange that moves most."""
+    order = sorted(items, key=lambda i: -size[i])
+    for i in order:
+        to = table.fullest_with(size[i])
+        if to is not None:
+            return [i], to, None
+    shortest = table.shortest()
+    sizes = np.array([size[i] for i in order])
     gain = sizes - shortest[sizes]
-    if gain.max() > 0:  # exchange: the one that moves most tokens
+    if gain.max() > 0:
         k = int(np.argmax(gain))
-        away, size = [int(order[k])], int(sizes[k])
+        away, n = [order[k]], int(sizes[k])
     else:
         i, j = np.triu_indices(len(order), 1)
         both = sizes[i] + sizes[j]
-        ok = both <= capacity
-        gain = np.where(ok, both - shortest[np.where(ok, both, 0)], 0)
+        gain = np.where(both <= capacity, both - shortest[np.minimum(both, capacity)], 0)
         if not len(gain) or gain.max() <= 0:
-            return False
+            return None
         k = int(np.argmax(gain))
-        away, size = [int(order[i[k]]), int(order[j[k]])], int(both[k])
-    c = int(candidates[np.flatnonzero((reach >= size) & (theirs == shortest[size]))[0]])
-    return give(away, c, int(owner[c]))
+        away, n = [order[i[k]], order[j[k]]], int(both[k])
+    to, back = table.piece(n, int(shortest[n]))
+    return away, to, back
 
 
 def pack(pieces: DataFrame, *, capacity: int = 2048, shard_pieces: int = 16384) -> DataFrame:

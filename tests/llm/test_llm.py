@@ -98,6 +98,17 @@ def test_local_search_leaves_no_exchange():
                             assert not any(0 < n - lengths[o] <= 64 - fill[t] for o in other)
 
 
+def test_local_search_of_a_whole_shard_is_quick():
+    import time
+
+    lengths = np.random.default_rng(5).integers(600, 1101, 16384)
+    start, began = packing.best_fit(lengths, 2048), time.process_time()
+    bins = packing.local_search(start, lengths, 2048)
+    assert time.process_time() - began < 60  # 3 to 4 s on a quiet core
+    assert len(bins) < len(start) - 100 and sorted(i for b in bins for i in b) == list(range(16384))
+    assert max(lengths[b].sum() for b in bins) <= 2048
+
+
 def test_packing_edge_cases(spark):
     path = queries.vocabulary("word_bpe_49k.json")
     rows = packing.pack_documents(frame(spark, ODD), path, capacity=64, with_ids=True).collect()
