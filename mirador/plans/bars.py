@@ -7,6 +7,7 @@ from ..functions.scalars import log_return, r6, ratio
 from ..operators import rolling as R
 from ..operators import xsection as X
 from ..sources import views as V
+from ..sources.staging import staged
 from . import sql as S
 from .catalog import query
 
@@ -19,18 +20,21 @@ def weekly_returns(spark, d):
 
 @query(f"""WITH {S.BARS}, cal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ix FROM (SELECT DISTINCT session FROM bars)),
 g AS (SELECT s.symbol, cal.session, ix, c FROM cal CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.session = cal.session),
-f AS (SELECT *, c / nullif(lag(c, 5) OVER w, 0) - 1 AS ret5, CASE WHEN count(*) OVER f5 = 5 AND count(c) OVER f5 >= 3 THEN stddev_samp(c) OVER f5 END AS vol5
-FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ix), f5 AS (PARTITION BY symbol ORDER BY ix ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, CASE WHEN c > 0 AND lag(c) OVER w > 0 THEN ln(c / lag(c) OVER w) END AS lr FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ix)),
+f AS (SELECT *, c / nullif(lag(c, 5) OVER w, 0) - 1 AS ret5, CASE WHEN count(*) OVER f5 = 5 AND count(lr) OVER f5 >= 3 THEN stddev_samp(lr) OVER f5 END AS vol5
+FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ix), f5 AS (PARTITION BY symbol ORDER BY ix ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 k AS (SELECT *, CASE WHEN ret5 IS NOT NULL AND count(ret5) OVER (PARTITION BY session) > 5 THEN (row_number() OVER (PARTITION BY session ORDER BY ret5 NULLS LAST, symbol) - 1)
 / (count(ret5) OVER (PARTITION BY session) - 1) - 0.5 END AS pct FROM f),
 t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pct DESC, symbol) AS rank FROM k WHERE pct IS NOT NULL AND vol5 > 0)
 SELECT symbol, session, {S.r6('ret5')} AS ret5, {S.r6('vol5')} AS vol5, {S.r6('pct')} AS pct, rank::INT AS rank FROM t WHERE rank <= 10""")
 def flagship_momentum(spark, d):
-    """Bars from events, panel on the calendar, guarded return and volatility, rank, top ten a session."""
-    grid = V.aligned(V.bars_daily(spark, d).select("symbol", "session", "c"))
+    """Bars from events, panel on the calendar, guarded return and volatility of log returns,
+    rank, top ten a session."""
+    grid = V.aligned(staged(V.bars_daily(spark, d).select("symbol", "session", "c"), "bars"))
     w5 = R.frame(5)
     feats = grid.withColumn("ret5", ratio(F.col("c"), R.lag("c", 5)) - 1)
-    feats = feats.withColumn("vol5", F.when((F.count(F.lit(1)).over(w5) == 5) & (F.count("c").over(w5) >= 3), F.stddev_samp("c").over(w5)))
+    feats = feats.withColumn("lr", log_return(F.col("c"), R.lag("c", 1)))
+    feats = feats.withColumn("vol5", F.when((F.count(F.lit(1)).over(w5) == 5) & (F.count("lr").over(w5) >= 3), F.stddev_samp("lr").over(w5)))
     ranked = feats.withColumn("pct", X.rank_pct("ret5", least=5)).filter("pct is not null and vol5 > 0")
     best = X.top_k(ranked, "session", [F.desc("pct"), F.asc("symbol")], 10)
     return best.select("symbol", "session", r6(F.col("ret5")).alias("ret5"), r6(F.col("vol5")).alias("vol5"), r6(F.col("pct")).alias("pct"), "rank")

@@ -50,19 +50,31 @@ def order_replacements(spark, d):
     return g.select(*on, "placed", "cancelled", "n_placed", "n_cancelled", (F.abs(F.col("placed") - F.col("cancelled")) <= 0.25 * F.col("cancelled")).alias("replaced"))
 
 
-@query(f"""WITH {_LOOKS}, p AS (SELECT * FROM o WHERE NOT cancelled),
-b AS (SELECT * FROM p x WHERE side = 'BUY' AND EXISTS (SELECT 1 FROM p y WHERE y.side = 'SELL' AND y.look = x.look AND y.symbol = x.symbol AND y.family = x.family AND (x.family = 'mkt' OR abs(x.level - y.level) / x.base <= {_NEAR}))),
-s AS (SELECT * FROM p x WHERE side = 'SELL' AND EXISTS (SELECT 1 FROM p y WHERE y.side = 'BUY' AND y.look = x.look AND y.symbol = x.symbol AND y.family = x.family AND (x.family = 'mkt' OR abs(x.level - y.level) / x.base <= {_NEAR}))),
-g AS (SELECT look, symbol, family, sum(qty) AS qb FROM b GROUP BY ALL), h AS (SELECT look, symbol, family, sum(qty) AS qs FROM s GROUP BY ALL)
-SELECT look, symbol, family, qb::BIGINT AS bought, qs::BIGINT AS sold, abs(qb - qs) <= 0.25 * greatest(qb, qs) AS offset_each_other FROM g JOIN h USING (look, symbol, family)""")
+_LEG = {**_LOOK, "kind": "CASE WHEN o_orderkey % 6 = 0 THEN 'MKT' WHEN o_orderkey % 6 = 1 THEN 'LMT' WHEN o_orderkey % 6 = 2 THEN 'STP' WHEN o_orderkey % 6 = 3 THEN 'MOO' WHEN o_orderkey % 6 = 4 THEN 'LMT' ELSE 'MOC' END", "side": "CASE WHEN floor(o_orderkey / 6) % 2 = 0 THEN 'BUY' ELSE 'SELL' END", "pre": "month(o_orderdate) % 2 = 0"}
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {', '.join(f'{e} AS {n}' for n, e in _LEG.items())} FROM orders), p AS (SELECT * FROM o WHERE NOT cancelled),
+m AS (SELECT look, symbol, CASE WHEN pre AND kind IN ('MKT', 'MOO') THEN 'open' ELSE kind END AS pair, sum(qty) FILTER (side = 'BUY') AS a, sum(qty) FILTER (side = 'SELL') AS b FROM p WHERE kind IN ('MKT', 'MOO', 'MOC') GROUP BY ALL),
+near AS (SELECT x.o_orderkey AS l, y.o_orderkey AS s, x.look, x.symbol, x.side, x.qty AS lq, y.qty AS sq FROM p x JOIN p y ON x.kind = 'LMT' AND y.kind = 'STP' AND x.look = y.look AND x.symbol = y.symbol AND x.side <> y.side AND abs(x.level - y.level) / x.base <= {_NEAR}),
+r AS (SELECT look, symbol, side || ' LMT' AS pair, sum(q) FILTER (leg = 'l') AS a, sum(q) FILTER (leg = 's') AS b FROM (SELECT DISTINCT look, symbol, side, 'l' AS leg, l AS k, lq AS q FROM near UNION ALL SELECT DISTINCT look, symbol, side, 's', s, sq FROM near) GROUP BY ALL)
+SELECT look, symbol, pair, a::BIGINT AS first_leg, b::BIGINT AS other_leg, abs(a - b) <= greatest(a, b) / 4e0 AS offset_each_other FROM (SELECT * FROM m UNION ALL SELECT * FROM r) WHERE a IS NOT NULL AND b IS NOT NULL""")
 def order_offsets(spark, d):
-    """Opposite sides of one look that trigger together and net out within a quarter."""
-    p = _looks(spark, d).filter(~F.col("cancelled"))
-    on = ["look", "symbol", "family"]
-    buy, sell = p.filter("side = 'BUY'"), p.filter("side = 'SELL'")
-    total = lambda df, ids, q: df.join(ids, "o_orderkey").groupBy(*on).agg(F.sum("qty").alias(q))
-    g = total(buy, _near_ids(buy, sell, on), "bought").join(total(sell, _near_ids(sell, buy, on), "sold"), on)
-    return g.select(*on, "bought", "sold", (F.abs(F.col("bought") - F.col("sold")) <= 0.25 * F.greatest("bought", "sold")).alias("offset_each_other"))
+    """Opposite orders of one look and symbol that trigger together: market legs of one moment
+    (before the open MKT and MOO are one), or limits and opposite stops near their level. They
+    leave the book as it was where their totals are within a quarter."""
+    p = apply(V.table(spark, d, "orders"), _LEG).filter(~F.col("cancelled"))
+    moment = F.when(F.col("pre") & F.col("kind").isin("MKT", "MOO"), "open").otherwise(F.col("kind"))
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("qty")))
+    market = p.filter(F.col("kind").isin("MKT", "MOO", "MOC")).groupBy("look", "symbol", moment.alias("pair")).agg(of("BUY").alias("first_leg"), of("SELL").alias("other_leg"))
+    # the limit's side names both legs, so a limit and an opposite stop meet on equal keys
+    legs = p.filter(F.col("kind").isin("LMT", "STP")).withColumn("with", F.when((F.col("kind") == "LMT") == (F.col("side") == "BUY"), "BUY LMT").otherwise("SELL LMT")).withColumn("family", F.lit("level"))
+    on = ["look", "symbol", "with", "family"]
+    lim, stp = legs.filter("kind = 'LMT'"), legs.filter("kind = 'STP'")
+    total = lambda x, ids, name: x.join(ids, "o_orderkey").groupBy(*on).agg(F.sum("qty").alias(name))
+    resting = total(lim, _near_ids(lim, stp, on), "first_leg").join(total(stp, _near_ids(stp, lim, on), "other_leg"), on).drop("family").withColumnRenamed("with", "pair")
+    both = market.filter("first_leg is not null and other_leg is not null").unionByName(resting)
+    even = F.abs(F.col("first_leg") - F.col("other_leg")) <= 0.25 * F.greatest("first_leg", "other_leg")
+    return both.select("look", "symbol", "pair", F.col("first_leg").cast("long").alias("first_leg"), F.col("other_leg").cast("long").alias("other_leg"), even.alias("offset_each_other"))
 
 
 @query(f"""WITH RECURSIVE {_LOOKS}, n AS (SELECT look, o_orderkey, CASE WHEN side = 'BUY' THEN qty ELSE -qty END * base AS usd, row_number() OVER (PARTITION BY look ORDER BY o_orderkey) AS k FROM o WHERE NOT cancelled),
@@ -142,16 +154,22 @@ def drift_flags(spark, d):
     return f.select("month", "arm", "n", F.coalesce(moved & (gap > 2 * se), F.lit(False)).alias("drifted"), moved.alias("moved"))
 
 
-@query(f"""WITH {S.SLOTS}, g AS (SELECT symbol, session, slot, c AS x, c - avg(c) OVER (PARTITION BY session, slot) AS adv, count(*) OVER (PARTITION BY session, slot) AS k, avg(c) OVER (PARTITION BY symbol, session) AS own, avg(c) OVER (PARTITION BY session) AS day FROM slots)
-SELECT slot, count(*)::BIGINT AS n, {S.r6('sqrt(avg(adv * adv))')} AS sd, {S.r6('sum(abs(adv))')} AS mass, {S.r6('sum((own - day) * (own - day)) / nullif(sum((x - day) * (x - day)), 0)')} AS explained FROM g WHERE k >= 2 GROUP BY slot""")
+@query(f"""WITH {S.SLOTS}, ends AS (SELECT symbol, session, arg_min(o, slot) AS first, arg_max(c, slot) AS last FROM slots GROUP BY ALL), n AS (SELECT symbol, session, lead(first) OVER (PARTITION BY symbol ORDER BY session) / nullif(last, 0) - 1 AS night FROM ends),
+g AS (SELECT s.session, s.slot, s.symbol, c AS x, night, min(s.slot) OVER (PARTITION BY s.session) AS first_look FROM slots s JOIN n ON n.symbol = s.symbol AND n.session = s.session WHERE night IS NOT NULL),
+w AS (SELECT *, x - avg(x) OVER k AS adv, count(*) OVER k AS members, night - avg(night) OVER k AS off FROM g WINDOW k AS (PARTITION BY session, slot))
+SELECT slot, count(*)::BIGINT AS n, {S.r6('sqrt(avg(adv * adv))')} AS sd, {S.r6('sum(abs(adv))')} AS mass, {S.r6('sum(10000 * off * off) FILTER (slot > first_look) / nullif(sum(adv * adv) FILTER (slot > first_look), 0)')} AS overnight_share FROM w WHERE members >= 2 GROUP BY slot""")
 def advantage_noise(spark, d):
-    """Per slot the pooled deviation of the advantages within groups, their mass, and the
-    share of variance that members explain."""
-    s = slots(spark, d).select("symbol", "session", "slot", F.col("c").alias("x"))
-    of = lambda *k: W.partitionBy(*k)
-    g = s.withColumns({"adv": F.col("x") - F.avg("x").over(of("session", "slot")), "k": F.count(F.lit(1)).over(of("session", "slot")), "own": F.avg("x").over(of("symbol", "session")), "day": F.avg("x").over(of("session"))}).filter("k >= 2")
-    sq = lambda a, b: F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
-    return g.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(F.col("adv") * F.col("adv")))).alias("sd"), r6(F.sum(F.abs("adv"))).alias("mass"), r6(ratio(sq("own", "day"), sq("x", "day"))).alias("explained"))
+    """Per look the pooled deviation of the advantages within groups and their mass, and for
+    the looks after a group's first the share of that variance that the members' overnight
+    moves (in hundredths) carry."""
+    s = slots(spark, d)
+    ends = s.groupBy("symbol", "session").agg(F.min_by("o", "slot").alias("first"), F.max_by("c", "slot").alias("last"))
+    night = ends.select("symbol", "session", (ratio(F.lead("first").over(W.partitionBy("symbol").orderBy("session")), F.col("last")) - 1).alias("night")).filter("night is not null")
+    group = W.partitionBy("session", "slot")
+    g = s.select("symbol", "session", "slot", F.col("c").alias("x")).join(night, ["symbol", "session"]).withColumn("first_look", F.min("slot").over(W.partitionBy("session")))
+    g = g.withColumns({"adv": F.col("x") - F.avg("x").over(group), "off": 100 * (F.col("night") - F.avg("night").over(group)), "members": F.count(F.lit(1)).over(group)}).filter("members >= 2")
+    later = lambda c: F.sum(F.when(F.col("slot") > F.col("first_look"), F.col(c) * F.col(c)))
+    return g.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(F.col("adv") * F.col("adv")))).alias("sd"), r6(F.sum(F.abs("adv"))).alias("mass"), r6(ratio(later("off"), later("adv"))).alias("overnight_share"))
 
 
 panel(
@@ -211,20 +229,33 @@ def held_overnight(spark, d):
     return held.groupBy("sleeve", "symbol").agg(F.max(F.abs("pos")).alias("most"), F.count(F.lit(1)).alias("stretches"))
 
 
-@query(f"""WITH {S.FILLS}, p AS (SELECT sleeve, symbol, sum(CASE WHEN side = 'BOT' THEN cents ELSE -cents END) AS value FROM latest GROUP BY ALL)
-SELECT sleeve, arg_max(symbol, (abs(value), -symbol)) AS top, {S.r6('max(abs(value)) / nullif(sum(abs(value)), 0)')} AS top_weight, sum(abs(value))::BIGINT AS gross, sum(value)::BIGINT AS net, {S.r6('sum(abs(value)) FILTER (symbol % 3 <> 0) / nullif(sum(abs(value)), 0)')} AS unprotected,
-{S.r6('sum(value * CASE WHEN symbol % 10 = 0 THEN 1 ELSE 0.5 + (symbol % 10) / 10 END) / 100')} AS beta_usd FROM p GROUP BY sleeve""")
+_STOP = {"level": "l_extendedprice / l_quantity * CASE WHEN l_returnflag = 'R' THEN 1 - l_discount ELSE 1 + l_discount END", "cover": "l_quantity"}
+
+
+@query(f"""WITH {S.FILLS}, p AS (SELECT sleeve, symbol, sum(CASE WHEN side = 'BOT' THEN shares ELSE -shares END) AS q, sum(CASE WHEN side = 'BOT' THEN -cents ELSE cents END) / 100e0 AS cash, arg_max(cents / 100e0 / shares, (time, l_orderkey, l_linenumber)) AS px FROM latest GROUP BY ALL),
+stops AS (SELECT o_orderpriority AS sleeve, l_suppkey AS symbol, l_returnflag = 'R' AS sells, {', '.join(f'{e} AS {n}' for n, e in _STOP.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' AND l_tax > 0.05),
+c AS (SELECT p.sleeve, p.symbol, min((1 - least(1, cover / abs(q)), greatest(0, CASE WHEN q > 0 THEN px - level ELSE level - px END / px))) AS best FROM p JOIN stops s ON s.sleeve = p.sleeve AND s.symbol = p.symbol AND sells = (q > 0) WHERE q <> 0 AND level > 0 GROUP BY ALL),
+nav AS (SELECT sleeve, 1e6 + sum(cash + q * px) AS nav FROM p GROUP BY sleeve), w AS (SELECT p.sleeve, p.symbol, CASE WHEN nav > 0 THEN abs(q * px) / nav ELSE 0 END AS weight, coalesce(1 - best[1], 0) AS cov, best[2] AS dist FROM p JOIN nav ON nav.sleeve = p.sleeve LEFT JOIN c ON c.sleeve = p.sleeve AND c.symbol = p.symbol WHERE q <> 0),
+t AS (SELECT sleeve, count(*) AS positions, sum(weight) AS gross, sum(weight) FILTER (cov < 0.5) AS bare, max((weight, -symbol)) AS top FROM w GROUP BY sleeve)
+SELECT t.sleeve, positions::BIGINT AS positions, {S.r6('gross')} AS gross, {S.r6('coalesce(bare, 0)')} AS unprotected, w.symbol AS top_symbol, {S.r6('weight')} AS top_weight, {S.r6('cov')} AS top_cover, {S.r6('dist')} AS top_distance, cov >= 0.5 AS top_protected, weight >= 0.75 AND cov < 0.5 AS unprotected_75 FROM t JOIN w ON w.sleeve = t.sleeve AND w.symbol = -top[2]""")
 def book_summary(spark, d):
-    """Largest position and its weight, gross, net, the unprotected share, and the exposure by
-    beta, where names without one count as one."""
+    """A book's concentration and protection at its marks: weights of the net asset value, the
+    largest position, and how much of it working stops on its exit side cover, at what distance.
+    A position's cover is that of the stop that covers most, of several the nearest."""
     sign = F.when(F.col("side") == "BOT", 1).otherwise(-1)
-    p = latest_fills(spark, d).groupBy("sleeve", "symbol").agg(F.sum(sign * F.col("cents")).alias("value"))
-    size = F.abs("value")
-    beta = F.when(F.col("symbol") % 10 == 0, 1.0).otherwise(0.5 + (F.col("symbol") % 10) / 10)
-    return p.groupBy("sleeve").agg(
-        F.max_by("symbol", F.struct(size, -F.col("symbol"))).alias("top"), r6(ratio(F.max(size).cast("double"), F.sum(size))).alias("top_weight"), F.sum(size).alias("gross"), F.sum("value").alias("net"),
-        r6(ratio(F.sum(F.when(F.col("symbol") % 3 != 0, size)).cast("double"), F.sum(size))).alias("unprotected"), r6(F.sum(F.col("value") * beta) / 100).alias("beta_usd"),
-    )
+    last = F.struct("time", "l_orderkey", "l_linenumber")
+    p = latest_fills(spark, d).groupBy("sleeve", "symbol").agg(F.sum(sign * F.col("shares")).alias("q"), (F.sum(-sign * F.col("cents")) / 100).alias("cash"), F.max_by(F.col("cents") / 100 / F.col("shares"), last).alias("px"))
+    nav = p.groupBy("sleeve").agg((F.lit(1e6) + F.sum(F.col("cash") + F.col("q") * F.col("px"))).alias("nav"))
+    working = V.table(spark, d, "lineitem").filter("l_linestatus = 'O' and l_tax > 0.05").join(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("sleeve")), "l_orderkey")
+    stops = apply(working, _STOP).select("sleeve", F.col("l_suppkey").alias("symbol"), (F.col("l_returnflag") == "R").alias("sells"), "level", "cover").filter("level > 0")
+    held = p.filter("q <> 0").withColumn("sells", F.col("q") > 0)
+    far = F.greatest(F.lit(0.0), F.when(F.col("q") > 0, F.col("px") - F.col("level")).otherwise(F.col("level") - F.col("px")) / F.col("px"))
+    best = held.join(stops, ["sleeve", "symbol", "sells"]).groupBy("sleeve", "symbol").agg(F.min(F.struct((1 - F.least(F.lit(1.0), F.col("cover") / F.abs("q"))).alias("open"), far.alias("dist"))).alias("best"))
+    w = held.join(nav, "sleeve").join(best, ["sleeve", "symbol"], "left")
+    w = w.select("sleeve", "symbol", F.when(F.col("nav") > 0, F.abs(F.col("q") * F.col("px")) / F.col("nav")).otherwise(0.0).alias("weight"), F.coalesce(1 - F.col("best.open"), F.lit(0.0)).alias("cov"), F.col("best.dist").alias("dist"))
+    t = w.groupBy("sleeve").agg(F.count(F.lit(1)).alias("positions"), r6(F.sum("weight")).alias("gross"), r6(F.coalesce(F.sum(F.when(F.col("cov") < 0.5, F.col("weight"))), F.lit(0.0))).alias("unprotected"), F.max(F.struct("weight", (-F.col("symbol")).alias("by"), "symbol", "cov", "dist")).alias("top"))
+    top, cov = F.col("top.weight"), F.col("top.cov")
+    return t.select("sleeve", "positions", "gross", "unprotected", F.col("top.symbol").alias("top_symbol"), r6(top).alias("top_weight"), r6(cov).alias("top_cover"), r6(F.col("top.dist")).alias("top_distance"), (cov >= 0.5).alias("top_protected"), ((top >= 0.75) & (cov < 0.5)).alias("unprotected_75"))
 
 
 # --- merging and matching ------------------------------------------------------------------

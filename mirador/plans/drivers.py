@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, r6, ratio
 from ..operators import models as M
+from ..sources.staging import staged
 from . import sql as S
 from .catalog import query
 from .estimators import _SQL, _XS, _Z, _feats, _standardized
@@ -13,7 +14,7 @@ from .stages import ahead, apply, chain, daily_grid, div, lag, ln, mean, rank, w
 # --- today ---------------------------------------------------------------------------------
 
 _SCORES = [
-    {"r": ln(div("price", lag("price"))), "last_ix": "max(ix) OVER (PARTITION BY 1)"},
+    {"r": ln(div("price", lag("price")))},
     {"trend": f"{div(lag('price', 4), lag('price', 52))} - 1", "turn": f"1 - {div('price', lag('price', 4))}", "calm": f"-({mean('r', 13, 7, agg='stddev_samp')})", "heavy": ln(mean("price * v", 13, 7))},
     {f"{n}_rk": rank(n, 5) for n in ("trend", "turn", "calm", "heavy")},
     {"blend": "(trend_rk + turn_rk + calm_rk) / 3e0"},
@@ -21,11 +22,13 @@ _SCORES = [
 _VARIANTS = {"trend": "trend_rk", "turn": "turn_rk", "calm": "calm_rk", "blend": "blend"}
 
 
-@query(f"""{chain(S.GRID, "grid", *_SCORES)}, u AS ({' UNION ALL '.join(f"SELECT '{n}' AS variant, symbol, ix, {c} AS score FROM t3 WHERE ix = last_ix - 3 AND {c} IS NOT NULL" for n, c in _VARIANTS.items())})
+@query(f"""{chain(S.GRID, "grid", *_SCORES)}, u AS ({' UNION ALL '.join(f"SELECT '{n}' AS variant, symbol, ix, {c} AS score FROM t3 WHERE ix = (SELECT max(ix) FROM cal) - 3 AND {c} IS NOT NULL" for n, c in _VARIANTS.items())})
 SELECT variant, symbol, {S.r6('score')} AS score, row_number() OVER (PARTITION BY variant ORDER BY score DESC, symbol)::INT AS place, least(9, floor((row_number() OVER (PARTITION BY variant ORDER BY score, symbol) - 1) * 10e0 / count(*) OVER (PARTITION BY variant)))::INT AS decile FROM u""")
 def today_scores(spark, d):
     """The last full session's score, place and decile of every symbol, by variant."""
-    p = apply(weekly_grid(spark, d), *_SCORES).filter("ix = last_ix - 3")
+    g = weekly_grid(spark, d)
+    last = F.broadcast(g.agg((F.max("ix") - 3).alias("last_ix")))  # one row
+    p = apply(g, *_SCORES).join(last).filter("ix = last_ix")
     u = p.select("symbol", *[F.col(c).alias(n) for n, c in _VARIANTS.items()]).unpivot(["symbol"], list(_VARIANTS), "variant", "score").filter("score is not null")
     w = W.partitionBy("variant")
     decile = F.least(F.lit(9), F.floor((F.row_number().over(w.orderBy("score", "symbol")) - 1) * 10.0 / F.count(F.lit(1)).over(w))).cast("int")
@@ -82,14 +85,16 @@ SELECT {S.r6('any_value(a)')} AS a, {S.r6('any_value(b)')} AS b, {S.r6('avg((y <
 def quantile_regression(spark, d):
     """A line at the upper decile by reweighted least squares; a step is one aggregation of
     five sums, and only those reach the driver."""
-    lines = _standardized(_feats(spark, d)).select(F.col("x2").alias("x"), F.abs("t").alias("y"))
+    lines = staged(_standardized(_feats(spark, d)).select(F.col("x2").alias("x"), F.abs("t").alias("y")), "lines")
     start = lines.agg(F.avg("y").alias("m")).first().m
     a, b = start or 0.0, 0.0
     fit = lambda: F.lit(a) + F.lit(b) * F.col("x")
     for _ in range(_STEPS if start is not None else 0):
         w = F.when(F.col("y") >= fit(), _TAU).otherwise(1 - _TAU) / F.greatest(F.abs(F.col("y") - fit()), F.lit(0.001))
         s = lines.withColumn("w", w).agg(*[F.sum(F.expr(e)).alias(n) for n, e in {"s": "w", "sx": "w * x", "sy": "w * y", "sxx": "w * x * x", "sxy": "w * x * y"}.items()]).first()
-        det = s.s * s.sxx - s.sx * s.sx
+        det = (s.s * s.sxx - s.sx * s.sx) if s.sxx is not None else 0.0
+        if not det:  # a regressor without spread: no line to fit
+            break
         a, b = (s.sy * s.sxx - s.sx * s.sxy) / det, (s.s * s.sxy - s.sx * s.sy) / det
     over = F.col("y") - fit()
     return lines.agg(r6(F.lit(a)).alias("a"), r6(F.lit(b)).alias("b"), r6(F.avg((F.col("y") <= fit()).cast("int"))).alias("below"), r6(F.avg(F.when(over >= 0, _TAU * over).otherwise((_TAU - 1) * over))).alias("pinball"))

@@ -7,6 +7,7 @@ from ..functions.scalars import correlation, half_label, r6, ratio
 from ..operators import hmm as H
 from ..operators import models as M
 from ..sources import views as V
+from ..sources.staging import staged
 from . import sql as S
 from .catalog import query
 from .stages import ahead, apply, chain, div, lag, ln, mean, slots, weekly_grid
@@ -77,16 +78,18 @@ SELECT {S.r6('any_value(a)')} AS a, {S.r6('any_value(b)')} AS b, {S.r6('-avg(y *
 def logistic_newton(spark, d):
     """Five Newton steps of a logistic curve with a unit penalty on its slope. A step is one
     aggregation of five sums; only those reach the driver."""
-    lines = _standardized(_feats(spark, d)).select(F.col("x2").alias("x"), (F.col("t") > 0).cast("int").alias("y"))
+    lines = staged(_standardized(_feats(spark, d)).select(F.col("x2").alias("x"), (F.col("t") > 0).cast("int").alias("y")), "lines")
     a = b = 0.0
     for _ in range(5):
         p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
         w = p * (1 - p)
         s = lines.agg(F.sum(F.col("y") - p).alias("g0"), F.sum((F.col("y") - p) * F.col("x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11")).first()
-        if s.h00 is None:
+        if s.h00 is None or s.h01 is None:
             break
         g1, h11 = s.g1 - b, s.h11 + 1
         det = s.h00 * h11 - s.h01 * s.h01
+        if not det:  # all chances at 0 or 1: no step to take
+            break
         a, b = a + (h11 * s.g0 - s.h01 * g1) / det, b + (s.h00 * g1 - s.h01 * s.g0) / det
     p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
     y = F.col("y")

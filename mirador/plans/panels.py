@@ -247,24 +247,49 @@ panel(
     ["symbol", "ix"], ["n1", "n5", "n20", "tone1", "tone5", "tone20", "top5", "quiet", "shift", "odd", "share", "odd_rk"],
 )
 
-_STATE = "CASE WHEN n_now > 0 AND n_next > 0 THEN 'both' WHEN n_now > 0 THEN 'now' WHEN n_next > 0 THEN 'next' WHEN n_done > 0 THEN 'done' WHEN n_day > 0 THEN 'later' ELSE 'none' END"
+#: An event's release by its type, where its number is small; other events aren't releases.
+_RELEASE = "CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) < 40 THEN CASE event_type WHEN 'signup' THEN 'am1' WHEN 'purchase' THEN 'am2' WHEN 'error' THEN 'fomc' WHEN 'view' THEN 'other' END END"
 
 
-@query(f"""WITH {S.TICKS}, looks AS (SELECT DISTINCT ts::DATE AS session, k.k AS slot FROM ticks CROSS JOIN (SELECT unnest(range(0, 8)) AS k) k),
-ev AS (SELECT ts::DATE AS session, (hour(ts) // 3)::INT AS slot, price FROM ticks WHERE event_type = 'error'),
-f AS (SELECT l.session, l.slot::INT AS slot, count(e.slot) AS n_day, count(*) FILTER (e.slot = l.slot) AS n_now, count(*) FILTER (e.slot = l.slot + 1) AS n_next, count(*) FILTER (e.slot < l.slot) AS n_done, max(price) FILTER (e.slot < l.slot) AS top FROM looks l LEFT JOIN ev e ON e.session = l.session GROUP BY ALL)
-SELECT session, slot, n_day::BIGINT AS n_day, n_now::BIGINT AS n_now, n_next::BIGINT AS n_next, n_done::BIGINT AS n_done, top, {_STATE} AS state FROM f""")
+@query(f"""WITH ev AS (SELECT user_id AS symbol, ts::DATE AS session, hour(ts) * 60 + minute(ts) AS t, {_RELEASE} AS key, abs(value - 100) / 40 AS z FROM events),
+days AS (SELECT DISTINCT symbol, session FROM ev), looks AS (SELECT symbol, session, k, 570 + 30 * k AS tm FROM days, (SELECT unnest(range(13)) AS k)),
+f AS (SELECT l.symbol, l.session, l.k, coalesce(bool_or(key = 'am1' AND t < 570), FALSE) AS am830_t1, coalesce(bool_or(key = 'am2' AND t < 570), FALSE) AS am830_t2, coalesce(bool_or(t >= 570 AND t - tm BETWEEN 0 AND 59), FALSE) AS next60, coalesce(bool_or(t >= 570 AND tm - t BETWEEN 1 AND 60), FALSE) AS last60,
+coalesce(bool_or(key = 'fomc'), FALSE) AND any_value(tm) < 840 AS fomc_ahead, coalesce(bool_or(key = 'fomc'), FALSE) AND any_value(tm) >= 840 AS fomc_after, coalesce(max(CASE WHEN key = 'am1' AND t < 570 THEN z END), 0) AS absz FROM looks l LEFT JOIN ev e ON e.symbol = l.symbol AND e.session = l.session AND e.key IS NOT NULL GROUP BY l.symbol, l.session, l.k)
+SELECT symbol, session, k::INT AS look, am830_t1, am830_t2, next60, last60, fomc_ahead, fomc_after, {S.r6('absz')} AS absz_am, CASE WHEN fomc_after THEN 1 WHEN fomc_ahead THEN 2 WHEN am830_t1 AND k < 2 THEN 3 WHEN am830_t1 AND k < 6 THEN 4 WHEN am830_t1 THEN 5 WHEN next60 OR last60 THEN 6 WHEN am830_t2 THEN 7 ELSE 0 END AS state,
+CASE WHEN NOT fomc_after AND NOT fomc_ahead AND am830_t1 AND k < 2 AND absz >= 1 THEN 8 WHEN fomc_after THEN 1 WHEN fomc_ahead THEN 2 WHEN am830_t1 THEN CASE WHEN k < 2 THEN 3 WHEN k < 6 THEN 4 ELSE 5 END WHEN next60 OR last60 THEN 6 WHEN am830_t2 THEN 7 ELSE 0 END AS state_z FROM f""")
 def features_macro(spark, d):
-    """Per session and look: the day's releases, those now, next and done, the largest
-    figure out so far, and one state code of these in order of precedence."""
-    t = V.ticks(spark, d).select(F.to_date("ts").alias("session"), F.expr("int(hour(ts) div 3)").alias("slot"), F.when(F.col("event_type") == "error", F.col("price")).alias("x"))
-    per = t.groupBy("session", "slot").agg(F.count("x").alias("n"), F.max("x").alias("x"))
-    looks = per.select("session").distinct().select("session", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("slot"))
-    day = W.partitionBy("session")
-    before = day.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    f = looks.join(per, ["session", "slot"], "left").select("session", "slot", zero(F.sum("n").over(day)).alias("n_day"), zero(F.col("n")).alias("n_now"), zero(F.lead("n").over(day.orderBy("slot"))).alias("n_next"), zero(F.sum("n").over(before)).alias("n_done"), F.max("x").over(before).alias("top"))
-    return f.withColumn("state", F.expr(_STATE))
+    """Flags and the one state, of nine, of each half-hour look at a calendar's day: releases
+    before the open in two tiers, those of the hour before and after, and a decision at 14:00."""
+    t = V.table(spark, d, "events").select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("session"), (F.hour("ts") * 60 + F.minute("ts")).alias("t"), F.expr(_RELEASE).alias("key"), (F.abs(F.col("value") - 100) / 40).alias("z"))
+    kept = F.when(F.col("key").isNotNull(), F.struct("key", "t", "z"))
+    day = t.groupBy("symbol", "session").agg(F.collect_list(kept).alias("ev"))
+    looks = day.withColumn("look", F.explode(F.sequence(F.lit(0), F.lit(12))))
+    return look_states(looks).select("symbol", "session", "look", *FLAGS, r6(F.col("absz_am")).alias("absz_am"), "state", "state_z")
+
+
+FLAGS = ("am830_t1", "am830_t2", "next60", "last60", "fomc_ahead", "fomc_after")
+
+
+def look_states(looks):
+    """``looks`` (look, ev: an array of key, t the minute, z) with the flags and states. Keys:
+    am1, am2 (releases of the first and second tier), fomc, other."""
+    at = 570 + 30 * F.col("look")
+    any_ = lambda test: F.exists("ev", test)
+    early = lambda e, key: (e["key"] == key) & (e["t"] < 570)
+    decision = any_(lambda e: e["key"] == "fomc")
+    flags = {
+        "am830_t1": any_(lambda e: early(e, "am1")), "am830_t2": any_(lambda e: early(e, "am2")), "next60": any_(lambda e: (e["t"] >= 570) & (e["t"] >= at) & (e["t"] < at + 60)),
+        "last60": any_(lambda e: (e["t"] >= F.greatest(at - 60, F.lit(570))) & (e["t"] < at)), "fomc_ahead": decision & (at < 840), "fomc_after": decision & (at >= 840),
+        "absz_am": F.coalesce(F.array_max(F.transform(F.filter("ev", lambda e: early(e, "am1")), lambda e: e["z"])), F.lit(0.0)),
+    }
+    k = F.col("look")
+
+    def state(split):
+        first = F.when(F.col("absz_am") >= 1, 8).otherwise(3) if split else F.lit(3)
+        morning = F.when(k <= 1, first).when(k <= 5, 4).otherwise(5)
+        return F.when(F.col("fomc_after"), 1).when(F.col("fomc_ahead"), 2).when(F.col("am830_t1"), morning).when(F.col("next60") | F.col("last60"), 6).when(F.col("am830_t2"), 7).otherwise(0)
+
+    return looks.withColumns(flags).withColumns({"state": state(False), "state_z": state(True)})
 
 
 # --- regime --------------------------------------------------------------------------------

@@ -64,23 +64,33 @@ def next_event_estimate(spark, d):
     return m.select("symbol", "last_day", "n", F.when(own, "median gap").otherwise("one week").alias("rule"), F.date_add("last_day", step).alias("next_day"))
 
 
-@query(f"""WITH {S.TICKS}, e AS (SELECT DISTINCT symbol, ts::DATE AS day FROM ticks WHERE event_type = 'signup'), g AS (SELECT day - lag(day) OVER (PARTITION BY symbol ORDER BY day) - 5 AS err FROM e),
-h AS (SELECT b.k AS bin, count(g.err) AS n FROM (SELECT unnest(range(-4, 11)) AS k) b LEFT JOIN g ON greatest(-4, least(10, g.err)) = b.k GROUP BY b.k), s AS (SELECT bin, n + 0.5 * (coalesce(lag(n) OVER (ORDER BY bin), 0) + coalesce(lead(n) OVER (ORDER BY bin), 0)) + 0.1 AS w FROM h),
-c AS (SELECT bin, w / sum(w) OVER () AS p, sum(w) OVER (ORDER BY bin) / sum(w) OVER () AS cum FROM s)
-SELECT bin::INT AS bin, {S.r6('p')} AS p, {S.r6('cum')} AS cum, {S.r6('least(1, (lead(cum, 2, 1) OVER (ORDER BY bin) - lag(cum, 1, 0) OVER (ORDER BY bin)) / nullif(1 - lag(cum, 1, 0) OVER (ORDER BY bin), 0))')} AS window_p, cum >= 0.1 AND lag(cum, 1, 0) OVER (ORDER BY bin) < 0.1 AS is_p10, p = max(p) OVER () AS is_mode FROM c""")
+#: Offsets that a histogram of errors holds, and the uniform mass mixed in.
+_OFF_LO, _OFF_HI, _MIXED = -4, 10, 0.005
+
+
+@query(f"""WITH {S.TICKS}, e AS (SELECT DISTINCT symbol, ts::DATE AS day FROM ticks WHERE event_type = 'signup'), g AS (SELECT symbol, day, lag(day) OVER w AS was, CASE WHEN day - lag(day) OVER w BETWEEN 2 AND 10 THEN day - lag(day) OVER w END AS gap, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+p AS (SELECT symbol, day, was + CASE WHEN count(gap) OVER v >= 2 THEN floor(quantile_cont(gap, 0.5) OVER v)::INT ELSE 7 END AS said FROM g WINDOW v AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT least({_OFF_HI}, greatest({_OFF_LO}, day - said)) AS bin FROM p WHERE said IS NOT NULL), h AS (SELECT b.bin, count(r.bin) AS n FROM (SELECT unnest(range({_OFF_LO}, {_OFF_HI + 1})) AS bin) b LEFT JOIN r ON r.bin = b.bin GROUP BY b.bin),
+m AS (SELECT bin, n, {1 - _MIXED} * n / greatest(1, sum(n) OVER ()) + {_MIXED} / {_OFF_HI - _OFF_LO + 1}e0 AS p FROM h), c AS (SELECT *, coalesce(sum(p) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(p) OVER (ORDER BY bin) AS upto FROM m),
+x AS (SELECT *, coalesce(sum(p) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 0) AS three FROM c)
+SELECT bin::INT AS bin, n::BIGINT AS n, {S.r6('p')} AS p, {S.r6('upto')} AS cum, {S.r6('CASE WHEN 1 - before > 1e-9 THEN three / (1 - before) ELSE 0 END')} AS window_p FROM x""")
 def cycle_histogram(spark, d):
-    """Errors of a fixed five-day cycle as a clipped, smoothed histogram: its cumulative form,
-    the chance of the next three days given that the event is still to come, its tenth and mode."""
+    """Errors in days of predictions from each firm's own earlier gaps (the last report plus the
+    median of its plausible gaps, or a week) as a clipped histogram with a little uniform mass:
+    its cumulative form, and the chance of the next three days given that none came before."""
     e = _of(spark, d, "signup").select("symbol", F.to_date("ts").alias("day")).distinct()
-    err = F.datediff("day", F.lag("day").over(W.partitionBy("symbol").orderBy("day"))) - 5
-    g = e.select(err.alias("err")).filter("err is not null").groupBy(F.greatest(F.lit(-4), F.least(F.lit(10), F.col("err"))).alias("bin")).count()
-    # fifteen bins
-    h = spark.range(-4, 11).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(g), "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("n"))
-    w, all_ = W.orderBy("bin"), W.partitionBy(F.lit(0))
-    s = h.withColumn("w", F.col("n") + 0.5 * (F.lag("n", 1, 0).over(w) + F.lead("n", 1, 0).over(w)) + 0.1)
-    c = s.select("bin", (F.col("w") / F.sum("w").over(all_)).alias("p"), (F.sum("w").over(w) / F.sum("w").over(all_)).alias("cum"))
-    before, ahead = F.lag("cum", 1, 0.0).over(w), F.lead("cum", 2, 1.0).over(w)
-    return c.select("bin", r6(F.col("p")).alias("p"), r6(F.col("cum")).alias("cum"), r6(F.least(F.lit(1.0), ratio(ahead - before, 1 - before))).alias("window_p"), ((F.col("cum") >= 0.1) & (before < 0.1)).alias("is_p10"), (F.col("p") == F.max("p").over(all_)).alias("is_mode"))
+    own = W.partitionBy("symbol").orderBy("day")
+    past = own.rowsBetween(W.unboundedPreceding, -1)
+    g = e.withColumns({"was": F.lag("day").over(own), "days": F.datediff("day", F.lag("day").over(own))}).withColumn("gap", F.when(F.col("days").between(2, 10), F.col("days")))
+    usual = F.when(F.count("gap").over(past) >= 2, F.floor(F.percentile("gap", 0.5).over(past)).cast("int")).otherwise(7)
+    err = g.withColumn("said", F.date_add("was", usual)).filter("said is not null").select(F.greatest(F.lit(_OFF_LO), F.least(F.lit(_OFF_HI), F.datediff("day", "said"))).alias("bin"))
+    bins = _OFF_HI - _OFF_LO + 1
+    counts = err.groupBy("bin").count()
+    h = spark.range(_OFF_LO, _OFF_HI + 1).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("n"))
+    w, every = W.orderBy("bin"), W.partitionBy(F.lit(0))  # fifteen rows
+    m = h.withColumn("p", (1 - _MIXED) * F.col("n") / F.greatest(F.lit(1), F.sum("n").over(every)) + _MIXED / bins)
+    before, three = F.coalesce(F.sum("p").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), F.sum("p").over(w.rowsBetween(0, 2))
+    return m.select("bin", "n", r6(F.col("p")).alias("p"), r6(F.sum("p").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("cum"), r6(F.when(1 - before > 1e-9, three / (1 - before)).otherwise(0.0)).alias("window_p"))
 
 
 @query(f"""WITH {S.TICKS}, days AS (SELECT DISTINCT ts::DATE AS day FROM ticks), items AS (SELECT event_id, symbol, price, CASE WHEN event_type = 'error' THEN 'release' ELSE 'headline' END AS kind, ts + CASE WHEN event_type = 'error' THEN INTERVAL 60 MINUTE ELSE INTERVAL 0 MINUTE END AS seen FROM ticks WHERE event_type IN ('error', 'click')),
@@ -165,26 +175,53 @@ def event_time_check(spark, d):
     return g.select("slot", "n", r6(F.col("hot")).alias("hot"), r6(F.col("quiet")).alias("quiet"), r6(ratio(F.col("hot"), F.col("quiet"))).alias("ratio"))
 
 
-@query("""WITH t AS (SELECT event_id, user_id, ts, hour(ts) AS h FROM events), v AS (SELECT user_id, count(*) FILTER (h BETWEEN 9 AND 16) AS eastern, count(*) FILTER (h BETWEEN 14 AND 21) AS utc, count(*) AS n FROM t GROUP BY user_id)
-SELECT user_id, n::BIGINT AS n, eastern::BIGINT AS eastern, utc::BIGINT AS utc, CASE WHEN utc > eastern THEN 'utc' ELSE 'eastern' END AS convention, CASE WHEN n < 5 OR abs(utc - eastern) * 10 < n THEN 'unsure' ELSE 'sure' END AS trust FROM v""")
+def offset_hours(utc):
+    """Hours from New York to UTC at a moment."""
+    return F.timestamp_diff("HOUR", F.from_utc_timestamp(utc, "America/New_York"), utc)
+
+
+def shifted_to_utc(raw):
+    """The moment that a time names which was moved on by New York's offset: the one whose own
+    offset leads back to it; four hours where none does, within a change of the clocks."""
+    back = lambda h: raw - F.make_interval(hours=F.lit(h))
+    return F.when(offset_hours(back(4)) == 4, back(4)).when(offset_hours(back(5)) == 5, back(5)).otherwise(back(4))
+
+
+@query("""WITH f AS (SELECT event_id, user_id, ts + CASE WHEN user_id % 3 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 5 HOUR END + CASE WHEN event_id % 10 = 9 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS raw, CASE WHEN event_type IN ('error', 'signup') THEN ts END AS known FROM events),
+v AS (SELECT user_id, count(*) AS filings, count(known) AS known, count(*) FILTER (raw = known) AS utc, count(*) FILTER (raw - INTERVAL 5 HOUR = known) AS shifted FROM f GROUP BY user_id)
+SELECT user_id, filings::BIGINT AS filings, known::BIGINT AS known, utc::BIGINT AS utc, shifted::BIGINT AS shifted, CASE WHEN utc = 0 AND shifted = 0 THEN NULL WHEN utc >= shifted THEN 'utc' ELSE 'shifted' END AS convention FROM v""")
 def time_convention(spark, d):
-    """A vote between two readings of a company's times: which puts more of them in office hours."""
-    h = F.hour("ts")
-    v = V.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(h.between(9, 16), 1)).alias("eastern"), F.count(F.when(h.between(14, 21), 1)).alias("utc"))
-    return v.select("user_id", "n", "eastern", "utc", F.when(F.col("utc") > F.col("eastern"), "utc").otherwise("eastern").alias("convention"), F.when((F.col("n") < 5) | (F.abs(F.col("utc") - F.col("eastern")) * 10 < F.col("n")), "unsure").otherwise("sure").alias("trust"))
+    """How a filer writes its times, voted on the filings whose true time is known: as UTC, or
+    moved on by New York's offset; null where no vote tells. (The month of the table has no
+    change of clocks; the tests have.)"""
+    e = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.when(F.col("event_id") % 10 == 9, 1).otherwise(0)  # a field that fits neither reading
+    moved = F.when(F.col("user_id") % 3 == 0, 0).otherwise(offset_hours(F.col("ts")))
+    f = e.select("user_id", (F.col("ts") + F.make_interval(hours=moved + late)).alias("raw"), F.when(F.col("event_type").isin("error", "signup"), F.col("ts")).alias("known"))
+    return conventions(f).select("user_id", "filings", "known", "utc", "shifted", "convention")
+
+
+def conventions(filings):
+    """Per user_id the votes of its filings (raw, and known where there is a true time)."""
+    vote = lambda c: F.count(F.when(c == F.col("known"), 1))
+    v = filings.groupBy("user_id").agg(F.count(F.lit(1)).alias("filings"), F.count("known").alias("known"), vote(F.col("raw")).alias("utc"), vote(shifted_to_utc(F.col("raw"))).alias("shifted"))
+    best = F.when((F.col("utc") == 0) & (F.col("shifted") == 0), None).when(F.col("utc") >= F.col("shifted"), "utc").otherwise("shifted")
+    return v.withColumn("convention", best)
 
 
 # --- risk ----------------------------------------------------------------------------------
 
-_RES = [{"r": ln(div("price", lag("price")))}, {"m": "avg(r) OVER (PARTITION BY session)", "last_ix": "max(ix) OVER (PARTITION BY 1)"}, {"e": "r - m"}]
-_PAIR = f"{chain(S.GRID, 'grid', *_RES)}, e AS (SELECT symbol, ix, e FROM t2 WHERE e IS NOT NULL AND ix > last_ix - 120)"
+_RES = [{"r": ln(div("price", lag("price")))}, {"m": "avg(r) OVER (PARTITION BY session)"}, {"e": "r - m"}]
+_PAIR = f"{chain(S.GRID, 'grid', *_RES)}, e AS (SELECT symbol, ix, e FROM t2 WHERE e IS NOT NULL AND ix > (SELECT max(ix) FROM cal) - 120)"
 
 
 @query(f"""{_PAIR} SELECT a.symbol AS a, b.symbol AS b, count(*)::BIGINT AS n, {S.r6('least(0.95, greatest(-0.95, corr(a.e, b.e)))')} AS corr FROM e a JOIN e b ON a.ix = b.ix AND a.symbol < b.symbol GROUP BY ALL HAVING count(*) >= 40""")
 def residual_correlation(spark, d):
     """Clipped correlations of residual returns by pair. Pairs are of a small universe of
     names and met by session."""
-    e = apply(weekly_grid(spark, d), *_RES).filter("e is not null and ix > last_ix - 120").select("symbol", "ix", "e")
+    g = weekly_grid(spark, d)
+    last = F.broadcast(g.agg(F.max("ix").alias("last_ix")))  # one row
+    e = apply(g, *_RES).join(last).filter("e is not null and ix > last_ix - 120").select("symbol", "ix", "e")
     a, b = e.select(F.col("symbol").alias("a"), "ix", F.col("e").alias("ea")), e.select(F.col("symbol").alias("b"), "ix", F.col("e").alias("eb"))
     g = a.join(b, "ix").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("ea", "eb").alias("k")).filter("n >= 40")
     return g.select("a", "b", "n", r6(F.least(F.lit(0.95), F.greatest(F.lit(-0.95), F.col("k")))).alias("corr"))

@@ -1,38 +1,73 @@
-"""Row rules: clocks and calendars, costs, probabilities, orders, validation, bands."""
+"""Row rules: clocks, costs, odds, orders, admission, fields, bands. The rules are column
+expressions of ``functions.rules``; their SQL is written apart."""
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions.scalars import normal_cdf as phi
+from ..functions.scalars import r6
+from ..operators.admission import admit
+from ..sources import views as V
+from . import sql as S
+from .catalog import query
+from .stages import apply, div, rules
+
+# --- clocks and calendars: an order's day, and its key as a minute of the day ---------------
+
+_OFF = "(month({0}) = 1 AND day({0}) = 1) OR (month({0}) = 7 AND day({0}) = 4) OR (month({0}) = 12 AND day({0}) = 25)"
+_OPEN = f"(isodow({{0}}) <= 5 AND NOT ({_OFF}))"
+
+
+def _near_day(step: str) -> str:
+    """The nearest session one to seven days on."""
+    day = f"(d {step} k::INT)"
+    return f"(SELECT {'min' if step == '+' else 'max'}({day}) FROM (SELECT unnest(range(1, 8)) AS k) WHERE {_OPEN.format(day)})"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderkey % 1440)::INT AS m FROM orders), days AS (SELECT DISTINCT d FROM o),
+k AS (SELECT d, {_OPEN.format('d')} AS open_day, CASE WHEN isodow(d) <= 5 THEN d + (5 - isodow(d))::INT ELSE d END AS goal_day, {_near_day('+')} AS next_day, {_near_day('-')} AS prev_day, CASE WHEN strftime(d, '%m%d') IN ('0703', '1224') THEN 780 ELSE 960 END AS close_at FROM days),
+j AS (SELECT k.*, (SELECT count(*) FROM (SELECT unnest(range(0, 5)) AS n) WHERE k.d + n::INT <= k.goal_day AND {_OPEN.format('(k.d + n::INT)')}) AS sessions_left FROM k),
+l AS (SELECT o_orderkey, m, j.*, CASE WHEN NOT open_day THEN 'closed_day' WHEN m < 570 THEN 'before_open' WHEN m < close_at THEN 'during' ELSE 'after_close' END AS label FROM o JOIN j ON j.d = o.d)
+SELECT o_orderkey, m, printf('%02d:%02d', m // 60, m % 60) AS hhmm, least(13, greatest(0, (m - 570) // 30))::INT AS bars_done, CASE WHEN m < 540 THEN m ELSE least(930, m // 30 * 30) END::INT AS slot, close_at::INT AS close_at, open_day, label, CASE WHEN label IN ('before_open', 'during') THEN d ELSE next_day END AS reacts, prev_day, goal_day,
+CASE WHEN isodow(d) >= 6 THEN d + (8 - isodow(d))::INT ELSE d - (isodow(d) - 1)::INT END AS monday, 'Q' || quarter(d) AS quarter_label, year(d) || CASE WHEN month(d) < 7 THEN 'H1' ELSE 'H2' END AS half_label, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS quarter_ago, (date_trunc('month', d) - INTERVAL 1 YEAR)::DATE AS year_ago,
+sessions_left::INT AS sessions_left, label = 'after_close' AND m >= close_at + 240 AS late FROM l""")
+def rules_time(spark, d):
+    """Minutes, completed half-hour bars, the look that was due, closing time and label, the
+    sessions around a day, its week's goal and the sessions left to it."""
+    o = V.table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), (F.col("o_orderkey") % 1440).cast("int").alias("m"))
+    day, m, dow = F.col("d"), F.col("m"), F.weekday("d")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    label = R.session_label(day, m)
+    return o.select(
+        "o_orderkey", "m", F.concat(two(F.floor(m / 60)), F.lit(":"), two(m % 60)).alias("hhmm"), F.greatest(F.lit(0), F.least(F.lit(13), F.floor((m - 570) / 30))).cast("int").alias("bars_done"), R.slot(m).alias("slot"), R.close_minute(day).alias("close_at"),
+        R.trading_day(day).alias("open_day"), label.alias("label"), R.reacts(day, m).alias("reacts"), R.previous_session(day).alias("prev_day"), R.goal_day(day).alias("goal_day"), F.date_add(day, F.when(dow >= 5, 7 - dow).otherwise(-dow)).alias("monday"), F.concat(F.lit("Q"), F.quarter(day)).alias("quarter_label"),
+        F.concat(F.year(day), F.when(F.month(day) <= 6, "H1").otherwise("H2")).alias("half_label"), F.to_date(F.add_months(F.date_trunc("quarter", day), -3)).alias("quarter_ago"), F.to_date(F.add_months(F.date_trunc("month", day), -12)).alias("year_ago"), R.sessions_left(day).alias("sessions_left"),
+        ((label == "after_close") & (m >= R.close_minute(day) + 240)).alias("late"),
+    )
 
-from .stages import div, rules
 
-# --- clocks and calendars: an order's day, and its key as a minute of the day --------------
+# --- costs ---------------------------------------------------------------------------------
 
-rules(
-    "rules_time",
-    "Minutes, completed half-hour bars, scheduled slot, closing time, session label, and the sessions and labels around a day.",
-    "orders", ["o_orderkey"],
-    {"d": "o_orderdate::DATE", "m": "(o_orderkey % 1440)::INT"},
-    {
-        "dow": "(isodow(d))::INT", "hhmm": "concat(lpad(floor(m / 60)::INT::VARCHAR(4), 2, '0'), ':', lpad((m % 60)::VARCHAR(4), 2, '0'))", "bars_done": "greatest(0, least(13, floor((m - 570) / 30)::INT))", "slot": "CASE WHEN m >= 540 THEN least(930, (floor(m / 30) * 30)::INT) END",
-        "holiday": "(month(d) = 1 AND day(d) = 1) OR (month(d) = 7 AND day(d) = 4) OR (month(d) = 12 AND day(d) = 25)", "close_at": "CASE WHEN (month(d) = 7 AND day(d) = 3) OR (month(d) = 12 AND day(d) = 24) THEN 780 ELSE 960 END",
-    },
-    {"open_day": "dow <= 5 AND NOT holiday", "next_day": "d + CASE WHEN dow = 5 THEN 3 WHEN dow = 6 THEN 2 ELSE 1 END", "prev_day": "d - CASE WHEN dow = 1 THEN 3 WHEN dow = 7 THEN 2 ELSE 1 END", "goal_day": "d + (12 - dow) % 7", "monday": "d + CASE WHEN dow >= 6 THEN 8 - dow ELSE 1 - dow END", "month_end": "last_day(d)", "quarter_label": "concat('Q', quarter(d)::VARCHAR(1))", "half_label": "concat(year(d)::VARCHAR(4), CASE WHEN month(d) <= 6 THEN 'H1' ELSE 'H2' END)", "quarter_ago": "(date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE", "year_ago": "(date_trunc('month', d) - INTERVAL 12 MONTH)::DATE"},
-    {"label": "CASE WHEN NOT open_day THEN 'closed_day' WHEN m < 570 THEN 'before_open' WHEN m < close_at THEN 'during' ELSE 'after_close' END", "n0": "daynum(d) + 3", "n1": "daynum(month_end) + 3"},
-    {"reacts": "CASE WHEN label IN ('before_open', 'during') THEN d ELSE next_day END", "sessions_left": "((5 * floor(n1 / 7) + least(5, n1 % 7 + 1)) - (5 * floor(n0 / 7) + least(5, n0 % 7 + 1)))::INT", "late": "label = 'after_close' AND m >= close_at + 240"},
-    plain=("m", "hhmm", "bars_done", "slot", "close_at", "open_day", "label", "reacts", "prev_day", "goal_day", "monday", "quarter_label", "half_label", "quarter_ago", "year_ago", "sessions_left", "late"),
-)
+_COST_IN = {"px": div("l_extendedprice", "l_quantity"), "q": "l_quantity", "spread": "1 + 400 * l_tax", "adv": "l_partkey * 400000e0", "sigma": "l_discount / 4", "span": "l_tax * 50"}
 
-# --- costs ---------------------------------------------------------------------------------
 
-rules(
-    "rules_costs",
-    "Commission of one and both sides, liquidity tiers, square-root impact, the whole cost of an order in basis points, and the share of days that must pay for it.",
-    "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"],
-    {"px": div("l_extendedprice", "l_quantity"), "q": "l_quantity", "notional": "l_extendedprice", "bps": "10 + 400 * l_tax", "adv": "l_partkey * 50000e0", "sigma": "0.01 + l_discount / 4"},
-    {"one": "least(greatest(1e0, 0.005 * q), 0.01 * notional)", "tier": "CASE WHEN adv >= 50000000 AND bps <= 15 THEN 'A' WHEN adv >= 10000000 AND bps <= 25 THEN 'B' WHEN adv >= 2000000 THEN 'C' ELSE 'D' END", "size_tier": "CASE WHEN adv < 1000000 THEN 1 WHEN adv < 5000000 THEN 2 WHEN adv < 20000000 THEN 3 WHEN adv < 80000000 THEN 4 ELSE 5 END", "impact": f"sigma * 1e4 * sqrt(greatest({div('notional', 'adv')}, 0))"},
-    {"both_sides": "2 * one", "fee_bps": f"{div('2 * one', 'notional')} * 1e4", "cost_bps": f"bps + 2 * impact + {div('2 * one', 'notional')} * 1e4", "cost_hi": f"1.5 * bps + 2 * impact + {div('2 * one', 'notional')} * 1e4"},
-    {"cost_usd": "notional * cost_bps / 1e4", "break_even": div("cost_bps", "sigma * 1e4"), "move_usd": "notional * sigma", "qty_of_10k": f"floor({div('10000e0', 'px')})", "warn": "CASE WHEN cost_bps > sigma * 1e4 THEN 'cost above a usual day' WHEN tier = 'D' THEN 'thin' END"},
-    plain=("tier", "size_tier", "warn"), rounded=("one", "both_sides", "impact", "fee_bps", "cost_bps", "cost_hi", "cost_usd", "break_even", "move_usd", "qty_of_10k"),
-)
+@query(f"""WITH i AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _COST_IN.items())} FROM lineitem), p AS (SELECT *, q * px AS notional, sqrt(q * px / nullif(adv, 0)) AS root, least(greatest(1, q / 200), q * px / 100) AS one FROM i),
+c AS (SELECT *, 20000 * one / notional AS fee_bps, CASE WHEN sigma <> 0 THEN 10000 * sigma * root END AS full_impact FROM p), t AS (SELECT *, spread + coalesce(full_impact, 0) + fee_bps AS cost_bps FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN adv >= 500e6 AND spread <= 3 THEN 'A' WHEN adv >= 50e6 AND spread <= 10 THEN 'B' WHEN adv >= 5e6 AND spread <= 50 THEN 'C' ELSE 'D' END AS tier,
+CASE WHEN adv IS NULL THEN 'unknown' WHEN adv >= 500e6 THEN 'very liquid' WHEN adv >= 50e6 THEN 'liquid' WHEN adv >= 5e6 THEN 'moderate' WHEN adv >= 0.5e6 THEN 'thin' ELSE 'very thin' END AS size_class, {S.r6('2 * one')} AS both_sides, {S.r6('fee_bps')} AS fee_bps,
+{S.r6('full_impact * 0.5')} AS impact_med, {S.r6('0.8 * spread + 0.4 * coalesce(full_impact, 0) + fee_bps')} AS cost_lo, {S.r6('cost_bps')} AS cost_bps, {S.r6('1.5 * spread + 2 * coalesce(full_impact, 0) + fee_bps')} AS cost_hi, {S.r6('cost_bps * notional / 1e4')} AS cost_usd, {S.r6('CASE WHEN sigma <> 0 THEN cost_bps / (0.8 * sigma * 1e4) END')} AS break_even, {S.r6('100 * (notional / nullif(adv, 0))')} AS share_of_volume, {S.r6('notional * span / 200')} AS move_usd FROM t""")
+def rules_costs(spark, d):
+    """Commissions, liquidity tiers, square-root impact and the round trip's cost at a low,
+    middle and high spread; the share of a usual day's move that it takes, and that move in dollars."""
+    i = apply(V.table(spark, d, "lineitem"), _COST_IN)
+    px, q, spread, adv, sigma = (F.col(c) for c in ("px", "q", "spread", "adv", "sigma"))
+    c = R.order_cost(px, q, {"lo": 0.8 * spread, "med": spread, "hi": 1.5 * spread}, adv, sigma, 0.8 * sigma)
+    numbers = {"both_sides": R.commission_round_trip(q, px), **{k: c[k] for k in ("fee_bps", "impact_med", "cost_lo", "cost_bps", "cost_hi", "cost_usd", "break_even", "share_of_volume")}, "move_usd": R.move_usd(q * px, F.col("span"))}
+    return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", R.tier(adv, spread).alias("tier"), R.size_class(adv).alias("size_class"), *[r6(v).alias(k) for k, v in numbers.items()])
+
 
-# --- probabilities -------------------------------------------------------------------------
+# --- odds ----------------------------------------------------------------------------------
 
 
 def normal_cdf(x: str) -> str:
@@ -44,58 +79,128 @@ def normal_cdf(x: str) -> str:
     return f"(0.5 * (1 + CASE WHEN ({x}) < 0 THEN -1 ELSE 1 END * {erf}))"
 
 
-rules(
-    "rules_probability",
-    "Normal density and distribution, the truncated second moment, credit of a stop by its distance, the chance to touch a barrier, a quote's probability, Brier reward and score, and rounding by size.",
-    "events", ["event_id"],
-    {"x": "(value - 100) / 40", "p": "(event_id % 101) / 100e0", "y": "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END", "bid": "(event_id % 90) / 100e0", "width": "(event_id % 30) / 100e0", "dist": "value / 50", "given": "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 1.5 ELSE (event_id % 101) / 100e0 END"},
-    {"pdf": "exp(-x * x / 2) / sqrt(2 * pi())", "cdf": normal_cdf("x"), "ask": "bid + width", "last": "CASE WHEN event_id % 3 = 0 THEN bid + 0.01 END", "touch": f"least(1e0, 2 * (1 - {normal_cdf('dist / 2')}))"},
-    {"kept": "CASE WHEN abs(x) > 0.000001 THEN cdf - x * pdf ELSE 0.5 END", "credit": "greatest(0e0, least(1e0, 2 - dist))", "quote_p": "CASE WHEN ask - bid <= 0.15 THEN (bid + ask) / 2 WHEN last IS NOT NULL THEN last ELSE (bid + ask) / 2 END", "valid": "CASE WHEN given BETWEEN 0 AND 1 THEN given END"},
-    {"reward": "CASE WHEN valid IS NOT NULL THEN 1 - (valid - y) * (valid - y) END", "score": "coalesce(1 - (valid - y) * (valid - y), 0e0)", "logloss": "-(y * ln(greatest(0.01, p)) + (1 - y) * ln(greatest(0.01, 1 - p)))", "nice": "CASE WHEN value >= 100 THEN floor(value / 5 + 0.5) * 5 WHEN value >= 10 THEN floor(value + 0.5) ELSE floor(value * 10 + 0.5) / 10 END"},
-    rounded=("pdf", "cdf", "kept", "credit", "touch", "quote_p", "reward", "score", "logloss", "nice"),
-)
+_ODDS = {"x": "(value - 100) / 40", "p": "(event_id % 101) / 100e0", "y": "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END", "bid": "(event_id % 90) / 100e0", "ask": "(event_id % 90) / 100e0 + (event_id % 30) / 100e0", "last": "CASE WHEN event_id % 3 = 0 THEN (event_id % 90) / 100e0 + 0.01 END", "dist": "value / 2000", "range1": "CASE WHEN event_id % 9 > 0 THEN 0.01 * (event_id % 9) END", "vol": "value / 400", "drop_": "-0.01 * (1 + event_id % 9)", "given": "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 1.5 ELSE (event_id % 101) / 100e0 END"}
+
+
+@query(f"""WITH i AS (SELECT event_id, value, {', '.join(f'{e} AS {n}' for n, e in _ODDS.items())} FROM events), c AS (SELECT *, exp(x * x / -2) / sqrt(2 * pi()) AS pdf, {normal_cdf('x')} AS cdf, ln(1 + drop_) * sqrt(252e0 / 5) / vol AS z FROM i)
+SELECT event_id, {S.r6('pdf')} AS pdf, {S.r6('cdf')} AS cdf, {S.r6('CASE WHEN x > 0 THEN least(1, 1 - 2 * x * pdf + 2 * (1 - cdf) * (x * x - 1)) ELSE 0 END')} AS kept,
+{S.r6('CASE WHEN range1 > 0 THEN greatest(0, least(1, 2 - dist / range1)) ELSE 0 END')} AS credit, {S.r6(f"least(1, 2 * {normal_cdf('z')})")} AS touch, {S.r6('CASE WHEN ask - bid <= 0.15 OR last IS NULL THEN (bid + ask) / 2 ELSE last END')} AS quote_p, {S.r6('CASE WHEN given >= 0 AND given <= 1 THEN 1 - power(given - y, 2) END')} AS reward, {S.r6('CASE WHEN given >= 0 AND given <= 1 THEN 1 - power(given - y, 2) ELSE 0 END')} AS score,
+{S.r6('CASE y WHEN 1 THEN -ln(greatest(0.01, p)) ELSE -ln(greatest(0.01, 1 - p)) END')} AS logloss, {S.r6('greatest(0.1, CASE WHEN value < 5 THEN floor(value * 10 + 0.5) / 10 ELSE floor(value * 2 + 0.5) / 2 END)')} AS nice FROM c""")
+def rules_probability(spark, d):
+    """Normal density and distribution, what a stop leaves of the downside, its credit by
+    distance, the chance that a random walk falls so far, a quote's probability, the reward
+    and score of a stated one, log loss, and round figures."""
+    i = apply(V.table(spark, d, "events"), _ODDS)
+    x, y, p, given = (F.col(c) for c in ("x", "y", "p", "given"))
+    fits = given.between(0, 1)
+    reward = F.when(fits, 1 - (given - y) * (given - y))
+    quote = F.when(F.col("ask") - F.col("bid") <= 0.15, (F.col("bid") + F.col("ask")) / 2).otherwise(F.coalesce("last", (F.col("bid") + F.col("ask")) / 2))
+    out = {"pdf": R.normal_pdf(x), "cdf": phi(x), "kept": R.truncated_share(x), "credit": R.stop_credit(F.col("dist"), F.col("range1")), "touch": R.touch_probability(F.col("vol"), F.col("drop_"), F.lit(5.0)), "quote_p": quote, "reward": reward, "score": F.coalesce(reward, F.lit(0.0)), "logloss": -(y * F.ln(F.greatest(F.lit(0.01), p)) + (1 - y) * F.ln(F.greatest(F.lit(0.01), 1 - p))), "nice": R.nice(F.col("value"))}
+    return i.select("event_id", *[r6(v).alias(k) for k, v in out.items()])
+
 
 # --- orders --------------------------------------------------------------------------------
 
 _ORDER = {
     "side": "CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END", "kind": "CASE WHEN o_orderkey % 6 = 0 THEN 'MKT' WHEN o_orderkey % 6 = 1 THEN 'LMT' WHEN o_orderkey % 6 = 2 THEN 'STP' WHEN o_orderkey % 6 = 3 THEN 'STP LMT' WHEN o_orderkey % 6 = 4 THEN 'TRAIL' ELSE 'MOC' END", "qty": "o_orderkey % 40 + 1", "held": "(o_custkey % 81) - 40", "last": "50 + o_custkey % 100", "off": "(o_orderkey % 17 - 8) / 200e0", "m": "(o_orderkey % 420 + 540)::INT", "r1": "0.01 + (o_custkey % 5) / 100e0",
 }
+_PRICED = {**_ORDER, "lim": "CASE WHEN o_orderkey % 6 IN (1, 3) THEN (50 + o_custkey % 100) * (1 + (o_orderkey % 17 - 8) / 200e0) END", "stp": "CASE WHEN o_orderkey % 6 IN (2, 3) THEN (50 + o_custkey % 100) * (1 - (o_orderkey % 13 - 6) / 200e0) END", "trail": "CASE WHEN o_orderkey % 6 = 4 THEN (1 + o_orderkey % 9) * 1e0 END"}
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {', '.join(f'{e} AS {n}' for n, e in _PRICED.items())} FROM orders),
+a AS (SELECT *, held + CASE side WHEN 'BUY' THEN qty ELSE -qty END AS after, CASE WHEN m >= 930 THEN 0.2 WHEN m >= 780 THEN 0.4 WHEN m >= 630 THEN 0.6 ELSE 1.0 END AS line, CASE kind WHEN 'LMT' THEN lim WHEN 'STP' THEN stp WHEN 'STP LMT' THEN stp WHEN 'TRAIL' THEN CASE side WHEN 'SELL' THEN last - last * trail / 100 ELSE last + last * trail / 100 END END AS level FROM o),
+b AS (SELECT *, CASE WHEN kind = 'TRAIL' THEN trail / 100 / r1 ELSE abs(level - last) / last / r1 END AS far, kind IN ('STP', 'STP LMT', 'TRAIL') AND held <> 0 AND abs(after) < abs(held) AND 2 * least(qty, abs(held)) >= abs(held) AND least(qty, abs(held)) * last >= 1000 AS guards, kind = 'STP LMT' AND NOT ((CASE side WHEN 'SELL' THEN stp - lim ELSE lim - stp END) BETWEEN 0 AND last * r1) AS apart FROM a)
+SELECT o_orderkey, side, kind, CASE WHEN kind IN ('STP', 'STP LMT', 'TRAIL') THEN 'stop' ELSE kind END AS family, held <> 0 AND held * (after - held) < 0 AS exit_side, after, held * after < 0 AS flips, {S.r6('level')} AS level, {S.r6('far')} AS ranges, {S.r6('line')} AS line,
+CASE WHEN kind = 'TRAIL' OR (guards AND NOT apart) THEN guards AND far <= 2 WHEN apart THEN FALSE ELSE qty * CASE WHEN kind IN ('LMT', 'STP', 'STP LMT') THEN level ELSE last END >= 1000 AND (far IS NULL OR far <= line) END AS substantive FROM b""")
+def rules_orders(spark, d):
+    """What an order does: exit or entry, its working level and its distance in usual ranges,
+    the distance allowed at that minute, and whether it counts as acting."""
+    o = apply(V.table(spark, d, "orders"), _PRICED)
+    c = {n: F.col(n) for n in ("kind", "qty", "lim", "stp", "trail", "held", "last", "r1", "m")}
+    buy = F.col("side") == "BUY"
+    acts, far = R.substantive(c["kind"], buy, c["qty"], c["lim"], c["stp"], c["trail"], c["held"], c["last"], c["r1"], c["m"])
+    after = c["held"] + F.when(buy, c["qty"]).otherwise(-c["qty"])
+    return o.select("o_orderkey", "side", "kind", F.when(c["kind"].isin(*R.STOPS), "stop").otherwise(c["kind"]).alias("family"), ((c["held"] != 0) & ((c["held"] > 0) != buy)).alias("exit_side"), after.alias("after"), ((c["held"] > 0) & (after < 0) | (c["held"] < 0) & (after > 0)).alias("flips"), r6(R.working_level(c["kind"], buy, c["lim"], c["stp"], c["trail"], c["last"])).alias("level"), r6(far).alias("ranges"), r6(R.near_line(c["m"])).alias("line"), acts.alias("substantive"))
+
+
+_DECISION = {"n": "l_linenumber", "sym": "l_suppkey % 3", "side": "CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END", "kind": "CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_partkey % 2 = 0 THEN 'STP' ELSE 'TRAIL' END WHEN l_partkey % 3 = 0 THEN 'LMT' ELSE 'MKT' END", "held": "((l_orderkey + l_suppkey % 3) % 5 - 2) * 20", "qty": "l_quantity::INT"}
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate, {', '.join(f'{e} AS {n}' for n, e in _DECISION.items())} FROM lineitem),
+s AS (SELECT *, CASE side WHEN 'BUY' THEN qty ELSE -qty END AS signed, kind IN ('STP', 'TRAIL') AS is_stop, row_number() OVER (PARTITION BY l_orderkey, sym ORDER BY n, l_partkey, l_suppkey, l_shipdate, qty, side, kind) AS k FROM o),
+b AS (SELECT *, held + coalesce(sum(signed) OVER (PARTITION BY l_orderkey, sym ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0 FROM s),
+e AS (SELECT l_orderkey, sym, arg_min(q0, k) FILTER (NOT is_stop) + sum(signed) FILTER (NOT is_stop) AS leaves FROM b GROUP BY ALL),
+f AS (SELECT b.l_orderkey, b.sym, CASE WHEN is_stop THEN (coalesce(leaves, q0) > 0 AND side = 'SELL') OR (coalesce(leaves, q0) < 0 AND side = 'BUY') ELSE kind = 'LMT' AND q0 <> 0 AND abs(q0 + signed) < abs(q0) END AS guards FROM b JOIN e ON e.l_orderkey = b.l_orderkey AND e.sym = b.sym)
+SELECT l_orderkey, count(*)::BIGINT AS orders, count(*) FILTER (guards)::BIGINT AS guarding, bool_or(guards) AS protective FROM f GROUP BY l_orderkey""")
+def decision_protective(spark, d):
+    """Whether a decision protects: a stop on the exit side of the position that its other
+    orders leave, or a limit that reduces what was held when it came."""
+    o = apply(V.table(spark, d, "lineitem"), _DECISION).withColumns({"signed": F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")), "stop": F.col("kind").isin(*R.STOPS)})
+    own = W.partitionBy("l_orderkey", "sym")
+    k = own.orderBy("n", "l_partkey", "l_suppkey", "l_shipdate", "qty", "side", "kind")
+    b = o.withColumns({"k": F.row_number().over(k), "q0": F.col("held") + F.coalesce(F.sum("signed").over(k.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    other = lambda c: F.when(~F.col("stop"), c)
+    leaves = F.min(other(F.struct("k", "q0"))).over(own)["q0"] + F.sum(other(F.col("signed"))).over(own)
+    side = F.coalesce(leaves, F.col("q0"))
+    guards = F.when(F.col("stop"), F.when(F.col("side") == "SELL", side > 0).otherwise(side < 0)).otherwise((F.col("kind") == "LMT") & (F.col("q0") != 0) & (F.abs(F.col("q0") + F.col("signed")) < F.abs("q0")))
+    return b.withColumn("g", guards).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("orders"), F.count(F.when(F.col("g"), 1)).alias("guarding"), F.bool_or("g").alias("protective"))
+
+
+_QUEUE = {"n": "l_linenumber", "sym": "l_suppkey % 6", "side": "CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END", "qty": "1 + l_partkey % 45", "px": "floor(l_extendedprice / l_quantity) / 20"}
+_HELD, _CLOSE = "((o_orderkey + {0}) % 4 * 15)", "(20 + 5 * {0})"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT l_orderkey, {', '.join(f'{e} AS {n}' for n, e in _QUEUE.items())}, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_extendedprice, l_quantity) AS k FROM lineitem),
+a AS (SELECT o_orderkey, 2000 + o_totalprice / 100 AS cash, list_filter([{', '.join(f"{{'s': {s}, 'q': {_HELD.format(s)}, 'c': {_CLOSE.format(s)}}}" for s in range(6))}], lambda h: h.q > 0) AS book FROM orders),
+r AS (SELECT o_orderkey, 0::BIGINT AS k, cash, book, [] ::STRUCT(s BIGINT, side VARCHAR, q BIGINT, px DOUBLE)[] AS queue, NULL::VARCHAR AS code FROM a
+UNION ALL SELECT o_orderkey, k, cash, book, CASE WHEN code IS NULL THEN list_append(queue, {{'s': sym, 'side': side, 'q': qty, 'px': px}}) ELSE queue END, code FROM (SELECT r.o_orderkey, o.k, cash, book, queue, sym, side, qty, px, CASE WHEN len(queue) >= 4 THEN 'MAX_ORDER_RATE'
+WHEN side = 'SELL' THEN CASE WHEN qty + coalesce(list_sum(list_transform(list_filter(queue, lambda x: x.s = sym AND x.side = 'SELL'), lambda x: x.q)), 0) > coalesce(list_sum(list_transform(list_filter(book, lambda h: h.s = sym), lambda h: h.q)), 0) THEN 'INSUFFICIENT_UNRESERVED_OWNED_INVENTORY' END
+WHEN qty * px > 2500 THEN 'MAX_ORDER_NOTIONAL' WHEN cash - coalesce(list_sum(list_transform(list_filter(queue, lambda x: x.side = 'BUY'), lambda x: x.q * x.px + greatest(1, 0.005 * x.q))), 0) - qty * px - greatest(1, 0.005 * qty) < 500 THEN 'CASH_OR_MINIMUM_CASH'
+WHEN coalesce(list_sum(list_transform(list_filter(book, lambda h: h.s = sym), lambda h: h.q * h.c)), 0) + coalesce(list_sum(list_transform(list_filter(queue, lambda x: x.side = 'BUY' AND x.s = sym), lambda x: x.q * x.px)), 0) + qty * px > 5000 THEN 'MAX_SYMBOL_NOTIONAL'
+WHEN coalesce(list_sum(list_transform(book, lambda h: h.q * h.c)), 0) + coalesce(list_sum(list_transform(list_filter(queue, lambda x: x.side = 'BUY'), lambda x: x.q * x.px)), 0) + qty * px > 9000 THEN 'MAX_GROSS_NOTIONAL'
+WHEN NOT list_contains(list_concat(list_transform(book, lambda h: h.s), list_transform(list_filter(queue, lambda x: x.side = 'BUY'), lambda x: x.s)), sym) AND len(list_distinct(list_concat(list_transform(book, lambda h: h.s), list_transform(list_filter(queue, lambda x: x.side = 'BUY'), lambda x: x.s)))) >= 4 THEN 'MAX_POSITIONS' END AS code FROM r JOIN o ON o.l_orderkey = r.o_orderkey AND o.k = r.k + 1))
+SELECT o_orderkey, k::INT AS place, code FROM r WHERE k > 0""")
+def capacity_codes(spark, d):
+    """An account's orders of a session, one after another: the first rule that refuses each,
+    null where it joins the queue, which reserves cash and shares from those that follow."""
+    o = apply(V.table(spark, d, "lineitem"), _QUEUE)
+    a = V.table(spark, d, "orders")
+    book = F.filter(F.array(*[F.struct(F.lit(s).cast("long").alias("symbol"), F.expr(_HELD.format(s)).cast("long").alias("quantity"), F.expr(_CLOSE.format(s)).cast("double").alias("close")) for s in range(6)]), lambda h: h["quantity"] > 0)
+    accounts = a.select(F.col("o_orderkey").alias("account"), (2000 + F.col("o_totalprice") / 100).alias("cash"), book.alias("book"))
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_extendedprice", "l_quantity"))
+    asked = o.select(F.col("l_orderkey").alias("account"), place.alias("place"), F.col("sym").cast("long").alias("symbol"), "side", F.col("qty").cast("long").alias("quantity"), F.col("px").alias("limit"))
+    return admit(asked, accounts).select(F.col("account").alias("o_orderkey"), "place", "code")
+
+
+# --- fields given as text ------------------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \t\n\r]*[0-9][^ \t\n\r]*')) AS raw FROM documents), s AS (SELECT doc_id, rtrim(raw, '.,;:!?)') AS x FROM t),
+k AS (SELECT doc_id, x, regexp_full_match(x, '[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?') AS money, regexp_full_match(x, '[1-9][0-9]*') AS whole, regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]([01][0-9]|2[0-3])(:[0-5][0-9]){0,1}(:[0-5][0-9]([.,][0-9]{1,6})?)?(Z|[-+]([01][0-9]|2[0-3]):?[0-5][0-9])') AND try_cast(left(x, 10) AS DATE) IS NOT NULL AS time FROM s)
+SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (money)::BIGINT AS n_money, count(*) FILTER (whole)::BIGINT AS n_whole, count(*) FILTER (time)::BIGINT AS n_time, sum(CASE WHEN whole AND length(x) <= 9 THEN x::BIGINT END)::BIGINT AS total FROM k GROUP BY doc_id""")
+def rules_validation(spark, d):
+    """The figures in a text, checked as fields: amounts, positive whole numbers, timestamps
+    with a zone; and the sum of the whole numbers of up to nine digits."""
+    t = V.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]*[0-9][^ \t\n\r]*"), F.lit(0))).alias("raw"))
+    x = F.rtrim(F.col("raw"), F.lit(".,;:!?)"))
+    k = t.select("doc_id", x.alias("x"))
+    x = F.col("x")
+    n = lambda c: F.count(F.when(c, 1))
+    whole = R.is_positive_whole(x)
+    return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), n(R.is_money(x)).alias("n_money"), n(whole).alias("n_whole"), n(R.is_zoned_time(x)).alias("n_time"), F.sum(F.when(whole & (F.length(x) <= 9), F.expr("try_cast(x as bigint)"))).alias("total"))
+
+
+@query("""SELECT event_id, list_has_all(json_keys(props), ['k']) AS has_required, len(list_filter(json_keys(props), lambda c: c NOT IN ('k', 'note'))) > 0 AS has_others, regexp_full_match(json_extract_string(props, '$.k'), '[1-9][0-9]*') AS k_is_positive,
+CASE WHEN NOT list_has_all(json_keys(props), ['k']) THEN 'missing field' WHEN len(list_filter(json_keys(props), lambda c: c NOT IN ('k', 'note'))) > 0 THEN 'unsupported field' WHEN NOT regexp_full_match(json_extract_string(props, '$.k'), '[1-9][0-9]*') THEN 'positive whole number required' END AS error FROM events""")
+def props_fields(spark, d):
+    """An object's fields against the required and the allowed ones, and its number checked."""
+    e = V.table(spark, d, "events")
+    keys = F.json_object_keys("props")
+    has, others = F.array_contains(keys, "k"), F.size(F.array_except(keys, F.array(F.lit("k"), F.lit("note")))) > 0
+    positive = R.is_positive_whole(F.get_json_object("props", "$.k"))
+    error = F.when(~has, "missing field").when(others, "unsupported field").when(~positive, "positive whole number required")
+    return e.select("event_id", has.alias("has_required"), others.alias("has_others"), positive.alias("k_is_positive"), error.alias("error"))
 
-rules(
-    "rules_orders",
-    "What an order does: exit or entry, working level, stop trigger, marketability, the distance allowed at that minute, whether it is substantive, and the level's distance in ranges.",
-    "orders", ["o_orderkey"],
-    _ORDER,
-    {"lim": "CASE WHEN kind IN ('LMT', 'STP LMT') THEN last * (1 + off) END", "stop": "CASE WHEN kind IN ('STP', 'STP LMT') THEN last * (1 - off) END", "trail": "CASE WHEN kind = 'TRAIL' THEN 1 + o_orderkey % 9 END", "signed": "CASE WHEN side = 'BUY' THEN qty ELSE -qty END"},
-    {"stop_level": "CASE WHEN kind IN ('STP', 'STP LMT') THEN stop WHEN kind = 'TRAIL' THEN last * (1 - CASE WHEN side = 'SELL' THEN 1 ELSE -1 END * trail / 100e0) END", "exit_side": "held <> 0 AND (held > 0) <> (signed > 0)", "reach": "CASE WHEN m < 600 THEN 1.5 WHEN m < 720 THEN 1.0 WHEN m < 900 THEN 0.75 ELSE 0.5 END", "family": "CASE WHEN kind IN ('STP', 'STP LMT', 'TRAIL') THEN 'stop' ELSE lower(kind) END"},
-    {"level": "CASE WHEN kind IN ('MKT', 'MOC') THEN last * 1e0 WHEN kind = 'LMT' THEN lim ELSE stop_level END", "after": "held + signed", "flips": "held <> 0 AND (held > 0) <> (held + signed > 0) AND held + signed <> 0"},
-    {"ranges": f"abs(level - last) / nullif(last * r1, 0)", "marketable": "kind IN ('MKT', 'MOC') OR (kind = 'LMT' AND CASE WHEN side = 'BUY' THEN lim >= last ELSE lim <= last END)", "wrong_side": "family = 'stop' AND CASE WHEN side = 'BUY' THEN stop_level <= last ELSE stop_level >= last END"},
-    {"substantive": "qty >= greatest(1, abs(held) * 0.1) AND NOT wrong_side AND (marketable OR ranges <= reach)", "protective": "exit_side AND ((family = 'stop' AND NOT wrong_side) OR (kind = 'LMT' AND abs(after) < abs(held)))"},
-    plain=("side", "kind", "family", "exit_side", "after", "flips", "marketable", "wrong_side", "substantive", "protective"), rounded=("stop_level", "level", "ranges", "reach"),
-)
-
-rules(
-    "capacity_codes",
-    "The first of six refusals of an order by its account, in their order: price, cash, position, gross exposure, concentration, daily count.",
-    "orders", ["o_orderkey"],
-    {**_ORDER, "cash": "o_totalprice / 50", "gross": "o_totalprice / 3", "equity": "o_totalprice / 2", "today": "o_orderkey % 25"},
-    {"signed": "CASE WHEN side = 'BUY' THEN qty ELSE -qty END", "cost": "qty * last"},
-    {"code": "CASE WHEN last <= 0 THEN 'NO_PRICE' WHEN side = 'BUY' AND cost > cash THEN 'CASH' WHEN side = 'SELL' AND qty > greatest(held, 0) THEN 'POSITION' WHEN gross + CASE WHEN side = 'BUY' THEN cost ELSE -cost END > 1.95 * equity THEN 'GROSS' WHEN abs(held + signed) * last > 0.25 * equity THEN 'CONCENTRATION' WHEN today >= 20 THEN 'COUNT' END"},
-    plain=("code",),
-)
-
-# --- validation ----------------------------------------------------------------------------
-
-rules(
-    "rules_validation",
-    "Fields as text, checked: money, positive whole numbers, probabilities, zoned timestamps, and the set of fields given against the required and allowed ones.",
-    "orders", ["o_orderkey"],
-    {"money_text": "CASE WHEN o_orderkey % 9 = 0 THEN 'NaN' WHEN o_orderkey % 9 = 1 THEN ' 12.50 ' WHEN o_orderkey % 9 = 2 THEN '1e3' WHEN o_orderkey % 9 = 3 THEN '-7' ELSE concat(o_orderkey::VARCHAR(20), '.25') END", "int_text": "CASE WHEN o_orderkey % 5 = 0 THEN '0' WHEN o_orderkey % 5 = 1 THEN '3.0' WHEN o_orderkey % 5 = 2 THEN '-4' WHEN o_orderkey % 5 = 3 THEN 'true' ELSE o_orderkey::VARCHAR(20) END", "p_text": "CASE WHEN o_orderkey % 4 = 0 THEN '1.2' WHEN o_orderkey % 4 = 1 THEN 'high' ELSE concat('0.', (o_orderkey % 10)::VARCHAR(2)) END", "t_text": "CASE WHEN o_orderkey % 3 = 0 THEN '2024-01-05T10:00:00' WHEN o_orderkey % 3 = 1 THEN '2024-01-05T10:00:00Z' ELSE '2024-01-05T10:00:00-05:00' END", "fields": "CASE WHEN o_orderkey % 4 = 0 THEN 'symbol,quantity' WHEN o_orderkey % 4 = 1 THEN 'symbol,quantity,side,note' WHEN o_orderkey % 4 = 2 THEN 'symbol,side,quantity' ELSE 'side,symbol,limit,quantity' END"},
-    {"money_ok": "rlike(trim(money_text), '^[+-]?[0-9]+([.][0-9]+)?$')", "int_ok": "rlike(int_text, '^[1-9][0-9]*$')", "time_ok": "rlike(t_text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}(Z|[+-][0-9]{2}:[0-9]{2})$')", "p_value": "CASE WHEN rlike(p_text, '^[0-9]+([.][0-9]+)?$') THEN p_text::DOUBLE END"},
-    {"p_ok": "p_value IS NOT NULL AND p_value BETWEEN 0 AND 1", "missing_side": "NOT rlike(concat(',', fields, ','), ',side,')", "unknown": "regexp_extract(concat(',', fields, ','), ',(note|extra),', 1)", "cents": "CASE WHEN money_ok THEN floor(trim(money_text)::DOUBLE * 100 + 0.5)::BIGINT END"},
-    {"error": "CASE WHEN missing_side THEN 'missing field' WHEN unknown <> '' THEN 'unknown field' WHEN NOT money_ok THEN 'bad money' WHEN NOT int_ok THEN 'bad quantity' WHEN NOT p_ok THEN 'bad probability' WHEN NOT time_ok THEN 'bad time' END"},
-    plain=("money_ok", "int_ok", "p_ok", "time_ok", "missing_side", "unknown", "cents", "error"),
-)
 
 # --- bands and transforms ------------------------------------------------------------------
 
