@@ -23,5 +23,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _module in ("bars", "rolling", "xsection", "temporal", "ledger", "scoring", "relational", "text", "panels", "rules", "parsers", "decisions", "estimators", "providers", "drivers", "regime", "walks", "streams", "selection"):
+for _module in ("bars", "rolling", "xsection", "temporal", "ledger", "scoring", "relational", "text", "panels", "rules", "parsers", "decisions", "estimators", "providers", "drivers", "regime", "walks", "streams", "selection", "riskpanels"):
     import_module(f"{__package__}.{_module}")

@@ -11,26 +11,6 @@ from . import sql as S
 from .catalog import query
 from .stages import ahead, apply, chain, daily_grid, div, lag, ln, mean, over, panel, rank, slots, weekly_grid
 
-# --- risk: five variance estimators by three windows, as floored log volatilities ----------
-
-_EST = ("cc", "pk", "gk", "rs", "nt")
-_WINDOWS = (1, 5, 22)
-_RISK = [f"lv_{e}_{n}" for e in _EST for n in _WINDOWS]
-panel(
-    "features_risk",
-    "Log annualized volatilities of five estimators over day, week and month, floored at 1 %, the market's mean of the monthly ones, and the month's largest move a week ago.",
-    daily_grid, S.BGRID, "bgrid",
-    [
-        {"r": ln(div("c", lag("c"))), "hl": ln(div("h", "l")), "co": ln(div("c", "o")), "gap": ln(div("o", lag("c"))), "hc": ln(div("h", "c")), "ho": ln(div("h", "o")), "lc": ln(div("l", "c")), "lo": ln(div("l", "o"))},
-        {"cc": "r * r", "pk": "hl * hl / (4 * ln(2.0))", "gk": "0.5 * hl * hl - (2 * ln(2.0) - 1) * co * co", "rs": "hc * ho + lc * lo"},
-        {"nt": "gap * gap + gk"},
-        {f"v_{e}_{n}": mean(e, n, max(1, n // 2)) for e in _EST for n in _WINDOWS},
-        {f"lv_{e}_{n}": f"ln(greatest(sqrt(greatest(252.0 * v_{e}_{n}, 0.0)), 0.01))" for e in _EST for n in _WINDOWS},
-        {f"xs_{e}": f"avg(lv_{e}_22) OVER (PARTITION BY session)" for e in _EST} | {"echo": f"max(abs(r)) {over(22, -5)}"},
-    ],
-    ["symbol", "ix"], [*_RISK, *[f"xs_{e}" for e in _EST], "echo"],
-)
-
 # --- implied volatility: the week's log range stands for the implied series ----------------
 
 panel(
@@ -135,21 +115,6 @@ panel(
     ["symbol", "ix"], [*_NIGHT, "gap_z", "gap_rk", "night_rk", "day_rk", "tug"],
 )
 
-panel(
-    "features_anomaly",
-    "Today's return, volume, gap, range, five-day return and distance from the mean, each against its own past; the close's place in the range; the signed run.",
-    daily_grid, S.BGRID, "bgrid",
-    [
-        {"r": ln(div("c", lag("c"))), "gap": ln(div("o", lag("c"))), "width": div("h - l", lag("c")), "r5": ln(div("c", lag("c", 5)))},
-        {"sd": mean("r", 20, 8, -1, "stddev_samp"), "sdgap": mean("gap", 20, 8, -1, "stddev_samp"), "av": mean("v", 20, 8, -1), "aw": mean("width", 20, 8, -1), "ac": mean("c", 20, 8, -1), "sc": mean("c", 20, 8, -1, "stddev_samp"), "sgn": "CASE WHEN r IS NOT NULL THEN sign(r) END"},
-        {"new": f"CASE WHEN sgn IS NOT DISTINCT FROM {lag('sgn')} THEN 0 ELSE 1 END"},
-        {"run": f"sum(new) {over('all')}"},
-        {"streak": "CASE WHEN sgn IS NOT NULL THEN greatest(-10, least(10, sgn * row_number() OVER (PARTITION BY symbol, run ORDER BY ix))) END", "ret_z": div("r", "sd"), "vol_ratio": div("v", "av"), "gap_z": div("gap", "sdgap"), "range_ratio": div("width", "aw"), "ret5_z": div("r5", "sd * sqrt(5.0)"), "dist20_z": div("c - ac", "sc"), "clv": div("2 * c - h - l", "h - l")},
-        {"score": "sqrt((ret_z * ret_z + gap_z * gap_z + dist20_z * dist20_z) / 3.0)"},
-    ],
-    ["symbol", "ix"], ["ret_z", "vol_ratio", "gap_z", "range_ratio", "streak", "ret5_z", "dist20_z", "clv", "score"],
-)
-
 panel(
     "features_cost",
     "Log spread now and over week and month, its deviation, log dollar volume, volatility, range volatility, relative volume, and a liquidity tier.",
