@@ -317,23 +317,28 @@ def similar_groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float
     if not unsettled.isEmpty():
         some = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
         part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        member = F.collect_list(F.struct("cid", "label", "sketch", "shingles"))
-        full = unsettled.join(sets, "cid")
-        left = full.filter("label <> main").withColumn("i", some("ni")).withColumn("j", part("nj")).groupBy("key", "i", "j").agg(member.alias("left"))
-        right = full.withColumn("j", some("nj")).withColumn("i", part("ni")).groupBy("key", "i", "j").agg(member.alias("right"))
-        found = left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_link_similar_batches(similarity), "a long, b long")
+        full = unsettled.join(sets, "cid").select("key", "label", "main", "ni", "nj", "cid", "sketch", "shingles")
+        left = full.filter("label <> main").withColumn("i", some("ni")).withColumn("j", part("nj")).select("key", "i", "j", *MEMBER)
+        right = full.withColumn("j", some("nj")).withColumn("i", part("ni"))
+        # the two sides come from the same rows, so one has names of its own
+        right = right.select(*[F.col(c).alias(f"r_{c}") for c in ("key", "i", "j", *MEMBER)])
+        met = left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j"))
+        found = met.applyInArrow(_link_blocks(similarity), "a long, b long")  # a pair of blocks at a time
         labels = components(edges.unionByName(staged(found, "linked")))
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("fp", "sig", F.coalesce("component", "cid").alias("component"))
     same = rows.fp.eqNullSafe(named.fp) & (rows.sig == named.sig)
     return rows.join(named, same).select("row_key", "row_hash", "doc_id", "component")
 
 
-def _link_similar_batches(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            edges = [e for x, y in zip(b.column("left"), b.column("right"), strict=True) for e in link_similar(x.as_py(), y.as_py(), similarity)]
-            cols = list(zip(*edges, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+MEMBER = ("cid", "label", "sketch", "shingles")
+
+
+def _link_blocks(similarity: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = left.select(list(MEMBER)).to_pylist()
+        y = right.select([f"r_{c}" for c in MEMBER]).rename_columns(list(MEMBER)).to_pylist()
+        cols = list(zip(*(link_similar(x, y, similarity) if x and y else []), strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
     return run
 
