@@ -42,6 +42,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain, combinations, combinations_with_replacement, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -463,11 +464,12 @@ def reject(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFram
     """``docs`` without the documents predicted toxic; columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxic(text):
+    def toxic(parts_: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        import pandas as pd
-
-        return pd.Series(m.probabilities(text))
+        for text in parts_:
+            yield pd.Series(m.probabilities(text))
+        m._kept = {}  # the worker goes on to other stages
+        _words.clear()
 
+    toxic = F.pandas_udf(toxic, "double")
     return docs.filter(toxic(F.col("text").cast("string")) < threshold)
