@@ -26,25 +26,6 @@ panel(
     ["symbol", "ix"], ["liv", "div1", "div5", "ivrv", "siv", "xiv"],
 )
 
-# --- momentum and quality ------------------------------------------------------------------
-
-_MOM = {"m12": (52, 4), "m6": (26, 4), "m3": (13, 4)}
-panel(
-    "features_rank",
-    "Momentum that skips the last month, residual momentum over its deviation, share of rising weeks, nearness to the year's high, volatility, log volume, and their ranks.",
-    weekly_grid, S.GRID, "grid",
-    [
-        {"lp": ln("price")},
-        {"r": f"lp - {lag('lp')}"},
-        {"m": "avg(r) OVER (PARTITION BY session)"},
-        {"e": "r - m"},
-        {n: f"{lag('lp', b)} - {lag('lp', a)}" for n, (a, b) in _MOM.items()}
-        | {"rmom": div(mean("e", 48, 24, -4, "sum"), mean("e", 48, 24, -4, "stddev_samp")), "steady": mean("CASE WHEN r IS NOT NULL THEN CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END END", 26, 13), "high": div("price", f"max(h) {over(52)}"), "vol": mean("r", 26, 13, agg="stddev_samp"), "lvol": ln(mean("price * v", 13, 7))},
-        {f"{n}_rk": rank(n) for n in ("m12", "m6", "m3", "rmom", "steady", "high", "vol", "lvol")},
-    ],
-    ["symbol", "ix"], ["m12", "m6", "m3", "rmom", "steady", "high", "vol", "lvol", *[f"{n}_rk" for n in ("m12", "m6", "m3", "rmom", "steady", "high", "vol", "lvol")]],
-)
-
 # --- industry ------------------------------------------------------------------------------
 
 

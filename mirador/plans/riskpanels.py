@@ -140,3 +140,88 @@ def features_anomaly(spark, d):
         "clv": F.when(c("c").isNotNull(), F.when(c("h") > c("l"), (c("c") - c("l")) / (c("h") - c("l")) - 0.5).otherwise(0.0)), "log_price": F.ln("c"), "log_dvol": F.ln("dv"), "streak": F.when(c("lr").isNotNull(), F.greatest(F.lit(-10), F.least(F.lit(10), (c("sg") * at).cast("int")))),
     }
     return g.withColumns(out).select("symbol", "ix", "streak", *[r6(c(n)).alias(n) for n in _ANOMALY])
+
+
+# --- trend and quality ----------------------------------------------------------------------
+
+_RAW = ["mom12_1", "mom6_1", "mom3_1", "resid_mom", "ind_rel_mom", "ind_mom", "hi52", "consistency", "maxdd", "resid_vol", "size", "rev5", "rev21", "beta"]
+_YEAR, _HELD, _SKIP = 252, 231, 21
+
+
+def trend(spark, d):
+    c = F.col
+    g = weekly_bars(spark, d).join(F.broadcast(V.regions(spark, d)), "symbol")
+    before = R.lag("c", 1)
+    g = g.withColumn("lr", _ln(c("c"), before)).withColumn("mr", F.max(F.when(c("symbol") == INDEX, c("lr"))).over(W.partitionBy("session")))
+    g = g.withColumns({"y": F.when(c("mr").isNotNull(), c("lr")), "x": F.when(c("lr").isNotNull(), c("mr"))})
+    year = R.frame(_YEAR)
+    g = g.withColumn("beta", F.when(F.count("y").over(year) >= 126, ratio(F.covar_pop("x", "y").over(year), F.var_pop("x").over(year))))
+
+    def rest(n, end, least, total):
+        """(sum, deviation) of returns less beta times the market's, in a stretch that exists."""
+        w = R.frame(n, end)
+        k = F.count("y").over(w)
+        ok = (F.count(F.lit(1)).over(w) == n) & (k >= least) & (c("symbol") != INDEX)  # the index leaves no rest
+        spread = F.var_pop("y").over(w) - 2 * c("beta") * F.covar_pop("x", "y").over(w) + c("beta") * c("beta") * F.var_pop("x").over(w)
+        sd = F.sqrt(F.greatest(spread, F.lit(0.0)) * k / (k - 1))
+        return F.when(ok, F.sum("y").over(w) - c("beta") * F.sum("x").over(w) if total else sd)
+
+    move = lambda a, b: _ln(R.lag("c", b) if b else c("c"), R.lag("c", a))
+    held, month = R.frame(_HELD, -_SKIP), R.frame(20)
+    rose = F.when(c("lr").isNotNull(), (c("lr") > 0).cast("double"))
+    fall = F.aggregate(F.collect_list("c").over(year), F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("low")), lambda a, v: F.struct(F.greatest(a["top"], v).alias("top"), F.least(a["low"], v / F.greatest(a["top"], v) - 1).alias("low")), lambda a: a["low"])
+    g = g.withColumns({
+        "mom12_1": move(_YEAR, _SKIP), "mom6_1": move(126, _SKIP), "mom3_1": move(63, _SKIP), "rev5": move(5, 0), "rev21": move(21, 0), "resid_mom": ratio(rest(_HELD, -_SKIP, 200, True), rest(_HELD, -_SKIP, 200, False)), "resid_vol": rest(60, 0, 40, False) * math.sqrt(252),
+        "consistency": F.when((F.count(F.lit(1)).over(held) == _HELD) & (F.count("lr").over(held) >= 200), F.avg(rose).over(held)), "hi52": c("c") / _full(F.max("h"), _YEAR), "maxdd": F.when((F.count(F.lit(1)).over(year) == _YEAR) & (F.count("c").over(year) > 0), fall),
+        "size": F.when((F.count(F.lit(1)).over(month) == 20) & (F.count(c("c") * c("v")).over(month) >= 10), F.ln(F.avg(c("c") * c("v")).over(month))),
+    })
+    stock = F.when(c("symbol") != INDEX, c("mom12_1"))
+    group = W.partitionBy("session", "region")
+    others = F.count(stock).over(group) - F.when(stock.isNotNull(), 1).otherwise(0)
+    g = g.withColumn("ind_mom", F.when((c("symbol") != INDEX) & (others > 0), (F.sum(stock).over(group) - F.coalesce(stock, F.lit(0.0))) / others))
+    return g.withColumn("ind_rel_mom", c("mom12_1") - c("ind_mom"))
+
+
+def placed(value: str) -> Column:
+    """Rank from -0.5 to 0.5 among the names but the index, of 20 at least, ties by symbol; the
+    index is put in its place among them: the middle of its left and right insertion."""
+    day = W.partitionBy("session")
+    own = F.when(F.col("symbol") != INDEX, F.col(value))
+    n = F.count(own).over(day)
+    key = F.struct(own.isNull(), F.col(value), F.col("symbol"))
+    at = F.row_number().over(day.orderBy(key)) - 1
+    index = F.max(F.when(F.col("symbol") == INDEX, F.col(value))).over(day)
+    middle = (F.count(F.when(own < index, 1)).over(day) + F.count(F.when(own <= index, 1)).over(day)) / 2
+    between = F.greatest(F.lit(0.0), F.least(n - 1, middle - 0.5)) / (n - 1) - 0.5
+    return F.when((n >= 20) & F.col(value).isNotNull(), F.when(F.col("symbol") == INDEX, between).otherwise(at / (n - 1) - 0.5))
+
+
+def _rank_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR n_{x} < 20 THEN NULL WHEN symbol = {INDEX} THEN greatest(0, least(n_{x} - 1, (lo_{x} + hi_{x}) / 2 - 0.5)) / (n_{x} - 1) - 0.5 ELSE at_{x} / (n_{x} - 1) - 0.5 END"
+
+
+def _stretch(n: int, end: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY ix ROWS BETWEEN {n - 1 + end} PRECEDING AND {f'{end} PRECEDING' if end else 'CURRENT ROW'})"
+
+
+def _resid(w: str) -> str:
+    return f"sqrt(greatest(0, var_pop(y) OVER {w} + beta * beta * var_pop(x) OVER {w} - 2 * beta * covar_pop(y, x) OVER {w}) * count(y) OVER {w} / (count(y) OVER {w} - 1))"
+
+
+@query(f"""WITH {_BARS}, p AS (SELECT g.*, n_regionkey AS region, ln(c / lag(c) OVER o) AS lr, {', '.join(f'lag(c, {k}) OVER o AS c{k}' for k in (5, 21, 63, 126, 252))} FROM g JOIN nation ON n_nationkey = symbol WINDOW o AS (PARTITION BY symbol ORDER BY ix)),
+m AS (SELECT ix, lr AS mr FROM p WHERE symbol = {INDEX}), q AS (SELECT p.*, CASE WHEN mr IS NOT NULL THEN lr END AS y, CASE WHEN lr IS NOT NULL THEN mr END AS x FROM p LEFT JOIN m ON m.ix = p.ix),
+b AS (SELECT *, CASE WHEN count(y) OVER w >= 126 THEN covar_pop(y, x) OVER w / nullif(var_pop(x) OVER w, 0) END AS beta FROM q WINDOW w AS {_stretch(252, 0)}),
+f AS (SELECT *, ln(c21 / c252) AS mom12_1, ln(c21 / c126) AS mom6_1, ln(c21 / c63) AS mom3_1, ln(c / c5) AS rev5, ln(c / c21) AS rev21, CASE WHEN symbol <> {INDEX} AND count(*) OVER h = 231 AND count(y) OVER h >= 200 THEN (sum(y) OVER h - beta * sum(x) OVER h) / nullif({_resid('h')}, 0) END AS resid_mom, CASE WHEN symbol <> {INDEX} AND count(*) OVER s = 60 AND count(y) OVER s >= 40 THEN sqrt(252) * {_resid('s')} END AS resid_vol,
+CASE WHEN count(*) OVER h = 231 AND count(lr) OVER h >= 200 THEN avg(CASE WHEN lr > 0 THEN 1e0 WHEN lr IS NOT NULL THEN 0e0 END) OVER h END AS consistency, CASE WHEN count(*) OVER w = 252 THEN c / max(h) OVER w END AS hi52, CASE WHEN count(*) OVER t = 20 AND count(c * v) OVER t >= 10 THEN ln(avg(c * v) OVER t) END AS size,
+CASE WHEN count(*) OVER w = 252 AND count(c) OVER w > 0 THEN list_reduce(list_transform(list_filter(list(c) OVER w, lambda z: z IS NOT NULL), lambda z: {{'top': z, 'low': 0e0}}), lambda a, e: {{'top': greatest(a.top, e.top), 'low': least(a.low, e.top / greatest(a.top, e.top) - 1)}}).low END AS maxdd
+FROM b WINDOW w AS {_stretch(252, 0)}, h AS {_stretch(231, 21)}, s AS {_stretch(60, 0)}, t AS {_stretch(20, 0)}),
+i AS (SELECT f.*, CASE WHEN f.symbol <> {INDEX} THEN (SELECT avg(e.mom12_1) FROM f e WHERE e.ix = f.ix AND e.region = f.region AND e.symbol <> f.symbol AND e.symbol <> {INDEX}) END AS ind_mom FROM f), r AS (SELECT *, mom12_1 - ind_mom AS ind_rel_mom FROM i),
+k AS (SELECT symbol, ix, {', '.join(_RAW)}, {', '.join(f"count({x}) FILTER (symbol <> {INDEX}) OVER d AS n_{x}, row_number() OVER (PARTITION BY ix ORDER BY symbol = {INDEX} OR {x} IS NULL, {x}, symbol) - 1 AS at_{x}, max({x}) FILTER (symbol = {INDEX}) OVER d AS v_{x}" for x in _RAW)} FROM r WINDOW d AS (PARTITION BY ix)),
+l AS (SELECT *, {', '.join(f"sum(CASE WHEN symbol <> {INDEX} AND {x} < v_{x} THEN 1 ELSE 0 END) OVER d AS lo_{x}, sum(CASE WHEN symbol <> {INDEX} AND {x} <= v_{x} THEN 1 ELSE 0 END) OVER d AS hi_{x}" for x in _RAW)} FROM k WINDOW d AS (PARTITION BY ix))
+SELECT symbol, ix, {', '.join(f'{S.r6(x)} AS {x}, {S.r6(_rank_sql(x))} AS {x}_rk' for x in _RAW)} FROM l""")
+def features_rank(spark, d):
+    """Fourteen features of trend and quality, most of them without the last month, and their
+    ranks among the day's names: momentum plain, of residuals and against the industry; nearness
+    to the year's high, steadiness, drawdown, size, reversals, beta."""
+    t = staged(trend(spark, d).select("symbol", "session", "ix", *_RAW), "trend")
+    return t.select("symbol", "ix", *[r6(F.col(x)).alias(x) for x in _RAW], *[r6(placed(x)).alias(f"{x}_rk") for x in _RAW])
