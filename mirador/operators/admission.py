@@ -58,3 +58,46 @@ def admit(orders: DataFrame, accounts: DataFrame) -> DataFrame:
 
     done = asked.select("account", F.explode(F.aggregate("asked", start, step)["codes"]).alias("c"))
     return done.select("account", "c.place", "c.code")
+
+
+# fixed value: gross exposure allowed, in net asset values
+LEVERAGE = 2.0
+
+
+def walk(orders: DataFrame, accounts: DataFrame, leverage: float = LEVERAGE) -> DataFrame:
+    """What each order of a decision would do, taken by ``place``: (account, place, q0, q1, p,
+    adds, margin, share, share0, notional).
+
+    q0 and q1 are the position before and after, p the price it is judged at (its limit, stop,
+    the quote, else the position's mark). An order that adds to a position and takes gross
+    exposure over ``leverage`` net asset values is refused on margin and leaves the book as it
+    was. ``orders`` have account, place, symbol, buy, quantity, limit, stop, quote; ``accounts``
+    account, cash, value and book, an array of (symbol, quantity, mark). A symbol first bought
+    here is marked at the price of that order.
+    """
+    item = F.struct("place", "symbol", "buy", "quantity", "limit", "stop", "quote")
+    asked = orders.groupBy("account").agg(F.sort_array(F.collect_list(item)).alias("asked")).join(accounts, "account")
+    nav = F.aggregate("book", F.col("cash").cast("double"), lambda s, h: s + h["quantity"] * h["mark"])
+    asked = asked.withColumn("nav", nav)
+    held = "array<struct<symbol:bigint,quantity:bigint,mark:double>>"
+    done = "array<struct<place:int,q0:bigint,q1:bigint,p:double,adds:boolean,margin:boolean>>"
+    start = F.struct(F.transform("book", lambda h: F.struct(h["symbol"].cast("long").alias("symbol"), h["quantity"].cast("long").alias("quantity"), h["mark"].cast("double").alias("mark"))).cast(held).alias("book"), F.array().cast(done).alias("done"))
+
+    def step(acc: Column, o: Column) -> Column:
+        own = F.get(F.filter(acc["book"], lambda h: h["symbol"] == o["symbol"]), F.lit(0))
+        others = F.filter(acc["book"], lambda h: h["symbol"] != o["symbol"])
+        q0 = F.coalesce(own["quantity"], F.lit(0).cast("long"))
+        q1 = q0 + F.when(o["buy"], o["quantity"]).otherwise(-o["quantity"])
+        some = lambda x: F.when(x != 0, x)  # noqa: E731  a zero price is none
+        p = F.coalesce(some(o["limit"]), some(o["stop"]), some(o["quote"]), some(own["mark"]))
+        adds = F.abs(q1) > F.abs(q0)
+        gross = F.aggregate(others, F.lit(0.0), lambda s, h: s + F.abs(h["quantity"]) * F.coalesce(h["mark"], p)) + F.abs(q1) * p
+        margin = p.isNotNull() & adds & (gross > leverage * F.greatest(F.col("nav"), F.lit(0.0)))
+        now = F.array(F.struct(o["symbol"].cast("long").alias("symbol"), q1.cast("long").alias("quantity"), F.coalesce(own["mark"], p).cast("double").alias("mark")))
+        book = F.when(margin, acc["book"]).otherwise(F.concat(others, now))
+        row = F.struct(o["place"].cast("int").alias("place"), q0.cast("long").alias("q0"), q1.cast("long").alias("q1"), p.cast("double").alias("p"), adds.alias("adds"), F.coalesce(margin, F.lit(False)).alias("margin"))
+        return F.struct(book.alias("book"), F.concat(acc["done"], F.array(row)).alias("done"))
+
+    each = asked.select("account", "value", F.explode(F.aggregate("asked", start, step)["done"]).alias("o"))
+    share = lambda q: F.abs(q) * F.col("o.p") / F.col("value")
+    return each.select("account", "o.*", share(F.col("o.q1")).alias("share"), share(F.col("o.q0")).alias("share0"), (F.abs(F.col("o.q1") - F.col("o.q0")) * F.col("o.p")).alias("notional"))

@@ -3,6 +3,7 @@ normal equations that Spark sums up."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,26 @@ def solve(df: DataFrame, a: list[list[Column]], b: list[Column], names: list[str
         rest = sum((at(i, j) * F.col(names[j]) for j in range(i + 1, k)), F.lit(0.0))
         df = df.withColumn(names[i], F.try_divide(at(i, k) - rest, at(i, i)))
     return df.drop(*[f"_s{i}_{j}" for i in range(k) for j in range(k + 1)])
+
+
+def clustered(rows: DataFrame, xs: list[str], y: str, cluster: str) -> DataFrame:
+    """(x, b, se, t, n, clusters): least squares on any regressors, with a covariance clustered
+    by ``cluster``. Two aggregations: the cross moments, then the scores summed within clusters;
+    what reaches the driver is a square of the regressors. Where the regressors are linearly
+    dependent, or there are no rows, there is no fit and no row."""
+    own = rows.dropna(subset=[*xs, y])
+    spark, k, n = rows.sparkSession, len(xs), F.count(F.lit(1))
+    m = own.agg(n.alias("n"), F.avg(y).alias("my"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)], *[(F.covar_pop(xs[i], xs[j]) * n).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)], *[(F.covar_pop(x, y) * n).alias(f"y{i}") for i, x in enumerate(xs)]).first()
+    out = "x string, b double, se double, t double, n long, clusters long"
+    a = np.array([[m[f"a{min(i, j)}_{max(i, j)}"] if m.n else 0.0 for j in range(k)] for i in range(k)], float)
+    if not m.n or np.linalg.matrix_rank(a) < k:
+        return spark.createDataFrame([], out)
+    inverse = np.linalg.inv(a)
+    b = inverse @ np.array([m[f"y{i}"] for i in range(k)])
+    dev = [F.col(x) - m[f"m{i}"] for i, x in enumerate(xs)]
+    rest = F.col(y) - m.my - sum((float(b[i]) * dev[i] for i in range(k)), F.lit(0.0))
+    scores = own.groupBy(cluster).agg(*[F.sum(dev[i] * rest).alias(f"s{i}") for i in range(k)])
+    s = scores.agg(F.count(F.lit(1)).alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    meat = np.array([[s[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
+    return spark.createDataFrame([(x, float(b[i]), float(se[i]), float(b[i] / se[i]) if se[i] else None, m.n, s.g) for i, x in enumerate(xs)], out)

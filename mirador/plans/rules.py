@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.scalars import normal_cdf as phi
 from ..functions.scalars import r6
-from ..operators.admission import admit
+from ..operators.admission import admit, walk
 from ..sources import views as V
 from . import sql as S
 from .catalog import query
@@ -172,6 +172,29 @@ def capacity_codes(spark, d):
     return admit(asked, accounts).select(F.col("account").alias("o_orderkey"), "place", "code")
 
 
+_WALK = {"n": "l_linenumber", "sym": "l_suppkey % 5", "buy": "l_returnflag <> 'R'", "qty": "1 + l_partkey % 30", "lim": "CASE WHEN l_partkey % 3 = 0 THEN floor(l_extendedprice / l_quantity) / 10 END", "stp": "CASE WHEN l_partkey % 3 = 1 THEN floor(l_extendedprice / l_quantity) / 12 END", "quote": "CASE WHEN l_suppkey % 5 <> 4 THEN 60e0 + l_suppkey % 5 END"}
+_POS, _MARK = "((o_orderkey + {0}) % 3 - 1) * 25", "(55 + 3 * {0})"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT l_orderkey, {', '.join(f'{e} AS {n}' for n, e in _WALK.items())}, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_extendedprice, l_quantity) AS k FROM lineitem),
+a AS (SELECT o_orderkey, 1000 + o_totalprice / 100 AS cash, list_filter([{', '.join(f"{{'s': {s}::BIGINT, 'q': ({_POS.format(s)})::BIGINT, 'm': {_MARK.format(s)}::DOUBLE}}" for s in range(3))}], lambda h: h.q <> 0) AS book FROM orders), b AS (SELECT *, cash + coalesce(list_sum(list_transform(book, lambda h: h.q * h.m)), 0) AS nav FROM a),
+r AS (SELECT o_orderkey, 0::BIGINT AS k, nav, book, NULL::BIGINT AS q0, NULL::BIGINT AS q1, NULL::DOUBLE AS p, NULL::BOOLEAN AS adds, NULL::BOOLEAN AS margin FROM b
+UNION ALL SELECT o_orderkey, k, nav, CASE WHEN margin THEN book ELSE list_append(list_filter(book, lambda h: h.s <> sym), {{'s': sym, 'q': q1, 'm': coalesce(mark, p)}}) END, q0, q1, p, adds, margin FROM (SELECT *, p IS NOT NULL AND adds AND coalesce(list_sum(list_transform(list_filter(book, lambda h: h.s <> sym), lambda h: abs(h.q) * coalesce(h.m, p))), 0) + abs(q1) * p > 2 * greatest(nav, 0) AS margin
+FROM (SELECT *, q0 + signed AS q1, abs(q0 + signed) > abs(q0) AS adds, coalesce(lim, stp, quote, mark) AS p FROM (SELECT r.o_orderkey, o.k, nav, book, sym, CASE WHEN buy THEN qty ELSE -qty END AS signed, lim, stp, quote, coalesce(list_filter(book, lambda h: h.s = sym)[1].q, 0) AS q0, list_filter(book, lambda h: h.s = sym)[1].m AS mark FROM r JOIN o ON o.l_orderkey = r.o_orderkey AND o.k = r.k + 1))))
+SELECT r.o_orderkey, k::INT AS place, q0, q1, {S.r6('p')} AS p, adds, margin, {S.r6('abs(q1) * p / nav')} AS share, {S.r6('abs(q0) * p / nav')} AS share0, {S.r6('abs(q1 - q0) * p')} AS notional FROM r WHERE k > 0""")
+def order_walk(spark, d):
+    """A decision's orders one after another: the position before and after each, its price,
+    whether it adds, and whether margin refuses it, which leaves the book to the next as it was."""
+    o = apply(V.table(spark, d, "lineitem"), _WALK)
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_extendedprice", "l_quantity"))
+    asked = o.select(F.col("l_orderkey").alias("account"), place.alias("place"), F.col("sym").cast("long").alias("symbol"), "buy", F.col("qty").cast("long").alias("quantity"), F.col("lim").alias("limit"), F.col("stp").alias("stop"), "quote")
+    book = F.filter(F.array(*[F.struct(F.lit(s).cast("long").alias("symbol"), F.expr(_POS.format(s)).cast("long").alias("quantity"), F.expr(_MARK.format(s)).cast("double").alias("mark")) for s in range(3)]), lambda h: h["quantity"] != 0)
+    a = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("account"), (1000 + F.col("o_totalprice") / 100).alias("cash"), book.alias("book"))
+    a = a.withColumn("value", F.aggregate("book", F.col("cash"), lambda s, h: s + h["quantity"] * h["mark"]))
+    got = walk(asked, a)
+    return got.select(F.col("account").alias("o_orderkey"), "place", "q0", "q1", r6(F.col("p")).alias("p"), "adds", "margin", *[r6(F.col(c)).alias(c) for c in ("share", "share0", "notional")])
+
+
 # --- fields given as text ------------------------------------------------------------------
 
 

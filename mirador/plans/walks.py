@@ -53,6 +53,27 @@ def wf_group_rates(spark, d):
     return got.select("symbol", "ix", "block", "trained", r6(F.col("pred")).alias("pred"))
 
 
+def _cof(i: int, j: int) -> str:
+    """Of the symmetric matrix c, the entry (i, j) of its adjugate."""
+    r, c = [k for k in range(3) if k != j], [k for k in range(3) if k != i]
+    n = lambda p, q: f"c{min(p, q)}{max(p, q)}"
+    return f"({'-' if (i + j) % 2 else ''}({n(r[0], c[0])} * {n(r[1], c[1])} - {n(r[0], c[1])} * {n(r[1], c[0])}))"
+
+
+def _se(j: int) -> str:
+    terms = " + ".join(f"{_cof(j, p)} * m{min(p, q)}{max(p, q)} * {_cof(q, j)}" for p in range(3) for q in range(3))
+    return f"sqrt(greatest(0, {terms})) / abs({_det(_N)})"
+
+
+@query(f"""{_SQL}, m AS (SELECT count(*) AS n, avg(t) AS mt, {', '.join(f'avg({x}) AS a{i}' for i, x in enumerate(_XS))}, {', '.join(f'covar_pop({x}, t) * count(*) AS y{i}' for i, x in enumerate(_XS))}, {', '.join(f'covar_pop({_XS[i]}, {_XS[j]}) * count(*) AS c{i}{j}' for i in range(3) for j in range(i, 3))} FROM f),
+b AS (SELECT *, {', '.join(f"{_det([[f'y{r}' if k == i else _N[r][k] for k in range(3)] for r in range(3)])} / {_det(_N)} AS b{i}" for i in range(3))} FROM m),
+g AS (SELECT ix, {', '.join(f'sum(({x} - a{i}) * (t - mt - b0 * (x1 - a0) - b1 * (x2 - a1) - b2 * (x3 - a2))) AS s{i}' for i, x in enumerate(_XS))} FROM f, b GROUP BY ix), k AS (SELECT count(*) AS clusters, {', '.join(f'sum(s{i} * s{j}) AS m{i}{j}' for i in range(3) for j in range(i, 3))} FROM g)
+{' UNION ALL '.join(f"SELECT '{x}' AS x, {S.r6(f'b{i}')} AS b, {S.r6(_se(i))} AS se, {S.r6(f'b{i} / nullif({_se(i)}, 0)')} AS t, n::BIGINT AS n, clusters::BIGINT AS clusters FROM b, k" for i, x in enumerate(_XS))}""")
+def clustered_panel_ols(spark, d):
+    """Three slopes at once, with a covariance clustered by session."""
+    return M.clustered(_feats(spark, d), list(_XS), "t", "ix").select("x", *[r6(F.col(c)).alias(c) for c in ("b", "se", "t")], "n", "clusters")
+
+
 _MIX = ("f_last", "f_month", "f_year")
 _a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirador.functions import rules as R
-from mirador.operators.admission import admit
+from mirador.operators.admission import admit, walk
 from mirador.plans.panels import look_states
 from mirador.plans.providers import conventions, shifted_to_utc
 
@@ -119,6 +119,26 @@ def test_admission_in_turn(spark):
     assert {(r.account, r.place): r.code for r in admit(df, poor).collect()}[1, 5] == "CASH_OR_MINIMUM_CASH"
 
 
+def test_orders_walk_the_book(spark):
+    schema = "account int, place int, symbol long, buy boolean, quantity long, limit double, stop double, quote double"
+    orders = [
+        (1, 1, 7, True, 100, 50.0, None, 49.0),  # 5,000 of 10,000 x 2 allowed
+        (1, 2, 8, False, 120, None, 100.0, None),  # 12,000 short: 17,000 gross
+        (1, 3, 9, True, 40, None, None, 100.0),  # 21,000 gross: refused
+        (1, 4, 7, False, 150, None, None, 60.0),  # flips to -50 at 60: 15,000
+        (1, 5, 9, True, 40, None, None, 100.0),  # now 12,000 + 50 x 50 + 4,000
+        (1, 6, 5, True, 10, None, None, None),  # no price at all: never refused
+        (2, 1, 3, False, 10, None, None, None),  # at the position's own mark; reduces
+    ]
+    accounts = [(1, 10000.0, 10000.0, []), (2, -500.0, 100.0, [{"symbol": 3, "quantity": 30, "mark": 10.0}])]
+    own = spark.createDataFrame(accounts, "account int, cash double, value double, book array<struct<symbol:bigint,quantity:bigint,mark:double>>")
+    got = {(r.account, r.place): r for r in walk(spark.createDataFrame(orders, schema), own).collect()}
+    assert [(got[1, k].q0, got[1, k].q1, got[1, k].p, got[1, k].adds, got[1, k].margin) for k in range(1, 7)] == [(0, 100, 50.0, True, False), (0, -120, 100.0, True, False), (0, 40, 100.0, True, True), (100, -50, 60.0, False, False), (0, 40, 100.0, True, False), (0, 10, None, True, False)]
+    assert (got[1, 1].share, got[1, 1].share0, got[1, 1].notional) == (0.5, 0.0, 5000.0) and got[1, 6].share is None
+    r = got[2, 1]
+    assert (r.q0, r.q1, r.p, r.adds, r.margin, r.share) == (30, 20, 10.0, False, False, 2.0)
+
+
 def test_states_of_a_look(spark):
     def states(look, *events):
         ev = [dict(zip(("key", "t", "z"), e, strict=True)) for e in events]

@@ -377,3 +377,22 @@ def test_refits_equal_brute_force(spark):
 def test_recalibration_helps(spark):
     card = catalog.QUERIES["calibrator_card"](spark, SF).collect()
     assert card and sum(r.n * r.brier for r in card) < sum(r.n * r.brier_raw for r in card)
+
+
+# --- clustered errors ----------------------------------------------------------------------
+
+
+def test_clustered_errors_equal_the_sandwich(spark):
+    rows = panel(spark, 60, 5)
+    got = {r.x: r for r in models.clustered(rows.withColumn("c", F.col("a") * F.col("b")), ["a", "b", "c"], "y", "ix").collect()}
+    data = np.array([tuple(r) for r in rows.collect()])
+    x = np.column_stack([np.ones(len(data)), data[:, 2], data[:, 3], data[:, 2] * data[:, 3]])
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ data[:, 4]
+    e = data[:, 4] - x @ beta
+    scores = np.array([x[data[:, 1] == ix].T @ e[data[:, 1] == ix] for ix in np.unique(data[:, 1])])
+    se = np.sqrt(np.diag(inverse @ scores.T @ scores @ inverse))
+    for k, name in enumerate(("a", "b", "c"), 1):
+        assert np.allclose([got[name].b, got[name].se, got[name].t], [beta[k], se[k], beta[k] / se[k]]) and (got[name].n, got[name].clusters) == (300, 60)
+    assert models.clustered(rows.withColumn("c", 2 * F.col("a")), ["a", "c"], "y", "ix").count() == 0
+    assert models.clustered(rows.filter("false"), ["a"], "y", "ix").count() == 0
