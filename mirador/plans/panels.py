@@ -11,21 +11,6 @@ from . import sql as S
 from .catalog import query
 from .stages import ahead, apply, chain, daily_grid, div, lag, ln, mean, over, panel, rank, slots, weekly_grid
 
-# --- implied volatility: the week's log range stands for the implied series ----------------
-
-panel(
-    "features_iv",
-    "Log implied level, its changes over one and five sessions, its gap to realized volatility, and the market's level; as known the session before.",
-    weekly_grid, S.GRID, "grid",
-    [
-        {"r": ln(div("price", lag("price"))), "iv": ln(div("h", "l"))},
-        {"liv": ln(lag("iv")), "rv": mean("r", 22, 11, agg="stddev_samp")},
-        {"div1": f"liv - {lag('liv')}", "div5": f"liv - {lag('liv', 5)}", "ivrv": f"liv - ({ln('rv')})", "siv": "avg(liv) OVER (PARTITION BY session)"},
-        {"xiv": "liv - siv"},
-    ],
-    ["symbol", "ix"], ["liv", "div1", "div5", "ivrv", "siv", "xiv"],
-)
-
 # --- industry ------------------------------------------------------------------------------
 
 
@@ -96,19 +81,6 @@ panel(
     ["symbol", "ix"], [*_NIGHT, "gap_z", "gap_rk", "night_rk", "day_rk", "tug"],
 )
 
-panel(
-    "features_cost",
-    "Log spread now and over week and month, its deviation, log dollar volume, volatility, range volatility, relative volume, and a liquidity tier.",
-    weekly_grid, S.GRID, "grid",
-    [
-        {"bps": f"{div('h - l', '(h + l) / 2')} * 1e4", "r": ln(div("price", lag("price"))), "usd": "price * v", "hl": ln(div("h", "l"))},
-        {"ls": ln("bps")},
-        {f"ls{n}": mean("ls", n, max(1, n // 2), -1) for n in (1, 5, 22)} | {"sd22": mean("ls", 22, 11, -1, "stddev_samp"), "ladv": ln(mean("usd", 22, 11, -1)), "vol": mean("r", 22, 11, -1, "stddev_samp"), "park": f"sqrt({mean('hl * hl', 22, 11, -1)} / (4 * ln(2.0)))", "rel": div("v", mean("v", 22, 11, -1))},
-        {"tier": "CASE WHEN ladv IS NULL OR ls22 IS NULL THEN NULL WHEN ladv >= 17 AND ls22 < 9 THEN 1e0 WHEN ladv >= 16 THEN 2e0 WHEN ladv >= 15 THEN 3e0 ELSE 4e0 END", "rich": "CASE WHEN ls1 - ls22 > 2 * sd22 THEN 1e0 WHEN ls1 - ls22 < -2 * sd22 THEN -1e0 WHEN sd22 IS NOT NULL THEN 0e0 END"},
-    ],
-    ["symbol", "ix"], ["ls1", "ls5", "ls22", "sd22", "ladv", "vol", "park", "rel", "tier", "rich"],
-)
-
 # --- intraday ------------------------------------------------------------------------------
 
 _DAY, _SLOT = "symbol, session", "symbol, slot"

@@ -19,18 +19,18 @@ WINDOWS = (1, 5, 22, 60)
 #: First and last session back of the stretch a quarter or half a year before a target.
 ECHOES = {"echo63_20": (41, 64), "echo126_20": (104, 127), "echo63_1": (60, 64), "echo126_1": (123, 127), "echo63_5": (56, 64), "echo126_5": (119, 127)}
 
-_BARS = """wticks AS (SELECT s_nationkey AS symbol, date_trunc('week', l_shipdate)::DATE AS session, l_extendedprice / l_quantity AS p, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity) AS tie FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-wbars AS (SELECT symbol, session, arg_min(p, tie) AS o, max(p) AS h, min(p) AS l, arg_max(p, tie) AS c, count(*) AS v FROM wticks GROUP BY ALL),
-wcal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ix FROM (SELECT DISTINCT session FROM wbars)), g AS (SELECT s.symbol, k.session, k.ix, o, h, l, c, v FROM wcal k CROSS JOIN (SELECT DISTINCT symbol FROM wbars) s LEFT JOIN wbars b ON b.symbol = s.symbol AND b.session = k.session)"""
+_BARS = """wticks AS (SELECT s_nationkey AS symbol, date_trunc('week', l_shipdate)::DATE AS session, l_extendedprice / l_quantity AS p, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity) AS tie, l_tax FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+wbars AS (SELECT symbol, session, arg_min(p, tie) AS o, max(p) AS h, min(p) AS l, arg_max(p, tie) AS c, count(*) AS v, sum(floor(l_tax * 100 + 0.5)::BIGINT) / count(*) / 100 AS tax FROM wticks GROUP BY ALL),
+wcal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ix FROM (SELECT DISTINCT session FROM wbars)), g AS (SELECT s.symbol, k.session, k.ix, o, h, l, c, v, tax FROM wcal k CROSS JOIN (SELECT DISTINCT symbol FROM wbars) s LEFT JOIN wbars b ON b.symbol = s.symbol AND b.session = k.session)"""
 
 
 def weekly_bars(spark, d):
-    """Open, high, low, close and count of a nation's week, on the common calendar."""
-    li = V.table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("p"))
+    """Open, high, low, close, count and mean tax of a nation's week, on the common calendar."""
+    li = V.table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("p"), "l_tax")
     sup = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("symbol"))
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "p")
     week = F.to_date(F.date_trunc("week", "l_shipdate")).alias("session")
-    bars = li.join(sup, "l_suppkey").groupBy("symbol", week).agg(F.min_by("p", at).alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", at).alias("c"), F.count(F.lit(1)).alias("v"))
+    bars = li.join(sup, "l_suppkey").groupBy("symbol", week).agg(F.min_by("p", at).alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", at).alias("c"), F.count(F.lit(1)).alias("v"), (F.sum(F.floor(F.col("l_tax") * 100 + 0.5)) / F.count(F.lit(1)) / 100).alias("tax"))
     return V.aligned(staged(bars, "bars"))
 
 
@@ -225,3 +225,54 @@ def features_rank(spark, d):
     to the year's high, steadiness, drawdown, size, reversals, beta."""
     t = staged(trend(spark, d).select("symbol", "session", "ix", *_RAW), "trend")
     return t.select("symbol", "ix", *[r6(F.col(x)).alias(x) for x in _RAW], *[r6(placed(x)).alias(f"{x}_rk") for x in _RAW])
+
+
+# --- implied volatility: the last session's range stands for the implied series --------------
+
+_IV = ["liv", "div1", "div5", "ivrv", "siv", "dsiv1", "dsiv5", "sivrv", "mkt_liv", "mkt_siv"]
+
+
+@query(f"""WITH {_BARS}, p AS (SELECT *, ln(c / lag(c) OVER o) AS lr, sqrt(252 / (4 * ln(2))) * nullif(lag(ln(h / l)) OVER o, 0) AS iv FROM g WINDOW o AS (PARTITION BY symbol ORDER BY ix)),
+v AS (SELECT *, CASE WHEN count(*) OVER w = 22 AND count(lr) OVER w >= 11 THEN 0.5 * ln(greatest(252 * avg(lr * lr) OVER w, 1e-4)) END AS rv FROM p WINDOW w AS {_back(22)}),
+f AS (SELECT symbol, ix, ln(iv) AS liv, ln(iv / lag(iv) OVER o) AS div1, ln(iv / lag(iv, 5) OVER o) AS div5, ln(iv) - rv AS ivrv, iv / sqrt(252) AS siv, (iv - lag(iv) OVER o) / sqrt(252) AS dsiv1, (iv - lag(iv, 5) OVER o) / sqrt(252) AS dsiv5, (iv - exp(rv)) / sqrt(252) AS sivrv FROM v WINDOW o AS (PARTITION BY symbol ORDER BY ix))
+SELECT f.symbol, f.ix, {', '.join(f"{S.r6(('m.' + n.removeprefix('mkt_')) if n.startswith('mkt_') else 'f.' + n)} AS {n}" for n in _IV)} FROM f LEFT JOIN f m ON m.ix = f.ix AND m.symbol = {INDEX}""")
+def features_iv(spark, d):
+    """Implied volatility as known the session before, in logs and as a daily level: its
+    changes over one and five sessions, its gap to the month's realized one, and the market's."""
+    c = F.col
+    g = weekly_bars(spark, d)
+    g = g.withColumns({"hl": _ln(c("h"), c("l")), "lr": _ln(c("c"), R.lag("c", 1))})
+    known = F.lag("hl").over(R.by())
+    g = g.withColumns({"iv": F.when(known > 0, known * math.sqrt(252 / (4 * math.log(2)))), "var": _half_full(c("lr") * c("lr"), 22)})
+    g = g.withColumns({"liv": F.ln("iv"), "siv": c("iv") / math.sqrt(252), "rv": F.when(c("var").isNotNull(), F.ln(F.greatest(F.sqrt(c("var") * 252), F.lit(0.01))))})
+    day = W.partitionBy("session")
+    out = {f"d{n}{k}": c(m) - R.lag(m, k) for n, m in (("iv", "liv"), ("siv", "siv")) for k in (1, 5)}
+    out |= {"ivrv": c("liv") - c("rv"), "sivrv": c("siv") - F.exp("rv") / math.sqrt(252)} | {f"mkt_{n}": F.max(F.when(c("symbol") == INDEX, c(n))).over(day) for n in ("liv", "siv")}
+    return g.withColumns(out).select("symbol", "ix", *[r6(c(n)).alias(n) for n in _IV])
+
+
+# --- cost of trading: a quote about the close, as wide as the week's mean tax ----------------
+
+_COST = ["spread", "ls1", "ls5", "ls20", "lmid", "ldv", "lvol", "lpk", "lrv", "etf", "y"]
+
+
+@query(f"""WITH {_BARS}, q AS (SELECT *, c * (1 - tax / 20) AS bid, c * (1 + tax / 20) AS ask, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY ix)) AS lr FROM g), s AS (SELECT *, (ask - bid) / ((ask + bid) / 2) * 10000 AS raw FROM q), z AS (SELECT *, CASE WHEN raw > 0 AND raw <= 2000 THEN raw END AS spread FROM s),
+f AS (SELECT symbol, ix, spread, ln(spread) AS ls1, ln({_least('avg({})', 'spread', 'w5', 3)}) AS ls5, ln({_least('avg({})', 'spread', 'w20', 10)}) AS ls20, ln((bid + ask) / 2) AS lmid, ln({_least('avg({})', 'c * v', 'w20', 10)}) AS ldv, ln(nullif({_least('stddev_samp({})', 'lr', 'w20', 10)}, 0)) AS lvol,
+ln(nullif({_least('avg({})', 'power(ln(h / l), 2)', 'w5', 3)}, 0) / (4 * ln(2))) / 2 AS lpk, ln(v / ({_least('avg({})', 'v', 'w20', 10)})) AS lrv, CASE WHEN symbol = {INDEX} THEN 1e0 ELSE 0e0 END AS etf, ln(lead(spread) OVER o) AS y FROM z WINDOW o AS (PARTITION BY symbol ORDER BY ix), w5 AS {_back(5)}, w20 AS {_back(20)})
+SELECT symbol, ix, {', '.join(f'{S.r6(n)} AS {n}' for n in _COST)} FROM f""")
+def features_cost(spark, d):
+    """The quoted spread in basis points, its logs over 1, 5 and 20 sessions, and what else
+    tells it: price, money turned over, volatility twice, volume against usual; and the next one."""
+    from ..functions.scalars import spread_bps
+
+    c = F.col
+    g = weekly_bars(spark, d)
+    bid, ask = c("c") * (1 - c("tax") / 20), c("c") * (1 + c("tax") / 20)
+    g = g.withColumns({"spread": spread_bps(bid, ask), "mid": (bid + ask) / 2, "lr": _ln(c("c"), R.lag("c", 1)), "hl2": F.pow(_ln(c("h"), c("l")), F.lit(2.0))})
+    least = lambda agg, x, n, k: F.when(F.count(x).over(R.frame(n)) >= k, agg(x).over(R.frame(n)))
+    log = lambda x: F.when(x > 0, F.ln(x))
+    out = {
+        "ls1": log(c("spread")), "ls5": log(least(F.avg, c("spread"), 5, 3)), "ls20": log(least(F.avg, c("spread"), 20, 10)), "lmid": log(c("mid")), "ldv": log(least(F.avg, c("c") * c("v"), 20, 10)), "lvol": log(least(F.stddev_samp, c("lr"), 20, 10)),
+        "lpk": 0.5 * log(least(F.avg, c("hl2"), 5, 3) / (4 * math.log(2))), "lrv": log(c("v") / least(F.avg, c("v"), 20, 10)), "etf": F.when(c("symbol") == INDEX, 1.0).otherwise(0.0), "y": log(F.lead("spread").over(R.by())),
+    }
+    return g.withColumns(out).select("symbol", "ix", *[r6(c(n)).alias(n) for n in _COST])
