@@ -11,38 +11,6 @@ from . import sql as S
 from .catalog import query
 from .stages import ahead, apply, chain, daily_grid, div, lag, ln, mean, over, panel, rank, slots, weekly_grid
 
-# --- industry ------------------------------------------------------------------------------
-
-
-def _grouped(spark, d):
-    return weekly_grid(spark, d).join(F.broadcast(V.regions(spark, d)), "symbol")
-
-
-_GROUPED = f"{S.GRID}, grouped AS (SELECT grid.*, n_regionkey AS region FROM grid JOIN nation ON n_nationkey = symbol)"
-
-
-def _others(x: str) -> str:
-    """Mean of the rest of the group, of two others at least."""
-    w = "OVER (PARTITION BY session, region)"
-    n = f"(count({x}) {w} - CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END)"
-    return f"CASE WHEN {n} >= 2 THEN (sum({x}) {w} - coalesce({x}, 0.0)) / {n} END"
-
-
-panel(
-    "features_industry",
-    "The group's momentum without the symbol, reversal against the group, both as ranks, and composites of ranks.",
-    _grouped, _GROUPED, "grouped",
-    [
-        {"lp": ln("price")},
-        {"r1": f"lp - {lag('lp')}", "r4": f"lp - {lag('lp', 4)}", "r13": f"{lag('lp')} - {lag('lp', 13)}"},
-        {"g4": _others("r4"), "g13": _others("r13"), "g1": _others("r1")},
-        {"rel1": "g1 - r1", "rel4": "r4 - g4"},
-        {f"{n}_rk": rank(n) for n in ("g4", "g13", "rel1", "rel4", "r13")},
-        {"trend": "(g4_rk + g13_rk + r13_rk) / 3.0", "turn": "(rel1_rk - rel4_rk) / 2.0"},
-    ],
-    ["symbol", "ix", "region"], ["g4", "g13", "rel1", "rel4", "g4_rk", "g13_rk", "rel1_rk", "rel4_rk", "trend", "turn"],
-)
-
 # --- factors -------------------------------------------------------------------------------
 
 _FACTOR = [
@@ -66,21 +34,6 @@ def features_factor(spark, d):
     return f.select("factor", "ix", r6(F.col("ret")).alias("ret"), r6(F.sum("ret").over(w(12))).alias("momentum"), r6(F.avg((F.col("ret") > 0).cast("int")).over(w(52))).alias("hit"))
 
 
-# --- overnight, anomaly, cost --------------------------------------------------------------
-
-_NIGHT = [f"{k}{n}" for k in ("night", "day") for n in (1, 5, 20)]
-panel(
-    "features_overnight",
-    "Overnight and intraday log returns summed over 1, 5 and 20 sessions, the gap over its deviation, and their cross-sectional ranks.",
-    daily_grid, S.BGRID, "bgrid",
-    [
-        {"night1": ln(div("o", lag("c"))), "day1": ln(div("c", "o"))},
-        {f"{k}{n}": mean(f"{k}1", n, n // 2, agg="sum") for k in ("night", "day") for n in (5, 20)} | {"gap_z": div("night1", mean("night1", 20, 8, -1, "stddev_samp"))},
-        {"gap_rk": rank("gap_z"), "night_rk": rank("night20"), "day_rk": rank("day20"), "tug": "night20 - day20"},
-    ],
-    ["symbol", "ix"], [*_NIGHT, "gap_z", "gap_rk", "night_rk", "day_rk", "tug"],
-)
-
 # --- intraday ------------------------------------------------------------------------------
 
 _DAY, _SLOT = "symbol, session", "symbol, slot"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import r6, ratio
 from ..operators import rolling as R
+from ..operators import xsection as X
 from ..sources import views as V
 from ..sources.staging import staged
 from . import sql as S
@@ -178,7 +179,7 @@ def trend(spark, d):
     stock = F.when(c("symbol") != INDEX, c("mom12_1"))
     group = W.partitionBy("session", "region")
     others = F.count(stock).over(group) - F.when(stock.isNotNull(), 1).otherwise(0)
-    g = g.withColumn("ind_mom", F.when((c("symbol") != INDEX) & (others > 0), (F.sum(stock).over(group) - F.coalesce(stock, F.lit(0.0))) / others))
+    g = g.withColumn("ind_mom", F.when((c("symbol") != INDEX) & (others >= 2), (F.sum(stock).over(group) - F.coalesce(stock, F.lit(0.0))) / others))
     return g.withColumn("ind_rel_mom", c("mom12_1") - c("ind_mom"))
 
 
@@ -215,7 +216,7 @@ f AS (SELECT *, ln(c21 / c252) AS mom12_1, ln(c21 / c126) AS mom6_1, ln(c21 / c6
 CASE WHEN count(*) OVER h = 231 AND count(lr) OVER h >= 200 THEN avg(CASE WHEN lr > 0 THEN 1e0 WHEN lr IS NOT NULL THEN 0e0 END) OVER h END AS consistency, CASE WHEN count(*) OVER w = 252 THEN c / max(h) OVER w END AS hi52, CASE WHEN count(*) OVER t = 20 AND count(c * v) OVER t >= 10 THEN ln(avg(c * v) OVER t) END AS size,
 CASE WHEN count(*) OVER w = 252 AND count(c) OVER w > 0 THEN list_reduce(list_transform(list_filter(list(c) OVER w, lambda z: z IS NOT NULL), lambda z: {{'top': z, 'low': 0e0}}), lambda a, e: {{'top': greatest(a.top, e.top), 'low': least(a.low, e.top / greatest(a.top, e.top) - 1)}}).low END AS maxdd
 FROM b WINDOW w AS {_stretch(252, 0)}, h AS {_stretch(231, 21)}, s AS {_stretch(60, 0)}, t AS {_stretch(20, 0)}),
-i AS (SELECT f.*, CASE WHEN f.symbol <> {INDEX} THEN (SELECT avg(e.mom12_1) FROM f e WHERE e.ix = f.ix AND e.region = f.region AND e.symbol <> f.symbol AND e.symbol <> {INDEX}) END AS ind_mom FROM f), r AS (SELECT *, mom12_1 - ind_mom AS ind_rel_mom FROM i),
+i AS (SELECT f.*, CASE WHEN f.symbol <> {INDEX} THEN (SELECT avg(e.mom12_1) FROM f e WHERE e.ix = f.ix AND e.region = f.region AND e.symbol <> f.symbol AND e.symbol <> {INDEX} HAVING count(e.mom12_1) >= 2) END AS ind_mom FROM f), r AS (SELECT *, mom12_1 - ind_mom AS ind_rel_mom FROM i),
 k AS (SELECT symbol, ix, {', '.join(_RAW)}, {', '.join(f"count({x}) FILTER (symbol <> {INDEX}) OVER d AS n_{x}, row_number() OVER (PARTITION BY ix ORDER BY symbol = {INDEX} OR {x} IS NULL, {x}, symbol) - 1 AS at_{x}, max({x}) FILTER (symbol = {INDEX}) OVER d AS v_{x}" for x in _RAW)} FROM r WINDOW d AS (PARTITION BY ix)),
 l AS (SELECT *, {', '.join(f"sum(CASE WHEN symbol <> {INDEX} AND {x} < v_{x} THEN 1 ELSE 0 END) OVER d AS lo_{x}, sum(CASE WHEN symbol <> {INDEX} AND {x} <= v_{x} THEN 1 ELSE 0 END) OVER d AS hi_{x}" for x in _RAW)} FROM k WINDOW d AS (PARTITION BY ix))
 SELECT symbol, ix, {', '.join(f'{S.r6(x)} AS {x}, {S.r6(_rank_sql(x))} AS {x}_rk' for x in _RAW)} FROM l""")
@@ -276,3 +277,81 @@ def features_cost(spark, d):
         "lpk": 0.5 * log(least(F.avg, c("hl2"), 5, 3) / (4 * math.log(2))), "lrv": log(c("v") / least(F.avg, c("v"), 20, 10)), "etf": F.when(c("symbol") == INDEX, 1.0).otherwise(0.0), "y": log(F.lead("spread").over(R.by())),
     }
     return g.withColumns(out).select("symbol", "ix", *[r6(c(n)).alias(n) for n in _COST])
+
+
+# --- industry, overnight: ranks among the names but the index, of eleven at least ------------
+
+
+def _ranked(g, names, out):
+    """``out`` columns: the ranks of ``names``, null for the index."""
+    g = g.withColumns({f"_{n}": F.when(F.col("symbol") != INDEX, F.col(n)) for n in names})
+    return g.withColumns({o: X.rank_pct(f"_{n}") for n, o in zip(names, out, strict=True)})
+
+
+def _rank_of(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER (PARTITION BY ix) > 10 THEN (row_number() OVER (PARTITION BY ix ORDER BY {x} NULLS LAST, symbol) - 1) / (count({x}) OVER (PARTITION BY ix) - 1e0) - 0.5 END"
+
+
+_MOVES = {"r1": (1, 0), "r5": (5, 0), "r20": (20, 0), "r21": (21, 0), "r63": (63, 0), "r126": (126, 0), "r12_1": (252, 21)}
+_GROUP_RAW = {"ind_r21": "i_r21", "ind_r63": "i_r63", "ind_r126": "i_r126", "ind_r12_1": "i_r12_1", "rel_r1": "r1 - i_r1", "rel_r5": "r5 - i_r5", "rel_r20": "r20 - i_r20", "rel_vol20": "vol20 / nullif(i_vol20, 0)", "rel_offhi": "offhi - i_offhi", "rel_12_1": "r12_1 - i_r12_1"}
+_GROUP_OUT = [f"{n}_rk" for n in _GROUP_RAW]
+_LEFT_OUT = [*_MOVES, "vol20", "offhi"]
+
+
+@query(f"""WITH {_BARS}, p AS (SELECT g.*, n_regionkey AS region, ln(c / lag(c) OVER o) AS lr, {', '.join(f"ln({f'lag(c, {b}) OVER o' if b else 'c'} / lag(c, {a}) OVER o) AS {n}" for n, (a, b) in _MOVES.items())} FROM g JOIN nation ON n_nationkey = symbol WINDOW o AS (PARTITION BY symbol ORDER BY ix)),
+v AS (SELECT *, CASE WHEN count(*) OVER w20 = 20 THEN sqrt(252) * stddev_samp(lr) OVER w20 END AS vol20, CASE WHEN count(*) OVER w60 = 60 THEN c / max(h) OVER w60 - 1 END AS offhi FROM p WINDOW w20 AS {_back(20)}, w60 AS {_back(60)}), u AS (SELECT * FROM v WHERE symbol <> {INDEX}),
+i AS (SELECT *, {', '.join(f"CASE WHEN count({n}) OVER k - ({n} IS NOT NULL)::INT >= 2 THEN (sum({n}) OVER k - coalesce({n}, 0)) / (count({n}) OVER k - ({n} IS NOT NULL)::INT) END AS i_{n}" for n in _LEFT_OUT)} FROM u WINDOW k AS (PARTITION BY ix, region)),
+x AS (SELECT symbol, ix, region, {', '.join(f'{e} AS {n}' for n, e in _GROUP_RAW.items())} FROM i), r AS (SELECT symbol, ix, region, {', '.join(f'{_rank_of(n)} AS {n}_rk' for n in _GROUP_RAW)} FROM x)
+SELECT symbol, ix, region, {', '.join(f'{S.r6(n)} AS {n}' for n in _GROUP_OUT)}, {S.r6('CASE WHEN ind_r12_1_rk IS NOT NULL THEN (coalesce(ind_r21_rk, 0) + coalesce(ind_r63_rk, 0) + coalesce(ind_r126_rk, 0) + ind_r12_1_rk) / (1 + (ind_r21_rk IS NOT NULL)::INT + (ind_r63_rk IS NOT NULL)::INT + (ind_r126_rk IS NOT NULL)::INT) END')} AS industry_momentum, {S.r6('-rel_r5_rk')} AS reversal, {S.r6('(rel_12_1_rk - rel_r5_rk - rel_vol20_rk) / 3')} AS neutral FROM r""")
+def features_industry(spark, d):
+    """Ranks of the industry's moves without the name itself (of two others at least) and of the
+    name against them, in return, volatility and distance from the high; three blends of ranks."""
+    c = F.col
+    g = weekly_bars(spark, d).join(F.broadcast(V.regions(spark, d)), "symbol").withColumn("lr", _ln(c("c"), R.lag("c", 1)))
+    g = g.withColumns({n: _ln(R.lag("c", b) if b else c("c"), R.lag("c", a)) for n, (a, b) in _MOVES.items()} | {"vol20": _full(F.stddev_samp("lr"), 20) * math.sqrt(252), "offhi": c("c") / _full(F.max("h"), 60) - 1})
+    g = g.filter(c("symbol") != INDEX)
+    group = W.partitionBy("session", "region")
+    others = lambda n: F.count(n).over(group) - F.when(c(n).isNotNull(), 1).otherwise(0)
+    g = g.withColumns({f"i_{n}": F.when(others(n) >= 2, (F.sum(n).over(group) - F.coalesce(c(n), F.lit(0.0))) / others(n)) for n in _LEFT_OUT})
+    rel = {f"ind_{n}": c(f"i_{n}") for n in ("r21", "r63", "r126", "r12_1")} | {f"rel_{n}": c(n) - c(f"i_{n}") for n in ("r1", "r5", "r20", "offhi")} | {"rel_12_1": c("r12_1") - c("i_r12_1"), "rel_vol20": ratio(c("vol20"), c("i_vol20"))}
+    g = _ranked(staged(g.withColumns(rel).select("symbol", "session", "ix", "region", *_GROUP_RAW), "industry"), list(_GROUP_RAW), _GROUP_OUT)
+    parts = F.filter(F.array(*[c(f"ind_{n}_rk") for n in ("r21", "r63", "r126", "r12_1")]), lambda v: v.isNotNull())
+    blend = F.when(c("ind_r12_1_rk").isNotNull(), F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / F.size(parts))
+    return g.select("symbol", "ix", "region", *[r6(c(n)).alias(n) for n in _GROUP_OUT], r6(blend).alias("industry_momentum"), r6(-c("rel_r5_rk")).alias("reversal"), r6((c("rel_12_1_rk") - c("rel_r5_rk") - c("rel_vol20_rk")) / 3).alias("neutral"))
+
+
+_NIGHT = {"on1": "night", "on5": "n5", "on20": "n20", "id1": "dayr", "id5": "d5", "id20": "d20", "vol20": "vol", "dvol": "dv"}
+_OPEN = ["gap", *_NIGHT, "gapz"]
+_NIGHT_OUT = [*[f"a_{n}_rk" for n in _OPEN], *[f"b_{n}_rk" for n in _NIGHT], "a_vol20", "b_vol20", "a_mkt_gap", "a_mkt_id1", "b_mkt_on1", "b_mkt_id1", "y_day", "y_night"]
+
+
+def _whole(agg: str, x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER w{n} = {n} THEN {agg}({x}) OVER w{n} END"
+
+
+@query(f"""WITH {_BARS}, p AS (SELECT *, ln(o / lag(c) OVER t) AS night, ln(c / o) AS dayr, ln(c / lag(c) OVER t) AS lr, c * v AS usd, lead(o) OVER t / c - 1 AS nxt FROM g WINDOW t AS (PARTITION BY symbol ORDER BY ix)),
+s AS (SELECT *, {_whole('sum', 'night', 5)} AS n5, {_whole('sum', 'night', 20)} AS n20, {_whole('sum', 'dayr', 5)} AS d5, {_whole('sum', 'dayr', 20)} AS d20, sqrt(252) * {_whole('stddev_samp', 'lr', 20)} AS vol, ln({_whole('avg', 'usd', 20)}) AS dv FROM p WINDOW w5 AS {_back(5)}, w20 AS {_back(20)}),
+l AS (SELECT *, {', '.join(f'lag({e}) OVER t AS p_{n}' for n, e in _NIGHT.items())} FROM s WINDOW t AS (PARTITION BY symbol ORDER BY ix)), m AS (SELECT ix, night AS m_gap, p_id1 AS m_pid, dayr AS m_id FROM l WHERE symbol = {INDEX}),
+x AS (SELECT l.*, m.* EXCLUDE (ix), {', '.join(f'CASE WHEN symbol <> {INDEX} THEN {e} END AS b_{n}' for n, e in _NIGHT.items())}, {', '.join(f'CASE WHEN symbol <> {INDEX} THEN p_{n} END AS a_{n}' for n in _NIGHT)}, CASE WHEN symbol <> {INDEX} THEN night END AS a_gap, CASE WHEN symbol <> {INDEX} THEN night * sqrt(252) / nullif(p_vol20, 0) END AS a_gapz FROM l LEFT JOIN m ON m.ix = l.ix),
+r AS (SELECT symbol, ix, {', '.join(f'{_rank_of(f"a_{n}")} AS a_{n}_rk' for n in _OPEN)}, {', '.join(f'{_rank_of(f"b_{n}")} AS b_{n}_rk' for n in _NIGHT)}, a_vol20, b_vol20, m_gap AS a_mkt_gap, m_pid AS a_mkt_id1, m_gap AS b_mkt_on1, m_id AS b_mkt_id1, CASE WHEN symbol <> {INDEX} THEN c / o - 1 END AS y_day, CASE WHEN symbol <> {INDEX} THEN nxt END AS y_night FROM x)
+SELECT symbol, ix, {', '.join(f'{S.r6(n)} AS {n}' for n in _NIGHT_OUT)} FROM r""")
+def features_overnight(spark, d):
+    """Moves by night and by day over 1, 5 and 20 sessions as ranks, as known at the open (with
+    the gap, plain and in deviations) and at the close; volatility, money turned over, the
+    market's moves, and the returns by day and by night that follow."""
+    c = F.col
+    g = weekly_bars(spark, d)
+    before = R.lag("c", 1)
+    g = g.withColumns({"night": _ln(c("o"), before), "dayr": _ln(c("c"), c("o")), "lr": _ln(c("c"), before), "usd": c("c") * c("v")})
+    whole = lambda agg, x, n: F.when(F.count(x).over(R.frame(n)) == n, agg(x).over(R.frame(n)))
+    g = g.withColumns({"n5": whole(F.sum, "night", 5), "n20": whole(F.sum, "night", 20), "d5": whole(F.sum, "dayr", 5), "d20": whole(F.sum, "dayr", 20), "vol": whole(F.stddev_samp, "lr", 20) * math.sqrt(252), "dv": F.ln(whole(F.avg, "usd", 20))})
+    g = g.withColumns({f"b_{n}": c(e) for n, e in _NIGHT.items()} | {f"a_{n}": R.lag(e, 1) for n, e in _NIGHT.items()} | {"a_gap": c("night"), "next_o": F.lead("o").over(R.by())})
+    g = g.withColumn("a_gapz", ratio(c("night") * math.sqrt(252), c("a_vol20")))
+    day = W.partitionBy("session")
+    market = lambda e: F.max(F.when(c("symbol") == INDEX, c(e))).over(day)
+    name = c("symbol") != INDEX
+    g = g.withColumns({"a_mkt_gap": market("night"), "a_mkt_id1": market("a_id1"), "b_mkt_on1": market("night"), "b_mkt_id1": market("dayr"), "y_day": F.when(name, c("c") / c("o") - 1), "y_night": F.when(name, c("next_o") / c("c") - 1)})
+    ranks = [*[f"a_{n}" for n in _OPEN], *[f"b_{n}" for n in _NIGHT]]
+    g = _ranked(staged(g.drop("tax"), "night"), ranks, [f"{n}_rk" for n in ranks])
+    g = g.withColumns({n: F.when(name, c(n)) for n in ("a_vol20", "b_vol20")})
+    return g.select("symbol", "ix", *[r6(c(n)).alias(n) for n in _NIGHT_OUT])
