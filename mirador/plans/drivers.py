@@ -102,17 +102,18 @@ def quantile_regression(spark, d):
 
 @query()
 def boosted_forecast(spark, d):
-    """Boosted trees trained up to an embargo before the last sessions, scored on these: a
-    mean, a robust mean and a probability."""
-    from ..operators import boosting as B
+    """Boosted trees trained up to an embargo before the last sessions, forecasts for these: a
+    mean, a robust mean (Huber loss) and a probability (least squares of the event, within 0 and 1)."""
+    from ..operators import histboost as B
 
-    f = _feats(spark, d).withColumn("rose", (F.col("t") > 0).cast("double"))
+    f = staged(_feats(spark, d).withColumn("rose", (F.col("t") > 0).cast("double")), "features")
     last = f.agg(F.max("ix")).first()[0] or 0
     train, test = f.filter(F.col("ix") < last - 60 - 5), f.filter(F.col("ix") >= last - 60)
-    out = test.select("symbol", "ix", "t", "rose", *_XS)
-    for name, y, kind in (("mean", "t", "l2"), ("robust", "t", "robust"), ("p_rise", "rose", "binary")):
-        out = B.fit_predict(train, out, list(_XS), y, kind=kind).withColumnRenamed("pred", name)
-    return out.select("symbol", "ix", "t", r6(F.col("mean")).alias("mean"), r6(F.col("robust")).alias("robust"), r6(F.col("p_rise")).alias("p_rise"))
+    out = test.select("symbol", "ix", "t", *_XS)
+    for name, y, loss in (("mean", "t", "l2"), ("robust", "t", "huber"), ("p_rise", "rose", "l2")):
+        out = B.fit(train, _XS, y, loss=loss, alpha=0.1, trees=6, depth=3, rate=0.25).predict(out, name)
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p_rise")))
+    return out.select("symbol", "ix", "t", r6(F.col("mean")).alias("mean"), r6(F.col("robust")).alias("robust"), r6(p).alias("p_rise"))
 
 
 # --- questions and base rates --------------------------------------------------------------

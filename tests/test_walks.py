@@ -206,6 +206,22 @@ def test_forecast_losses_on_a_noisy_panel(spark):
     assert all(r.error < 1.05 * r.flat for r in card.values()) and 0.8 < card["quantile"].below < 1
 
 
+def test_boosted_forecast_equals_twin(spark):
+    """The registered query against the trees on arrays."""
+    from mirador.plans import estimators
+
+    rows = estimators._feats(spark, SF).collect()
+    last = max(r.ix for r in rows)
+    train, test = [r for r in rows if r.ix < last - 65], [r for r in rows if r.ix >= last - 60]
+    array = lambda some: np.array([[r.x1, r.x2, r.x3] for r in some])
+    got = {(r.symbol, r.ix): r for r in catalog.QUERIES["boosted_forecast"](spark, SF).collect()}
+    assert set(got) == {(r.symbol, r.ix) for r in test}
+    for name, y, loss in (("mean", [r.t for r in train], "l2"), ("robust", [r.t for r in train], "huber"), ("p_rise", [float(r.t > 0) for r in train], "l2")):
+        want = twin(array(train), np.array(y), array(test), loss=loss, alpha=0.1, trees=6, depth=3, rate=0.25, bins=32, min_rows=20)
+        want = np.clip(want, 0, 1) if name == "p_rise" else want
+        assert np.allclose([got[r.symbol, r.ix][name] for r in test], want, atol=2e-6)
+
+
 # --- walk-forward --------------------------------------------------------------------------
 
 
