@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..sources import views as V
 from . import sql as S
 from .catalog import query
@@ -69,17 +70,19 @@ rules(
 
 # --- JSON and pages ------------------------------------------------------------------------
 
-rules(
-    "json_canonical",
-    "Whether a flat object is strict (no repeated key, no NaN), its canonical form and that form's digest.",
-    "events", ["event_id"],
-    {"raw": "CASE WHEN event_id % 4 = 0 THEN concat('{\"b\": ', event_id::VARCHAR(20), ', \"a\": \"x\"}') WHEN event_id % 4 = 1 THEN '{\"a\": 1, \"a\": 2}' WHEN event_id % 4 = 2 THEN '{\"a\": NaN, \"b\": 1}' ELSE concat('{ \"a\" : \"y\" , \"b\" : ', event_id::VARCHAR(20), ' }') END"},
-    {"squeezed": "regexp_replace(regexp_replace(raw, '^[{] ?', ''), ' ?[}]$', '')", "n_a": "rxcount(raw, '\"a\" ?:')", "n_b": "rxcount(raw, '\"b\" ?:')", "nan": "rlike(raw, 'NaN')"},
-    {"a": "regexp_extract(squeezed, '\"a\" ?: ?([^,]*[^, ])', 1)", "b": "regexp_extract(squeezed, '\"b\" ?: ?([^,]*[^, ])', 1)", "strict": "n_a <= 1 AND n_b <= 1 AND NOT nan"},
-    {"canonical": "CASE WHEN strict THEN concat('{\"a\":', a, ',\"b\":', b, '}') END"},
-    {"digest": "sha256(canonical)"},
-    plain=("strict", "canonical", "digest"),
-)
+
+
+@query("""WITH c AS (SELECT conv_id, list({'role': role, 'text': text, 'turn': turn} ORDER BY turn, role, text) AS turns FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id), j AS (SELECT conv_id, to_json({'conv_id': conv_id, 'turns': turns})::VARCHAR AS canonical FROM c)
+SELECT conv_id, octet_length(encode(canonical))::BIGINT AS bytes, sha256(canonical) AS digest FROM j""")
+def json_canonical(spark, d):
+    """Whole conversations as JSON in canonical form (keys sorted at every depth, no spaces),
+    and that form's digest, from text whose keys are in another order and spaced."""
+    t = V.table(spark, d, "conversations").select("conv_id", "turn", "role", "text").distinct()
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["turn"].alias("turn"), x["text"].alias("text"), x["role"].alias("role")))
+    raw = t.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(F.struct("turns", "conv_id"), {"pretty": "true", "ignoreNullFields": "false"}).alias("raw"))
+    own = raw.withColumn("canonical", TX.canonical_json("raw"))
+    return own.select("conv_id", F.octet_length("canonical").cast("long").alias("bytes"), F.sha2("canonical", 256).alias("digest"))
+
 
 rules(
     "page_index",

@@ -174,3 +174,11 @@ def test_conventions_by_vote(spark):
 def test_fields(spark, text, money, whole, time):
     got = values(spark, [(text,)], "t string", m=R.is_money(F.col("t")), w=R.is_positive_whole(F.col("t")), z=R.is_zoned_time(F.col("t")))[0]
     assert (got["m"], got["w"], got["z"]) == (money, whole, time)
+
+
+def test_canonical_json(spark):
+    from mirador.functions.text import canonical_json
+
+    rows = ['{ "b" : [1, {"d": 2.50, "c": null}], "a": "\\u00e9\\n" }', '{"a": 1, "a": 2}', '{"x": {"a": 1, "a": 1}}', '{"a": NaN}', "[]", "", None, '{"a": 1', '{"a": -Infinity}', "3"]
+    got = [r["c"] for r in values(spark, [(r,) for r in rows], "t string", c=canonical_json("t"))]
+    assert got == ['{"a":"é\\n","b":[1,{"c":null,"d":2.5}]}', None, None, None, "[]", None, None, None, None, "3"]
