@@ -121,8 +121,9 @@ def truncated_share(x: Column) -> Column:
 
 def touch_probability(annual_vol: Column, drop: Column, sessions: Column) -> Column:
     """Of a random walk that falls by ``drop`` (negative, a share) within the sessions: twice
-    the chance to end there."""
-    return F.least(F.lit(1.0), 2 * normal_cdf(F.ln(1 + drop) / (annual_vol / F.sqrt(F.lit(252.0)) * F.sqrt(sessions))))
+    the chance to end there; none where it doesn't move."""
+    sd = annual_vol / F.sqrt(F.lit(252.0)) * F.sqrt(sessions)
+    return F.when(sd == 0, F.when(drop < 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), 2 * normal_cdf(ratio(F.ln(1 + drop), sd))))
 
 
 def nice(x: Column) -> Column:

@@ -127,3 +127,21 @@ def test_elimination_solves_a_system(spark):
     r = models.solve(spark.range(1), [[F.lit(v) for v in row] for row in a], [F.lit(v) for v in b], ["x", "y", "z"]).first()
     for row, v in zip(a, b, strict=True):
         assert abs(row[0] * r.x + row[1] * r.y + row[2] * r.z - v) < 1e-12
+
+
+def test_probabilities_of_a_zero_value(spark, tmp_path):
+    from mirador.plans import catalog
+    from tests.oracle import _sorted
+
+    t = dt.datetime(2024, 1, 1)
+    events = [(n, t, 1, k, v, "{}") for n, (k, v) in enumerate([("error", 0.0), ("view", 0.0), ("view", 40.0), ("error", 100.0)])]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    df = catalog.QUERIES["rules_probability"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES['rules_probability']})").fetchall()
+    got = df.collect()
+    assert _sorted(map(tuple, got)) == _sorted(want)
+    assert {r.event_id: r.touch for r in got if r.event_id < 2} == {0: 0.0, 1: 0.0}
