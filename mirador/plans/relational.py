@@ -110,9 +110,11 @@ def rtg_reverse_cumsum(spark, d):
 @query(f"""WITH {_ROLL}, m AS (SELECT grp, member, sum(reward) AS r FROM looks GROUP BY ALL), q AS (SELECT grp, quantile_cont(r, 0.5) AS mid FROM m GROUP BY grp)
 SELECT grp, member, {S.r6('r')} AS r FROM m JOIN q USING (grp) WHERE r > mid""")
 def selection_above_median(spark, d):
+    """Members whose sum is above their group's median. Sums are made once: made again, in
+    another order, the middle one could differ from itself in its last bit."""
     m = looks(spark, d).groupBy("grp", "member").agg(F.sum("reward").alias("r"))
-    q = m.groupBy("grp").agg(F.percentile("r", 0.5).alias("mid"))
-    return m.join(q, "grp").filter("r > mid").select("grp", "member", r6(F.col("r")).alias("r"))
+    q = m.withColumn("mid", F.percentile("r", 0.5).over(W.partitionBy("grp")))
+    return q.filter("r > mid").select("grp", "member", r6(F.col("r")).alias("r"))
 
 
 @query("""WITH j AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS seq, sha256(event_id::VARCHAR || ':' || event_type || ':' || props) AS rec FROM events),

@@ -145,3 +145,29 @@ def test_probabilities_of_a_zero_value(spark, tmp_path):
     got = df.collect()
     assert _sorted(map(tuple, got)) == _sorted(want)
     assert {r.event_id: r.touch for r in got if r.event_id < 2} == {0: 0.0, 1: 0.0}
+
+
+def _restless(batches):
+    """Rows in another order each time they are asked for."""
+    import random
+
+    rows = [r for b in batches for r in b.to_pylist()]
+    random.SystemRandom().shuffle(rows)
+    import pyarrow as pa
+
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("grp", pa.int64()), ("member", pa.string()), ("reward", pa.float64())]))
+
+
+def test_the_median_is_never_above_itself(spark, monkeypatch):
+    from mirador.plans import relational
+
+    rows = [(g, m, (1 + k * 7919 % 997) / 100 + n * 5) for g in range(60) for n, m in enumerate("abcde") for k in range(40)]
+    df = spark.createDataFrame(rows, "grp long, member string, reward double").repartition(4)
+    monkeypatch.setattr(relational, "looks", lambda spark, d: df.mapInArrow(_restless, df.schema))
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = relational.selection_above_median(spark, "").collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert {(r.grp, r.member) for r in got} == {(g, m) for g in range(60) for m in "de"} and len(got) == 120
