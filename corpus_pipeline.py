@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of documents alike by 0.8 in five-word shingles one stays."""
-    return simhash.keep_one(docs, shingle_words=5, similarity=0.8)
+    """Operator 2: of documents that chains of fingerprints at most 3 bits apart link one stays."""
+    return simhash.keep_linked(docs, shingle_words=3, radius=3)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,15 +61,19 @@ def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, shingle_words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): the fingerprint as a signed long, from whole texts."""
+def fingerprints(docs: DataFrame, *, shingle_words: int = 3, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long): the fingerprint as a signed long, from whole texts. ``keyed``: with
+    row_key and row_hash too."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(_row(text) if keyed else ()), text.alias("text"))
+    names = own.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [_signed(fingerprint(t.as_py(), shingle_words, seed)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(fps, pa.int64())], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 class BKTree:
@@ -158,18 +162,29 @@ def _link_batches(radius: int):
     return run
 
 
+def linked(reps: DataFrame, *, radius: int = 3) -> DataFrame:
+    """``reps``, a row for each distinct fingerprint (fp), with the component of each."""
+    labels = components(link(reps.select("fp"), radius=radius))
+    return staged(reps.join(labels, reps.fp == labels.node, "left").select(*reps.columns, F.coalesce("component", "fp").alias("component")), "named")
+
+
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """Per document: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
     rows = staged(fingerprints(docs, shingle_words=shingle_words, seed=seed), "fingerprints")
-    reps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = components(link(reps.select("fp"), radius=radius))
-    named = reps.join(labels, reps.fp == labels.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = staged(named, "named")
+    named = linked(staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), radius=radius)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_linked(docs: DataFrame, *, shingle_words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id (null last;
+    of equal ids that of the smallest text hash), once."""
+    rows = fingerprints(docs, shingle_words=shingle_words, seed=seed, keyed=True)
+    named = linked(staged(rows.groupBy("fp").agg(_first()), "distinct"), radius=radius)
+    return _kept(docs, named.select("component", "first.*"))
+
+
 def hex_fingerprint(fp):
     """Sixteen lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
@@ -346,9 +361,17 @@ def _link_blocks(similarity: float):
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of similar ones: that of the smallest
     doc_id (null last; of equal ids that of the smallest text hash), once."""
-    groups = similar_groups(docs, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "row_key")).alias("first")
-    kept = groups.groupBy("component").agg(first).select(F.col("first.row_key").alias("key"), F.col("first.row_hash").alias("hash"))
+    return _kept(docs, similar_groups(docs, **options))
+
+
+def _first():
+    """The least of some rows (doc_id, row_hash, row_key)."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "row_key")).alias("first")
+
+
+def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their component, each once."""
+    kept = groups.groupBy("component").agg(_first()).select(F.col("first.row_key").alias("key"), F.col("first.row_hash").alias("hash"))
     key, hash_ = _row(F.coalesce(F.col("text").cast("string"), F.lit("")))
     own = docs.select(F.struct("*").alias("own"), key.alias("key"), hash_.alias("hash"))
     return own.join(kept, ["key", "hash"]).dropDuplicates(["key", "hash"]).select("own.*")

@@ -58,3 +58,16 @@ def test_no_rows_through_all_stages(spark, folder):
         docs = staged(stage(spark, docs, str(folder)), name)
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(folder)).count() == 0
+
+
+def test_near_copies_are_those_of_operator_two(spark, folder):
+    """Texts that the fingerprint takes for one, though they share few of their shingles."""
+    from mirador.llm import simhash
+
+    common = "lorem ipsum dolor " * 200
+    odd = [common + " ".join(f"{a}{k}" for k in range(50)) for a in "xyz"] + ["one text of its own", "ONE text of its own", None, " \n"]
+    extra = spark.createDataFrame([(30_000 + i, t, "en", "s", len(t or "")) for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(extra)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(folder)).collect())
+    assert got == sorted(r.doc_id for r in simhash.near_duplicates(docs).collect() if r.doc_id == r.component_id)
+    assert [i for i in got if i >= 30_000] == [30_000, 30_003, 30_005]
