@@ -35,7 +35,9 @@ from .common import LOWER, UPPER, staged
 #: To lower case, tabs to spaces, what parts pieces to line feeds.
 _PLAIN = bytes.maketrans(UPPER.encode() + b"\t.,;:!?\x0b\x0c\r", LOWER.encode() + b" " + b"\n" * 9)
 #: Words that a task sums at a time; distinct words a time, so three fit a whole number.
-WORDS, VOCABULARY = 4_000_000, 2_000_000
+WORDS, VOCABULARY = 4_000_000, 500_000
+#: Rows, and bytes of text, that are parted into words at a time.
+ROWS, BYTES = 1024, 1 << 21
 #: Words as frequent as one in HOT are dealt finer, to SALTS places for each further word.
 HOT, SALTS = 1000, 64
 #: Suffixes of a language that a stack reads at a time; copies of a part that phrases meet.
@@ -61,8 +63,8 @@ class Vocabulary(dict):
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """(language, text) of whole texts, those of one batch and language joined by piece ends."""
-    for b in batches:
+    """(language, text) of whole texts, those of some rows and one language joined by piece ends."""
+    for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
         lang, text = b.column("lang").dictionary_encode(), b.column("text")
         numbers = lang.indices.to_numpy()
         for k, name in enumerate(lang.dictionary.to_pylist()):
@@ -93,13 +95,13 @@ def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), words.take(pa.array(at)), pa.array(n[at], pa.int64())], ["lang", "word", "f"])
 
     for lang, text in texts(batches):
-        for part in _cut(text, 1 << 24):
+        for part in _cut(text, BYTES):
             n = np.bincount(vocabulary.numbers(part), minlength=len(vocabulary.words))
             n[0] = 0
             had = own.get(lang, np.zeros(0, np.int64))
             n[: len(had)] += had
             own[lang] = n
-            if sum(map(len, own.values())) > VOCABULARY:
+            if len(vocabulary.words) > VOCABULARY or sum(map(len, own.values())) > 4 * VOCABULARY:
                 yield from out()
                 own, vocabulary = {}, Vocabulary()
     yield from out()
@@ -115,12 +117,16 @@ def combine(ids: np.ndarray, words: int, max_n: int) -> tuple[list[np.ndarray],
     if words**max_n < 1 << 63:
         key = columns[0].astype(np.int64)
         for c in columns[1:]:
-            key = key * words + c
-        key, n = np.unique(key, return_counts=True)
-        out = []
+            key *= words
+            key += c
+        del columns, line, at
+        key.sort()
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+        n = np.diff(start, append=len(key))
+        key, out = key[start], []
         for _ in range(max_n):
-            out.append(key % words)
-            key = key // words
+            out.append((key % words).astype(np.int32))
+            key //= words
         return out[::-1], n
     rows, n = np.unique(np.column_stack(columns), axis=0, return_counts=True)
     return list(rows.T), n
@@ -137,8 +143,8 @@ def suffixes(max_n: int, hot: frozenset[bytes]):
             ended = pa.array([b""] + [w + b" " for w in vocabulary.words[1:]], pa.binary())
             often = np.array([w in hot for w in vocabulary.words])
             sums = np.array([zlib.crc32(w) for w in vocabulary.words], np.int64)
-            for lang, parts in held.items():
-                columns, times = combine(np.concatenate(parts), len(vocabulary.words), max_n)
+            for lang in list(held):
+                columns, times = combine(np.concatenate(held.pop(lang)), len(vocabulary.words), max_n)
                 salt, fine = np.zeros(len(times), np.int64), np.ones(len(times), bool)
                 for k in range(1, max_n):
                     fine &= often[columns[k - 1]]
@@ -149,7 +155,7 @@ def suffixes(max_n: int, hot: frozenset[bytes]):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(joined), pa.string()), pa.array(salt[some], pa.int32()), joined, pa.array(times[some], pa.int64())], ["lang", "salt", "suffix", "n"])
 
         for lang, text in texts(batches):
-            for part in _cut(text, 1 << 24):
+            for part in _cut(text, BYTES):
                 ids = vocabulary.numbers(part)
                 held.setdefault(lang, []).append(np.concatenate([ids, np.zeros(1, np.int32)]))
                 n += len(ids)
