@@ -8,6 +8,7 @@ from ..operators import histboost as B
 from ..operators import models as M
 from ..operators import quantiles as Q
 from ..operators import walkforward as K
+from ..sources.staging import staged
 from . import sql as S
 from .catalog import query
 from .estimators import _BASE, _FORECASTS, _SQL, _XS, _feats, _ranges
@@ -123,7 +124,7 @@ def wf_boosted_bands(spark, d):
 def boosted_losses(spark, d):
     """Trees of four losses on the size of the move to come, trained up to an embargo before
     the last year: their errors, and those of the best constant."""
-    f = _feats(spark, d).select("ix", *_XS, F.abs("t").alias("y"))
+    f = staged(_feats(spark, d).select("ix", *_XS, F.abs("t").alias("y")), "losses")
     last = f.agg(F.max("ix")).first()[0] or 0
     train, test = f.filter(F.col("ix") < last - 52 - _AHEAD), f.filter(F.col("ix") >= last - 52)
     out = None

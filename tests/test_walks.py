@@ -412,3 +412,12 @@ def test_clustered_errors_equal_the_sandwich(spark):
         assert np.allclose([got[name].b, got[name].se, got[name].t], [beta[k], se[k], beta[k] / se[k]]) and (got[name].n, got[name].clusters) == (300, 60)
     assert models.clustered(rows.withColumn("c", 2 * F.col("a")), ["a", "c"], "y", "ix").count() == 0
     assert models.clustered(rows.filter("false"), ["a"], "y", "ix").count() == 0
+
+
+def test_losses_are_fitted_on_a_table_written_once(spark, monkeypatch):
+    from mirador.plans import walks
+
+    read, fit = [], walks.B.fit
+    monkeypatch.setattr(walks.B, "fit", lambda train, *a, **k: read.append(train.inputFiles()) or fit(train, *a, **k))
+    catalog.QUERIES["boosted_losses"](spark, SF)
+    assert len(read) == 4 and not any("lineitem" in f for files in read for f in files)
