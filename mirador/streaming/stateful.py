@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.staging import shared_folder
+from ..sources.staging import shared_folder, staged
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -103,20 +103,29 @@ def bar_store(updates: DataFrame, *, tolerance: float = 0.0005) -> DataFrame:
 
 
 @contextmanager
-def _rocks(spark: SparkSession):
-    was = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+def rocks(spark: SparkSession):
+    """RocksDB keeps the state; all parts on an executor share a bounded memory."""
+    own = {STORE: ROCKS, f"{_ROCKSDB}.boundedMemoryUsage": "true", f"{_ROCKSDB}.changelogCheckpointing.enabled": "true"}
+    was = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(STORE) if was is None else spark.conf.set(STORE, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+#: Files of a micro-batch.
+FILES = 4
 
 
 def drive(spark: SparkSession, source: str, schema, plan: Callable[[DataFrame], DataFrame], out: str, state: str, mode: str) -> None:
-    """One file a micro-batch from ``source`` through ``plan`` to a folder a batch in ``out``,
+    """FILES files a micro-batch from ``source`` through ``plan`` to a folder a batch in ``out``,
     as far as there are files; goes on from the checkpoint ``state`` when called again."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
-    with _rocks(spark):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).option("latestFirst", "false").parquet(source)
+    with rocks(spark):
         result = plan(stream)
 
         def write(batch: DataFrame, epoch: int) -> None:
@@ -127,10 +136,22 @@ def drive(spark: SparkSession, source: str, schema, plan: Callable[[DataFrame],
 
 
 def feed(rows: DataFrame, folder: str, part: str) -> None:
-    """Files of ``rows`` in the order of the number in column ``part``, one a number."""
-    numbers = [r[0] for r in rows.select(part).distinct().orderBy(part).collect()]  # a number a file
-    for n in numbers:
-        rows.filter(F.col(part) == n).drop(part).coalesce(1).write.mode("append").parquet(folder)
+    """Files of ``rows`` in the order of the number in column ``part``, FILES a number, some
+    of them empty where rows are few. ``rows`` are made in as many tasks as they need."""
+    spark = rows.sparkSession
+    rows = staged(rows, "feed")
+    for n in [r[0] for r in rows.select(part).distinct().orderBy(part).collect()]:
+        own = rows.filter(F.col(part) == n).drop(part)
+        before = _files(spark, folder)
+        own.repartition(FILES).write.mode("append").parquet(folder)
+        for _ in range(before + FILES - _files(spark, folder)):
+            spark.createDataFrame([], own.schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _files(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(path)) if fs.exists(path) else 0
 
 
 def run_look_reports(spark: SparkSession, executions: DataFrame, files: int = 6, **options) -> DataFrame:

@@ -79,3 +79,10 @@ def test_the_store_setting_is_put_back(spark):
     was = spark.conf.get(stateful.STORE)
     stateful.run_bar_store(spark, spark.createDataFrame([(1, dt.date(2024, 1, 1), 1.0, 0, 0)], "symbol long, session date, c double, version int, part int")).select(F.count("*")).collect()
     assert spark.conf.get(stateful.STORE) == was
+
+
+def test_a_number_is_fed_in_several_files(spark, tmp_path):
+    for n in (0, 1):
+        stateful.feed(spark.createDataFrame([(i, n) for i in range(50 - 49 * n)], "i long, part int"), f"file://{tmp_path}/in", "part")
+        assert stateful._files(spark, f"file://{tmp_path}/in") == stateful.FILES * (n + 1)
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 51
