@@ -12,6 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stateful import rocks
+
+#: Micro-batches of a ledger.
+BATCHES = 4
 _LAST = ("time", "symbol", "side", "shares", "cents", "fee", "l_partkey", "l_discount")
 
 
@@ -34,16 +38,20 @@ def latest_stream(fills: DataFrame) -> DataFrame:
 
 
 def run_positions(spark: SparkSession, fills: DataFrame) -> DataFrame:
+    """In BATCHES micro-batches at most, however many files there are: a batch costs a commit
+    of every part of the state. The state, an entry an execution, is RocksDB's, on disk."""
     source, out = _folder(spark, "fills"), _folder(spark, "latest")
     fills.write.parquet(source)
-    stream = spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    files = len(spark.read.schema(fills.schema).parquet(source).inputFiles())
+    stream = spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(source)
 
     def write(batch: DataFrame, epoch: int) -> None:
         # a batch that runs twice overwrites its own folder
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = latest_stream(stream).writeStream.outputMode("update").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
+    with rocks(spark):
+        q = latest_stream(stream).writeStream.outputMode("update").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
     # of the updates of an execution the last epoch's holds
     rows = spark.read.option("basePath", out).parquet(out)
     last = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("last", "epoch").alias("last")).select("last.sleeve", *[F.col(f"last.rank.{c}.v").alias(c) for c in _LAST])

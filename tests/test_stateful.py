@@ -86,3 +86,14 @@ def test_a_number_is_fed_in_several_files(spark, tmp_path):
         stateful.feed(spark.createDataFrame([(i, n) for i in range(50 - 49 * n)], "i long, part int"), f"file://{tmp_path}/in", "part")
         assert stateful._files(spark, f"file://{tmp_path}/in") == stateful.FILES * (n + 1)
     assert spark.read.parquet(f"{tmp_path}/in").count() == 51
+
+
+def test_batches_of_a_ledger_do_not_grow_with_its_files(spark, monkeypatch):
+    from mirador.streaming import ledger
+
+    seen, old = [], ledger._folder
+    monkeypatch.setattr(ledger, "_folder", lambda s, label: seen.append(old(s, label)) or seen[-1])
+    fills = spark.createDataFrame([(i, 1, dt.date(2024, 1, 1), "a", i % 3, "BOT", 2, 10, None, 1, 0.0) for i in range(60)], "l_orderkey long, l_linenumber int, time date, sleeve string, symbol long, side string, shares long, cents long, fee long, l_partkey long, l_discount double").repartition(24)
+    got = ledger.run_positions(spark, fills).collect()
+    assert sorted((r.symbol, r.qty, r.cash_cents) for r in got) == [(k, 40, -200) for k in range(3)]
+    assert spark.read.option("basePath", seen[1]).parquet(seen[1]).select("epoch").distinct().count() <= 4
